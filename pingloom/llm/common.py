@@ -29,15 +29,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_rid(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, rid``: rid is a unique long in the order of documents.
+def with_rid(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``rid, text`` and, where ids had to be made, ``rid, doc_id``: rid is a unique long in the order of documents.
 
-    Unique non-null ids are used as they are (one scan of the id column finds out). Otherwise rows are
+    Unique non-negative ids are used as they are (one scan of the id column finds out). Otherwise rows are
     numbered in the order (doc_id with null first, text): every row stays a document of its own, rows that
     share an id are ordered by text, and a wholly equal row counts as later than its twin.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    twice = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null or doc_id < 0").limit(1)
-    if not twice.count():
-        return docs.withColumn("rid", F.col("doc_id"))
-    return stored(docs.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).withColumn("rid", F.monotonically_increasing_id()))
+    odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null or doc_id < 0").limit(1)
+    if not odd.count():
+        return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("rid"), "text"), None
+    ids = stored(docs.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).withColumn("rid", F.monotonically_increasing_id()))
+    return ids.select("rid", "text"), ids.select("rid", "doc_id")
+
+
+def with_doc_id(out: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """The result by rid with doc_id in its place."""
+    if ids is None:
+        return out.withColumnRenamed("rid", "doc_id")
+    return ids.join(out, "rid").drop("rid")

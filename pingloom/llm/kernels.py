@@ -148,10 +148,10 @@ def anchors(tokens: np.ndarray, offs: np.ndarray, window: int, gram: int) -> dic
     Every window of ``window`` tokens picks the smallest hash among its grams, so equal windows pick the same
     gram at the same place. Gives one entry for each run: ``gram`` (hash of the anchor), ``seg`` (hash of all
     tokens that the run's windows cover, with the anchor's place and the run's length), ``doc`` (index),
-    ``lo`` (first window start within the document) and ``span`` (number of windows).
+    ``lo`` (first window start within the document), ``span`` (number of windows) and ``off`` (anchor - lo).
     """
     n = len(tokens)
-    none = {k: np.zeros(0, np.uint64 if k in ("gram", "seg") else np.int64) for k in ("gram", "seg", "doc", "lo", "span")}
+    none = {k: np.zeros(0, np.uint64 if k in ("gram", "seg") else np.int64) for k in ("gram", "seg", "doc", "lo", "span", "off")}
     if n < window:
         return none
     sums = Sums(tokens)
@@ -170,4 +170,4 @@ def anchors(tokens: np.ndarray, offs: np.ndarray, window: int, gram: int) -> dic
     span = np.diff(np.append(at, len(starts)))
     doc = np.searchsorted(offs, lo, "right") - 1
     seg = mix(sums.ranges(lo, lo + span - 1 + window) + ((anchor - lo) * 1_000_003 + span).astype(np.uint64))
-    return {"gram": grams[anchor], "seg": seg, "doc": doc, "lo": lo - offs[doc], "span": span}
+    return {"gram": grams[anchor], "seg": seg, "doc": doc, "lo": lo - offs[doc], "span": span, "off": anchor - lo}
