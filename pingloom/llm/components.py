@@ -1,0 +1,39 @@
+"""Connected components of a table of links, by alternating large-star and small-star steps.
+
+Every step is a combinable minimum for each node and an equi-join; steps end in tables in the shared folder, so
+lineage stays short and nothing is gathered in one place. A node with very many links is split by the join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def _step(edges: DataFrame, large: bool) -> DataFrame:
+    """``edges`` (a > b). Large: neighbours above a node move to its smallest; small: those below it and itself do."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    moved = both.join(least, "a")
+    if large:
+        out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return out.filter("a > b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, component`` for every node of ``edges`` (long columns a and b): the smallest node reachable."""
+    e = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = mark(e)
+    while before[0]:
+        e = stored(_step(_step(e, True), False))
+        now = mark(e)
+        if now == before:
+            break
+        before = now
+    # all links now lead from a node to the smallest of its component
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
