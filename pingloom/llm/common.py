@@ -32,6 +32,8 @@ def stored(df: DataFrame) -> DataFrame:
 def with_rid(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``rid, text`` and, where ids had to be made, ``rid, doc_id``: rid is a unique long in the order of documents.
 
+    ``with_doc_id`` puts doc_id back.
+
     Unique non-negative ids are used as they are (one scan of the id column finds out). Otherwise rows are
     numbered in the order (doc_id with null first, text): every row stays a document of its own, rows that
     share an id are ordered by text, and a wholly equal row counts as later than its twin.

@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, quality_rules, substring, suffix_array, topk, toxicity, url_filter
+from . import bpe, brown_lm, jaccard, mixing, quality_rules, substring, suffix_array, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The byte-level BPE file; its place is a setting of the installation, not of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -34,6 +41,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_corpus(table(spark, sf_dir, "documents")).drop("perplexity")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,7 +64,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_rules, op4_mixing, op5_jaccard_join, op8_substring_dedup, op9_topk, op10_url_filter)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_rules, op4_mixing, op5_jaccard_join, op6_brown_lm, op7_bpe, op8_substring_dedup, op9_topk, op10_url_filter)}
 
 
 _WORDS = "len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))"
