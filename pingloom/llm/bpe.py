@@ -9,7 +9,7 @@ Texts are cut as byte-level BPE files ask for: added tokens first, then the pre-
 joins the bytes of the ids and reads them as UTF-8.
 
 Defined results: a null text is empty and has no ids; repeated rows each keep their row; other columns are left
-out by ``encode_digest`` and kept by ``encode``.
+out unless they are named.
 """
 
 from __future__ import annotations
@@ -133,7 +133,7 @@ def _encoder(model, key: str) -> Encoder:
     return _made[key]
 
 
-def _run(model, key: str, names: list[str], digest: bool):
+def _run(model, key: str, names: list[str], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model, key)
         for b in batches:
@@ -145,27 +145,35 @@ def _run(model, key: str, names: list[str], digest: bool):
                     ids = list(map(int, line.split(","))) if line else []
                     counts.append(len(ids))
                     digests.append(hashlib.sha256(line.encode()).hexdigest())
-                    back = encoder.decode(ids)
-                    decoded.append(hashlib.sha256(back.encode()).hexdigest() if digest else back)
-                    ids_out.append(None if digest else ids)
-                cols = [pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)] if digest else [pa.array(counts, pa.int64()), pa.array(ids_out, pa.list_(pa.int32())), pa.array(decoded)]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *cols], names=[*names, "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
+                    decoded.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+                    ids_out.append(ids if with_ids else None)
+                cols = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *([pa.array(ids_out, pa.list_(pa.int32()))] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *cols], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     return run
 
 
-def _mapped(docs: DataFrame, path: str, names: list[str], digest: bool) -> DataFrame:
+def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), with_ids: bool = True) -> DataFrame:
+    """doc_id, the columns of ``carry``, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 and, with ``with_ids``, ids.
+
+    ``path`` names a byte-level BPE file of the tokenizers library.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(load_tokenizer(path))  # a vocabulary file: fixed size
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens long, ids array<int>, decoded string"
-    return docs.mapInArrow(_run(model, path, names, digest), f"{schema}, {added}")
+    carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    return docs.mapInArrow(_run(model, path, ["doc_id", *carry], with_ids), f"doc_id long, {carried}n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids and decoded for each document; ``path`` names a byte-level BPE file."""
-    return _mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), path, ["doc_id"], False)
+def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """All columns of ``encoded`` and the text of its ids as ``decoded`` (null ids: null)."""
+    encoded = encoded.drop("decoded")
+    model = encoded.sparkSession.sparkContext.broadcast(load_tokenizer(path))
+    names = encoded.columns
 
+    def run(batches):
+        raw = model.value["raw"]
+        for b in batches:
+            texts = [None if x is None else b"".join(map(raw.__getitem__, x)).decode("utf-8", "replace") for x in b.column(names.index(ids)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-def encode_digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 for each document."""
-    return _mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), path, ["doc_id"], True)
+    return encoded.mapInArrow(run, type(encoded.schema)([*encoded.schema.fields]).add("decoded", "string"))

@@ -46,7 +46,7 @@ def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digest(table(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,7 +138,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_runs(docs: DataFrame, plan: Plan) -> DataFrame:
     """``rid, lo, code, kind``: runs that repeat as a whole (kind DUP), and first runs in question (EDGE)."""
-    rows = docs.mapInArrow(_runs(plan), "key long, gram long, seg long, rid long, lo int, code int, kind byte")
+    rows = docs.select("rid", "text").mapInArrow(_runs(plan), "key long, gram long, seg long, rid long, lo int, code int, kind byte")
     rows = rows.repartition("key").sortWithinPartitions("kind", "gram", "seg", "rid", "lo").drop("key")
     return rows.mapInArrow(_judge, "rid long, lo int, code int, kind byte")
 

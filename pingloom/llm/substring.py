@@ -159,27 +159,34 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _kept(with_text: bool):
+def _kept(with_text: bool, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text, found in zip(b.column("text").cast(pa.binary()), repeats.doc_spans(b), strict=True):
-                words = (text.as_py() or b"").split()  # bytes split at \x20 and \x09-\x0D only
+                raw = text.as_py() or b""
+                words = raw.split()  # bytes split at \x20 and \x09-\x0D only
                 kept = words if found is None else list(compress(words, (~repeats.covered(len(words), PLAN.window, *found)).tolist()))
                 whole = b" ".join(kept)
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), whole.decode("utf-8") if with_text else None))
+                kept_text = None if not with_text else (raw if len(kept) == len(words) else whole).decode("utf-8")
+                out.append((len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), kept_text))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["rid", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            added = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), *([pa.array(cols[3], pa.string())] if with_text else [])]
+            yield pa.RecordBatch.from_arrays([b.column("rid"), *(b.column(c) for c in carry), *added], names=["rid", *carry, "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_removed, kept_sha256; with ``with_text`` also the kept words as kept_text."""
-    docs, ids = with_rid(docs)
+def substring_dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: doc_id, n_words, n_removed, kept_sha256, and the columns of ``carry``.
+
+    With ``with_text`` also kept_text: the kept words joined by spaces, or the text as it is if no word goes.
+    """
+    docs, ids = with_rid(docs, carry)
     runs = stored(repeats.find_runs(docs, PLAN))
     heavy, groups = _heavy_prefixes(docs, runs)
     dealt = repeats.with_edges(docs, runs).mapInArrow(_dealt(heavy, groups), "part int, entries binary, gone binary")
     found = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_searched, repeats.SPANS)
-    out = repeats.with_spans(docs, runs, found).mapInArrow(_kept(with_text), "rid long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return with_doc_id(out if with_text else out.drop("kept_text"), ids)
+    carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    out = repeats.with_spans(docs, runs, found).mapInArrow(_kept(with_text, carry), f"rid long, {carried}n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return with_doc_id(out, ids)

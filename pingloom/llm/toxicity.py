@@ -142,7 +142,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
-    """All columns of ``docs`` (which may not have these three) with held_out, score and predicted."""
+    """All columns of ``docs`` (those of the same names are replaced) with score, held_out and predicted."""
+    docs = docs.drop("score", "held_out", "predicted")
     names = docs.columns
     schema = docs.schema
 
