@@ -6,10 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fixtures import Views, with_views
+
+_QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None, recursive: bool = False):
+    """Register a query on the views, with the SQL that gives the same rows."""
+
+    def add(f: Callable[[Views], DataFrame]):
+        assert name not in _QUERIES, name
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = with_views(sql, recursive)
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import catalog_aggregates, catalog_boxes, catalog_graphs, catalog_joins, catalog_rasters, catalog_sources, catalog_streams, catalog_windows  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
