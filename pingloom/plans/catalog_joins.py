@@ -1 +1,219 @@
-"""Queries."""
+"""Queries of joins and set operations."""
+
+from pyspark.sql import functions as F
+
+from ..functions import boxes
+from ..operators import joins as J
+from ..operators import scalar as S
+from .catalog_boxes import IOU_SQL, TILES_SQL
+from .registry import register
+
+_IOU = IOU_SQL.format(a="a.", b="b.")
+
+
+@register("J01_attach_navigation", "SELECT f.frame_id, f.survey_id, n.latitude, n.longitude, n.heading_deg, CASE WHEN n.frame_id IS NULL THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS navigation_status FROM v_frames AS f LEFT JOIN v_nav AS n ON f.frame_id = n.frame_id")
+def j01(v):
+    n = v["v_nav"].select("frame_id", "latitude", "longitude", "heading_deg", F.lit("AVAILABLE").alias("s"))
+    return v["v_frames"].join(n, "frame_id", "left").select("frame_id", "survey_id", "latitude", "longitude", "heading_deg", F.coalesce("s", F.lit("UNAVAILABLE")).alias("navigation_status"))
+
+
+@register("J01_unknown_navigation", "SELECT n.frame_id FROM v_nav AS n ANTI JOIN v_det AS d ON n.frame_id = d.frame_id")
+def j01b(v):
+    return v["v_nav"].join(v["v_det"], "frame_id", "left_anti").select("frame_id")
+
+
+@register("P14_nav_view", "SELECT f.frame_id, latitude, longitude, heading_deg, provenance, CASE WHEN n.frame_id IS NULL THEN 'UNAVAILABLE' WHEN provenance IS NULL THEN 'UNVERIFIED' ELSE provenance END AS nav_status FROM v_frames AS f LEFT JOIN v_nav AS n ON f.frame_id = n.frame_id")
+def p14(v):
+    n = v["v_nav"].select("frame_id", "latitude", "longitude", "heading_deg", "provenance", F.lit(True).alias("has"))
+    return v["v_frames"].select("frame_id").join(n, "frame_id", "left").withColumn("nav_status", F.when(F.col("has").isNull(), "UNAVAILABLE").otherwise(F.coalesce("provenance", F.lit("UNVERIFIED")))).drop("has")
+
+
+@register(
+    "J03_tile_annotation_join",
+    TILES_SQL + ", b AS (SELECT gt_id, frame_id, gx1 * 8 AS bx, gy1 * 8 AS by_, gx2 * 8 - gx1 * 8 AS bw, gy2 * 8 - gy1 * 8 AS bh FROM v_gt) SELECT gt_id, b.frame_id, x0, y0 FROM b JOIN t ON b.frame_id = t.frame_id AND bx < x0 + 512 AND bx + bw > x0 AND by_ < y0 + 512 AND by_ + bh > y0",
+)
+def j03(v):
+    return J.tile_annotations(S.tile_grid(v["v_frames"]).select("frame_id", "x0", "y0"), _annotations(v)).select("gt_id", "frame_id", "x0", "y0")
+
+
+def _annotations(v):
+    return v["v_gt"].select("gt_id", "frame_id", (F.col("gx1") * 8).alias("bx"), (F.col("gy1") * 8).alias("by"), (F.col("gx2") * 8 - F.col("gx1") * 8).alias("bw"), (F.col("gy2") * 8 - F.col("gy1") * 8).alias("bh"))
+
+
+CLIP_SQL = TILES_SQL + """, b AS (SELECT gt_id, frame_id, gx1 * 8 AS bx, gy1 * 8 AS by_, gx2 * 8 - gx1 * 8 AS bw, gy2 * 8 - gy1 * 8 AS bh FROM v_gt),
+c AS (SELECT gt_id, b.frame_id, x0, y0, bw, bh, greatest(bx, x0) - x0 AS cx, greatest(by_, y0) - y0 AS cy, least(bx + bw, x0 + 512) - greatest(bx, x0) AS cw, least(by_ + bh, y0 + 512) - greatest(by_, y0) AS ch FROM b JOIN t ON b.frame_id = t.frame_id) """
+
+
+@register("P09_clip_box", CLIP_SQL + "SELECT gt_id, frame_id, x0, y0, cx, cy, cw, ch FROM c WHERE cw > 0 AND ch > 0 AND cw * ch / (bw * bh) >= 0.25")
+def p09(v):
+    return S.clip_box(J.tile_annotations(S.tile_grid(v["v_frames"]).select("frame_id", "x0", "y0"), _annotations(v))).select("gt_id", "frame_id", "x0", "y0", "cx", "cy", "cw", "ch")
+
+
+@register(
+    "S13_write_yolo_labels",
+    CLIP_SQL + ", k AS (SELECT c.*, gt_class FROM c JOIN v_gt AS g ON c.gt_id = g.gt_id WHERE cw > 0 AND ch > 0 AND cw * ch / (bw * bh) >= 0.25 AND gt_class <> 'CRAB_POT') "
+    "SELECT frame_id || '_x' || lpad(x0::VARCHAR, 5, '0') || '_y' || lpad(y0::VARCHAR, 5, '0') AS tile_key, string_agg(printf('%d %.8f %.8f %.8f %.8f', CASE gt_class WHEN 'PIPELINE' THEN 0 ELSE 1 END, (cx + cw / 2) / 512, (cy + ch / 2) / 512, cw / 512, ch / 512), chr(10) ORDER BY gt_id) AS label_text FROM k GROUP BY ALL",
+)
+def s13(v):
+    """Label lines of each tile; a class without an index is skipped."""
+    c = p09(v).join(v["v_gt"].select("gt_id", "gt_class"), "gt_id").withColumn("i", F.when(F.col("gt_class") == "PIPELINE", 0).when(F.col("gt_class") == "SHIPWRECK", 1)).filter("i is not null")
+    line = F.format_string("%d %.8f %.8f %.8f %.8f", "i", (F.col("cx") + F.col("cw") / 2) / 512, (F.col("cy") + F.col("ch") / 2) / 512, F.col("cw") / 512, F.col("ch") / 512)
+    key = F.format_string("%s_x%05d_y%05d", F.col("frame_id").cast("string"), "x0", "y0")
+    rows = c.groupBy(key.alias("tile_key")).agg(F.array_sort(F.collect_list(F.struct("gt_id", line.alias("line")))).alias("lines"))
+    return rows.select("tile_key", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("label_text"))
+
+
+@register("J04_detection_cluster_join", f"SELECT a.detection_id, count(*) AS cluster_size, count(DISTINCT b.tile_id) AS tiles, round(max(b.raw_confidence), 9) AS best FROM v_det AS a JOIN v_det AS b ON a.frame_id = b.frame_id AND a.raw_class = b.raw_class AND {_IOU} >= 0.30 GROUP BY a.detection_id")
+def j04(v):
+    d = v["v_det"].select("detection_id", "frame_id", "raw_class", "tile_id", "raw_confidence", "x1", "y1", "x2", "y2")
+    return J.overlapping_pairs(d, ["frame_id", "raw_class"]).groupBy(F.col("a.detection_id").alias("detection_id")).agg(F.count("*").alias("cluster_size"), F.countDistinct("b.tile_id").alias("tiles"), F.round(F.max("b.raw_confidence"), 9).alias("best"))
+
+
+@register("J06_label_by_truth", f"SELECT a.detection_id, EXISTS (SELECT 1 FROM (SELECT frame_id, gt_class, gx1 AS x1, gy1 AS y1, gx2 AS x2, gy2 AS y2 FROM v_gt) AS b WHERE b.frame_id = a.frame_id AND b.gt_class = a.raw_class AND {_IOU} >= 0.5) AS positive FROM v_det AS a")
+def j06(v):
+    hit = v["v_det"].alias("a").join(v["v_gt"].alias("g"), (F.col("a.frame_id") == F.col("g.frame_id")) & (F.col("raw_class") == F.col("gt_class")) & (boxes.iou(boxes.named("a."), boxes.named("g.", ("gx1", "gy1", "gx2", "gy2"))) >= 0.5), "left_semi").select("detection_id", F.lit(True).alias("p"))
+    return v["v_det"].select("detection_id").join(hit, "detection_id", "left").select("detection_id", F.coalesce("p", F.lit(False)).alias("positive"))
+
+
+@register("J07_novel_patch_antijoin", f"SELECT a.gt_id FROM (SELECT gt_id, frame_id, gx1 AS x1, gy1 AS y1, gx2 AS x2, gy2 AS y2 FROM v_gt WHERE gx1 >= 100) AS a WHERE NOT EXISTS (SELECT 1 FROM v_det AS b WHERE b.frame_id = a.frame_id AND b.tile_id <> 1 AND {_IOU} > 0.3)")
+def j07(v):
+    d = v["v_det"].filter("tile_id <> 1").alias("b")
+    return v["v_gt"].filter("gx1 >= 100").alias("g").join(d, (F.col("g.frame_id") == F.col("b.frame_id")) & (boxes.iou(boxes.named("g.", ("gx1", "gy1", "gx2", "gy2")), boxes.named("b.")) > 0.3), "left_anti").select("gt_id")
+
+
+@register(
+    "J08_nearest_bank_distance",
+    "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) SELECT q.vec_id, round(min(list_distance(q.x, b.x)), 6) AS distance FROM e AS q, e AS b WHERE q.vec_id % 2 = 1 AND b.vec_id % 2 = 0 GROUP BY q.vec_id",
+)
+def j08(v):
+    e = v["embeddings"].select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return J.nearest_distance(e.filter("vec_id % 2 = 1"), e.filter("vec_id % 2 = 0")).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+_HASH = "list_transform(range(0, 5), lambda w: list_sum(list_transform(range(0, 6), lambda i: CASE WHEN embedding[w * 12 + i % 12 + 1] < embedding[w * 12 + i % 12 + 2] THEN 1 << i ELSE 0 END))::BIGINT)"
+
+
+@register(
+    "J09_near_duplicate_join",
+    f"""WITH h AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, {_HASH} AS bands FROM embeddings)
+    SELECT a.vec_id AS a_id, b.vec_id AS b_id, list_sum(list_transform(range(1, 6), lambda i: bit_count(xor(a.bands[i], b.bands[i]))))::BIGINT AS distance FROM h AS a JOIN h AS b ON a.vec_id < b.vec_id AND a.split <> b.split WHERE list_sum(list_transform(range(1, 6), lambda i: bit_count(xor(a.bands[i], b.bands[i])))) <= 4""",
+)
+def j09(v):
+    bit = lambda w, i: F.when(F.col("embedding")[w * 12 + i % 12] < F.col("embedding")[w * 12 + i % 12 + 1], 1 << i).otherwise(0)
+    bands = F.array(*[sum((bit(w, i) for i in range(1, 6)), bit(w, 0)).cast("bigint") for w in range(5)])
+    h = v["embeddings"].select("vec_id", F.when(F.col("vec_id") % 3 == 0, "test").otherwise("train").alias("split"), bands.alias("bands"))
+    return J.near_duplicates(h).select("a_id", "b_id", F.col("distance").cast("bigint").alias("distance"))
+
+
+@register("J10_exact_conflicts", "WITH r AS (SELECT r.frame_id, raster_sha256, f.split FROM v_rasters AS r JOIN v_frames AS f ON r.frame_id = f.frame_id WHERE raster_sha256 IS NOT NULL) SELECT raster_sha256, count(*) AS frames, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM r GROUP BY raster_sha256 HAVING count(DISTINCT split) > 1")
+def j10(v):
+    r = v["v_rasters"].filter("raster_sha256 is not null").join(v["v_frames"].select("frame_id", "split"), "frame_id")
+    return r.groupBy("raster_sha256").agg(F.count("*").alias("frames"), F.array_join(F.array_sort(F.collect_set("split")), ",").alias("splits"), F.countDistinct("split").alias("n")).filter("n > 1").drop("n")
+
+
+PING_FRAMES = "SELECT CAST(floor(vec_id / 100) AS BIGINT) * 4 + j AS frame_id, 40 AS height, vec_id % 100 - 20 * j AS row_idx, vec_id FROM embeddings, (VALUES (0), (1), (2), (3)) AS o(j) WHERE vec_id % 100 >= 20 * j AND vec_id % 100 < 20 * j + 40"
+
+
+@register(
+    "J11_row_shift_pairs",
+    f"""WITH p AS ({PING_FRAMES}), r AS (SELECT frame_id, height, row_idx, md5(e.embedding::VARCHAR) AS digest FROM p JOIN embeddings AS e ON p.vec_id = e.vec_id),
+    m AS (SELECT a.frame_id AS later, b.frame_id AS earlier, a.row_idx - b.row_idx AS k, a.height FROM r AS a JOIN r AS b ON a.digest = b.digest AND a.frame_id <> b.frame_id AND a.row_idx >= b.row_idx),
+    f AS (SELECT later, earlier, k FROM m GROUP BY later, earlier, k, height HAVING count(*) = height - k AND k <= height * 0.5),
+    g AS (SELECT *, count(*) OVER (PARTITION BY least(later, earlier), greatest(later, earlier)) AS n FROM f) SELECT later, earlier, k FROM g WHERE n = 1 AND k >= 1""",
+)
+def j11(v):
+    e = v["embeddings"].select("vec_id", F.md5(F.to_json("embedding").cast("binary")).alias("digest"))
+    p = e.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("row_idx", F.col("vec_id") % 100 - 20 * F.col("j")).filter("row_idx >= 0 and row_idx < 40")
+    return J.row_shift_pairs(p.select((F.floor(F.col("vec_id") / 100) * 4 + F.col("j")).alias("frame_id"), F.lit(40).alias("height"), "row_idx", "digest"))
+
+
+@register("J12_geometry_partition", "WITH g AS (SELECT f.frame_id, width, height, count(*) OVER (PARTITION BY raster_sha256) AS same FROM v_frames AS f JOIN v_rasters AS r ON f.frame_id = r.frame_id WHERE raster_sha256 IS NOT NULL) SELECT width, height, count(*) AS candidates FROM g WHERE same = 1 AND frame_id % 10 <> 0 GROUP BY width, height HAVING count(*) > 1")
+def j12(v):
+    r = v["v_rasters"].filter("raster_sha256 is not null").join(v["v_frames"].select("frame_id", "width", "height"), "frame_id")
+    once = r.groupBy("raster_sha256").agg(F.count("*").alias("same"), F.first("frame_id").alias("frame_id"), F.first("width").alias("width"), F.first("height").alias("height")).filter("same = 1")
+    return once.filter("frame_id % 10 <> 0").groupBy("width", "height").agg(F.count("*").alias("candidates")).filter("candidates > 1")
+
+
+CHANGE = """b AS (SELECT contact_id AS base_id, CASE WHEN hash_mod = 0 THEN true WHEN hash_mod = 1 THEN false END AS covered FROM (SELECT contact_id, CAST(substr(contact_id, 2) AS BIGINT) % 3 AS hash_mod, latest_verdict FROM v_contacts) AS x WHERE coalesce(latest_verdict, '') <> 'REJECTED'),
+nw AS (SELECT concat('n', s_suppkey, '_', s_nationkey) AS new_id, CASE WHEN s_suppkey % 4 <> 0 THEN concat('c', s_suppkey * 3 % 90) END AS matched_id FROM supplier),
+o AS (SELECT *, row_number() OVER (PARTITION BY matched_id ORDER BY new_id) AS rn FROM nw WHERE matched_id IS NOT NULL),
+k AS (SELECT base_id, new_id, CASE WHEN new_id IS NOT NULL THEN 'UNCHANGED' WHEN covered THEN 'NOT_DETECTED' ELSE 'NOT_SURVEYED' END AS status FROM b LEFT JOIN o ON o.matched_id = b.base_id AND o.rn = 1),
+ch AS (SELECT base_id, new_id, status FROM k UNION ALL SELECT NULL, new_id, 'NEW' FROM nw WHERE new_id NOT IN (SELECT new_id FROM k WHERE new_id IS NOT NULL))"""
+
+
+def _change(v):
+    m = F.substring("contact_id", 2, 20).cast("bigint") % 3
+    base = v["v_contacts"].filter(F.coalesce("latest_verdict", F.lit("")) != "REJECTED").select(F.col("contact_id").alias("base_id"), F.when(m == 0, True).when(m == 1, False).alias("covered"))
+    new = v["supplier"].select(F.concat(F.lit("n"), "s_suppkey", F.lit("_"), "s_nationkey").alias("new_id"), F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("c"), F.col("s_suppkey") * 3 % 90)).alias("matched_id"))
+    return J.compare_surveys(base, new)
+
+
+@register("J13_compare_surveys", f"WITH {CHANGE} SELECT * FROM ch")
+def j13(v):
+    return _change(v)
+
+
+@register("A14_change_summary", f"WITH {CHANGE} SELECT s.status, count(ch.status) AS n FROM (VALUES ('NEW'), ('MOVED'), ('UNCHANGED'), ('NOT_DETECTED'), ('NOT_SURVEYED'), ('REMOVED')) AS s(status) LEFT JOIN ch ON ch.status = s.status GROUP BY s.status")
+def a14(v):
+    """Counts of all statuses, zeros among them."""
+    c = _change(v)
+    names = F.array(*map(F.lit, ("NEW", "MOVED", "UNCHANGED", "NOT_DETECTED", "NOT_SURVEYED", "REMOVED")))
+    dim = c.sparkSession.range(1).select(F.explode(names).alias("status"))
+    return dim.join(c.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@register("J16_detection_with_latest_review", "WITH l AS (SELECT contact_id, arg_max(verdict, (created_at, event_id)) AS latest, count(*) AS review_count FROM v_reviews WHERE verdict IS NOT NULL GROUP BY contact_id) SELECT c.contact_id, latest, coalesce(review_count, 0) AS review_count FROM v_contacts AS c LEFT JOIN l ON c.contact_id = l.contact_id")
+def j16(v):
+    last = v["v_reviews"].filter("verdict is not null").groupBy("contact_id").agg(F.max_by("verdict", F.struct("created_at", "event_id")).alias("latest"), F.count("*").alias("review_count"))
+    return v["v_contacts"].select("contact_id").join(last, "contact_id", "left").withColumn("review_count", F.coalesce("review_count", F.lit(0)))
+
+
+@register("J17_memory_queue", "SELECT contact_id, survey_id FROM v_contacts SEMI JOIN (SELECT contact_id FROM v_reviews WHERE verdict = 'REJECTED') AS r USING (contact_id)")
+def j17(v):
+    return v["v_contacts"].join(v["v_reviews"].filter("verdict = 'REJECTED'"), "contact_id", "left_semi").select("contact_id", "survey_id")
+
+
+@register("J24_coverage_antijoin", "SELECT frame_id, 'missing' AS side FROM (SELECT frame_id FROM v_frames EXCEPT SELECT frame_id FROM v_det) AS a UNION ALL SELECT frame_id, 'extra' FROM (SELECT frame_id FROM v_det EXCEPT SELECT frame_id FROM v_frames) AS b")
+def j24(v):
+    return J.key_difference(v["v_frames"], v["v_det"], "frame_id")
+
+
+@register("J25_split_inheritance_check", "WITH t AS (SELECT detection_id, frame_id, CASE WHEN tile_id = 7 THEN 'test' ELSE 'train' END AS tile_split FROM v_det) SELECT detection_id, tile_split, f.split FROM t JOIN v_frames AS f ON t.frame_id = f.frame_id WHERE tile_split <> f.split")
+def j25(v):
+    t = v["v_det"].select("detection_id", "frame_id", F.when(F.col("tile_id") == 7, "test").otherwise("train").alias("tile_split"))
+    return t.join(v["v_frames"].select("frame_id", "split"), "frame_id").filter("tile_split <> split").select("detection_id", "tile_split", "split")
+
+
+@register("J23_nearest_component_distance", "SELECT a.detection_id, round(min(sqrt(greatest(0e0, greatest(a.x1, b.x1) - least(a.x2, b.x2)) ** 2 + greatest(0e0, greatest(a.y1, b.y1) - least(a.y2, b.y2)) ** 2)), 9) AS gap FROM v_det AS a JOIN v_det AS b ON a.frame_id = b.frame_id AND a.detection_id <> b.detection_id GROUP BY a.detection_id")
+def j23(v):
+    a, b = v["v_det"].alias("a"), v["v_det"].alias("b")
+    w, h = boxes.overlap(boxes.named("a."), boxes.named("b."))
+    return a.join(b, F.expr("a.frame_id = b.frame_id and a.detection_id <> b.detection_id")).groupBy(F.col("a.detection_id").alias("detection_id")).agg(F.round(F.min(F.hypot(F.greatest(F.lit(0.0), -w), F.greatest(F.lit(0.0), -h))), 9).alias("gap"))
+
+
+@register("J26_contact_views", "WITH r AS (SELECT frame_id, raw_class, arg_min(detection_id, (-raw_confidence, detection_id)) AS representative, count(*) AS n FROM v_det GROUP BY frame_id, raw_class) SELECT frame_id, raw_class, representative, n FROM r")
+def j26(v):
+    return v["v_det"].groupBy("frame_id", "raw_class").agg(F.min_by("detection_id", F.struct((-F.col("raw_confidence")).alias("c"), "detection_id")).alias("representative"), F.count("*").alias("n"))
+
+
+@register("J27_platform_context", "SELECT survey_ref, count(*) AS fixes, count(DISTINCT provenance) AS provenances, min(frame_id) AS first_frame FROM v_nav WHERE provenance IN ('MEASURED', 'SYNTHETIC_DEMO') AND latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY survey_ref")
+def j27(v):
+    return v["v_nav"].filter("provenance in ('MEASURED', 'SYNTHETIC_DEMO') and latitude is not null and longitude is not null").groupBy("survey_ref").agg(F.count("*").alias("fixes"), F.countDistinct("provenance").alias("provenances"), F.min("frame_id").alias("first_frame"))
+
+
+@register("U01_union_splits", "SELECT frame_id, split FROM v_frames WHERE split = 'val' UNION ALL SELECT frame_id, split FROM v_frames WHERE split = 'test'")
+def u01(v):
+    f = v["v_frames"].select("frame_id", "split")
+    return f.filter("split = 'val'").unionByName(f.filter("split = 'test'"))
+
+
+@register("U03_set_difference_keys", "SELECT survey_id FROM v_frames EXCEPT ALL SELECT survey_id FROM v_contacts")
+def u03(v):
+    return v["v_frames"].select("survey_id").exceptAll(v["v_contacts"].select("survey_id"))
+
+
+@register("U04_dedup_last_wins", "SELECT detection_id, raw_confidence, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY detection_id ORDER BY seen_at DESC, raw_confidence DESC, x1 DESC, y1 DESC, x2 DESC, y2 DESC) AS rn FROM v_det0) AS d WHERE rn = 1")
+def u04(v):
+    """The last record of an id wins; a combinable maximum instead of a sort of all records."""
+    last = F.max(F.struct("seen_at", "raw_confidence", "x1", "y1", "x2", "y2")).alias("r")
+    return v["v_det0"].groupBy("detection_id").agg(last).select("detection_id", "r.raw_confidence", "r.x1", "r.y1", "r.x2", "r.y2")
