@@ -1 +1,182 @@
-"""Queries."""
+"""Queries of ping-row rasters and component operators."""
+
+from pyspark.sql import functions as F
+
+from ..functions.storage import stored
+from ..operators import components as C
+from ..operators import joins as J
+from ..operators import rasters as R
+from .catalog_boxes import IOU_SQL
+from .catalog_joins import PING_FRAMES, j11
+from .registry import register
+
+_R = lambda *names: [F.round(n, 6).alias(n) for n in names]
+
+
+@register(
+    "A23_raster_condition",
+    """WITH b AS (SELECT image_id, quantile_cont(sample::DOUBLE, 0.02) AS p02, quantile_cont(sample::DOUBLE, 0.98) AS p98, greatest(1e0, quantile_cont(sample::DOUBLE, 0.01)) AS dark, min(sample)::DOUBLE AS low, max(sample)::DOUBLE AS high, max(col_idx) + 1 AS width, count(*) AS n FROM v_imgs GROUP BY image_id),
+    p AS (SELECT i.*, b.low, b.high, b.width, b.n, CASE WHEN sample <= dark THEN 1e0 ELSE 0e0 END AS black FROM v_imgs AS i JOIN b ON i.image_id = b.image_id),
+    r AS (SELECT image_id, avg(CASE WHEN m >= 0.92 THEN 1e0 ELSE 0e0 END) AS dropout_fraction, avg(m) AS near_black_fraction FROM (SELECT image_id, row_idx, avg(black) AS m FROM p GROUP BY ALL) AS x GROUP BY image_id),
+    c AS (SELECT image_id, width, count(*) FILTER (WHERE m > 0.5) AS run FROM (SELECT image_id, width, col_idx, avg(black) AS m FROM p GROUP BY ALL) AS x WHERE col_idx >= floor(width / 2) - floor(width / 8) AND col_idx < floor(width / 2) + floor(width / 8) GROUP BY image_id, width),
+    h AS (SELECT image_id, n, least(63, floor((sample - low) * 64 / (high + 1e-6 - low))) AS bin, count(*) AS c FROM p WHERE high > low GROUP BY ALL), e AS (SELECT image_id, -sum(c * 1e0 / n * log2(c * 1e0 / n)) / 6 AS entropy FROM h GROUP BY image_id),
+    o AS (SELECT b.image_id, (p98 - p02) / greatest(1e0, high - low) AS dynamic_range, coalesce(entropy, 0e0) AS entropy, dropout_fraction, near_black_fraction, CASE WHEN run >= greatest(3, floor(b.width / 100)) THEN run * 1e0 / b.width ELSE 0e0 END AS nadir_fraction FROM b JOIN r ON b.image_id = r.image_id JOIN c ON b.image_id = c.image_id LEFT JOIN e ON b.image_id = e.image_id),
+    q AS (SELECT *, greatest(0e0, least(1e0, 0.45e0 * dynamic_range + 0.25e0 * entropy + 0.30e0 * (1 - dropout_fraction - near_black_fraction))) AS s FROM o)
+    SELECT image_id, round(dynamic_range, 6) AS dynamic_range, round(entropy, 6) AS entropy, round(dropout_fraction, 6) AS dropout_fraction, round(near_black_fraction, 6) AS near_black_fraction, round(nadir_fraction, 6) AS nadir_fraction, round(s, 6) AS quality_score, CASE WHEN s >= 0.7 THEN 'GOOD' WHEN s >= 0.45 THEN 'FAIR' ELSE 'POOR' END AS quality_grade FROM q""",
+)
+def a23(v):
+    return R.raster_condition(v["v_imgs"]).select("image_id", *_R("dynamic_range", "entropy", "dropout_fraction", "near_black_fraction", "nadir_fraction", "quality_score"), "quality_grade")
+
+
+@register(
+    "A24_raster_quality",
+    """WITH w AS (SELECT image_id, avg(sample) AS mean, stddev_pop(sample) AS std, avg(CASE WHEN sample <= 1 THEN 1e0 ELSE 0e0 END) AS dropout FROM v_imgs GROUP BY image_id), r AS (SELECT image_id, row_idx, avg(sample) AS m FROM v_imgs GROUP BY ALL),
+    d AS (SELECT image_id, stddev_pop(x) AS sd FROM (SELECT image_id, m - lag(m) OVER (PARTITION BY image_id ORDER BY row_idx) AS x FROM r) AS y GROUP BY image_id)
+    SELECT w.image_id, round(std / (mean + 1e-6), 6) AS speckle_index, round(dropout, 6) AS dropout_fraction, round(sd / (std + 1e-6), 6) AS banding, dropout < 0.35 AND std > 3 AS usable FROM w JOIN d ON w.image_id = d.image_id""",
+)
+def a24(v):
+    return R.raster_quality(v["v_imgs"]).select("image_id", *_R("speckle_index", "dropout_fraction", "banding"), "usable")
+
+
+@register(
+    "A25_nadir_by_profile",
+    """WITH r AS (SELECT image_id, row_idx, median(sample::DOUBLE) AS m FROM v_imgs GROUP BY ALL), s AS (SELECT *, sum(m) OVER (PARTITION BY image_id ORDER BY row_idx ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) / 15 AS s, count(*) OVER (PARTITION BY image_id) AS h FROM r),
+    g AS (SELECT image_id, floor(h * 0.2e0) AS lo, floor(h * 0.8e0) AS hi, arg_min(row_idx, (s, row_idx)) AS pos, min(s) AS least, quantile_cont(s, 0.75) AS q3, quantile_cont(s, 0.25) AS q1, quantile_cont(s, 0.5) AS q2 FROM s WHERE row_idx >= floor(h * 0.2e0) AND row_idx < floor(h * 0.8e0) GROUP BY image_id, h),
+    c AS (SELECT image_id, pos, least(1e0, 0.5e0 * least(greatest(0e0, (q2 - least) / (q3 - q1 + 1e-6)) / 2, 1e0) + 0.5e0 * greatest(0e0, least(pos - lo, hi - 1 - pos) / greatest(1e0, (hi - lo) / 2))) AS conf FROM g)
+    SELECT image_id, round(conf, 6) AS confidence, CASE WHEN conf >= 0.55 THEN pos::DOUBLE END AS nadir_row, CASE WHEN conf >= 0.55 THEN 'RECOVERED' ELSE 'LOW_QUALITY' END AS state FROM c""",
+)
+def a25(v):
+    return R.nadir_by_profile(v["v_imgs"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@register(
+    "A26_nadir_by_column_sum",
+    """WITH s AS (SELECT image_id, col_idx, sum(sample) AS total FROM v_imgs WHERE col_idx BETWEEN greatest(0, ceil(64 / 2 - 0.05e0 * 64)) AND least(63, floor(64 / 2 + 0.05e0 * 64)) GROUP BY ALL), t AS (SELECT *, max(total) OVER (PARTITION BY image_id) AS top FROM s)
+    SELECT image_id, (min(col_idx) + max(col_idx)) / 2e0 AS nadir_col, count(*) AS tied_columns FROM t WHERE total = top GROUP BY image_id""",
+)
+def a26(v):
+    return R.nadir_by_column_sum(v["v_imgs"])
+
+
+@register(
+    "A46_histogram_equalise_lut",
+    """WITH c AS (SELECT image_id, sample, count(*) AS c FROM v_imgs GROUP BY ALL), d AS (SELECT *, sum(c) OVER (PARTITION BY image_id ORDER BY sample) AS cdf, sum(c) OVER (PARTITION BY image_id) AS total FROM c), e AS (SELECT *, min(cdf) OVER (PARTITION BY image_id) AS f FROM d)
+    SELECT image_id, sample, CASE WHEN total = f THEN sample ELSE CAST(round_even(255e0 * (cdf - f) / (total - f), 0) AS INTEGER) END AS level FROM e""",
+)
+def a46(v):
+    return R.equalise_lut(v["v_imgs"])
+
+
+@register("A47_pool_cells", "WITH c AS (SELECT image_id, floor(row_idx / 4)::BIGINT AS cy, floor(col_idx / 4)::BIGINT AS cx, avg(sample) AS m FROM v_imgs GROUP BY ALL) SELECT image_id, cy, cx, round(m / greatest(sqrt(sum(m * m) OVER (PARTITION BY cy, cx)), 1e-12), 9) AS value FROM c")
+def a47(v):
+    return R.pool_cells(v["v_imgs"]).withColumn("value", F.round("value", 9))
+
+
+BOXES = "SELECT detection_id AS box_id, frame_id % 10 AS image_id, CAST(floor(x1 / 8) AS INT) AS x1, CAST(floor(y1 / 2) AS INT) AS y1, CAST(floor(x1 / 8) AS INT) + 6 + tile_id AS x2, CAST(floor(y1 / 2) AS INT) + 4 AS y2 FROM v_det WHERE tile_id <= 2"
+
+
+@register(
+    "A28_hard_return_evidence",
+    f"""WITH b AS (SELECT *, greatest(3, floor(greatest(x2 - x1, y2 - y1) * 0.5e0)) AS pad FROM ({BOXES}) AS z), m AS (SELECT b.*, sample, col_idx >= x1 AND col_idx < x2 AND row_idx >= y1 AND row_idx < y2 AS inside FROM v_imgs AS i JOIN b ON i.image_id = b.image_id AND col_idx >= x1 - pad AND col_idx < x2 + pad AND row_idx >= y1 - pad AND row_idx < y2 + pad),
+    l AS (SELECT box_id, median(sample::DOUBLE) AS bg FROM m GROUP BY box_id), s AS (SELECT m.box_id, greatest(1e0, median(abs(sample - bg)) * 1.4826e0) AS scale FROM m JOIN l ON m.box_id = l.box_id GROUP BY m.box_id),
+    o AS (SELECT m.box_id, bg, x1, x2, y1, y2, (avg(sample) - bg) / scale AS contrast, avg(CASE WHEN sample >= bg + scale THEN 1e0 ELSE 0e0 END) AS bright, avg(CASE WHEN sample <= bg - scale THEN 1e0 ELSE 0e0 END) AS dark FROM m JOIN l ON m.box_id = l.box_id JOIN s ON m.box_id = s.box_id WHERE inside GROUP BY m.box_id, bg, scale, x1, x2, y1, y2),
+    h AS (SELECT *, greatest(0e0, least(1e0, (bright - 0.08e0) / 0.45e0)) AS hard, greatest(x2 - x1, y2 - y1) * 1e0 / greatest(1, least(x2 - x1, y2 - y1)) AS long FROM o)
+    SELECT box_id, bg, round(contrast, 6) AS contrast, round(bright, 6) AS bright, round(dark, 6) AS dark, round(hard, 6) AS hard, CASE WHEN hard >= 0.55 AND long >= 3 THEN 'SUPPORTED' WHEN hard > 0.10 THEN 'WEAK_SUPPORT' WHEN dark >= 0.70 AND bright <= 0.08 THEN 'ACOUSTICALLY_INCONSISTENT' ELSE 'INSUFFICIENT_EVIDENCE' END AS status FROM h""",
+)
+def a28(v):
+    b = v["v_det"].sparkSession.sql(BOXES.replace("FROM v_det", "FROM {d}"), d=v["v_det"])
+    return R.hard_return(v["v_imgs"], b).select("box_id", "bg", *_R("contrast", "bright", "dark", "hard"), "status")
+
+
+@register("G12_mask_to_box", "SELECT image_id, min(col_idx) FILTER (WHERE sample >= 215) AS x, min(row_idx) FILTER (WHERE sample >= 215) AS y, max(col_idx) FILTER (WHERE sample >= 215) - min(col_idx) FILTER (WHERE sample >= 215) + 1 AS w, max(row_idx) FILTER (WHERE sample >= 215) - min(row_idx) FILTER (WHERE sample >= 215) + 1 AS h FROM v_imgs GROUP BY image_id")
+def g12(v):
+    on = lambda c: F.when(F.col("sample") >= 215, F.col(c))
+    return v["v_imgs"].groupBy("image_id").agg(F.min(on("col_idx")).alias("x"), F.min(on("row_idx")).alias("y"), (F.max(on("col_idx")) - F.min(on("col_idx")) + 1).alias("w"), (F.max(on("row_idx")) - F.min(on("row_idx")) + 1).alias("h"))
+
+
+@register(
+    "G11_mask_components",
+    """WITH o AS (SELECT image_id, row_idx, col_idx, col_idx - row_number() OVER (PARTITION BY image_id, row_idx ORDER BY col_idx) AS g FROM v_imgs WHERE sample >= 165), r AS (SELECT image_id, row_idx, min(col_idx) AS x1, max(col_idx) AS x2, image_id * 1000000000 + row_idx * 10000 + min(col_idx) AS node FROM o GROUP BY image_id, row_idx, g),
+    t AS (SELECT a.node AS a, b.node AS b FROM r AS a JOIN r AS b ON a.image_id = b.image_id AND abs(a.row_idx - b.row_idx) = 1 AND a.x1 <= b.x2 + 1 AND b.x1 <= a.x2 + 1), c AS (SELECT node AS a, node AS b FROM r UNION SELECT c.a, t.b FROM c JOIN t ON c.b = t.a), l AS (SELECT a AS node, min(b) AS label FROM c GROUP BY a)
+    SELECT image_id, label, min(x1) AS x, min(row_idx) AS y, max(x2) - min(x1) + 1 AS w, max(row_idx) - min(row_idx) + 1 AS h, sum(x2 - x1 + 1) AS area, round(sum(x2 - x1 + 1) * 1e0 / ((max(x2) - min(x1) + 1) * (max(row_idx) - min(row_idx) + 1)), 9) AS fill FROM r JOIN l ON r.node = l.node GROUP BY image_id, label""",
+    recursive=True,
+)
+def g11(v):
+    return C.mask_components(v["v_imgs"], 165)
+
+
+@register(
+    "G02_coherent_cluster",
+    f"""WITH p AS (SELECT detection_id, frame_id, tile_id, raw_confidence, x1, y1, x2, y2 FROM v_det WHERE raw_class = 'SHIPWRECK' AND raw_confidence < 0.5), e AS (SELECT a.detection_id AS a, b.detection_id AS b FROM p AS a JOIN p AS b ON a.frame_id = b.frame_id AND {IOU_SQL.format(a='a.', b='b.')} >= 0.15),
+    c AS (SELECT a, b FROM e WHERE a = b UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a), l AS (SELECT a AS detection_id, min(b) AS label FROM c GROUP BY a),
+    g AS (SELECT frame_id, label, count(*) AS n, max(raw_confidence) AS best, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(DISTINCT tile_id) AS tiles FROM p JOIN l ON p.detection_id = l.detection_id GROUP BY frame_id, label HAVING count(*) >= 3),
+    t AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY n DESC, best DESC, label) AS k FROM g) SELECT frame_id, label, n, best, x1, y1, x2, y2, tiles FROM t WHERE k = 1""",
+    recursive=True,
+)
+def g02(v):
+    from pyspark.sql import Window as W
+
+    p = v["v_det"].filter("raw_class = 'SHIPWRECK' and raw_confidence < 0.5").select("detection_id", "frame_id", "tile_id", "raw_confidence", "x1", "y1", "x2", "y2")
+    pairs = J.overlapping_pairs(p, ["frame_id"], least=0.15).filter("a.detection_id <> b.detection_id").select(F.col("a.detection_id").alias("a"), F.col("b.detection_id").alias("b"))
+    label = C.components(pairs).select(F.col("node").alias("detection_id"), F.col("component").alias("label"))
+    g = p.join(label, "detection_id").groupBy("frame_id", "label").agg(F.count("*").alias("n"), F.max("raw_confidence").alias("best"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.countDistinct("tile_id").alias("tiles")).filter("n >= 3")
+    w = W.partitionBy("frame_id").orderBy(F.col("n").desc(), F.col("best").desc(), "label")
+    return g.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+
+
+SHIFTS = f"""p AS ({PING_FRAMES}), rr AS (SELECT frame_id, height, row_idx, md5(e.embedding::VARCHAR) AS digest FROM p JOIN embeddings AS e ON p.vec_id = e.vec_id),
+mm AS (SELECT a.frame_id AS later, b.frame_id AS earlier, a.row_idx - b.row_idx AS k, a.height FROM rr AS a JOIN rr AS b ON a.digest = b.digest AND a.frame_id <> b.frame_id AND a.row_idx >= b.row_idx),
+ff AS (SELECT later, earlier, k FROM mm GROUP BY later, earlier, k, height HAVING count(*) = height - k AND k <= height * 0.5), ee AS (SELECT later, earlier, k FROM (SELECT *, count(*) OVER (PARTITION BY least(later, earlier), greatest(later, earlier)) AS n FROM ff) AS x WHERE n = 1 AND k >= 1),
+bb AS (SELECT later AS a, earlier AS b, k FROM ee UNION ALL SELECT earlier, later, -k FROM ee), cc AS (SELECT DISTINCT a AS root, a AS node, 0::BIGINT AS off FROM bb UNION SELECT cc.root, bb.b, cc.off + bb.k FROM cc JOIN bb ON cc.node = bb.a),
+gg AS (SELECT node, min(root) AS component FROM cc GROUP BY node), at_ AS (SELECT cc.node, component, off FROM cc JOIN gg ON cc.node = gg.node AND cc.root = gg.component), oo AS (SELECT node, component, off - min(off) OVER (PARTITION BY component) AS ping_offset FROM at_)"""
+
+
+@register("G06_components_with_offsets", f"WITH {SHIFTS} SELECT node, component, ping_offset FROM oo", recursive=True)
+def g06(v):
+    return v.once("offsets", lambda: stored(C.components_with_offsets(stored(j11(v)))))
+
+
+@register(
+    "G08_form_surveys",
+    f"WITH {SHIFTS}, fr AS (SELECT DISTINCT frame_id FROM p) SELECT f.frame_id, CASE WHEN f.frame_id % 4 = 3 AND f.frame_id % 8 = 3 THEN 'declared.' || (f.frame_id - 3) WHEN component IS NOT NULL THEN 'verified.' || component ELSE 'singleton.' || f.frame_id END AS survey_ref, CASE WHEN f.frame_id % 8 = 3 THEN 'DECLARED' WHEN component IS NOT NULL THEN 'VERIFIED' ELSE 'SINGLETON' END AS membership FROM fr AS f LEFT JOIN oo ON f.frame_id = oo.node",
+    recursive=True,
+)
+def g08(v):
+    """Declared groups first, then verified ones, else a survey of its own."""
+    frames = v["embeddings"].select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"), "vec_id").filter("vec_id % 100 - 20 * j >= 0 and vec_id % 100 - 20 * j < 40").select((F.floor(F.col("vec_id") / 100) * 4 + F.col("j")).alias("frame_id")).distinct()
+    o = g06(v).select(F.col("node").alias("frame_id"), "component")
+    declared = F.col("frame_id") % 8 == 3
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    ref = F.when(declared, text("declared.", F.col("frame_id") - 3)).when(F.col("component").isNotNull(), text("verified.", F.col("component"))).otherwise(text("singleton.", F.col("frame_id")))
+    return frames.join(o, "frame_id", "left").select("frame_id", ref.alias("survey_ref"), F.when(declared, "DECLARED").when(F.col("component").isNotNull(), "VERIFIED").otherwise("SINGLETON").alias("membership"))
+
+
+@register("J02_ping_relationships", f"WITH {SHIFTS}, fr AS (SELECT DISTINCT frame_id FROM p) SELECT f.frame_id, ping_offset AS survey_ping_start, ping_offset + 40 - 1 AS survey_ping_end, ping_offset IS NOT NULL AS sequential_supported FROM fr AS f LEFT JOIN oo ON f.frame_id = oo.node AND f.frame_id % 8 <> 3", recursive=True)
+def j02(v):
+    s = g08(v).filter("membership = 'VERIFIED'").select("frame_id", F.lit(True).alias("verified"))
+    o = g06(v).select(F.col("node").alias("frame_id"), "ping_offset")
+    out = g08(v).select("frame_id").join(s.join(o, "frame_id"), "frame_id", "left")
+    return out.select("frame_id", F.col("ping_offset").alias("survey_ping_start"), (F.col("ping_offset") + 40 - 1).alias("survey_ping_end"), F.col("verified").isNotNull().alias("sequential_supported"))
+
+
+@register("U02_shared_ping_rows", f"WITH p AS ({PING_FRAMES}), r AS (SELECT frame_id, md5(e.embedding::VARCHAR) AS digest FROM p JOIN embeddings AS e ON p.vec_id = e.vec_id) SELECT a.frame_id AS a_id, b.frame_id AS b_id, count(DISTINCT a.digest) AS shared FROM r AS a JOIN r AS b ON a.digest = b.digest AND a.frame_id < b.frame_id GROUP BY a.frame_id, b.frame_id")
+def u02(v):
+    e = v["embeddings"].select("vec_id", F.md5(F.to_json("embedding").cast("binary")).alias("digest"))
+    r = e.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter("vec_id % 100 - 20 * j >= 0 and vec_id % 100 - 20 * j < 40").select((F.floor(F.col("vec_id") / 100) * 4 + F.col("j")).alias("frame_id"), "digest")
+    return r.alias("a").join(r.alias("b"), F.expr("a.digest = b.digest and a.frame_id < b.frame_id")).groupBy(F.col("a.frame_id").alias("a_id"), F.col("b.frame_id").alias("b_id")).agg(F.countDistinct("a.digest").alias("shared"))
+
+
+@register("P22_candidate_condition_overlap", f"WITH b AS ({BOXES}), d AS (SELECT image_id, row_idx FROM v_imgs GROUP BY image_id, row_idx HAVING avg(sample) < 127) SELECT box_id, round(count(row_idx) * 1e0 / greatest(1, max(y2 - y1)), 9) AS dropout_overlap FROM b LEFT JOIN d ON b.image_id = d.image_id AND row_idx >= y1 AND row_idx < y2 GROUP BY box_id")
+def p22(v):
+    b = v["v_det"].sparkSession.sql(BOXES.replace("FROM v_det", "FROM {d}"), d=v["v_det"])
+    d = v["v_imgs"].groupBy("image_id", "row_idx").agg(F.avg("sample").alias("m")).filter("m < 127").select("image_id", "row_idx")
+    met = b.join(d, (b["image_id"] == d["image_id"]) & (F.col("row_idx") >= F.col("y1")) & (F.col("row_idx") < F.col("y2")), "left")
+    return met.groupBy("box_id").agg(F.round(F.count("row_idx") / F.greatest(F.lit(1), F.max(F.expr("y2 - y1"))), 9).alias("dropout_overlap"))
+
+
+@register("P23_cell_valid_fraction", "WITH g AS (SELECT frame_id, width, height, cx, cy FROM v_frames, range(0, 4) AS a(cx), range(0, 4) AS b(cy)) SELECT frame_id, cx, cy, round(greatest(0e0, least(cx * 1300e0 + 1300, width) - cx * 1300e0) / 1300 * greatest(0e0, least(cy * 150e0 + 150, height) - cy * 150e0) / 150, 9) AS valid FROM g")
+def p23(v):
+    """Share of each cell of a 4 x 4 grid (1300 x 150 px cells) that lies inside the frame."""
+    f = v["v_frames"].withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    axis = lambda c, size, limit: F.greatest(F.lit(0.0), F.least(F.col(c) * float(size) + size, F.col(limit)) - F.col(c) * float(size)) / size
+    return f.select("frame_id", "cx", "cy", F.round(axis("cx", 1300, "width") * axis("cy", 150, "height"), 9).alias("valid"))

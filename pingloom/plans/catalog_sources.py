@@ -1 +1,247 @@
-"""Queries."""
+"""Queries of sources, sinks, contract rules and report shapes."""
+
+from pyspark.sql import functions as F
+
+from ..sources import navigation as N
+from .registry import register
+
+NAV_TEXT = """SELECT event_id + 2 AS row, CASE WHEN event_id % 101 = 0 THEN ' ' ELSE concat('f', event_id) END AS frame, CASE WHEN event_id % 97 = 0 THEN 'not a time' ELSE '2024-01-02T03:04:05Z' END AS timestamp_utc,
+CASE WHEN event_id % 89 = 0 THEN '91.5' WHEN event_id % 83 = 0 THEN 'x' WHEN event_id % 79 = 0 THEN NULL ELSE CAST(event_id % 90 AS VARCHAR(9)) END AS latitude, CASE WHEN event_id % 73 = 0 THEN '-180.5' ELSE CAST(event_id % 180 AS VARCHAR(9)) END AS longitude,
+CASE WHEN event_id % 71 = 0 THEN 'north' WHEN event_id % 3 = 0 THEN NULL ELSE '12.5' END AS heading_deg, CASE WHEN event_id % 67 = 0 THEN '' ELSE '1.5' END AS speed_mps, CASE WHEN event_id % 61 = 0 THEN '1.5' WHEN event_id % 2 = 0 THEN NULL ELSE '40' END AS ping_start FROM events"""
+
+
+@register(
+    "S03_scan_navigation_csv",
+    f"""WITH t AS ({NAV_TEXT}), p AS (SELECT row, CASE WHEN trim(coalesce(frame, '')) = '' THEN 'frame:missing' WHEN timestamp_utc IS NULL THEN 'timestamp_utc:missing' WHEN TRY_CAST(timestamp_utc AS TIMESTAMPTZ) IS NULL THEN 'timestamp_utc:invalid'
+    WHEN trim(coalesce(latitude, '')) = '' THEN 'latitude:missing' WHEN TRY_CAST(latitude AS DOUBLE) IS NULL OR TRY_CAST(latitude AS DOUBLE) NOT BETWEEN -90 AND 90 THEN 'latitude:invalid'
+    WHEN trim(coalesce(longitude, '')) = '' THEN 'longitude:missing' WHEN TRY_CAST(longitude AS DOUBLE) IS NULL OR TRY_CAST(longitude AS DOUBLE) NOT BETWEEN -180 AND 180 THEN 'longitude:invalid'
+    WHEN trim(coalesce(heading_deg, '')) <> '' AND TRY_CAST(heading_deg AS DOUBLE) IS NULL THEN 'heading_deg:invalid' WHEN trim(coalesce(speed_mps, '')) <> '' AND TRY_CAST(speed_mps AS DOUBLE) IS NULL THEN 'speed_mps:invalid'
+    WHEN ping_start IS NOT NULL AND NOT regexp_full_match(ping_start, '[0-9]+') THEN 'ping_start:invalid' END AS p FROM t)
+    SELECT row, split_part(p, ':', 1) AS field, split_part(p, ':', 2) AS problem FROM p WHERE p IS NOT NULL""",
+)
+def s03(v):
+    """Rows of the events table as navigation text, bad cases among them, judged by the rules of the CSV source."""
+    e = v["events"]
+    return N.first_problems(e.sparkSession.sql(NAV_TEXT.replace("FROM events", "FROM {e}"), e=e))
+
+
+MISSIONS = """SELECT concat('{"mission_id": "m', user_id, '", "survey_name": "', event_type, '", "sequential": ', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, ', "mode": "', CASE WHEN event_id % 3 = 0 THEN 'SEQUENTIAL_PING' ELSE 'GRAB' END, '", "evidence": ', CASE WHEN event_id % 5 = 0 THEN 'true' ELSE 'false' END,
+', "provenance": "', CASE event_id % 4 WHEN 0 THEN 'measured' WHEN 1 THEN 'SYNTHETIC_DEMO' WHEN 2 THEN 'DERIVED_FROM_SOURCE' ELSE 'guess' END, '"}') AS value FROM events"""
+
+
+@register(
+    "S04_scan_mission_json",
+    """WITH m AS (SELECT concat('m', user_id) AS mission_id, event_type AS survey_name, event_id % 2 = 0 OR (event_id % 3 = 0 AND event_id % 5 = 0) AS seq, CASE event_id % 4 WHEN 0 THEN 'MEASURED' WHEN 1 THEN 'SYNTHETIC_DEMO' END AS provenance, CASE event_id % 4 WHEN 2 THEN 'SYSTEM_ONLY_PROVENANCE' WHEN 3 THEN 'UNKNOWN_PROVENANCE' END AS problem FROM events)
+    SELECT mission_id, survey_name, seq AS sequential_supported, provenance, problem, count(*) AS n FROM m GROUP BY ALL""",
+)
+def s04(v):
+    e = v["events"]
+    m = N.parse_missions(e.sparkSession.sql(MISSIONS.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {e}"), e=e))
+    return m.groupBy(*m.columns).agg(F.count("*").alias("n"))
+
+
+@register(
+    "S05_resolve_provenance",
+    """WITH m AS (SELECT concat('s', c_nationkey) AS survey_id, max(CASE c_custkey % 4 WHEN 0 THEN 'SYNTHETIC' WHEN 1 THEN 'MEASURED' END) AS mission FROM customer GROUP BY c_nationkey), b AS (SELECT concat('s', s_nationkey) AS survey_id, min(CASE s_suppkey % 3 WHEN 0 THEN 'DEMO' WHEN 1 THEN 'MEASURED' END) AS bundle FROM supplier GROUP BY s_nationkey),
+    n AS (SELECT coalesce(m.survey_id, b.survey_id) AS survey_id, CASE WHEN mission IN ('SYNTHETIC', 'DEMO') THEN 'SYNTHETIC_DEMO' ELSE mission END AS mission, CASE WHEN bundle IN ('SYNTHETIC', 'DEMO') THEN 'SYNTHETIC_DEMO' ELSE bundle END AS bundle FROM m FULL JOIN b ON m.survey_id = b.survey_id)
+    SELECT survey_id, CASE WHEN mission <> bundle THEN NULL ELSE coalesce(mission, bundle) END AS provenance, coalesce(mission <> bundle, false) AS contradiction FROM n""",
+)
+def s05(v):
+    m = v["customer"].groupBy(F.concat(F.lit("s"), "c_nationkey").alias("survey_id")).agg(F.max(F.when(F.col("c_custkey") % 4 == 0, "SYNTHETIC").when(F.col("c_custkey") % 4 == 1, "MEASURED")).alias("mission"))
+    b = v["supplier"].groupBy(F.concat(F.lit("s"), "s_nationkey").alias("survey_id")).agg(F.min(F.when(F.col("s_suppkey") % 3 == 0, "DEMO").when(F.col("s_suppkey") % 3 == 1, "MEASURED")).alias("bundle"))
+    same = lambda c: F.when(F.col(c).isin("SYNTHETIC", "DEMO"), "SYNTHETIC_DEMO").otherwise(F.col(c))
+    n = m.join(b, "survey_id", "full").withColumns({"mission": same("mission"), "bundle": same("bundle")})
+    clash = F.coalesce(F.col("mission") != F.col("bundle"), F.lit(False))
+    return n.select("survey_id", F.when(~clash, F.coalesce("mission", "bundle")).alias("provenance"), clash.alias("contradiction"))
+
+
+@register(
+    "S06_validate_declared_surveys",
+    """WITH d AS (SELECT concat('g', o_custkey) AS grp, CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey - 1 ELSE o_orderkey END AS frame_id FROM orders), j AS (SELECT d.grp, d.frame_id, f.width, f.height FROM d LEFT JOIN v_frames AS f ON d.frame_id = f.frame_id)
+    SELECT 'frame_in_two_groups' AS rule, frame_id::VARCHAR AS subject FROM d GROUP BY frame_id HAVING count(DISTINCT grp) > 1 UNION ALL SELECT 'unknown_frame', frame_id::VARCHAR FROM j WHERE width IS NULL UNION ALL SELECT 'mixed_geometry', grp FROM j GROUP BY grp HAVING count(DISTINCT width || 'x' || height) > 1""",
+)
+def s06(v):
+    d = v["orders"].select(F.concat(F.lit("g"), "o_custkey").alias("grp"), F.when(F.col("o_orderkey") % 50 == 0, F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey")).alias("frame_id"))
+    j = d.join(v["v_frames"].select("frame_id", "width", "height"), "frame_id", "left")
+    row = lambda rule, c: (F.lit(rule).alias("rule"), F.col(c).cast("string").alias("subject"))
+    two = d.groupBy("frame_id").agg(F.countDistinct("grp").alias("n")).filter("n > 1").select(*row("frame_in_two_groups", "frame_id"))
+    unknown = j.filter("width is null").select(*row("unknown_frame", "frame_id"))
+    mixed = j.groupBy("grp").agg(F.countDistinct(F.concat_ws("x", "width", "height")).alias("n")).filter("n > 1").select(*row("mixed_geometry", "grp"))
+    return two.unionByName(unknown).unionByName(mixed)
+
+
+@register("S09_scan_yolo_labels", "SELECT detection_id AS name, tile_id - 1 AS cls, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2 FROM v_det WHERE tile_id <> 7")
+def s09(v):
+    """Boxes written as label lines and read back; lines cut short are skipped."""
+    n = lambda e: F.format_string("%.10f", e)
+    line = F.concat_ws(" ", (F.col("tile_id") - 1).cast("string"), n((F.col("x1") + F.col("x2")) / 2 / 640), n((F.col("y1") + F.col("y2")) / 2 / 120), n((F.col("x2") - F.col("x1")) / 640), n((F.col("y2") - F.col("y1")) / 120))
+    lines = v["v_det"].select(F.col("detection_id").alias("name"), F.when(F.col("tile_id") == 7, "6 0.5 0.5").otherwise(line).alias("line"))
+    return N.yolo_boxes(lines, 640, 120).select("name", "cls", *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@register("S10_scan_parallel_array_objects", "SELECT frame_id, raw_class AS category, x1, x2 FROM v_det")
+def s10(v):
+    """Boxes and classes kept as two arrays of a frame, zipped back; arrays of different length fail."""
+    d = v["v_det"].groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("detection_id", "raw_class", "x1", "x2"))).alias("a"))
+    d = d.select("frame_id", F.transform("a", lambda x: F.struct(x["x1"].alias("x1"), x["x2"].alias("x2"))).alias("bbox"), F.transform("a", lambda x: x["raw_class"]).alias("category"))
+    ok = F.when(F.size("bbox") == F.size("category"), F.arrays_zip("bbox", "category")).otherwise(F.raise_error(F.lit("arrays of different length")).cast("array<struct<bbox:struct<x1:double,x2:double>,category:string>>"))
+    return d.select("frame_id", F.explode(ok).alias("o")).select("frame_id", "o.category", "o.bbox.x1", "o.bbox.x2")
+
+
+@register("S11_normalise_estimated_state", "SELECT event_id, coalesce(nullif(CASE WHEN event_id % 2 = 0 THEN CAST(value AS VARCHAR) ELSE '' END, ''), NULL) IS NOT NULL AS has_lat, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 1.5 END AS speed FROM events")
+def s11(v):
+    """Varying headers brought to one name; an empty text is null."""
+    raw = v["events"].select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("value").cast("string")).otherwise("").alias("Lat"), F.when(F.col("event_id") % 3 != 0, "1.5").otherwise("").alias("SPEED_MPS"))
+    raw = raw.toDF(*[c.lower() for c in raw.columns])
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return raw.select("event_id", full("lat").isNotNull().alias("has_lat"), full("speed_mps").cast("double").alias("speed"))
+
+
+@register("S14_report_csv", "SELECT f.survey_id, string_agg(DISTINCT raw_class, '|' ORDER BY raw_class) AS classes, count(*) AS observations, round(max(raw_confidence), 6) AS best FROM v_det AS d JOIN v_frames AS f ON d.frame_id = f.frame_id GROUP BY f.survey_id")
+def s14(v):
+    return v["v_det"].join(v["v_frames"].select("frame_id", "survey_id"), "frame_id").groupBy("survey_id").agg(F.array_join(F.array_sort(F.collect_set("raw_class")), "|").alias("classes"), F.count("*").alias("observations"), F.round(F.max("raw_confidence"), 6).alias("best"))
+
+
+@register("J15_survey_columns_join", "SELECT detection_id, CASE WHEN count(DISTINCT n.survey_ref) > 0 THEN string_agg(DISTINCT n.survey_ref, '|' ORDER BY n.survey_ref) END AS surveys FROM v_det AS d LEFT JOIN v_nav AS n ON n.frame_id IN (d.frame_id, d.frame_id + 1) GROUP BY detection_id")
+def j15(v):
+    d = v["v_det"].select("detection_id", F.explode(F.array("frame_id", F.col("frame_id") + 1)).alias("frame_id"))
+    out = d.join(v["v_nav"].select("frame_id", "survey_ref"), "frame_id", "left").groupBy("detection_id").agg(F.array_sort(F.collect_set("survey_ref")).alias("s"))
+    return out.select("detection_id", F.when(F.size("s") > 0, F.array_join("s", "|")).alias("surveys"))
+
+
+@register("S16_legacy_report_rows", "SELECT d.detection_id, d.raw_class, round(d.raw_confidence, 6) AS confidence, d.x1, d.y1, d.x2, d.y2, f.survey_id, n.latitude IS NOT NULL AS positioned FROM v_det AS d LEFT JOIN v_frames AS f ON d.frame_id = f.frame_id LEFT JOIN v_nav AS n ON d.frame_id = n.frame_id")
+def s16(v):
+    n = v["v_nav"].select("frame_id", "latitude")
+    return v["v_det"].join(v["v_frames"].select("frame_id", "survey_id"), "frame_id", "left").join(n, "frame_id", "left").select("detection_id", "raw_class", F.round("raw_confidence", 6).alias("confidence"), "x1", "y1", "x2", "y2", "survey_id", F.col("latitude").isNotNull().alias("positioned"))
+
+
+@register("S17_map_geojson", "SELECT survey_ref, count(*) AS features, count(DISTINCT provenance) AS kinds, round(min(longitude), 6) AS west FROM v_nav WHERE provenance IS NOT NULL AND heading_deg IS NOT NULL GROUP BY survey_ref")
+def s17(v):
+    """Point features of usable fixes as GeoJSON text, one collection for each survey, and what it holds."""
+    f = v["v_nav"].filter("provenance in ('MEASURED', 'SYNTHETIC_DEMO') and heading_deg is not null and latitude is not null")
+    point = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")).alias("geometry"), F.struct("frame_id", "provenance").alias("properties"))
+    g = f.groupBy("survey_ref").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(point).alias("features"))).alias("geojson"))
+    back = g.select("survey_ref", F.from_json("geojson", "features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<provenance:string>>>").alias("j"))
+    return back.select("survey_ref", F.size("j.features").cast("bigint").alias("features"), F.size(F.array_distinct(F.transform("j.features", lambda x: x["properties"]["provenance"]))).cast("bigint").alias("kinds"), F.round(F.array_min(F.transform("j.features", lambda x: x["geometry"]["coordinates"][0])), 6).alias("west"))
+
+
+@register("S18_export_training_manifests", "WITH l AS (SELECT contact_id, arg_max(verdict, (created_at, event_id)) AS verdict FROM v_reviews WHERE verdict IS NOT NULL GROUP BY contact_id) SELECT CASE verdict WHEN 'REJECTED' THEN 'hard_negative' WHEN 'CONFIRMED' THEN 'positive' ELSE 'uncertain' END AS bucket, l.contact_id, c.category FROM l LEFT JOIN v_contacts AS c ON l.contact_id = c.contact_id")
+def s18(v):
+    last = v["v_reviews"].filter("verdict is not null").groupBy("contact_id").agg(F.max_by("verdict", F.struct("created_at", "event_id")).alias("verdict"))
+    bucket = F.when(F.col("verdict") == "REJECTED", "hard_negative").when(F.col("verdict") == "CONFIRMED", "positive").otherwise("uncertain")
+    return last.join(v["v_contacts"].select("contact_id", "category"), "contact_id", "left").select(bucket.alias("bucket"), "contact_id", "category")
+
+
+@register("S20_scan_embedding_bank", "SELECT label, count(*) AS vectors, min(len(embedding)) AS least_dim, max(len(embedding)) AS most_dim, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong FROM embeddings GROUP BY label")
+def s20(v):
+    n = F.size("embedding").cast("bigint")
+    return v["embeddings"].groupBy("label").agg(F.count("*").alias("vectors"), F.min(n).alias("least_dim"), F.max(n).alias("most_dim"), F.count_if(n != 64).alias("wrong"))
+
+
+@register("S21_mission_report_snapshot", "SELECT survey_id, bool_or(latest_verdict IS NULL) AS refused, count(*) AS contacts, string_agg(contact_id, ',' ORDER BY contact_id) FILTER (WHERE evidence >= 0.9) AS strong FROM v_contacts GROUP BY survey_id")
+def s21(v):
+    strong = F.array_sort(F.collect_list(F.when(F.col("evidence") >= 0.9, F.col("contact_id"))))
+    return v["v_contacts"].groupBy("survey_id").agg(F.bool_or(F.col("latest_verdict").isNull()).alias("refused"), F.count("*").alias("contacts"), strong.alias("s")).select("survey_id", "refused", "contacts", F.when(F.size("s") > 0, F.array_join("s", ",")).alias("strong"))
+
+
+@register(
+    "P17_contract_rules",
+    """SELECT 'unavailable_physics_has_strength' AS rule, contact_id FROM v_contacts WHERE verification = 'INSUFFICIENT_EVIDENCE' AND strength > 0.9 UNION ALL SELECT 'coordinates_need_navigation', contact_id FROM v_contacts WHERE NOT has_navigation AND area_m2 > 480
+    UNION ALL SELECT 'removed_needs_coverage', contact_id FROM v_contacts WHERE change_status IS NULL AND latest_verdict = 'REJECTED' UNION ALL SELECT 'score_out_of_range', contact_id FROM v_contacts WHERE area_m2 < 0""",
+)
+def p17(v):
+    """Each rule is a predicate of its violations; the table holds a row for each."""
+    rules = {"unavailable_physics_has_strength": "verification = 'INSUFFICIENT_EVIDENCE' and strength > 0.9", "coordinates_need_navigation": "not has_navigation and area_m2 > 480", "removed_needs_coverage": "change_status is null and latest_verdict = 'REJECTED'", "score_out_of_range": "area_m2 < 0"}
+    hit = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(r)) for r, c in rules.items()]))
+    return v["v_contacts"].select(F.explode(hit).alias("rule"), "contact_id")  # one scan for all rules
+
+
+@register("P30_comparison_gates", "SELECT survey_id, count(*) FILTER (WHERE has_navigation) = 0 AS no_navigation, count(*) FILTER (WHERE area_m2 IS NULL) > 0 AS no_scale, count(*) < 30 AS few FROM v_contacts GROUP BY survey_id")
+def p30(v):
+    return v["v_contacts"].groupBy("survey_id").agg((F.count_if("has_navigation") == 0).alias("no_navigation"), (F.count_if(F.col("area_m2").isNull()) > 0).alias("no_scale"), (F.count("*") < 30).alias("few"))
+
+
+@register("P33_ablation_rows", "SELECT s AS stack, d.split, count(*) AS frames FROM (SELECT DISTINCT split FROM v_frames) AS d JOIN v_frames AS f ON f.split = d.split, (VALUES ('detector'), ('persistence'), ('physics'), ('fusion')) AS x(s) GROUP BY s, d.split")
+def p33(v):
+    g = v["v_frames"].groupBy("split").agg(F.count("*").alias("frames"))
+    return g.select(F.explode(F.array(*map(F.lit, ("detector", "persistence", "physics", "fusion")))).alias("stack"), "split", "frames")
+
+
+@register("A38_ui_counters", "SELECT survey_id, count(*) FILTER (WHERE has_navigation) AS positioned, count(*) FILTER (WHERE evidence >= 0.75) AS high, count(*) FILTER (WHERE latest_verdict = 'CONFIRMED') AS confirmed, count(*) FILTER (WHERE latest_verdict IS NULL OR latest_verdict = 'UNCERTAIN') AS awaiting FROM v_contacts GROUP BY survey_id")
+def a38(v):
+    c = F.col
+    return v["v_contacts"].groupBy("survey_id").agg(F.count_if("has_navigation").alias("positioned"), F.count_if(c("evidence") >= 0.75).alias("high"), F.count_if(c("latest_verdict") == "CONFIRMED").alias("confirmed"), F.count_if(c("latest_verdict").isNull() | (c("latest_verdict") == "UNCERTAIN")).alias("awaiting"))
+
+
+@register("A42_leakage_guards", "SELECT group_key, count(DISTINCT split) AS splits, count(*) AS frames FROM v_frames GROUP BY group_key HAVING count(DISTINCT split) > 1")
+def a42(v):
+    return v["v_frames"].groupBy("group_key").agg(F.countDistinct("split").alias("splits"), F.count("*").alias("frames")).filter("splits > 1")
+
+
+@register("A43_snapshot_qa", "SELECT f.dataset, f.split, count(*) AS frames, count(*) FILTER (WHERE d.n IS NULL) AS empty_frames, coalesce(sum(d.out_of_bounds), 0)::BIGINT AS out_of_bounds FROM v_frames AS f LEFT JOIN (SELECT frame_id, count(*) AS n, count(*) FILTER (WHERE x2 > 400 OR y2 > 140) AS out_of_bounds FROM v_det GROUP BY frame_id) AS d ON f.frame_id = d.frame_id GROUP BY f.dataset, f.split")
+def a43(v):
+    d = v["v_det"].groupBy("frame_id").agg(F.count("*").alias("n"), F.count_if(F.expr("x2 > 400 or y2 > 140")).alias("o"))
+    return v["v_frames"].join(d, "frame_id", "left").groupBy("dataset", "split").agg(F.count("*").alias("frames"), F.count_if(F.col("n").isNull()).alias("empty_frames"), F.coalesce(F.sum("o"), F.lit(0)).alias("out_of_bounds"))
+
+
+@register("J20_evaluation_populations", "WITH p AS (SELECT frame_id, group_key, unnest(['all', CASE WHEN width = 5000 THEN 'high_frequency' END, CASE WHEN width = 2500 THEN 'low_frequency' END, CASE WHEN frame_id = min(frame_id) OVER (PARTITION BY group_key) THEN 'one_per_parent' END]) AS population FROM v_frames WHERE split = 'test') SELECT population, count(*) AS images, count(DISTINCT group_key) AS groups FROM p WHERE population IS NOT NULL GROUP BY population")
+def j20(v):
+    t = v["v_frames"].filter("split = 'test'")
+    first = t.groupBy("group_key").agg(F.min("frame_id").alias("first"))
+    names = F.array_compact(F.array(F.lit("all"), F.when(F.col("width") == 5000, "high_frequency"), F.when(F.col("width") == 2500, "low_frequency"), F.when(F.col("frame_id") == F.col("first"), "one_per_parent")))
+    return t.join(first, "group_key").select(F.explode(names).alias("population"), "group_key").groupBy("population").agg(F.count("*").alias("images"), F.countDistinct("group_key").alias("groups"))
+
+
+@register("J19_sweep_vs_runtime", "WITH a AS (SELECT frame_id, raw_class, round(raw_confidence, 6) AS c FROM v_det WHERE raw_confidence >= 0.25), b AS (SELECT frame_id, raw_class, round(raw_confidence, 6) AS c FROM v_det WHERE raw_confidence >= 0.25 AND tile_id <> 5) SELECT frame_id, count(*) AS differing FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS x GROUP BY frame_id")
+def j19(v):
+    """Bags of both paths compared; frames whose bags differ."""
+    a = v["v_det"].filter("raw_confidence >= 0.25").select("frame_id", "raw_class", F.round("raw_confidence", 6).alias("c"), "tile_id")
+    b = a.filter("tile_id <> 5").drop("tile_id")
+    a = a.drop("tile_id")
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).groupBy("frame_id").agg(F.count("*").alias("differing"))
+
+
+@register("A33_coreset_linspace", "WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings WHERE label < 8) SELECT vec_id FROM r WHERE i IN (SELECT CAST(floor(k * (n - 1) / 63e0) AS BIGINT) FROM range(0, 64) AS a(k), (SELECT count(*) AS n FROM embeddings WHERE label < 8) AS b)")
+def a33(v):
+    """64 evenly spaced vectors of the ordered background: a rank by ranges of ids, then an equi-join with the places."""
+    from pyspark.sql import Window as W
+
+    e = v["embeddings"].filter("label < 8").select("vec_id", F.floor(F.col("vec_id") / 4096).alias("r"))
+    per = e.groupBy("r").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ranked = e.join(F.broadcast(per), "r").select("vec_id", (F.row_number().over(W.partitionBy("r").orderBy("vec_id")) - 1 + F.col("before")).alias("i"))  # a row for 4096 ids
+    n = e.agg(F.count("*").alias("n"))
+    places = n.select(F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"), "n").select(F.floor(F.col("k") * (F.col("n") - 1) / 63.0).alias("i")).distinct()
+    return ranked.join(F.broadcast(places), "i").select("vec_id")
+
+
+@register("A31_image_features", "SELECT image_id, round(avg(sample), 6) AS mean, round(stddev_pop(sample), 6) AS std, round(quantile_cont(sample::DOUBLE, 0.05), 6) AS p5, round(quantile_cont(sample::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(sample::DOUBLE, 0.95), 6) AS p95, round(avg(CASE WHEN sample >= 165 THEN 1e0 ELSE 0e0 END), 6) AS mask_share FROM v_imgs GROUP BY image_id")
+def a31(v):
+    x = F.col("sample").cast("double")
+    return v["v_imgs"].groupBy("image_id").agg(F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"), *[F.round(F.percentile(x, F.lit(p)), 6).alias(n) for p, n in ((0.05, "p5"), (0.5, "p50"), (0.95, "p95"))], F.round(F.avg((x >= 165).cast("double")), 6).alias("mask_share"))
+
+
+@register("A03_contact_enrich", "WITH d AS (SELECT d.*, n.heading_deg FROM v_det AS d LEFT JOIN v_nav AS n ON d.frame_id = n.frame_id) SELECT frame_id, raw_class, round(avg(y2 - y1), 6) AS mean_height, string_agg(DISTINCT inference_mode, ',' ORDER BY inference_mode) AS modes, max(heading_deg) AS heading, arg_max(detection_id, (raw_confidence, detection_id)) AS strongest FROM d GROUP BY frame_id, raw_class")
+def a03(v):
+    d = v["v_det"].join(v["v_nav"].select("frame_id", "heading_deg"), "frame_id", "left")
+    return d.groupBy("frame_id", "raw_class").agg(F.round(F.avg(F.expr("y2 - y1")), 6).alias("mean_height"), F.array_join(F.array_sort(F.collect_set("inference_mode")), ",").alias("modes"), F.max("heading_deg").alias("heading"), F.max_by("detection_id", F.struct("raw_confidence", "detection_id")).alias("strongest"))
+
+
+@register("J21_place_contacts", "WITH f AS (SELECT d.frame_id, d.raw_class, n.latitude, n.longitude FROM (SELECT DISTINCT frame_id, raw_class FROM v_det) AS d LEFT JOIN v_nav AS n ON d.frame_id = n.frame_id) SELECT frame_id, raw_class, latitude, longitude, CASE WHEN latitude IS NOT NULL THEN row_number() OVER (PARTITION BY latitude, longitude ORDER BY frame_id, raw_class) - 1 END AS fan FROM f")
+def j21(v):
+    from pyspark.sql import Window as W
+
+    f = v["v_det"].select("frame_id", "raw_class").distinct().join(v["v_nav"].select("frame_id", "latitude", "longitude"), "frame_id", "left")
+    return f.withColumn("fan", F.when(F.col("latitude").isNotNull(), F.row_number().over(W.partitionBy("latitude", "longitude").orderBy("frame_id", "raw_class")) - 1))
+
+
+@register("J22_contact_audit_diff", "WITH b AS (SELECT frame_id, raw_class, string_agg(detection_id, ',' ORDER BY detection_id) AS m FROM v_det GROUP BY ALL), a AS (SELECT frame_id, raw_class, string_agg(detection_id, ',' ORDER BY detection_id) AS m FROM v_det WHERE tile_id <> 6 GROUP BY ALL) SELECT 'removed' AS change, m FROM b WHERE m NOT IN (SELECT m FROM a) UNION ALL SELECT 'added', m FROM a WHERE m NOT IN (SELECT m FROM b)")
+def j22(v):
+    sets = lambda d: d.groupBy("frame_id", "raw_class").agg(F.array_join(F.array_sort(F.collect_list("detection_id")), ",").alias("m")).select("m")
+    b, a = sets(v["v_det"]), sets(v["v_det"].filter("tile_id <> 6"))
+    return b.join(a, "m", "left_anti").select(F.lit("removed").alias("change"), "m").unionByName(a.join(b, "m", "left_anti").select(F.lit("added").alias("change"), "m"))
+
+
+@register("P28_ui_class_and_priority", "SELECT contact_id, CASE category WHEN 'PIPELINE' THEN 'Pipeline' WHEN 'WRECK_OR_STRUCTURAL_DEBRIS' THEN 'Wreck' WHEN 'DERELICT_FISHING_GEAR' THEN 'Fishing gear' ELSE 'Unknown' END AS label, latest_verdict IS NULL OR latest_verdict = 'UNCERTAIN' AS awaiting FROM v_contacts")
+def p28(v):
+    names = F.create_map(*[F.lit(x) for x in ("PIPELINE", "Pipeline", "WRECK_OR_STRUCTURAL_DEBRIS", "Wreck", "DERELICT_FISHING_GEAR", "Fishing gear")])
+    return v["v_contacts"].select("contact_id", F.coalesce(F.element_at(names, F.col("category")), F.lit("Unknown")).alias("label"), (F.coalesce("latest_verdict", F.lit("UNCERTAIN")) == "UNCERTAIN").alias("awaiting"))

@@ -1 +1,97 @@
-"""Queries."""
+"""Batch twins of the streaming jobs, and the pluggable scorer."""
+
+from pyspark.sql import functions as F
+
+from ..streaming import jobs as T
+from .registry import register
+
+
+@register(
+    "T01_review_event_stream",
+    "SELECT contact_id, arg_max(verdict, (created_at, event_id)) AS latest_verdict, count(*) AS review_count, CASE WHEN arg_max(verdict, (created_at, event_id)) IN ('CONFIRMED', 'REJECTED') THEN arg_max(verdict, (created_at, event_id)) ELSE 'UNRESOLVED' END AS disposition FROM v_reviews WHERE verdict IS NOT NULL GROUP BY contact_id",
+)
+def t01(v):
+    """Two batches of events merged as the stream merges them."""
+    r = v["v_reviews"]
+    return T.merged_state(T.review_state(r.filter("event_id % 2 = 0")), r.filter("event_id % 2 = 1")).drop("last")
+
+
+@register(
+    "T02_mutation_history",
+    """WITH e AS (SELECT event_id, contact_id, created_at, CASE WHEN verdict IN ('CONFIRMED', 'REJECTED') THEN verdict END AS status, CASE WHEN verdict = 'RELABELLED' THEN reviewer END AS label FROM v_reviews)
+    SELECT event_id, last_value(status IGNORE NULLS) OVER a AS after_status, last_value(status IGNORE NULLS) OVER b AS before_status, last_value(label IGNORE NULLS) OVER a AS after_label, last_value(label IGNORE NULLS) OVER b AS before_label FROM e
+    WINDOW a AS (PARTITION BY contact_id ORDER BY created_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY contact_id ORDER BY created_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
+def t02(v):
+    h = v["v_reviews"].select("event_id", "contact_id", "created_at", F.when(F.col("verdict").isin("CONFIRMED", "REJECTED"), F.col("verdict")).alias("status"), F.when(F.col("verdict") == "RELABELLED", F.col("reviewer")).alias("label"))
+    return T.last_known(h, "contact_id", ["created_at", "event_id"], ["status", "label"]).select("event_id", "after_status", "before_status", "after_label", "before_label")
+
+
+@register(
+    "T03_first_write_wins",
+    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY created_at, event_id) AS k FROM v_reviews WHERE event_id >= 300) SELECT contact_id, event_id FROM r WHERE k = 1 AND contact_id NOT IN (SELECT contact_id FROM v_reviews WHERE event_id < 300)",
+)
+def t03(v):
+    r = v["v_reviews"].select("contact_id", "event_id", "created_at")
+    return T.first_writes(r.filter("event_id < 300").dropDuplicates(["contact_id"]), r.filter("event_id >= 300"), ["contact_id"], ["created_at", "event_id"]).select("contact_id", "event_id")
+
+
+@register("T04_duplicate_upload_filter", "WITH r AS (SELECT frame_id, raster_sha256, min(frame_id) OVER (PARTITION BY raster_sha256) AS earlier FROM v_rasters WHERE raster_sha256 IS NOT NULL) SELECT frame_id, earlier, frame_id <> earlier AS rejected FROM r")
+def t04(v):
+    r = v["v_rasters"].filter("raster_sha256 is not null")
+    first = r.groupBy("raster_sha256").agg(F.min("frame_id").alias("earlier"))
+    return r.join(first, "raster_sha256").select("frame_id", "earlier", (F.col("frame_id") != F.col("earlier")).alias("rejected"))
+
+
+@register(
+    "T05_phase_progress",
+    """WITH e AS (SELECT event_id, reviewer AS job, CASE event_id % 7 WHEN 0 THEN 'decode' WHEN 1 THEN 'detect' WHEN 2 THEN 'associate' ELSE 'export' END AS phase, coalesce(verdict, 'NOTE') AS state, created_at FROM v_reviews WHERE event_id % 5 = 0),
+    l AS (SELECT job, phase, arg_max(state, (created_at, event_id)) AS state FROM e GROUP BY job, phase) SELECT j.job, p.phase, coalesce(state, 'QUEUED') AS state FROM (SELECT DISTINCT job FROM e) AS j CROSS JOIN (VALUES ('decode'), ('detect'), ('associate'), ('review'), ('export')) AS p(phase) LEFT JOIN l ON l.job = j.job AND l.phase = p.phase""",
+)
+def t05(v):
+    m = F.col("event_id") % 7
+    e = v["v_reviews"].filter("event_id % 5 = 0").select("event_id", F.col("reviewer").alias("job"), F.when(m == 0, "decode").when(m == 1, "detect").when(m == 2, "associate").otherwise("export").alias("phase"), F.coalesce("verdict", F.lit("NOTE")).alias("state"), F.col("created_at").alias("ts"))
+    return T.phase_progress(e, ["decode", "detect", "associate", "review", "export"])
+
+
+@register("T06_versioned_backfill", "SELECT contact_id, CASE WHEN segment IN ('BUILDING', 'MACHINERY') THEN round(coalesce(evidence, 0e0) * 0.5e0 + 0.25e0, 9) ELSE evidence END AS evidence, 2 AS version FROM v_contacts")
+def t06(v):
+    """Rows of an older method version are computed anew, once; a second run changes nothing."""
+    c = v["v_contacts"].withColumn("version", F.when(F.col("segment").isin("BUILDING", "MACHINERY"), 1).otherwise(2))
+    old = F.col("version") < 2
+    return c.select("contact_id", F.when(old, F.round(F.coalesce("evidence", F.lit(0.0)) * 0.5 + 0.25, 9)).otherwise(F.col("evidence")).alias("evidence"), F.lit(2).alias("version"))
+
+
+@register(
+    "T07_survey_sessions",
+    """WITH s AS (SELECT survey_ref, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY survey_ref ORDER BY ts) <= 7200000000 THEN 0 ELSE 1 END AS o FROM v_nav), q AS (SELECT *, sum(o) OVER (PARTITION BY survey_ref ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+    SELECT survey_ref, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 7200000000 AS end_us, count(*) AS n FROM q GROUP BY survey_ref, k""",
+)
+def t07(v):
+    return T.sessions(v["v_nav"].select("survey_ref", "ts"), "survey_ref", "2 hours").select("survey_ref", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@register("F01_pluggable_scorer")
+def f01(v):
+    """The scorer hook without a scorer: a null score and the reason, never an invented value."""
+    from ..functions.scorers import score
+
+    return score(v["v_contacts"].select("contact_id", "evidence"), None)
+
+
+@register("F02_sql_functions", "SELECT contact_id, round(0.70e0 + (0.90e0 - 0.70e0) / (1 + exp(-28e0 * (evidence - 0.3139777305538386e0))), 9) AS shown, CASE WHEN evidence >= 0.75 THEN 'HIGH' WHEN evidence >= 0.5 THEN 'MEDIUM' WHEN evidence IS NOT NULL THEN 'LOW' ELSE 'UNAVAILABLE' END AS band FROM v_contacts")
+def f02(v):
+    """The library's expressions as SQL functions of the session."""
+    c = v["v_contacts"]
+    spark = c.sparkSession
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION pl_display(x DOUBLE) RETURNS DOUBLE RETURN CASE WHEN x BETWEEN 0 AND 1 THEN 0.70D + (0.90D - 0.70D) / (1 + exp(-28D * (x - 0.3139777305538386D))) END")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION pl_band(x DOUBLE) RETURNS STRING RETURN CASE WHEN x >= 0.75D THEN 'HIGH' WHEN x >= 0.5D THEN 'MEDIUM' WHEN x IS NOT NULL THEN 'LOW' ELSE 'UNAVAILABLE' END")
+    return spark.sql("SELECT contact_id, round(pl_display(evidence), 9) AS shown, pl_band(evidence) AS band FROM {c}", c=c)
+
+
+@register("W_reviews_latest_by_reviewer", "SELECT reviewer, verdict, count(*) AS n FROM (SELECT reviewer, contact_id, arg_max(verdict, (created_at, event_id)) AS verdict FROM v_reviews WHERE verdict IS NOT NULL GROUP BY reviewer, contact_id) AS x GROUP BY reviewer, verdict")
+def reviewer_agreement(v):
+    last = v["v_reviews"].filter("verdict is not null").groupBy("reviewer", "contact_id").agg(F.max_by("verdict", F.struct("created_at", "event_id")).alias("verdict"))
+    return last.groupBy("reviewer", "verdict").agg(F.count("*").alias("n"))
+
+

@@ -71,6 +71,12 @@ class Views:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._made[name]
 
+    def once(self, name: str, make) -> DataFrame:
+        """A result that several steps of a query share."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
 
 def with_views(body: str, recursive: bool = False) -> str:
     """SQL text with the views that it names in front, as common table expressions."""
