@@ -92,3 +92,37 @@ def hard_return(px: DataFrame, boxes: DataFrame) -> DataFrame:
     long = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / F.greatest(F.lit(1), F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
     status = F.when((hard >= 0.55) & (long >= 3), "SUPPORTED").when(hard > 0.10, "WEAK_SUPPORT").when((F.col("dark") >= 0.70) & (F.col("bright") <= 0.08), "ACOUSTICALLY_INCONSISTENT").otherwise("INSUFFICIENT_EVIDENCE")
     return out.select("box_id", "bg", ((F.col("mean") - F.col("bg")) / F.col("scale")).alias("contrast"), "bright", "dark", hard.alias("hard"), status.alias("status"))
+
+
+def orientation(px: DataFrame, boxes: DataFrame, nadir_col: float, width: int) -> DataFrame:
+    """Highlight, shadow and geometry scores of boxes on the side away from the nadir, and their mean with the direction."""
+    whole = px.groupBy("image_id").agg(F.median("sample").alias("base"), F.greatest(F.lit(1.0), F.stddev_pop("sample") * 2).alias("spread"))
+    away = (F.col("x1") + F.col("x2")) / 2 > nadir_col
+    span = F.greatest(F.lit(2), F.col("x2") - F.col("x1"))
+    b = boxes.withColumn("s1", F.when(away, F.col("x2")).otherwise(F.greatest(F.lit(0), F.col("x1") - span))).withColumn("s2", F.when(away, F.least(F.lit(width), F.col("x2") + span)).otherwise(F.col("x1"))).withColumn("span", span)
+    met = px.join(b, "image_id").filter("row_idx >= y1 and row_idx < y2 and col_idx >= least(x1, s1) and col_idx < greatest(x2, s2)")
+    inside, shade = F.expr("col_idx >= x1 and col_idx < x2"), F.expr("col_idx >= s1 and col_idx < s2")
+    m = met.groupBy("box_id", "image_id", "s1", "s2", "span").agg(F.avg(F.when(inside, F.col("sample"))).alias("inside"), F.avg(F.when(shade, F.col("sample"))).alias("shade")).join(whole, "image_id")
+    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    seen = F.col("shade").isNotNull()
+    out = m.withColumns({"highlight_score": clip((F.col("inside") - F.col("base")) / F.col("spread")), "shadow_score": F.when(seen, clip((F.col("base") - F.col("shade")) / F.col("spread"))), "geometry_score": F.when(seen, F.least(F.lit(1.0), (F.col("s2") - F.col("s1")) / F.col("span")))})
+    mean = F.when(seen, (F.col("highlight_score") + F.col("shadow_score") + 1 + F.col("geometry_score")) / 4).otherwise(F.col("highlight_score"))
+    return out.withColumn("physics_consistency", mean)
+
+
+def shadow(px: DataFrame, boxes: DataFrame, height: int) -> DataFrame:
+    """Contrast and continuity of the dark band behind each box (row side away from ``nadir``) against columns at its sides; or why there is none."""
+    mid = (F.col("y1") + F.col("y2")) / 2
+    length = F.least(3 * F.greatest(F.lit(1), F.col("y2") - F.col("y1")), F.lit(max(1, height / 4))).cast("int")
+    down = mid > F.col("nadir")
+    b = boxes.withColumn("len", length).withColumn("a", F.when(down, F.col("y2")).otherwise(F.col("y1") - F.col("len"))).withColumn("z", F.when(down, F.col("y2") + F.col("len")).otherwise(F.col("y1")))
+    reason = F.when(F.col("nadir").isNull(), "NADIR_NOT_RECOVERABLE").when(F.abs(mid - F.col("nadir")) < F.greatest(F.lit(2.0), (F.col("y2") - F.col("y1")) / 2), "CANDIDATE_IN_NADIR_BAND").when((F.col("a") < 0) | (F.col("z") > height), "SHADOW_TRUNCATED_AT_RANGE_EDGE")
+    b = b.withColumn("reason", reason)
+    side = F.col("x2") - F.col("x1")
+    met = px.join(b.filter("reason is null"), "image_id").filter((F.col("row_idx") >= F.col("a")) & (F.col("row_idx") < F.col("z")) & (F.col("col_idx") >= F.col("x1") - side) & (F.col("col_idx") < F.col("x2") + side)).withColumn("inside", F.expr("col_idx >= x1 and col_idx < x2"))
+    x = F.col("sample").cast("double")
+    g = met.groupBy("box_id").agg(F.avg(F.when(~F.col("inside"), x)).alias("mean"), F.stddev_pop(F.when(~F.col("inside"), x)).alias("std"), F.avg(F.when(F.col("inside"), x)).alias("band"))
+    rows = met.filter("inside").groupBy("box_id", "row_idx").agg(F.avg(x).alias("m")).join(g, "box_id")
+    lines = rows.groupBy("box_id").agg(F.avg((F.col("m") < F.col("mean") - 1.5 * F.col("std")).cast("double")).alias("continuity"))
+    late = F.when(F.col("mean").isNull(), "RANGE_MATCHED_BACKGROUND_UNAVAILABLE").when(F.col("std") < 1e-6, "RANGE_MATCHED_BACKGROUND_LOW_VARIANCE")
+    return b.join(g, "box_id", "left").join(lines, "box_id", "left").withColumn("reason", F.coalesce("reason", late)).withColumn("contrast_z", F.expr("try_divide(mean - band, std)"))

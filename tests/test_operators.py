@@ -152,3 +152,35 @@ def test_bootstrap_of_one_group_is_a_point(spark):
     r = aggregates.cluster_bootstrap(d, 20, 1).first()
     assert (r.point, r.ci_low, r.ci_high, r.undefined_draws) == (0.5, 0.5, 0.5, 0)
     assert not math.isnan(r.point)
+
+
+def _png(path, rows):
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    body = b"".join(b"\0" + bytes(r) for r in rows)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b""))
+
+
+def test_rasters_and_ping_rows(spark, tmp_path):
+    from pingloom.sources import files
+
+    _png(tmp_path / "a.png", [[0, 128, 255], [7, 8, 9]])
+    (tmp_path / "b.png").write_bytes(b"no image")
+    got = {r.path.rsplit("/", 1)[-1]: (r.width, r.height, r.channels, len(r.raster_sha256)) for r in files.scan_rasters(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": (3, 2, 1, 64), "b.png": (None, None, None, 64)}
+    rows = {r.row_idx: r.samples for r in files.explode_ping_rows(spark, str(tmp_path)).collect()}
+    assert rows == {0: [0, 128, 255], 1: [7, 8, 9]}
+    assert [r.name for r in files.checksums(spark, str(tmp_path)).collect()] == ["a.png", "b.png"]
+
+
+def test_coco(spark, tmp_path):
+    from pingloom.sources import files
+
+    text = '{"images": [{"id": 1, "file_name": "f"}], "annotations": [{"id": 5, "image_id": 1, "category_id": 2, "bbox": [1, 2, 3, 4]}, {"id": 6, "image_id": 1, "category_id": 2, "bbox": [1, 2]}, {"id": 7, "image_id": 9, "category_id": 2, "bbox": [1, 2, 3, 4]}], "categories": [{"id": %d, "name": "wreck"}]}'
+    (tmp_path / "ok.json").write_text(text % 2)
+    assert [(r.id, r.category) for r in files.scan_coco(spark, str(tmp_path / "ok.json")).collect()] == [(5, "wreck")]
+    (tmp_path / "bad.json").write_text(text % 3)
+    with pytest.raises(Exception, match="no category"):
+        files.scan_coco(spark, str(tmp_path / "bad.json")).collect()
