@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a new local one only where that is unset (tests)."""
@@ -24,5 +26,15 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pingloom-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that this process has stored, once no result reads them any more; gives their number."""
+    done = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done

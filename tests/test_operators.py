@@ -184,3 +184,13 @@ def test_coco(spark, tmp_path):
     (tmp_path / "bad.json").write_text(text % 3)
     with pytest.raises(Exception, match="no category"):
         files.scan_coco(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_stored_tables_are_cleared(spark, tmp_path):
+    from pingloom.functions import storage
+
+    storage.clear(spark)
+    d = storage.stored(spark.range(5))
+    assert d.count() == 5 and storage.clear(spark) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(d.inputFiles()[0]).count()
