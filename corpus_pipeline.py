@@ -21,13 +21,14 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine does not call toxic (score below 0.3)."""
+    docs = docs.select(*COLUMNS)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by Jaccard similarity 0.8 or more of 5-word shingles."""
-    docs, row = keyed(docs)
+    docs, row = keyed(docs.select(*COLUMNS))
     found = jaccard.jaccard_components(docs.select(F.col(row).alias("doc_id"), "text"), n=5, percent=80)
     return docs.join(found.filter("doc_id = component_id").select(F.col("doc_id").alias(row)), row, "left_semi").select(*COLUMNS)
 
@@ -40,7 +41,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, then the first words of the part that is left."""
-    docs, row = keyed(docs)
+    docs, row = keyed(docs.select(*COLUMNS))
     taken = mixing.mix(docs.select(F.col(row).alias("doc_id"), "source", "text")).filter("taken > 0").select(F.col("doc_id").alias(row), "size", "taken")
     out = docs.join(taken, row).withColumn("copy", F.explode(F.expr("sequence(0L, (taken - 1) div size)")))
     part = F.expr("cast(least(size, taken - copy * size) as int)")
