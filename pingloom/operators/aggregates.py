@@ -80,7 +80,10 @@ def clopper_pearson(df: DataFrame, k: str, n: str, alpha: float = 0.05, steps: i
 
 
 def isotonic_knots(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Isotonic fit on distinct scores as knots: ``score, fitted``, by the max-min of running means."""
+    """Isotonic fit on distinct scores as knots: ``score, fitted``, by the max-min of running means.
+
+    Round the scores first: the work grows with the square of the number of distinct scores, not of rows.
+    """
     g = df.groupBy(F.col(score).alias("score")).agg(F.sum(label).cast("double").alias("s"), F.count("*").cast("double").alias("n"))
     up = W.orderBy("score").rowsBetween(W.unboundedPreceding, 0)  # a row for each distinct (rounded) score
     g = g.withColumns({"cs": F.sum("s").over(up), "cn": F.sum("n").over(up)})

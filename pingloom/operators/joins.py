@@ -24,10 +24,11 @@ def overlapping_pairs(det: DataFrame, keys: list[str], condition: Column | None
     return a.join(b, on).filter(boxes.iou(boxes.named("a."), boxes.named("b.")) >= least)
 
 
-def nearest_distance(queries: DataFrame, bank: DataFrame) -> DataFrame:
-    """Least Euclidean distance of each query (vec_id, x) to a bank of vectors, by blocks of the bank that meet all queries."""
-    blocks = bank.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("block")).agg(F.collect_list("x").alias("xs"))
-    pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63)))).join(blocks, "block")
+def nearest_distance(queries: DataFrame, bank: DataFrame, block: int = 1024) -> DataFrame:
+    """Least Euclidean distance of each query (vec_id, x) to a bank of vectors, by blocks of about ``block`` vectors that meet all queries."""
+    n = max(1, -(-bank.count() // block))
+    blocks = bank.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block")).agg(F.collect_list("x").alias("xs"))
+    pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).join(blocks, "block")
     d2 = lambda x: F.aggregate(F.zip_with(F.col("x"), x, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, y: s + y)
     return pairs.withColumn("d2", F.array_min(F.transform("xs", d2))).groupBy("vec_id").agg(F.sqrt(F.min("d2")).alias("distance"))
 

@@ -12,7 +12,7 @@ def raster_condition(px: DataFrame) -> DataFrame:
     x = F.col("sample").cast("double")
     base = px.groupBy("image_id").agg(F.percentile(x, 0.02).alias("p02"), F.percentile(x, 0.98).alias("p98"), F.percentile(x, 0.01).alias("p01"), F.min(x).alias("low"), F.max(x).alias("high"), (F.max("col_idx") + 1).alias("width"), (F.max("row_idx") + 1).alias("height"), F.count("*").alias("n"))
     base = base.withColumn("dynamic_range", (F.col("p98") - F.col("p02")) / F.greatest(F.lit(1.0), F.col("high") - F.col("low"))).withColumn("dark", F.greatest(F.lit(1.0), F.col("p01")))
-    p = px.join(F.broadcast(base.select("image_id", "dark", "low", "high", "width")), "image_id").withColumn("black", (x <= F.col("dark")).cast("double"))
+    p = px.join(base.select("image_id", "dark", "low", "high", "width"), "image_id").withColumn("black", (x <= F.col("dark")).cast("double"))
     rows = p.groupBy("image_id", "row_idx").agg(F.avg("black").alias("b")).groupBy("image_id").agg(F.avg((F.col("b") >= 0.92).cast("double")).alias("dropout_fraction"), F.avg("b").alias("near_black_fraction"))
     centre = F.floor(F.col("width") / 2)
     eighth = F.floor(F.col("width") / 8)

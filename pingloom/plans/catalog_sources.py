@@ -208,7 +208,7 @@ def a33(v):
 
     e = v["embeddings"].filter("label < 8").select("vec_id", F.floor(F.col("vec_id") / 4096).alias("r"))
     per = e.groupBy("r").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = e.join(F.broadcast(per), "r").select("vec_id", (F.row_number().over(W.partitionBy("r").orderBy("vec_id")) - 1 + F.col("before")).alias("i"))  # a row for 4096 ids
+    ranked = e.join(per, "r").select("vec_id", (F.row_number().over(W.partitionBy("r").orderBy("vec_id")) - 1 + F.col("before")).alias("i"))  # a row for 4096 ids
     n = e.agg(F.count("*").alias("n"))
     places = n.select(F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"), "n").select(F.floor(F.col("k") * (F.col("n") - 1) / 63.0).alias("i")).distinct()
     return ranked.join(F.broadcast(places), "i").select("vec_id")
