@@ -74,22 +74,32 @@ def fuse_contacts(obs: DataFrame) -> DataFrame:
     order = F.struct(F.when(F.col("ping_start").isNotNull(), 0).otherwise(1).alias("o"), F.coalesce("ping_start", F.lit(0)).alias("p"), F.col("frame_id").alias("f"), F.col("detection_id").alias("d"), F.struct(*OBSERVATION).alias("obs"))
     groups = obs.withColumn("key", key).groupBy("key").agg(F.array_sort(F.collect_list(order)).alias("all"))
     groups = groups.withColumn("all", F.transform("all", lambda x: x["obs"]))
-    # state: the last member of each contact, in the order of contacts, and where each observation went
-    kind = "array<struct<" + ",".join(f"{n}:{obs.schema[n].dataType.simpleString()}" for n in OBSERVATION) + ">>"
-    start = F.struct(F.array().cast(kind).alias("last"), F.array().cast("array<int>").alias("went"))
+    # state: number and last member of the contacts that can still grow, how many there are, and where each observation went
+    member = "struct<" + ",".join(f"{n}:{obs.schema[n].dataType.simpleString()}" for n in OBSERVATION) + ">"
+    start = F.struct(F.array().cast(f"array<struct<no:int,o:{member}>>").alias("live"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("went"))
+
+    def joined(acc: Column, x: Column, live: Column, at: Column) -> Column:
+        """The next state; ``at``: place of the first related contact among ``live``, 0 for none."""
+        to = F.when(at > 0, F.get(live, at - 1)["no"]).otherwise(acc["n"] + 1)
+        entry = F.struct(to.alias("no"), x.alias("o"))
+        grown = F.when(at > 0, F.transform(live, lambda a, i: F.when(i == at - 1, entry).otherwise(a))).otherwise(F.array_append(live, entry))
+        return F.struct(grown.alias("live"), F.when(at > 0, acc["n"]).otherwise(acc["n"] + 1).alias("n"), F.array_append(acc["went"], to).alias("went"))
 
     def step(acc: Column, x: Column) -> Column:
-        hits = F.transform(acc["last"], lambda a: _relation_of(a, x))
-        at = F.array_position(hits, F.lit(True)).cast("int")  # 0: none
-        to = F.when(at > 0, at).otherwise(F.size(acc["last"]) + 1)
-        last = F.when(at > 0, F.transform(acc["last"], lambda a, i: F.when(i == at - 1, x).otherwise(a))).otherwise(F.array_append(acc["last"], x))
-        return F.struct(last.alias("last"), F.array_append(acc["went"], to).alias("went"))
+        # in ping order, a contact that ended before the ping above this one relates to nothing that follows
+        live = F.filter(acc["live"], lambda a: x["ping_start"].isNull() | (a["o"]["ping_end"] >= x["ping_start"] - 1))
+        return _let(live, lambda v: _let(F.array_position(F.transform(v, lambda a: _relation_of(a["o"], x)), F.lit(True)).cast("int"), lambda at: joined(acc, x, v, at)))
 
     went = F.aggregate("all", start, step, lambda acc: acc["went"])
     out = groups.select("key", "all", went.alias("went")).select("key", F.posexplode(F.arrays_zip("all", "went")).alias("n", "z"))
     return out.select("key", F.col("z.went").alias("contact_no"), F.col("n").alias("member_no"), "z.all.*")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def match_detections(det: DataFrame, gt: DataFrame, tau: float) -> DataFrame:
     """Greedy one-to-one matching per frame and class: ``detection_id, gt_id`` of true positives.
 
@@ -104,12 +114,12 @@ def match_detections(det: DataFrame, gt: DataFrame, tau: float) -> DataFrame:
     def step(acc: Column, x: Column) -> Column:
         free = F.transform(F.col("gs"), lambda t: F.struct(F.when(~F.array_contains(acc["used"], t["gt_id"]), boxes.iou(boxes.fields(x), boxes.fields(t))).alias("iou"), t["gt_id"].alias("gt_id")))
         ok = F.filter(free, lambda t: t["iou"] >= tau)
-        best = F.aggregate(ok, ok[0], lambda m, t: F.when(t["iou"] > m["iou"], t).otherwise(m))
-        pair = F.struct(x["detection_id"].alias("detection_id"), best["gt_id"].alias("gt_id"))
-        return F.when(F.size(ok) == 0, acc).otherwise(F.struct(F.array_append(acc["used"], best["gt_id"]).alias("used"), F.array_append(acc["pairs"], pair).alias("pairs")))
+        best = lambda ok: F.aggregate(ok, F.get(ok, F.lit(0)), lambda m, t: F.when(t["iou"] > m["iou"], t).otherwise(m))["gt_id"]
+        took = lambda g: F.struct(F.array_append(acc["used"], g).alias("used"), F.array_append(acc["pairs"], F.struct(x["detection_id"].alias("detection_id"), g.alias("gt_id"))).alias("pairs"))
+        return _let(ok, lambda k: F.when(F.size(k) == 0, acc).otherwise(_let(best(k), took)))
 
-    spark_conf_safe = F.aggregate("ds", start, step, lambda acc: acc["pairs"])
-    return both.select("frame_id", "raw_class", F.explode(spark_conf_safe).alias("p")).select("frame_id", "raw_class", "p.detection_id", "p.gt_id")
+    pairs = F.aggregate("ds", start, step, lambda acc: acc["pairs"])
+    return both.select("frame_id", "raw_class", F.explode(pairs).alias("p")).select("frame_id", "raw_class", "p.detection_id", "p.gt_id")
 
 
 def disjoint_lattice(frames: DataFrame, key: str, seconds: float = 25.0) -> DataFrame:
