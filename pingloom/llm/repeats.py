@@ -15,11 +15,13 @@ the work is cut down without losing one:
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,6 +197,63 @@ def entries(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield joined(held)
 
 
+def heads(plan: Plan, e: dict) -> np.ndarray:
+    """The tokens that all windows of an entry hold: the first of its suffix, as fixed-width bytes."""
+    n = (plan.window - plan.step + 1) * plan.width
+    return np.ascontiguousarray(e["suffix"][:, :n]).view(f"S{n}").ravel()
+
+
+def hot_heads(plan: Plan, sample: dict, groups: int) -> np.ndarray:
+    """Heads that a sample of entries shows in more than a quarter of a group's share."""
+    head, count = np.unique(heads(plan, sample), return_counts=True)
+    return head[count > max(8, len(sample["depth"]) / groups / 4)]
+
+
+def split_hot(plan: Plan, e: dict, hot: np.ndarray) -> Iterator[dict]:
+    """Entries with those of a hot head cut into single windows, ``ENTRIES`` or a few more at a time.
+
+    Very many suffixes share a head where one passage stands in very many documents. Whole windows start with
+    what stands before the passage, which spreads them; those inside it are equal and collapse in the task.
+    """
+    q, w, u = plan.step, plan.window, plan.width
+    is_hot = np.isin(heads(plan, e), hot) if len(hot) else np.zeros(len(e["depth"]), dtype=bool)
+    if not is_hot.any():
+        yield e
+        return
+    if not is_hot.all():
+        yield taken(e, ~is_hot)
+    e = taken(e, is_hot)
+    for a in range(0, len(e["depth"]), max(1, ENTRIES // q)):
+        part, out = taken(e, slice(a, a + max(1, ENTRIES // q))), []
+        for o in range(q):
+            x = taken(part, (part["low"] <= o) & (o <= part["high"]))
+            n = len(x["depth"])
+            before = x["before"].reshape(n, q - 1, u)[:, :o][:, ::-1].reshape(n, o * u)
+            out.append({"suffix": np.concatenate([before, x["suffix"][:, : (w - o) * u]], axis=1), "depth": np.full(n, w, np.uint8), "before": np.zeros_like(x["before"]), "rid": x["rid"], "pos": x["pos"] - np.int32(o), "low": np.zeros(n, np.uint8), "high": np.zeros(n, np.uint8)})
+        yield joined(out)
+
+
+def sample_entries(docs: DataFrame, runs: DataFrame, plan: Plan, rows: int) -> dict | None:
+    """Entries of ``rows`` runs in question at most, by hash; they only balance groups."""
+    some = runs.filter(F.col("kind") == EDGE).orderBy(F.xxhash64("rid", "lo"), "rid", "lo").limit(rows).groupBy("rid").agg(F.collect_list(F.struct("lo", "code")).alias("edges"))
+    text = docs.select("rid", "text").join(F.broadcast(some), "rid")  # at most ``rows`` documents
+
+    def run(batches):
+        for e in entries(plan, batches):
+            yield pa.RecordBatch.from_arrays([pa.array([pack(e)], pa.binary())], names=["e"])
+
+    got = [unpack(bytes(r.e)) for r in text.mapInArrow(run, "e binary").collect()]
+    return joined(got) if got else None
+
+
+def pack(x) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
+
+
+def unpack(x: bytes):
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+
+
 def joined(parts: list[dict]) -> dict:
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 

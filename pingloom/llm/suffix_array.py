@@ -14,12 +14,10 @@ an empty result; other columns are left out.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +26,7 @@ from .common import stored, with_doc_id, with_rid
 
 PLAN = repeats.Plan("bytes", 100, 24, 16)
 #: Entries in a range of the merge, and edges sampled for its splitters.
-RANGE = 120_000
+RANGE = 30_000
 SAMPLE = 4000
 
 
@@ -37,14 +35,14 @@ def front_code(e: dict, lcp: np.ndarray) -> bytes:
     depth = e["depth"].astype(np.int64)
     rest = e["suffix"][(np.arange(e["suffix"].shape[1]) >= lcp[:, None]) & (np.arange(e["suffix"].shape[1]) < depth[:, None])].tobytes()
     body = {k: v for k, v in e.items() if k != "suffix"} | {"lcp": lcp.astype(np.uint8), "rest": rest}
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(body, protocol=5))
+    return repeats.pack(body)
 
 
 class Run:
     """Reads a front-coded run suffix by suffix."""
 
     def __init__(self, blob: bytes):
-        self.body = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+        self.body = repeats.unpack(blob)
         self.lcp, self.depth = self.body["lcp"].tolist(), self.body["depth"].tolist()
         self.rest = self.body.pop("rest")
         self.at = self.i = 0
@@ -126,25 +124,25 @@ def merge(blobs: list[bytes]) -> tuple[dict, np.ndarray]:
     return repeats.taken(bodies, start), np.array(lcps, dtype=np.int64)
 
 
-def _sorted_runs(splitters: list[bytes]):
+def _sorted_runs(splitters: list[bytes], hot: np.ndarray):
     cuts = np.array(splitters, dtype=f"S{PLAN.window}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for e in repeats.entries(PLAN, batches):
-            e, gone = repeats.collapse(repeats.taken(e, repeats.in_order(e)))
-            lcp = repeats.common_prefix(PLAN, e)
-            # equal stretches must meet: a suffix goes by its first bytes, as many as every stretch shares
-            head = np.ascontiguousarray(e["suffix"][:, : PLAN.window - PLAN.step + 1]).view(f"S{PLAN.window - PLAN.step + 1}").ravel()
-            part = np.searchsorted(cuts, head, "right")
-            begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-            rows = []
-            for a, z in zip(begin, np.append(begin[1:], len(part)), strict=True):
-                own = lcp[a:z].copy()
-                own[0] = 0
-                rows.append((int(part[a]), front_code(repeats.taken(e, slice(a, z)), own), b""))
-            if len(gone[0]):
-                rows.append((int(gone[0][0]) % (len(cuts) + 1), b"", zstandard.ZstdCompressor(level=3).compress(pickle.dumps(gone, protocol=5))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "run", "gone"])
+        for whole in repeats.entries(PLAN, batches):
+            for e in repeats.split_hot(PLAN, whole, hot):
+                e, gone = repeats.collapse(repeats.taken(e, repeats.in_order(e)))
+                lcp = repeats.common_prefix(PLAN, e)
+                # equal stretches must meet: a suffix goes by its first bytes, as many as every stretch shares
+                part = np.searchsorted(cuts, repeats.heads(PLAN, e), "right")
+                begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+                rows = []
+                for a, z in zip(begin, np.append(begin[1:], len(part)), strict=True):
+                    own = lcp[a:z].copy()
+                    own[0] = 0
+                    rows.append((int(part[a]), front_code(repeats.taken(e, slice(a, z)), own), b""))
+                if len(gone[0]):
+                    rows.append((int(gone[0][0]) % (len(cuts) + 1), b"", repeats.pack(gone)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "run", "gone"])
 
     return run
 
@@ -164,30 +162,22 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 blobs = []
             part = p
             if gone:
-                yield repeats.spans([pickle.loads(zstandard.ZstdDecompressor().decompress(gone))])
+                yield repeats.spans([repeats.unpack(gone)])
             if blob:
                 blobs.append(blob)
     if blobs:
         yield out()
 
 
-def _splitters(docs: DataFrame, runs: DataFrame) -> list[bytes]:
-    """Quantiles of at most ``SAMPLE`` suffixes; they only balance the ranges."""
-    edges = runs.filter(F.col("kind") == repeats.EDGE)
-    n = edges.count()
-    ranges = -(-3 * n // RANGE)
-    if ranges < 2:
-        return []
-    some = edges.orderBy(F.xxhash64("rid", "lo")).limit(SAMPLE).groupBy("rid").agg(F.collect_list(F.struct("lo", "code")).alias("edges"))
-    text = docs.join(F.broadcast(some), "rid")  # at most SAMPLE rows
-
-    def run(batches):
-        for e in repeats.entries(PLAN, batches):
-            head = e["suffix"][:: max(1, len(e["suffix"]) // SAMPLE), : PLAN.window - PLAN.step + 1]
-            yield pa.RecordBatch.from_arrays([pa.array([bytes(h) for h in head], pa.binary())], names=["head"])
-
-    heads = sorted(bytes(r.head) for r in text.mapInArrow(run, "head binary").collect())
-    return sorted({heads[len(heads) * i // ranges] for i in range(1, ranges)}) if heads else []
+def _splitters(docs: DataFrame, runs: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """Quantiles of the sampled suffixes, and their hot heads; both only balance the ranges."""
+    ranges = -(-3 * runs.filter(F.col("kind") == repeats.EDGE).count() // RANGE)
+    sample = repeats.sample_entries(docs, runs, PLAN, SAMPLE) if ranges > 1 else None
+    if sample is None:
+        return [], np.zeros(0, "S1")
+    hot = repeats.hot_heads(PLAN, sample, ranges)
+    spread = np.sort(np.concatenate([np.unique(repeats.heads(PLAN, e)) if k else repeats.heads(PLAN, e) for k, e in enumerate(repeats.split_hot(PLAN, sample, hot))]))
+    return sorted({bytes(spread[len(spread) * i // ranges]) for i in range(1, ranges)}), hot
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +203,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed [begin, end) bytes)."""
     docs, ids = with_rid(docs)
     runs = stored(repeats.find_runs(docs, PLAN))
-    splitters = _splitters(docs, runs)
-    sorted_runs = repeats.with_edges(docs, runs).mapInArrow(_sorted_runs(splitters), "part int, run binary, gone binary")
+    sorted_runs = repeats.with_edges(docs, runs).mapInArrow(_sorted_runs(*_splitters(docs, runs)), "part int, run binary, gone binary")
     found = sorted_runs.repartition("part").sortWithinPartitions("part").mapInArrow(_merged, repeats.SPANS)
     out = repeats.with_spans(docs, runs, found).mapInArrow(_kept, "rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
     return with_doc_id(out, ids)
