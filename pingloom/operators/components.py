@@ -1,8 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Every step is a combinable minimum for each node and an equi-join; steps end in tables in the shared folder, so
-lineage stays short and nothing is gathered in one place. The links of a node are salted by their other end: a node
-with very many links is spread over ``SALTS`` tasks.
+lineage stays short and nothing is gathered in one place. The minima are a table of their own, so both sides of the
+join come from plain exchanges, and Spark can split the links of a node that has very many.
 """
 
 from __future__ import annotations
@@ -12,14 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import stored
 
-SALTS = 16
-
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
     """``edges`` (a > b). Large: neighbours above a node move to its smallest; small: those below it and itself do."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = both.withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(SALTS))).join(least.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["a", "_s"]).drop("_s")
+    least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    moved = both.join(least, "a")
     if large:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
