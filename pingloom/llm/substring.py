@@ -14,13 +14,11 @@ two; an empty table gives an empty result; other columns are left out by ``subst
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +27,7 @@ from .common import stored, with_doc_id, with_rid
 
 PLAN = repeats.Plan("words", 20, 6, 8)
 #: Entries in a group, and edges sampled to find heavy prefixes.
-GROUP = 100_000
+GROUP = 30_000
 SAMPLE = 4000
 
 
@@ -51,46 +49,36 @@ def _group_keys(e: dict, heavy: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def _heavy_prefixes(docs: DataFrame, runs: DataFrame) -> tuple[list[np.ndarray], int]:
-    """Prefixes that hold more than a group's share of at most ``SAMPLE`` sampled suffixes, by length; and the number of groups."""
-    edges = runs.filter(F.col("kind") == repeats.EDGE)
-    n = edges.count()
-    groups = max(1, -(-2 * n // GROUP))
-    if groups == 1:
-        return [], 1
-    some = edges.orderBy(F.xxhash64("rid", "lo")).limit(SAMPLE).groupBy("rid").agg(F.collect_list(F.struct("lo", "code")).alias("edges"))
-    text = docs.join(F.broadcast(some), "rid")  # at most SAMPLE rows
-    longest = PLAN.window - PLAN.step + 1
-
-    def run(batches):
-        for e in repeats.entries(PLAN, batches):
-            keys = [_prefix_hashes(e, k + 1).view(np.int64) for k in range(longest)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.stack(keys, 1).tolist(), pa.list_(pa.int64()))], names=["keys"])
-
-    rows = np.array([r["keys"] for r in text.mapInArrow(run, "keys array<long>").collect()], dtype=np.int64).reshape(-1, longest).view(np.uint64)
-    heavy, share = [], max(2.0, len(rows) / groups / 2)
-    for k in range(longest - 1):
-        keys, count = np.unique(rows[:, k], return_counts=True)
+def _heavy_prefixes(docs: DataFrame, runs: DataFrame) -> tuple[list[np.ndarray], int, np.ndarray]:
+    """Prefixes that hold more than half a group's share of the sampled suffixes, by length; the number of groups; hot heads."""
+    groups = max(1, -(-2 * runs.filter(F.col("kind") == repeats.EDGE).count() // GROUP))
+    sample = repeats.sample_entries(docs, runs, PLAN, SAMPLE) if groups > 1 else None
+    if sample is None:
+        return [], 1, np.zeros(0, "S1")
+    hot = repeats.hot_heads(PLAN, sample, groups)
+    e = repeats.joined(list(repeats.split_hot(PLAN, sample, hot)))
+    heavy, share = [], max(2.0, len(e["depth"]) / groups / 2)
+    for k in range(PLAN.window - PLAN.step):
+        keys, count = np.unique(prefix := _prefix_hashes(e, k + 1), return_counts=True)
         heavy.append(keys[count > share])
-        rows = rows[np.isin(rows[:, k], heavy[-1])]
-        if not len(rows):
+        e = repeats.taken(e, np.isin(prefix, heavy[-1]))
+        if not len(e["depth"]):
             break
-    return heavy, groups
+    return heavy, groups, hot
 
 
-def _dealt(heavy: list[np.ndarray], groups: int):
-    pack = lambda x: zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
-
+def _dealt(heavy: list[np.ndarray], groups: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for e in repeats.entries(PLAN, batches):
-            e, gone = repeats.collapse(repeats.taken(e, repeats.in_order(e)))
-            part = (_group_keys(e, heavy) % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(groups + 1))
-            rows = [(g, pack(repeats.taken(e, order[cut[g] : cut[g + 1]])), b"") for g in range(groups) if cut[g + 1] > cut[g]]
-            if len(gone[0]):
-                rows.append((int(gone[0][0]) % groups, b"", pack(gone)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "entries", "gone"])
+        for whole in repeats.entries(PLAN, batches):
+            for e in repeats.split_hot(PLAN, whole, hot):
+                e, gone = repeats.collapse(repeats.taken(e, repeats.in_order(e)))
+                part = (_group_keys(e, heavy) % np.uint64(groups)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cut = np.searchsorted(part[order], np.arange(groups + 1))
+                rows = [(g, repeats.pack(repeats.taken(e, order[cut[g] : cut[g + 1]])), b"") for g in np.flatnonzero(np.diff(cut)).tolist()]
+                if len(gone[0]):
+                    rows.append((int(gone[0][0]) % groups, b"", repeats.pack(gone)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "entries", "gone"])
 
     return run
 
@@ -137,7 +125,7 @@ def _by_nodes(lcp: np.ndarray, least: int, known: dict) -> np.ndarray:
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, held = None, []
-    unpack = lambda x: pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+    unpack = repeats.unpack
 
     def out():
         e = repeats.joined([unpack(x) for x in held])
@@ -184,8 +172,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str,
     """
     docs, ids = with_rid(docs, carry)
     runs = stored(repeats.find_runs(docs, PLAN))
-    heavy, groups = _heavy_prefixes(docs, runs)
-    dealt = repeats.with_edges(docs, runs).mapInArrow(_dealt(heavy, groups), "part int, entries binary, gone binary")
+    dealt = repeats.with_edges(docs, runs).mapInArrow(_dealt(*_heavy_prefixes(docs, runs)), "part int, entries binary, gone binary")
     found = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_searched, repeats.SPANS)
     carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
     out = repeats.with_spans(docs, runs, found).mapInArrow(_kept(with_text, carry), f"rid long, {carried}n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
