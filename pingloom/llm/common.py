@@ -1,32 +1,13 @@
-"""What the operators share: row ids, tables in the cluster's shared folder, column names."""
+"""What the operators share: row ids and their way back to doc_id."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new local one only where that is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + (made := tempfile.mkdtemp(prefix="pingloom-"))
-        atexit.register(shutil.rmtree, made, True)
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage is cut and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pingloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["keyed", "shared_dir", "stored", "with_doc_id", "with_rid"]
 
 
 def with_rid(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame | None]:

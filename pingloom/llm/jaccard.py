@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from . import kernels
 from .common import stored, with_doc_id, with_rid
-from .components import components
 
 #: Sets in a tile at most (about).
 TILE = 2048
