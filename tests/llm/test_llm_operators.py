@@ -158,6 +158,29 @@ def test_substring_dedup(spark, seed, monkeypatch):
         assert r.kept_text == (kept.decode() if r.n_removed else texts[r.doc_id] or "") and r.source == f"s{r.doc_id % 3}"
 
 
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_a_hot_passage_is_spread(spark, unit, monkeypatch):
+    """One passage in most documents, each with other words before it: its first suffixes share all they hold."""
+    rng = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{prose(rng, rng.randint(3, 30))} {passage} {prose(rng, rng.randint(3, 30))}" for _ in range(80)]
+    seen = []
+    real = repeats.hot_heads
+    monkeypatch.setattr(repeats, "hot_heads", lambda *a: seen.append(real(*a)) or seen[-1])
+    monkeypatch.setattr(repeats, "ENTRIES", 200)
+    if unit == "bytes":
+        monkeypatch.setattr(suffix_array, "RANGE", 20)
+        check_bytes([(i, t.encode()) for i, t in enumerate(texts)], suffix_array.suffix_dedup(frame(spark, texts)).collect())
+    else:
+        monkeypatch.setattr(substring, "GROUP", 10)
+        docs = [(i, t.encode().split()) for i, t in enumerate(texts)]
+        want = windows_removed(docs, 20)
+        for r in substring.substring_dedup(frame(spark, texts)).collect():
+            kept = b" ".join(w for w, m in zip(docs[r.doc_id][1], want[r.doc_id], strict=True) if not m)
+            assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+    assert len(seen[0]) > 0
+
+
 def test_repeats_with_null_and_shared_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     texts, ids = [text, text, text, "short", None], [7, 7, None, 7, None]
