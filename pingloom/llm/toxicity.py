@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import kernels
 
 #: Labelled rows that the machine is fitted on at most (taken by hash of the id).
-FIT_ROWS = 20_000
+FIT_ROWS = 12_000
 BUCKETS = 1 << 20
 #: Buckets with the largest chi-square on the fitted rows that get weights.
 TERMS = 2048
