@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from ..functions.storage import stored
+
+_R = 0x9E3779B97F4A7C15
+_R_INV = pow(_R, -1, 1 << 64)
 
 
 def tile_annotations(tiles: DataFrame, ann: DataFrame, size: int = 512, stride: int = 256) -> DataFrame:
@@ -61,21 +69,55 @@ def compare_surveys(baseline: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
+def _shift_keys(share: float):
+    """Hashes of the last height - k rows (side 0) and the first height - k rows (side 1) of each content, for k from 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content, height, rows, hashes in zip(*(b.column(c).to_pylist() for c in ("content", "height", "idx", "hashes")), strict=True):
+                x, gap = np.zeros(height, np.int64), np.ones(height, np.int64)
+                x[rows], gap[rows] = hashes, 0
+                power, back = (np.cumprod(np.append(np.uint64(1), np.full(height, r, np.uint64)), dtype=np.uint64) for r in (_R, _R_INV))
+                sums = np.append(np.uint64(0), np.cumsum(x.view(np.uint64) * power[:-1], dtype=np.uint64))
+                gaps = np.append(0, np.cumsum(gap))
+                k = np.arange(1, int(height * share) + 1)
+                k = k[k < height]
+                last, first = (sums[height] - sums[k]) * back[k], sums[height - k]
+                whole = np.concatenate([gaps[height] == gaps[k], gaps[height - k] == 0])  # a missing row equals none
+                side = np.repeat([0, 1], len(k))[whole]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([content] * len(side), pa.string()), pa.array(np.full(len(side), height)), pa.array(np.tile(k, 2)[whole]), pa.array(side), pa.array(np.concatenate([last, first]).view(np.int64)[whole])],
+                    names=["content", "height", "k", "side", "key"],
+                )
+
+    return run
+
+
 def row_shift_pairs(rows: DataFrame, share: float = 0.5) -> DataFrame:
     """Frames of one geometry whose rows repeat at exactly one shift: ``later, earlier, k``.
 
     ``rows``: frame_id, height, row_idx, digest. A pair matches at k if all rows of later from k on equal those of
-    earlier up to height - k. Rows that agree are counted by shift; a full count is a match. Frames whose digests
-    repeat within them cannot verify and are left out first, so a digest meets few rows.
+    earlier up to height - k. Runs of rows meet by hash on (height, k) and are confirmed by their digests; a pair that
+    matches at several shifts is refused. Frames with equal rows all through match at k = 0 too and never verify with
+    each other, so each content is compared once, however many frames hold it.
     """
-    odd = rows.groupBy("frame_id", "digest").count().filter("count > 1").select("frame_id").distinct()
-    r = rows.join(odd, "frame_id", "left_anti")
-    a, b = r.alias("a"), r.alias("b")
-    met = a.join(b, F.expr("a.digest = b.digest and a.height = b.height and a.frame_id <> b.frame_id and a.row_idx >= b.row_idx"))
-    met = met.select(F.col("a.frame_id").alias("later"), F.col("b.frame_id").alias("earlier"), F.expr("a.row_idx - b.row_idx").alias("k"), F.col("a.height").alias("height"))
-    full = met.groupBy("later", "earlier", "k", "height").count().filter(f"count = height - k and k <= height * {share}")
-    unordered = full.withColumn("pair", F.array_sort(F.array("later", "earlier"))).withColumn("m", F.when(F.col("k") == 0, F.lit(None).cast("bigint")).otherwise(F.col("later")))
-    return unordered.groupBy("pair").agg(F.countDistinct(F.struct("m", "k")).alias("n"), F.max("k").alias("k"), F.max_by("later", "k").alias("later"), F.max_by("earlier", "k").alias("earlier")).filter("n = 1 and k >= 1").select("later", "earlier", "k")
+    kept = rows.filter("digest is not null and row_idx >= 0 and row_idx < height").withColumn("row_idx", F.col("row_idx").cast("int"))
+    whole = kept.groupBy("frame_id", F.col("height").cast("bigint").alias("height")).agg(F.sort_array(F.collect_list(F.struct("row_idx", "digest"))).alias("rows"))
+    whole = stored(whole.withColumn("content", F.sha2(F.to_json("rows"), 256)))
+    contents = whole.groupBy("height", "content").agg(F.first("rows").alias("rows"))
+    held = contents.select("content", "height", F.col("rows.row_idx").alias("idx"), F.transform("rows", lambda r: F.xxhash64(r["digest"])).alias("hashes"))
+    keys = stored(held.mapInArrow(_shift_keys(share), "content string, height bigint, k bigint, side bigint, key bigint"))
+    a, b = keys.filter("side = 0").alias("a"), keys.filter("side = 1").alias("b")
+    met = a.join(b, F.expr("a.height = b.height and a.k = b.k and a.key = b.key and a.content <> b.content"))
+    met = met.select("a.height", "a.k", F.col("a.content").alias("later"), F.col("b.content").alias("earlier"))
+    digests = contents.select("height", "content", F.col("rows.digest").alias("d"))
+    met = met.join(digests.withColumnsRenamed({"content": "later", "d": "x"}), ["height", "later"]).join(digests.withColumnsRenamed({"content": "earlier", "d": "y"}), ["height", "earlier"])
+    n = (F.col("height") - F.col("k")).cast("int")
+    full = met.filter(F.slice("x", -n, n) == F.slice("y", F.lit(1), n))
+    one = full.groupBy("height", F.array_sort(F.array("later", "earlier")).alias("pair")).agg(F.count("*").alias("n"), F.max("k").alias("k"), F.max("later").alias("later"), F.max("earlier").alias("earlier")).filter("n = 1")
+    frames = lambda side: whole.select("height", F.col("content").alias(side), F.col("frame_id").alias(f"{side}_frame"))
+    out = one.join(frames("later"), ["height", "later"]).join(frames("earlier"), ["height", "earlier"])
+    return out.select(F.col("later_frame").alias("later"), F.col("earlier_frame").alias("earlier"), "k")
 
 
 def key_difference(expected: DataFrame, present: DataFrame, key: str) -> DataFrame:

@@ -74,6 +74,16 @@ def test_row_shift_needs_one_shift_and_no_repeats(spark):
     assert got == [(1, 2, 10)]
 
 
+def test_row_shift_keeps_frames_with_equal_rows(spark):
+    line = [f"d{i}" for i in range(30)]
+    line[12] = line[15] = "blank"
+    frames = {1: line[:20], 2: line[10:], 3: line[10:]}  # 2 and 3 are one content
+    frames |= {4: ["p", "q"] * 10, 5: ["q", "p"] * 10}  # periodic: several shifts
+    rows = [(f, 20, i, d) for f, ds in frames.items() for i, d in enumerate(ds)]
+    got = sorted((r.later, r.earlier, r.k) for r in joins.row_shift_pairs(spark.createDataFrame(rows, "frame_id long, height int, row_idx int, digest string")).collect())
+    assert got == [(1, 2, 10), (1, 3, 10)]
+
+
 def test_survey_comparison_uses_a_new_record_once(spark):
     base = spark.createDataFrame([("a", True), ("b", True), ("c", None)], "base_id string, covered boolean")
     new = spark.createDataFrame([("n1", "a"), ("n2", "a"), ("n3", None)], "new_id string, matched_id string")
