@@ -1,14 +1,18 @@
 """LM scoring: Brown class-based n-grams.
 
-P(text) is the product over its tokens of P(class | class before) * P(token | its class). Words are items of
-their own if they are frequent, else they share the item of their last two bytes; exchange clustering moves
-items between classes while the likelihood of the class bigrams grows. Class transitions and emissions come from
-counts over all training documents, add-one smoothed within each class, so a word that was never seen has the
-mass of one occurrence in its class.
+P(text) is the product over its tokens of P(class | class before) * P(token | its class). Every word that occurs
+``LEAST`` times is an item of its own, rarer ones share the item of their last two bytes; exchange clustering moves
+items between classes while the likelihood of the class bigrams grows. The number of classes grows with the cube
+root of the number of items. The ``ITEMS`` most frequent words and the word ends are clustered first, one by one,
+and other words start spread over all classes; then all items are clustered, in rounds: the pairs of neighbours of all training documents meet the classes of both by join,
+each item's counts by neighbour class are summed by key, and half of the items (by hash) move at once to their best
+class. A round that lowers the likelihood is undone. Class transitions and emissions come from counts over all
+training documents, add-one smoothed within each class, so a word that was never seen has the mass of one
+occurrence in its class.
 
 Counts of words are exact and cover every training document: tasks count their words by hash, the counts are
-summed by key, and the counts of the words of a text come back by an equi-join (those of the ``COMMON`` most
-frequent words are sent along instead, a table of fixed size).
+summed by key, and the counts and classes of the words of a text come back by an equi-join (those of the ``COMMON``
+most frequent words are sent along instead, a table of fixed size).
 
 Defined results: null, empty and blank texts hold the end token only; a null doc_id counts as the empty id in
 the split; repeated rows each keep their row; with no training document every count is 0; an empty table gives an
@@ -17,6 +21,7 @@ empty result; other columns are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +32,10 @@ from pyspark.sql import functions as F
 from . import kernels
 from .common import stored
 
-#: Frequent words with an item of their own, items of word ends, classes, and words whose counts are sent along.
+#: Frequent words that are clustered first, items of word ends, least number of classes, and words whose counts are sent along.
 ITEMS, ENDS, CLASSES, COMMON = 512, 127, 32, 65_536
-SWEEPS = 12
+#: Occurrences from which a word has an item of its own; sweeps over the first items, rounds over all.
+LEAST, SWEEPS, ROUNDS = 3, 12, 4
 _END = np.uint64(0x0123456789ABCDEF)
 _FLUSH = 1 << 21
 
@@ -89,16 +95,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def _items(words: np.ndarray, own: np.ndarray, tails: np.ndarray) -> np.ndarray:
     """Item of each token: its place among ``own`` (sorted hashes), else the item of its word end; the end token is last."""
     at = np.minimum(np.searchsorted(own, words), max(0, len(own) - 1))
-    out = ITEMS + tails.astype(np.int64)
+    out = len(own) + tails.astype(np.int64)
     if len(own):
         hit = own[at] == words
         out[hit] = at[hit]
-    out[words == _END] = ITEMS + ENDS
+    out[words == _END] = len(own) + ENDS
     return out
 
 
 def _bigrams(own: np.ndarray):
-    kinds = ITEMS + ENDS + 1
+    kinds = len(own) + ENDS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(kinds * kinds, dtype=np.int64)
@@ -167,8 +173,152 @@ def exchange(table: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def _paired(common: np.ndarray):
+    """Counts of neighbouring words ``a, b``: a common word by its place among ``common`` (sorted hashes), others by hash."""
+
+    def sums(parts):
+        code, a, b, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(code, kind="stable")
+        code, a, b, n = code[order], a[order], b[order], n[order]
+        at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        return code[at], a[at], b[at], np.add.reduceat(n, at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, _, h, _, _ in _tokens(batch.column("text")):
+                if not len(h):
+                    continue
+                at, hit = _found(common, h)
+                key = np.where(hit, at, h.view(np.int64))
+                h0 = np.append(_END, h[:-1])  # every document ends in the end token, which so begins the next
+                at, hit = _found(common, h0[:1])
+                before = np.append(np.where(hit, at, h0[:1].view(np.int64)), key[:-1])
+                code = kernels.mix(h0 * np.uint64(0x9E3779B97F4A7C15) + kernels.mix(h))
+                held.append(sums([(code, before, key, np.ones(len(h), np.int64))]))
+                size += len(held[-1][0])
+                if size >= _FLUSH:
+                    held = [sums(held)]
+                    size = len(held[0][0])
+                    if size >= _FLUSH // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0][1:]], names=["a", "b", "n"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums(held)[1:]], names=["a", "b", "n"])
+
+    return run
+
+
+def _found(table: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each word in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+    at = np.minimum(np.searchsorted(table, words), len(table) - 1)
+    return at, table[at] == words
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def best_classes(own: np.ndarray, row: np.ndarray, col: np.ndarray, alone: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The class that each item would move to, all others as they are: the rule of ``exchange`` for many items.
+
+    ``own``: class of each item; ``row``, ``col``: its counts by class behind and before it, without ``alone``, its pairs
+    with itself. The last class takes none.
+    """
+    every, classes = np.arange(len(own)), len(grid)
+    out, into = grid.sum(1), grid.sum(0)
+    gain = np.zeros((len(own), classes))
+    for counts, table, across in ((row, grid, col), (col, grid.T, row)):
+        i, c = np.nonzero(counts)
+        if len(i):
+            m, base = counts[i, c][:, None], table[:, c].T
+            # what stands between class j and the item's own class loses the item's part
+            base = np.where((c == own[i])[:, None], base - across[i], base)
+            cut = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            gain[i[cut]] += np.add.reduceat(_f(base + m) - _f(base), cut, axis=0)
+    d = np.diag(grid)[None, :]
+    gain += _f(d + row + col + alone[:, None]) - _f(d + row) - _f(d + col) + _f(d)
+    n_out, n_in = row.sum(1) + alone, col.sum(1) + alone
+    gain -= _f(out + n_out[:, None]) - _f(out) + _f(into + n_in[:, None]) - _f(into)
+    # the class it is in
+    other = np.ones((len(own), classes), bool)
+    other[every, own] = False
+    stay = ((_f(grid[own]) - _f(grid[own] - row) + _f(grid[:, own].T) - _f(grid[:, own].T - col)) * other).sum(1)
+    home = grid[own, own]
+    stay += _f(home) - _f(home - row[every, own] - col[every, own] - alone)
+    stay -= _f(out[own]) - _f(out[own] - n_out) + _f(into[own]) - _f(into[own] - n_in)
+    gain[every, own] = stay
+    gain[:, -1] = -np.inf
+    best = gain.argmax(1)
+    return np.where(gain[every, best] > stay + 1e-9, best, own)
+
+
+def _moves(grid: np.ndarray):
+    classes = len(grid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                b = batch.slice(first, 512)
+                item, own, lists = np.asarray(b.column("item")), np.asarray(b.column("g")).astype(np.int64), b.column("seen")
+                i = np.repeat(np.arange(len(item)), np.asarray(lists.value_lengths()))
+                seen = lists.flatten()
+                table = np.zeros((len(item), 3 * classes))
+                table[i, np.asarray(seen.field("code"))] = np.asarray(seen.field("n"))
+                new = best_classes(own, table[:, :classes], table[:, classes : 2 * classes], table[:, 2 * classes :].sum(1), grid)
+                moved = np.flatnonzero(new != own)
+                yield pa.RecordBatch.from_arrays([pa.array(item[moved]), pa.array(new[moved].astype(np.int32))], names=["item", "to"])
+
+    return run
+
+
+def _likelihood(grid: np.ndarray) -> float:
+    return float(_f(grid).sum() - _f(grid.sum(0)).sum() - _f(grid.sum(1)).sum())
+
+
+def cluster(pairs: DataFrame, words: DataFrame, classes: int, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
+    """``words`` (word, n, tail, item, place, g) with g after rounds of exchange over all items, and the class bigrams."""
+
+    def classed(df, side):
+        common = words.filter("place is not null").select(F.col("place").cast("long").alias(side), F.col("item").alias(f"i{side}"), F.col("g").alias(f"g{side}"))
+        rest = words.filter("place is null").select(F.col("word").alias(side), F.col("item").alias(f"i{side}"), F.col("g").alias(f"g{side}"))
+        near = F.col(side).between(0, COMMON - 1)
+        return df.filter(near).join(F.broadcast(common), side).drop(side).unionByName(df.filter(~near).join(rest, side).drop(side))
+
+    def counted(x):
+        grid = np.zeros((classes, classes))
+        for r in x.groupBy("ga", "gb").agg(F.sum("n").alias("n")).collect():
+            grid[r.ga, r.gb] = r.n
+        return grid
+
+    before = None
+    for k in range(rounds):
+        x = classed(classed(pairs, "a"), "b")
+        same = F.col("ia") == F.col("ib")
+        end = lambda item, own, code: F.struct(F.col(item).alias("item"), F.col(own).alias("g"), code.cast("int").alias("code"))
+        ends = F.when(same, F.array(end("ia", "ga", F.col("gb") + 2 * classes))).otherwise(F.array(end("ia", "ga", F.col("gb")), end("ib", "gb", F.col("ga") + classes)))
+        x = x.select(F.explode(ends).alias("e"), "n").groupBy("e.item", "e.g", "e.code").agg(F.sum("n").alias("n"))
+        seen = stored(x.groupBy("item", "g").agg(F.collect_list(F.struct("code", "n")).alias("seen")))
+        grid = counted(seen.select("g", F.explode("seen").alias("e")).filter(f"e.code < {classes} or e.code >= {2 * classes}").select(F.col("g").alias("ga"), (F.col("e.code") % classes).alias("gb"), "e.n"))
+        if before and _likelihood(grid) < _likelihood(before[1]):
+            return before
+        before = words, grid
+        half = seen.filter((F.pmod(F.xxhash64("item"), F.lit(2)) == k % 2) & (F.col("g") < classes - 1))
+        moves = stored(half.mapInArrow(_moves(grid), "item long, to int"))
+        ends_to = {r.item: r.to for r in moves.filter(F.col("item").between(-ENDS, -1)).collect()}
+        tails = F.element_at(F.array(*[F.lit(ends_to.get(-1 - t)).cast("int") for t in range(ENDS + 1)]), F.col("tail") + 1)
+        words = stored(words.join(moves.withColumnRenamed("item", "word"), "word", "left").withColumn("g", F.coalesce(F.when(F.col("item") == F.col("word"), F.col("to")).otherwise(tails), "g")).drop("to"))
+    grid = counted(classed(classed(pairs, "a"), "b"))
+    return before if before and _likelihood(grid) < _likelihood(before[1]) else (words, grid)
+
+
 def _scored(model: dict):
-    """A row for each document with what is known in the task, and rows (rid, word, tf) of the words to look up."""
+    """A row for each document with what is known in the task, and rows (rid, word, pos) of the words to look up.
+
+    ``before``, ``behind``: classes of the words next to it; -1 where they are to be looked up too, -2 for none.
+    """
     own, common, common_n = model["own"], model["common"], model["common_n"]
     of, step = model["class_of"], model["step"]
 
@@ -179,72 +329,117 @@ def _scored(model: dict):
                 docs = end - first
                 if not docs:
                     continue
-                cls = of[_items(h, own, g)]
-                before = np.append(len(step) - 1, cls[:-1])
+                spot, hit = _found(common, h)
+                tail = of[_items(h, own, g)]
+                cls = np.where(hit, tail, -1)
+                before = np.append(-1, cls[:-1])
+                before[at[:-1]] = len(step) - 1
+                behind = np.append(cls[1:], -2)
+                behind[at[1:] - 1] = -2
                 doc = np.repeat(np.arange(docs), np.diff(at))
-                path = np.add.reduceat(step[before, cls], at[:-1])
-                if len(common):
-                    spot = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    hit = common[spot] == h
-                else:
-                    spot, hit = np.zeros(len(h), np.int64), np.zeros(len(h), dtype=bool)
+                path = np.add.reduceat(np.where((before >= 0) & hit, step[before, cls], 0.0), at[:-1])
                 n = common_n[spot[hit]] if len(common) else np.zeros(0)
                 logs = np.bincount(doc[hit], weights=np.log10(n + 1.0), minlength=docs)
                 known = np.bincount(doc[hit], weights=n > 0, minlength=docs)
-                order = np.lexsort((h[~hit], doc[~hit]))
-                w, d = h[~hit][order], doc[~hit][order]
-                cut = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (d[1:] != d[:-1]))) if len(w) else np.zeros(0, np.int64)
+                ask = np.flatnonzero(~hit)
                 own_rid = rid[first:end]
                 z = lambda k, t: np.zeros(k, t)
+                none = np.full(docs, -2)
+                both = lambda x, y, t: pa.array(np.concatenate([x, y]).astype(t))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([own_rid, own_rid[d[cut]]])),
+                        both(own_rid, own_rid[doc[ask]], np.int64),
                         # a document's own row finds no count: it is spread by its id
-                        pa.array(np.concatenate([kernels.mix(own_rid.astype(np.uint64)).view(np.int64), w[cut].view(np.int64)])),
-                        pa.array(np.concatenate([z(docs, np.int64), np.diff(np.append(cut, len(w)))]).astype(np.int32)),
-                        pa.array(np.concatenate([np.diff(at), z(len(cut), np.int64)])),
-                        pa.array(np.concatenate([known.astype(np.int64), z(len(cut), np.int64)])),
-                        pa.array(np.concatenate([logs, z(len(cut), float)])),
-                        pa.array(np.concatenate([path, z(len(cut), float)])),
+                        both(kernels.mix(own_rid.astype(np.uint64)).view(np.int64), h[ask].view(np.int64), np.int64),
+                        both(none, ask - at[doc[ask]], np.int32),
+                        both(none, before[ask], np.int16),
+                        both(none, behind[ask], np.int16),
+                        both(none, tail[ask], np.int16),
+                        both(np.diff(at), z(len(ask), np.int64), np.int64),
+                        both(known, z(len(ask), float), np.int64),
+                        both(logs, z(len(ask), float), float),
+                        both(path, z(len(ask), float), float),
                     ],
-                    names=["rid", "word", "tf", "n_tokens", "n_known", "logs", "path"],
+                    names=["rid", "word", "pos", "before", "behind", "g", "n_tokens", "n_known", "logs", "path"],
                 )
 
     return run
 
 
+def _looked_up(step: np.ndarray):
+    """Transitions of a word that was looked up to neighbours of known class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            before, behind, g = (np.asarray(b.column(c)).astype(np.int64) for c in ("before", "behind", "g"))
+            path = np.asarray(b.column("path")) + np.where(before >= 0, step[before, g], 0.0) + np.where(behind >= 0, step[g, behind], 0.0)
+            ask = (before == -1) | (behind == -1)
+            names = ["rid", "pos", "g", "n_tokens", "n_known", "logs"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(path), pa.array(ask)], names=[*names, "path", "ask"])
+
+    return run
+
+
+def _linked(step: np.ndarray):
+    """Transitions between words that were both looked up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, path = b.column("asked"), np.asarray(b.column("path")).copy()
+            seen, doc = lists.flatten(), np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths()))
+            pos, g = np.asarray(seen.field("pos")), np.asarray(seen.field("g"))
+            next_to = np.flatnonzero((doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1] + 1))
+            np.add.at(path, doc[next_to], step[g[next_to], g[next_to + 1]])
+            names = ["rid", "n_tokens", "n_known", "logs"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(path)], names=[*names, "path"])
+
+    return run
+
+
 def fit(train: DataFrame, counts: DataFrame) -> dict:
-    """Items, classes and smoothed tables; all that comes to the driver is bounded by ITEMS, ENDS and COMMON."""
-    end = int(np.array([_END]).view(np.int64)[0])
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    """Classes of all words and smoothed tables; the driver holds COMMON words, the first items and the class bigrams."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") >= LEAST).alias("items")).first()
+    classes = max(CLASSES, math.ceil(total["items"] ** (1 / 3)))
     top = counts.orderBy(F.col("n").desc(), "word").limit(COMMON).toArrow()
     words, n = np.asarray(top["word"]).view(np.uint64), np.asarray(top["n"])
     own = np.sort(words[np.argsort(-n, kind="stable")][: ITEMS + 1])
     own = own[own != _END][:ITEMS]
-    order = np.argsort(words)
-    kinds = ITEMS + ENDS + 1
+    kinds = len(own) + ENDS + 1
     table = np.zeros(kinds * kinds)
     for r in train.select("text").mapInArrow(_bigrams(own), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         table[r.code] = r.n
-    table = table.reshape(kinds, kinds)
-    of = exchange(table)
-    hot = np.eye(CLASSES)[of]
-    grid = hot.T @ table @ hot
-    step = np.log10((grid + 0.1) / (grid.sum(1, keepdims=True) + 0.1 * CLASSES))
-    # tokens and distinct words of each class: frequent words by themselves, the others by word end
-    listed = [int(x) for x in own.view(np.int64)] + [end]
-    mass, kinds_in = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.filter(~F.col("word").isin(listed)).groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        mass[of[ITEMS + r.tail]] += r.n
-        kinds_in[of[ITEMS + r.tail]] += r.v
-    for w, c in zip(words, n, strict=True):
-        if w == _END or (len(own) and own[min(np.searchsorted(own, w), len(own) - 1)] == w):
-            g = of[_items(np.array([w]), own, np.array([0]))[0]]
-            mass[g] += c
-            kinds_in[g] += 1
+    of = exchange(table.reshape(kinds, kinds), classes)
+    order = np.argsort(words)
+    common, common_n = words[order], n[order]
+    # every word with its item (rare ones: that of their end), its place among the common ones and its first class
+    at, hit = _found(own, common)
+    first = of[at] if len(own) else at
+    rows = [(int(w), i, int(g) if h else None) for i, (w, g, h) in enumerate(zip(common.view(np.int64), first, hit, strict=True))]
+    listed = F.broadcast(counts.sparkSession.createDataFrame(rows, "word long, place int, first int"))
+    ends = F.element_at(F.array(*[F.lit(int(g)) for g in of[len(own) :]]), F.col("tail").cast("int") + 1)
+    item = F.when((F.col("n") >= LEAST) | (F.col("tail") == ENDS), F.col("word")).otherwise(-1 - F.col("tail").cast("long"))
+    spread = F.pmod(F.xxhash64("word"), F.lit(classes - 1))  # from one class all would leave for the same one
+    every = counts.join(listed, "word", "left").select("word", "n", F.col("tail").cast("int").alias("tail"), item.alias("item"), "place", F.when((item != F.col("word")) | (F.col("tail") == ENDS), ends).otherwise(F.coalesce("first", spread)).cast("int").alias("g"))
+    pairs = stored(train.select("text").mapInArrow(_paired(common), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    every, grid = cluster(pairs, stored(every), classes)
+    step = np.log10((grid + 0.1) / (grid.sum(1, keepdims=True) + 0.1 * classes))
+    # tokens and distinct words of each class
+    mass, kinds_in = np.zeros(classes), np.zeros(classes)
+    for r in every.groupBy("g").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        mass[r.g], kinds_in[r.g] = r.n, r.v
     # log10 P(token | class) is log10(count + 1) less the class's denominator, which joins the transition into it
     step = step - np.log10(mass + kinds_in + 1.0)[None, :]
-    return {"own": own, "common": words[order], "common_n": n[order], "class_of": of, "step": step, "n": int(total.n), "v": int(total.v)}
+    # classes of the common words, and of the ends for all that is rare or new
+    tails = of[len(own) :].copy()
+    for r in every.filter("item < 0").groupBy("item").agg(F.min("g").alias("g")).filter(F.col("item").between(-ENDS, -1)).collect():
+        tails[-1 - r.item] = r.g
+    near = every.filter("place is not null and item = word").select("word", "g").toArrow()
+    listed, g = np.asarray(near["word"]).view(np.uint64), np.asarray(near["g"])
+    order = np.argsort(listed)
+    return {
+        "own": listed[order], "common": common, "common_n": common_n, "class_of": np.concatenate([g[order], tails]).astype(np.int64), "step": step, "n": int(total["n"]), "v": int(total["v"]),
+        "words": every.select("word", F.col("n").alias("c"), F.col("g").alias("of")),
+    }
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:
@@ -255,15 +450,15 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     train = docs.filter(train_row())
     counts = stored(word_counts(train))
     model = fit(train, counts)
-    rows = docs.select("rid", "text").mapInArrow(_scored(model), "rid long, word long, tf int, n_tokens long, n_known long, logs double, path double")
-    rows = rows.join(counts.select("word", F.col("n").alias("c")), "word", "left")
+    rows = docs.select("rid", "text").mapInArrow(_scored(model), "rid long, word long, pos int, before short, behind short, g short, n_tokens long, n_known long, logs double, path double")
     c = F.coalesce("c", F.lit(0))
-    out = rows.groupBy("rid").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("tf")).otherwise(0)).cast("long").alias("n_known"),
-        F.sum(F.col("logs") + F.col("tf") * F.log10(c + 1.0)).alias("logs"),
-        F.sum("path").alias("path"),
-    )
+    rows = rows.join(model["words"], "word", "left").select(
+        "rid", "pos", "before", "behind", F.coalesce("of", "g").cast("int").alias("g"), "n_tokens", (F.col("n_known") + F.when(c > 0, 1).otherwise(0)).alias("n_known"), (F.col("logs") + F.log10(c + 1.0)).alias("logs"), "path",
+    )
+    rows = rows.mapInArrow(_looked_up(model["step"]), "rid long, pos int, g int, n_tokens long, n_known long, logs double, path double, ask boolean")
+    asked = F.sort_array(F.collect_list(F.when(F.col("ask"), F.struct("pos", "g")))).alias("asked")
+    out = rows.groupBy("rid").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("logs").alias("logs"), F.sum("path").alias("path"), asked)
+    out = out.mapInArrow(_linked(model["step"]), "rid long, n_tokens long, n_known long, logs double, path double")
     out = out.select(
         "rid", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(model["n"] + model["v"] + 1)))).alias("base_score"), (F.col("logs") + F.col("path")).alias("score"),

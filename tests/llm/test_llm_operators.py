@@ -412,6 +412,56 @@ def test_exchange_raises_the_likelihood():
     assert gain(got) > gain(start) and gain(got) >= gain(np.append(true[:-1], 4)) - 1e-6
 
 
+def test_every_word_is_clustered_by_its_neighbours(spark, monkeypatch):
+    """Words of two kinds take turns; their ends say nothing, and most are neither frequent nor sent along."""
+    monkeypatch.setattr(brown_lm, "ITEMS", 20)
+    monkeypatch.setattr(brown_lm, "COMMON", 60)
+    rng = random.Random(3)
+    left, right = ([f"{kind}{i}{'abc'[i % 3]}zz" for i in range(150)] for kind in "lr")
+    texts = [" ".join(rng.choice((left, right)[k % 2][: 10 if rng.random() < 0.5 else None]) for k in range(60)) for _ in range(300)]
+    docs = frame(spark, texts)
+    train = docs.filter(brown_lm.train_row())
+    counts = brown_lm.word_counts(train)
+    model = brown_lm.fit(train, counts)
+    of = {r.word: r.of for r in model["words"].collect()}
+    kinds = []
+    for side in (left, right):
+        raw = " ".join(side).encode()
+        data = np.frombuffer(raw, np.uint8)
+        start, end, _ = kernels.words(data, np.array([0, len(raw)]))
+        kinds.append(Counter(of[int(h)] for h in kernels.word_hashes(data, start, end).view(np.int64)))
+    assert sum(max(kinds[0][g], kinds[1][g]) for g in kinds[0] | kinds[1]) > 0.95 * 300
+    # the score is the path through the classes, whether words were sent along or looked up
+    row = next(r for r in brown_lm.score_corpus(docs).collect() if r.doc_id == 0)
+    raw = texts[0].encode()
+    data = np.frombuffer(raw, np.uint8)
+    start, end, _ = kernels.words(data, np.array([0, len(raw)]))
+    c = {r.word: r.n for r in counts.collect()}
+    hashes = [*kernels.word_hashes(data, start, end).view(np.int64).tolist(), int(np.array([brown_lm._END]).view(np.int64)[0])]
+    cls = [len(model["step"]) - 1, *(of[h] for h in hashes)]
+    assert row.score == pytest.approx(sum(math.log10(c[h] + 1) for h in hashes) + sum(model["step"][a, b] for a, b in zip(cls, cls[1:])))
+
+
+def test_best_classes_follow_exchange():
+    rng = np.random.default_rng(2)
+    kinds, classes = 30, 5
+    table, of = rng.poisson(3, (kinds, kinds)).astype(float), np.append(np.arange(kinds - 1) % (classes - 1), classes - 1)
+
+    def likelihood(of):
+        hot = np.eye(classes)[of]
+        return brown_lm._likelihood(hot.T @ table @ hot)
+
+    hot = np.eye(classes)[of]
+    alone = np.diag(table)
+    row, col = (table @ hot)[:-1], (table.T @ hot)[:-1]
+    row[np.arange(kinds - 1), of[:-1]] -= alone[:-1]
+    col[np.arange(kinds - 1), of[:-1]] -= alone[:-1]
+    got = brown_lm.best_classes(of[:-1], row, col, alone[:-1], hot.T @ table @ hot)
+    for i in range(kinds - 1):
+        to = [likelihood(np.where(np.arange(kinds) == i, g, of)) for g in range(classes - 1)]
+        assert to[got[i]] == pytest.approx(max(to), abs=1e-6)
+
+
 # ---- 7: BPE
 
 
