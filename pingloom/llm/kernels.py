@@ -18,6 +18,8 @@ SLICE_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240131))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = 64
+_AT = _rng.integers(0, 1 << 64, _PLACES * 256, dtype=np.uint64)
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE = np.zeros(256, dtype=bool)
@@ -121,7 +123,22 @@ def words(data: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tu
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return Sums(_BYTE[data]).ranges(start, end)
+    """Hash of the bytes start..end of each word (ascending, disjoint): each byte is mixed with its place before they are summed.
+
+    A polynomial modulo 2^64 would give some pairs of long words (Thue-Morse sequences) the same sum.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    first = int(start[0])
+    place = np.arange(first, len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))
+    spot = (np.minimum(place, _PLACES - 1) << 8) | data[first:]
+    value = _AT[spot]
+    far = np.flatnonzero(place >= _PLACES - 1)
+    if len(far):
+        value[far] = mix(_BYTE[data[first + far]] + place[far].astype(np.uint64) * _R)
+    total = np.zeros(len(value) + 1, dtype=np.uint64)
+    np.cumsum(value, out=total[1:])
+    return mix(total[end - first] - total[start - first] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -146,16 +163,15 @@ def anchors(tokens: np.ndarray, offs: np.ndarray, window: int, gram: int) -> dic
     """Cut the windows of each document into runs that share their smallest gram.
 
     Every window of ``window`` tokens picks the smallest hash among its grams, so equal windows pick the same
-    gram at the same place. Gives one entry for each run: ``gram`` (hash of the anchor), ``seg`` (hash of all
-    tokens that the run's windows cover, with the anchor's place and the run's length), ``doc`` (index),
-    ``lo`` (first window start within the document), ``span`` (number of windows) and ``off`` (anchor - lo).
+    gram at the same place. Gives one entry for each run: ``gram`` (hash of the anchor), ``doc`` (index), ``lo``
+    (first window start within the document), ``span`` (number of windows), ``off`` (anchor - lo) and ``at`` (the
+    anchor's place among ``tokens``).
     """
     n = len(tokens)
-    none = {k: np.zeros(0, np.uint64 if k in ("gram", "seg") else np.int64) for k in ("gram", "seg", "doc", "lo", "span", "off")}
+    none = {k: np.zeros(0, np.uint64 if k == "gram" else np.int64) for k in ("gram", "doc", "lo", "span", "off", "at")}
     if n < window:
         return none
-    sums = Sums(tokens)
-    grams = sums.fixed(gram)
+    grams = Sums(tokens).fixed(gram)
     pick = sliding_argmin(grams, window - gram + 1)
     lens = np.diff(offs)
     starts = np.arange(n - window + 1)
@@ -169,5 +185,4 @@ def anchors(tokens: np.ndarray, offs: np.ndarray, window: int, gram: int) -> dic
     lo, anchor = starts[at], pick[at]
     span = np.diff(np.append(at, len(starts)))
     doc = np.searchsorted(offs, lo, "right") - 1
-    seg = mix(sums.ranges(lo, lo + span - 1 + window) + ((anchor - lo) * 1_000_003 + span).astype(np.uint64))
-    return {"gram": grams[anchor], "seg": seg, "doc": doc, "lo": lo - offs[doc], "span": span, "off": anchor - lo}
+    return {"gram": grams[anchor], "doc": doc, "lo": lo - offs[doc], "span": span, "off": anchor - lo, "at": anchor}

@@ -1,14 +1,17 @@
 """Substring dedup: prefix-partitioned suffix trees over words.
 
-``repeats`` leaves a sparse set of suffixes (entries), 20 words deep. They are dealt into groups by prefixes of
-varying length: a prefix that too many suffixes share (by a bounded sample) is split by its next word, again and
-again, but never beyond the words that equal windows must share. A group fits a task's memory; its suffixes,
-sorted, with their common prefixes give the suffix tree of the group, whose internal nodes are built bottom up.
-The leaves below a node of depth d share d words: nodes deep enough give the repeats.
-
-Defined results: a null text has no words; documents of fewer words than the window keep all; repeated rows are
-documents of their own, where a row that equals another in id and text counts as the later one for one of the
-two; an empty table gives an empty result; other columns are left out by ``substring_dedup``.
+``repeats`` leaves out suffixes that cannot repeat; it decides nothing else. The others, 20 words deep, are dealt
+into groups by prefixes of varying length: by their first word; where that begins too many (by exact count), by
+the words of the gram that equal windows share; where the gram is hot, as single windows by all their words. So a
+group fits a task's memory at any size of the corpus; its suffixes, sorted, with their common prefixes give the
+suffix tree of the group, whose internal nodes are built bottom up. The leaves below a node of depth d share d
+words: nodes deep enough give the repeats.
+
+Defined results: a null text has no words; documents of fewer words than the window keep all; a very long text is cut
+into runs piece by piece (about 30 bytes of memory a byte); of equal texts the one with the smallest id keeps its
+words; repeated rows are documents of their own, where a row that equals another in id and text counts as the later
+one for one of the two; an empty table gives an empty result; other columns are left out unless named in ``carry``,
+where names of result columns are refused.
 """
 
 from __future__ import annotations
@@ -25,60 +28,45 @@ from pyspark.sql import functions as F
 from . import kernels, repeats
 from .common import stored, with_doc_id, with_rid
 
-PLAN = repeats.Plan("words", 20, 6, 8)
-#: Entries in a group, and edges sampled to find heavy prefixes.
-GROUP = 30_000
-SAMPLE = 4000
-
-
-def _prefix_hashes(e: dict, words: int) -> np.ndarray:
-    head = np.ascontiguousarray(e["suffix"][:, : words * PLAN.width])
-    n = head.shape[1]
-    return kernels.Sums(kernels.byte_tokens(head.ravel())).ranges(np.arange(len(head)) * n, (np.arange(len(head)) + 1) * n)
-
-
-def _group_keys(e: dict, heavy: list[np.ndarray]) -> np.ndarray:
-    """Hash of each suffix's prefix: as long as needed to leave the heavy prefixes (``heavy[k]``: those of k + 1 words)."""
-    key = _prefix_hashes(e, 1)
-    open_ = np.ones(len(key), dtype=bool)
-    for k, some in enumerate(heavy):
-        open_ &= np.isin(key, some)
-        if not open_.any():
-            break
-        key = np.where(open_, _prefix_hashes(e, k + 2), key)
-    return key
-
-
-def _heavy_prefixes(docs: DataFrame, runs: DataFrame) -> tuple[list[np.ndarray], int, np.ndarray]:
-    """Prefixes that hold more than half a group's share of the sampled suffixes, by length; the number of groups; hot heads."""
-    groups = max(1, -(-2 * runs.filter(F.col("kind") == repeats.EDGE).count() // GROUP))
-    sample = repeats.sample_entries(docs, runs, PLAN, SAMPLE) if groups > 1 else None
-    if sample is None:
-        return [], 1, np.zeros(0, "S1")
-    hot = repeats.hot_heads(PLAN, sample, groups)
-    e = repeats.joined(list(repeats.split_hot(PLAN, sample, hot)))
-    heavy, share = [], max(2.0, len(e["depth"]) / groups / 2)
-    for k in range(PLAN.window - PLAN.step):
-        keys, count = np.unique(prefix := _prefix_hashes(e, k + 1), return_counts=True)
-        heavy.append(keys[count > share])
-        e = repeats.taken(e, np.isin(prefix, heavy[-1]))
-        if not len(e["depth"]):
-            break
-    return heavy, groups, hot
-
-
-def _dealt(heavy: list[np.ndarray], groups: int, hot: np.ndarray):
+PLAN = repeats.Plan("words", 20, 6)
+#: Entries in a group (about), and heavy first words that are sent to all tasks at most.
+GROUP = 100_000
+MOST_HEAVY = 1_000_000
+
+
+def _first_codes(e: dict) -> np.ndarray:
+    """The first word of each suffix as a number."""
+    head = np.zeros((len(e["depth"]), 8), np.uint8)
+    head[:, 2:] = e["suffix"][:, : PLAN.width]
+    return head.view(">u8").ravel().astype(np.uint64)
+
+
+def _heavy_words(runs: DataFrame, size: int) -> np.ndarray:
+    """Codes of words that begin more suffixes than half a group holds: the most frequent ``MOST_HEAVY`` at most."""
+    count = runs.filter(F.col("kind") == repeats.EDGE).groupBy("first").count().filter(F.col("count") > size // 2)
+    rows = count.orderBy(F.col("count").desc(), "first").limit(MOST_HEAVY).select("first").toArrow()
+    return np.unique(np.asarray(rows["first"].combine_chunks()).astype(np.int64).view(np.uint64) >> np.uint64(16))
+
+
+def _dealt(heavy: np.ndarray, groups: int, hot: np.ndarray):
+    def key(e: dict) -> np.ndarray:
+        first = _first_codes(e)
+        if e["single"]:
+            return repeats.hashed(repeats.heads(PLAN, e))
+        return np.where(np.isin(first, heavy), repeats.hashed(repeats.heads(PLAN, e)), kernels.mix(first))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in repeats.entries(PLAN, batches):
-            for e in repeats.split_hot(PLAN, whole, hot):
+        for whole in repeats.entries(PLAN, batches, hot):
+            for e in repeats.split_hot(PLAN, whole):
                 e, gone = repeats.collapse(repeats.taken(e, repeats.in_order(e)))
-                part = (_group_keys(e, heavy) % np.uint64(groups)).astype(np.int64)
+                part = (key(e) % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[order], np.arange(groups + 1))
-                rows = [(g, repeats.pack(repeats.taken(e, order[cut[g] : cut[g + 1]])), b"") for g in np.flatnonzero(np.diff(cut)).tolist()]
+                part = part[order]
+                begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+                rows = [(int(part[a]), repeats.pack(repeats.taken(e, order[a:z])), b"") for a, z in zip(begin.tolist(), np.append(begin[1:], len(part)).tolist(), strict=True)]
                 if len(gone[0]):
                     rows.append((int(gone[0][0]) % groups, b"", repeats.pack(gone)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "entries", "gone"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "entries", "gone"])
 
     return run
 
@@ -114,7 +102,7 @@ def internal_nodes(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
 def _by_nodes(lcp: np.ndarray, least: int, known: dict) -> np.ndarray:
     """Stretches of leaves that share ``least`` words: the node on each leaf's path where that depth is passed."""
     if known.get("of") is not lcp:
-        known.update(of=lcp, nodes=internal_nodes(lcp, PLAN.window - PLAN.step + 1))
+        known.update(of=lcp, nodes=internal_nodes(lcp, PLAN.gram))
     left, right, depth, above = known["nodes"]
     out = -1 - np.arange(len(lcp))  # a leaf of its own
     pick = np.flatnonzero((depth >= least) & (above < least))
@@ -128,7 +116,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = repeats.unpack
 
     def out():
-        e = repeats.joined([unpack(x) for x in held])
+        e = repeats.joined([{k: v for k, v in unpack(x).items() if k != "single"} for x in held])
         e = repeats.taken(e, repeats.in_order(e))
         known: dict = {}
         return repeats.spans([repeats.repeated(PLAN, e, repeats.common_prefix(PLAN, e), lambda lcp, least: _by_nodes(lcp, least, known))])
@@ -165,15 +153,20 @@ def _kept(with_text: bool, carry: tuple[str, ...]):
     return run
 
 
-def substring_dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (), size: int = GROUP, limit: int = repeats.HOT) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, kept_sha256, and the columns of ``carry``.
 
+    ``size`` entries a group and ``limit`` runs of a gram that is not hot shape the work only.
+
     With ``with_text`` also kept_text: the kept words joined by spaces, or the text as it is if no word goes.
     """
+    if clash := {"rid", "doc_id", "text", "spans", "n_words", "n_removed", "kept_sha256", "kept_text"} & set(carry):
+        raise ValueError(f"carried columns have names of the result: {sorted(clash)}")
     docs, ids = with_rid(docs, carry)
-    runs = stored(repeats.find_runs(docs, PLAN))
-    dealt = repeats.with_edges(docs, runs).mapInArrow(_dealt(*_heavy_prefixes(docs, runs)), "part int, entries binary, gone binary")
+    runs = stored(repeats.find_runs(docs, PLAN, limit))
+    hot, total = repeats.hot_grams(runs), runs.filter(F.col("kind") == repeats.EDGE).count()
+    dealt = repeats.with_edges(docs, runs).mapInArrow(_dealt(_heavy_words(runs, size), max(1, -(-total // size)), hot), "part long, entries binary, gone binary")
     found = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_searched, repeats.SPANS)
     carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    out = repeats.with_spans(docs, runs, found).mapInArrow(_kept(with_text, carry), f"rid long, {carried}n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    out = repeats.with_spans(docs, found).mapInArrow(_kept(with_text, carry), f"rid long, {carried}n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     return with_doc_id(out, ids)

@@ -1,14 +1,20 @@
 """Suffix-array dedup: a distributed merge sort of suffixes that exchanges front-coded runs.
 
-``repeats`` leaves a sparse set of suffixes (entries) to compare. Tasks sort theirs into runs, cut the runs at
-common splitters and front-code them: for each suffix the number of bytes shared with the one before and the
-rest. The task of a range merges its runs with a loser tree whose players carry the prefix that they are known
-to share with the last winner: a comparison starts behind it and never reads known bytes again. The merged
-order with its common prefixes is the (sparse) suffix array with its LCP array, from which equal windows follow.
-
-Defined results: a null text is empty; an empty text has no window; repeated rows are documents of their own,
-where a row that equals another in id and text counts as the later one for one of the two; an empty table gives
-an empty result; other columns are left out.
+``repeats`` leaves out suffixes that cannot repeat; it decides nothing else. Tasks sort the others into runs, drop
+those that equal an earlier one of the run, cut the runs at common splitters and front-code them: for each suffix
+the number of bytes shared with the one before and the rest. The task of a range merges its runs with a loser tree
+whose players carry the prefix that they are known to share with the last winner: a comparison starts behind it
+and never reads known bytes again. The merged order with its common prefixes is the (sparse) suffix array with its
+LCP array, from which equal windows follow.
+
+Balance: splitters are quantiles of a sample that grows with the number of ranges. Beyond ``MOST_RANGES`` ranges,
+each is cut into slices by hash of what equal windows share, so no group grows with the corpus and the driver
+holds at most ``SAMPLED`` heads a range. Hot grams, by exact count, are cut into single windows.
+
+Defined results: a null text is empty; an empty text has no window; a very long text is cut into runs piece by piece
+(about 16 bytes of memory a byte); of equal texts the one with the smallest id keeps its bytes; repeated rows are
+documents of their own, where a row that equals another in id and text counts as the later one for one of the two;
+an empty table gives an empty result; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -24,10 +30,11 @@ from pyspark.sql import functions as F
 from . import repeats
 from .common import stored, with_doc_id, with_rid
 
-PLAN = repeats.Plan("bytes", 100, 24, 16)
-#: Entries in a range of the merge, and edges sampled for its splitters.
-RANGE = 30_000
-SAMPLE = 4000
+PLAN = repeats.Plan("bytes", 100, 24)
+#: Entries in a range of the merge (about), ranges at most, and heads sampled for each range.
+RANGE = 100_000
+MOST_RANGES = 4096
+SAMPLED = 32
 
 
 def front_code(e: dict, lcp: np.ndarray) -> bytes:
@@ -124,16 +131,22 @@ def merge(blobs: list[bytes]) -> tuple[dict, np.ndarray]:
     return repeats.taken(bodies, start), np.array(lcps, dtype=np.int64)
 
 
-def _sorted_runs(splitters: list[bytes], hot: np.ndarray):
+def _sorted_runs(splitters: list[bytes], slices: int, hot: np.ndarray):
     cuts = np.array(splitters, dtype=f"S{PLAN.window}")
+    parts = (len(cuts) + 1) * slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in repeats.entries(PLAN, batches):
-            for e in repeats.split_hot(PLAN, whole, hot):
+        for whole in repeats.entries(PLAN, batches, hot):
+            for e in repeats.split_hot(PLAN, whole):
                 e, gone = repeats.collapse(repeats.taken(e, repeats.in_order(e)))
+                # equal stretches must meet: a suffix goes by the bytes that every stretch shares
+                head = repeats.heads(PLAN, e)
+                part = np.searchsorted(cuts, head, "right") * slices
+                if slices > 1:
+                    part += (repeats.hashed(head) % np.uint64(slices)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    e, part = repeats.taken(e, order), part[order]
                 lcp = repeats.common_prefix(PLAN, e)
-                # equal stretches must meet: a suffix goes by its first bytes, as many as every stretch shares
-                part = np.searchsorted(cuts, repeats.heads(PLAN, e), "right")
                 begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
                 rows = []
                 for a, z in zip(begin, np.append(begin[1:], len(part)), strict=True):
@@ -141,8 +154,8 @@ def _sorted_runs(splitters: list[bytes], hot: np.ndarray):
                     own[0] = 0
                     rows.append((int(part[a]), front_code(repeats.taken(e, slice(a, z)), own), b""))
                 if len(gone[0]):
-                    rows.append((int(gone[0][0]) % (len(cuts) + 1), b"", repeats.pack(gone)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "run", "gone"])
+                    rows.append((int(gone[0][0]) % parts, b"", repeats.pack(gone)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "run", "gone"])
 
     return run
 
@@ -169,15 +182,18 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _splitters(docs: DataFrame, runs: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """Quantiles of the sampled suffixes, and their hot heads; both only balance the ranges."""
-    ranges = -(-3 * runs.filter(F.col("kind") == repeats.EDGE).count() // RANGE)
-    sample = repeats.sample_entries(docs, runs, PLAN, SAMPLE) if ranges > 1 else None
-    if sample is None:
-        return [], np.zeros(0, "S1")
-    hot = repeats.hot_heads(PLAN, sample, ranges)
-    spread = np.sort(np.concatenate([np.unique(repeats.heads(PLAN, e)) if k else repeats.heads(PLAN, e) for k, e in enumerate(repeats.split_hot(PLAN, sample, hot))]))
-    return sorted({bytes(spread[len(spread) * i // ranges]) for i in range(1, ranges)}), hot
+def _splitters(docs: DataFrame, runs: DataFrame, hot: np.ndarray, size: int, most: int) -> tuple[list[bytes], int]:
+    """Quantiles of sampled heads, and slices of a range; both only balance the merge."""
+    total = runs.filter(F.col("kind") == repeats.EDGE).count()
+    ranges = min(most, -(-total // size))
+    if ranges < 2:
+        return [], 1
+    sample = sorted(repeats.sample_entries(docs, runs, PLAN, SAMPLED * ranges / total, hot))
+    upto = np.cumsum([w for _, w in sample])
+    if not len(upto):
+        return [], 1
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges)
+    return sorted({sample[i][0] for i in at.tolist()}), -(-total // (size * ranges))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,11 +215,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed [begin, end) bytes)."""
+def suffix_dedup(docs: DataFrame, size: int = RANGE, most: int = MOST_RANGES, limit: int = repeats.HOT) -> DataFrame:
+    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed [begin, end) bytes).
+
+    ``size`` entries a range of the merge, ``most`` ranges, ``limit`` runs of a gram that is not hot: they shape the work only.
+    """
     docs, ids = with_rid(docs)
-    runs = stored(repeats.find_runs(docs, PLAN))
-    sorted_runs = repeats.with_edges(docs, runs).mapInArrow(_sorted_runs(*_splitters(docs, runs)), "part int, run binary, gone binary")
+    runs = stored(repeats.find_runs(docs, PLAN, limit))
+    hot = repeats.hot_grams(runs)
+    sorted_runs = repeats.with_edges(docs, runs).mapInArrow(_sorted_runs(*_splitters(docs, runs, hot, size, most), hot), "part long, run binary, gone binary")
     found = sorted_runs.repartition("part").sortWithinPartitions("part").mapInArrow(_merged, repeats.SPANS)
-    out = repeats.with_spans(docs, runs, found).mapInArrow(_kept, "rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    out = repeats.with_spans(docs, found).mapInArrow(_kept, "rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
     return with_doc_id(out, ids)
