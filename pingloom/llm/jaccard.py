@@ -1,10 +1,11 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
-A document's set holds the hashes of its distinct word n-grams. Equal sets are one node. Candidates come from
-an exact filter: for a band of sizes at most d elements can differ between two linked sets, so if the hash space
-is cut into k > d parts, linked sets agree on a part as a whole; the hashes of parts are join keys. Parts with
-fewer than two elements say little and are left out wherever enough others remain (linked sets drop the same
-agreeing parts, so none is lost).
+A document's set holds the hashes of its distinct word n-grams. Equal sets are one node. Candidates come from an
+exact filter. All sets are put in one order: frequent n-grams (by counts over the whole corpus) last, then by hash.
+Two linked sets of sizes a and b differ in few elements, so among their first common elements two must stand side
+by side in both, and within the first 2 * (1 - t) * a + 2 of each set (``prefix_keys``). Such neighbouring pairs are
+join keys: a passage or a phrase that unlike documents share is frequent and comes last, and one n-gram in common
+makes no key.
 
 Nodes that share keys, directly or through others, form blocks. A block is compared in tiles: a small block is
 one tile; a large one is cut by size band and hash into tiles of bounded size, and tiles of the same or
@@ -13,14 +14,14 @@ so counting the bits of the exclusive-or bounds the overlap from above. Pairs th
 connected yet, are intersected exactly as sorted arrays.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text shorter than n
-words has its whole sequence as its one n-gram; repeated rows are documents of their own with equal sets (and
-share the smaller id as component); an empty table gives an empty result; other columns are left out.
+words has its whole sequence as its one n-gram; a very long text is one set (about 60 bytes of memory for each of its
+words); repeated rows are documents of their own with equal sets (and share the smaller id as component); an empty
+table gives an empty result; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,9 @@ from .common import stored, with_doc_id, with_rid
 #: Sets in a tile at most (about).
 TILE = 2048
 TILE_ELEMENTS = 4_000_000
+#: n-grams that a task counts at once, and times that a chunk and the corpus show a frequent one at least.
+CHUNK, IN_CHUNK, FREQUENT = 1 << 22, 3, 32
+MOST_FREQUENT = 1_000_000
 
 
 def sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,66 +60,90 @@ def sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 
 def node_ids(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of each set (order plays no part)."""
-    total = np.concatenate([[0], np.cumsum(kernels.mix(h), dtype=np.uint64)]).astype(np.uint64)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(kernels.mix(h), out=total[1:])
     size = np.diff(at).astype(np.uint64)
     return kernels.mix(total[at[1:]] - total[at[:-1]] + size * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-class Bands:
-    """Size bands and, for each, the largest difference d of linked sets (smaller one in the band) and the parts k."""
+def bands(percent: int, largest: int) -> list[int]:
+    """Lower ends of size bands up to the largest size; a linked pair lies in one band or in two neighbours."""
+    edges = [1]
+    while edges[-1] <= largest:
+        edges.append(edges[-1] * 100 // percent + 1)
+    return edges
 
-    def __init__(self, percent: int):
-        self.percent, self.edges, self.d, self.k = percent, [1], [], []
 
-    def _grow(self) -> None:
-        t = self.percent
-        low = self.edges[-1]
-        high = low * 100 // t + 1  # sizes low..high-1; a partner is in this band or the next
-        a = high - 1
-        d = (a + a * 100 // t) * (100 - t) // (100 + t)
-        k = d + 1
-        if d:
-            spare = lambda k: k * (1 - exp(-low / k) * (1 + low / k)) - 2 * sqrt(k * 0.08) - d
-            best = max(range(d + 1, 2 * d + 3), key=spare) if d < 400 else max((ceil(d * f / 50) for f in range(51, 101)), key=spare)
-            k = next((x for x in (range(d + 1, best) if d < 400 else (ceil(d * f / 50) for f in range(51, 101))) if spare(x) > 0), best)
-        self.edges.append(high)
-        self.d.append(d)
-        self.k.append(k)
+def frequent_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, level) of the ``MOST_FREQUENT`` n-grams that most different sets hold.
 
-    def of(self, size: np.ndarray) -> np.ndarray:
-        while len(size) and self.edges[-1] <= size.max():
-            self._grow()
-        return np.searchsorted(np.array(self.edges), size, "right") - 1
+    Tasks count theirs and leave out those that a chunk shows less than ``IN_CHUNK`` times. The counts only decide
+    the order of elements; any order gives the same links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, set()
 
+        def out():
+            h, count = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[count >= IN_CHUNK].view(np.int64)), pa.array(count[count >= IN_CHUNK])], names=["h", "n"])
 
-def part_keys(h: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, key) for its own band and the one below."""
+        for b in batches:
+            for _, _, data, offs in kernels.slices(b.column("text")):
+                h, at = sets(data, offs, n)
+                fresh = _fresh(node_ids(h, at), seen)
+                held.append(h[np.repeat(fresh, np.diff(at))])
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield out()
+                    held, size = [], 0
+                    seen.clear()
+        if size:
+            yield out()
+
+    rows = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    rows = rows.orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).toArrow()
+    h, count = np.asarray(rows["h"].combine_chunks()).astype(np.int64).view(np.uint64), np.asarray(rows["n"].combine_chunks()).astype(np.int64)
+    order = np.argsort(h)
+    return h[order], np.ceil(np.log2(count[order] + 1)).astype(np.int64)
+
+
+def _fresh(node: np.ndarray, seen: set) -> np.ndarray:
+    """Marks sets that ``seen`` did not hold yet."""
+    out = np.zeros(len(node), dtype=bool)
+    for i, x in enumerate(node.tolist()):
+        if x not in seen:
+            seen.add(x)
+            out[i] = True
+    return out
+
+
+def prefix_keys(h: np.ndarray, at: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, key): sets of which two link share a key, unless they are equal.
+
+    Sets of sizes a, b with o common elements have d = a + b - 2 o others. The first d + 2 common elements in the
+    order are cut into d + 1 stretches at most by the others, so two of them are neighbours in both sets; they stand
+    within the first d + 2 + (a - o) elements of the one of size a. With o >= t (a + b) / (1 + t) that is largest for
+    b = t a: 2 (1 - t) a + 2. Below t = 0.75 common elements may be too few for that; there the keys are single
+    elements of the first (1 - t) a + 1.
+    """
     size = np.diff(at)
-    band = bands.of(size)
-    out = []
-    for below in (0, 1):
-        use = (size > 0) & (band >= below)
-        b = np.where(use, band - below, 0)
-        k = np.where(use, np.array(bands.k or [1])[b], 0)
-        d = np.array(bands.d or [0])[b]
-        base = np.cumsum(k) - k
-        doc = np.repeat(np.arange(len(size)), size)
-        doc_use = use[doc]
-        own, x = doc[doc_use], h[doc_use]
-        spot = kernels.mix(x + (b[own] + 1).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-        cell = base[own] + ((spot >> np.uint64(33)) % k[own].astype(np.uint64)).astype(np.int64)
-        total = int(k.sum())
-        acc = np.zeros(total, dtype=np.uint64)
-        np.add.at(acc, cell, kernels.mix(spot))
-        count = np.bincount(cell, minlength=total)
-        owner = np.repeat(np.arange(len(size)), k)
-        two = np.bincount(owner, weights=count >= 2, minlength=len(size)) > d
-        one = np.bincount(owner, weights=count >= 1, minlength=len(size)) > d
-        emit = count >= np.where(two, 2, np.where(one, 1, 0))[owner]
-        part = (np.arange(total) - base[owner]).astype(np.uint64)
-        key = kernels.mix(acc + part * np.uint64(0xD1342543DE82EF95) + (b[owner] + 1).astype(np.uint64) * np.uint64(0xAF251AF3B0F025B5) + count.astype(np.uint64))
-        out.append((owner[emit], key[emit].view(np.int64)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    doc = np.repeat(np.arange(len(size)), size)
+    spot = np.minimum(np.searchsorted(frequent[0], h), max(0, len(frequent[0]) - 1))
+    if len(frequent[0]):
+        hit = frequent[0][spot] == h
+        if hit.any():
+            h = h[np.argsort(doc * 64 + np.where(hit, frequent[1][spot], 0), kind="stable")]
+    rank = np.arange(len(h)) - at[:-1][doc]
+    links = size * (100 - percent) >= percent  # smaller sets link with equal ones only
+    if percent >= 75:
+        first = np.minimum(size, 2 * size * (100 - percent) // 100 + 2) - 1
+        use = np.flatnonzero(links[doc] & (rank < first[doc]))
+        key = kernels.mix(h[use] + kernels.mix(h[np.minimum(use + 1, len(h) - 1)] * np.uint64(0x9E3779B97F4A7C15)))
+    else:
+        use = np.flatnonzero(links[doc] & (rank < (size - -(-size * percent // 100) + 1)[doc]))
+        key = kernels.mix(h[use])
+    return doc[use], key.view(np.int64)
 
 
 def _nodes(n: int):
@@ -128,22 +156,17 @@ def _nodes(n: int):
     return run
 
 
-def _keys(n: int, percent: int):
+def _keys(n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(percent), set()
+        seen = set()
         for b in batches:
             for _, _, data, offs in kernels.slices(b.column("text")):
                 h, at = sets(data, offs, n)
                 node = node_ids(h, at)
-                fresh = np.zeros(len(node), dtype=bool)
-                for i, x in enumerate(node.tolist()):  # a set that this task has met before has sent its keys
-                    if x not in seen:
-                        seen.add(x)
-                        fresh[i] = True
                 size = np.diff(at)
-                keep = fresh & (size > 0)
+                keep = _fresh(node, seen) & (size > 0)  # a set that this task has met before has sent its keys
                 h = h[np.repeat(keep, size)]
-                owner, key = part_keys(h, np.concatenate([[0], np.cumsum(size[keep])]), bands)
+                owner, key = prefix_keys(h, np.concatenate([[0], np.cumsum(size[keep])]), percent, frequent)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[keep][owner])], names=["key", "node"])
 
     return run
@@ -234,9 +257,8 @@ def _linked(n: int, percent: int):
 
 def _tiles(nodes: DataFrame, percent: int) -> DataFrame:
     """``rid, pair, side, node``: the pairs of tiles that each of ``nodes`` (rid, node, n_shingles, block) takes part in."""
-    bands = Bands(percent)
-    bands.of(np.array([nodes.agg(F.max("n_shingles")).first()[0] or 1]))
-    edges = F.array(*[F.lit(int(e)) for e in bands.edges[1:]])  # grows with the logarithm of the largest size
+    edges = bands(percent, nodes.agg(F.max("n_shingles")).first()[0] or 1)
+    edges = F.array(*[F.lit(int(e)) for e in edges[1:]])  # grows with the logarithm of the largest size
     tiles = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n_shingles") / TILE_ELEMENTS))
     n = nodes.join(nodes.groupBy("block").agg(tiles.alias("need")), "block")
     small = n.filter("need = 1").select("rid", F.xxhash64("block").alias("pair"), F.lit(0).alias("side"), "node")
@@ -259,11 +281,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """
     docs, ids = with_rid(docs)
     own = stored(docs.mapInArrow(_nodes(n), "rid long, n_shingles long, node long"))
-    keys = docs.mapInArrow(_keys(n, percent), "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    keys = docs.mapInArrow(_keys(n, percent, frequent_grams(docs, n)), "key long, node long").repartition("key").sortWithinPartitions("key", "node")
     blocks = components(keys.mapInArrow(_stars, "a long, b long"))
     nodes = own.filter("n_shingles > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.max("n_shingles").alias("n_shingles"))
     asked = stored(blocks.select("node", F.col("component").alias("block")).join(nodes, "node"))
-    texts = docs.join(_tiles(asked, percent).hint("shuffle_hash"), "rid").select("pair", "side", "node", "text")
+    texts = docs.join(_tiles(asked, percent).select("rid", "pair", "side", "node"), "rid").select("pair", "side", "node", "text")
     links = texts.repartition("pair").sortWithinPartitions("pair").mapInArrow(_linked(n, percent), "a long, b long")
     groups = components(links)
     first = groups.join(asked.select("node", "rid"), "node")
