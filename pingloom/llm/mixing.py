@@ -4,12 +4,16 @@ Slot t of the schedule falls on the golden-ratio point frac(t * phi); the point'
 target shares names the source. Slots are ranked within their source, and rank r takes block r (modulo the
 number of blocks) of the source's shuffled documents: blocks of ``BLOCK`` tokens, so a long document spans
 several. The last slot of a source is cut so that the taken tokens equal its rounded target.
+The schedule also gives the order of the mix: a document comes at the slot of the first of its blocks,
+and its copies come a cycle of its source later each.
 
 Ranks and running sums are taken in two levels (sums of small ranges, then within a range), so a source that
-holds most rows is spread over many tasks.
+holds most rows is spread over many tasks. Windows over all sources hold a row for each source.
 
-Defined results: null text has size 0 and takes 0; a null source is a source of its own and comes last in
-weight order; repeated rows each keep their row; an empty table gives an empty result.
+Defined results: null text has size 0, takes 0 and has no slot; a null source is a source of its own and comes last in
+weight order; repeated rows each keep their row (and shuffle by id and text, so equal ids do not share a range); a
+very long text spans blocks; ties in the shuffle go by size; an empty table gives an empty result; other columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -78,32 +82,30 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    d = d.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("range", F.substring("h", 1, 3))
+    """One row for each document: doc_id, size, source_size, target, taken, slot (null: takes none) and cycle (slots from copy to copy)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary"))).cast("binary"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), h.alias("h")).withColumn("range", F.substring("h", 1, 3))
     d = stored(d)
     ranges = stored(d.groupBy("source", "range").agg(F.sum("size").alias("n")))
-    targets = stored(source_targets(ranges.groupBy("source").agg(F.sum("n").alias("size")), weights, most))
+    targets = stored(source_targets(ranges.groupBy("source").agg(F.sum("n").alias("size")), weights, most).withColumn("all_size", F.sum("source_size").over(W.partitionBy())))
     ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = W.partitionBy("source", "range").orderBy("h", "size", F.col("doc_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("upto", F.sum("size").over(inside)).alias("d").join(ranges.alias("r"), _same("d.source", "r.source") & F.expr("d.range = r.range"))
     d = d.select("doc_id", "d.source", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
-    d = d.alias("d").join(F.broadcast(targets).alias("t") if _few(targets) else targets.alias("t"), _same("d.source", "t.source")).select("doc_id", "d.source", "size", "start", "source_size", "target")
+    d = d.alias("d").join(targets.alias("t"), _same("d.source", "t.source")).select("doc_id", "d.source", "size", "start", "source_size", "target", "all_size")
     # slots meet blocks: how often a block is taken whole, and how far by the last slot
-    slots = schedule(targets, block).alias("s").join(targets.alias("t"), _same("s.source", "t.source")).select("s.source", "rank", "source_size", F.round("target").cast("long").alias("quota"))
+    slots = schedule(targets, block).alias("s").join(targets.alias("t"), _same("s.source", "t.source")).select("s.source", "slot", "rank", "source_size", F.round("target").cast("long").alias("quota"))
     slots = slots.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("block", F.expr("rank % blocks"))
     slots = slots.withColumn("width", F.expr(f"least({block}, source_size - block * {block})"))
     slots = slots.withColumn("take", F.expr(f"least(width, quota - (rank div blocks) * source_size - block * {block})"))
-    taken = slots.groupBy("source", "block").agg(F.sum((F.col("take") == F.col("width")).cast("long")).alias("whole"), F.max(F.when(F.col("take") < F.col("width"), F.col("take"))).alias("part"))
+    taken = slots.groupBy("source", "block").agg(F.sum((F.col("take") == F.col("width")).cast("long")).alias("whole"), F.max(F.when(F.col("take") < F.col("width"), F.col("take"))).alias("part"), F.min("slot").alias("slot"))
     pieces = d.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     pieces = pieces.select("source", "block", F.col("doc_id").alias("p_id"), F.col("start").alias("p_start"), F.expr(f"greatest(0, start - block * {block})").alias("a"), F.expr(f"least({block}, start + size - block * {block})").alias("b"))
     pieces = pieces.alias("p").join(taken.alias("k"), _same("p.source", "k.source") & F.expr("p.block = k.block"))
-    pieces = pieces.select("p.source", "p_start", (F.col("whole") * (F.col("b") - F.col("a")) + F.greatest(F.lit(0), F.least("b", F.coalesce("part", F.lit(0))) - F.col("a"))).alias("n"))
-    pieces = pieces.groupBy("source", "p_start").agg(F.sum("n").alias("n"))  # documents with words start at places of their own
+    pieces = pieces.select("p.source", "p_start", "slot", (F.col("whole") * (F.col("b") - F.col("a")) + F.greatest(F.lit(0), F.least("b", F.coalesce("part", F.lit(0))) - F.col("a"))).alias("n"))
+    pieces = pieces.groupBy("source", "p_start").agg(F.sum("n").alias("n"), F.min(F.when(F.col("n") > 0, F.col("slot"))).alias("slot"))  # documents with words start at places of their own
     out = d.alias("d").join(pieces.alias("p"), _same("d.source", "p.source") & F.expr("d.start = p.p_start and d.size > 0"), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).alias("taken"))
-
-
-def _few(targets: DataFrame, most: int = 100_000) -> bool:
-    """The number of sources is checked before they are broadcast."""
-    return targets.limit(most + 1).count() <= most
+    # a source's blocks are gone through once in about this many slots of the schedule
+    cycle = F.round(F.col("source_size") / F.greatest("target", F.lit(1.0)) * F.col("all_size") / block, 6)
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).alias("taken"), "slot", cycle.alias("cycle"))

@@ -5,7 +5,10 @@ conjunction of thresholds by information gain on two thirds of the labelled samp
 third, and stays if it is precise there. The result is an ordered chain of Spark ``when`` expressions.
 
 Defined results: a null or empty text has no words and fails the base rule; without labels of both classes
-the list is empty and keeps what passes the base rule; repeated rows each keep their row.
+the list is empty and keeps what passes the base rule; of several labels of an id the smaller counts; conditions
+of equal gain are tried in the order of ``FEATURES``; a very long text is one row (its words and windows are arrays);
+repeated rows each keep their row; an empty table gives an empty result; other columns are left out, and
+``text_stats`` refuses columns that have the names of its statistics.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ FEATURES = ("n_words", "chars_per_word", "symbol_share", "dup_line_share", "repe
 
 def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and a few shares (``FEATURES``)."""
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_t", "_w", "_l", "_g", "_s", "_lines", "_distinct", "_upper", "_digit", "_punct", *FEATURES}
+    if clash := made & set(docs.columns):
+        raise ValueError(f"columns have names of statistics: {sorted(clash)}")
     # A projection for each step: the arrays are computed once and read by later expressions.
     a = docs.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
     a = a.withColumn("_w", F.array_remove(F.split("_t", WORD_GAP, -1), "")).withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
@@ -136,12 +142,13 @@ def decision_expression(rules: list[list[tuple[str, str, float]]]) -> Column:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[list[tuple[str, str, float]]]:
-    """Learn from ``fit_rows`` labelled documents at most, taken by hash of the id; learning holds just those rows."""
+    """Learn from ``fit_rows`` labelled rows of documents at most, taken by hash of id and text; learning holds just those rows."""
     labels = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     some = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")  # at most fit_rows rows
-    rows = text_stats(some).select("quality", *FEATURES, "doc_id").collect()
-    return learn_decision_list([tuple(r)[:-1] for r in sorted(rows, key=lambda r: (r.doc_id, tuple(r)))][: 2 * fit_rows])
+    some = some.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(fit_rows)  # an id may stand in many rows
+    rows = text_stats(some, text="text").select("quality", *FEATURES, "doc_id").collect()
+    return learn_decision_list([tuple(r)[:-1] for r in sorted(rows, key=lambda r: (r.doc_id, tuple(r)))])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

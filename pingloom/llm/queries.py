@@ -34,7 +34,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("cycle")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = "len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))"
 
 _OP4 = f"""
-WITH d AS (SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS size FROM d GROUP BY source),
 w AS (SELECT source, size, 3.0::DOUBLE * size AS cap,
   CASE (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w FROM s),
@@ -80,9 +80,18 @@ f AS (SELECT *, row_number() OVER o AS i,
   FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
 t AS (SELECT source, size AS source_size, round(least(cap, coalesce((SELECT arg_min(line, i) FROM f WHERE line * w <= cap), 0) * w), 6) AS target FROM f),
 p AS (SELECT d.*, (sum(size) OVER (PARTITION BY source ORDER BY h, size, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM d),
-q AS (SELECT p.doc_id, p.size, t.source_size, t.target, p.start, round(t.target)::BIGINT AS quota FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
-  size * (quota // source_size) + greatest(0, least(start + size, quota % source_size) - start) END::BIGINT AS taken FROM q
+q AS (SELECT p.doc_id, p.size, p.source, t.source_size, t.target, p.start, round(t.target)::BIGINT AS quota FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT source, source_size, round(target)::BIGINT AS quota, CAST(ceil(source_size / 1024.0::DOUBLE) AS BIGINT) AS blocks FROM t WHERE source_size > 0),
+n AS (SELECT source, (quota // source_size) * blocks + least(blocks, CAST(ceil((quota % source_size) / 1024.0::DOUBLE) AS BIGINT)) AS need FROM b),
+c AS (SELECT source, need, sum(need) OVER (ORDER BY source COLLATE "C" NULLS LAST ROWS UNBOUNDED PRECEDING)::BIGINT AS upto, sum(need) OVER ()::BIGINT AS total FROM n),
+i AS (SELECT source, need, total, (upto - need)::DOUBLE / total AS lo, upto::DOUBLE / total AS hi FROM c WHERE need > 0),
+u AS (SELECT slot, slot * 0.6180339887498949e0 - floor(slot * 0.6180339887498949e0) AS u FROM (SELECT unnest(range(coalesce((SELECT max(total) FROM c), 0))) AS slot)),
+k AS (SELECT i.source, i.need, i.total, u.slot, row_number() OVER (PARTITION BY i.source ORDER BY u.slot) - 1 AS rank FROM u JOIN i ON u.u >= i.lo AND u.u < i.hi),
+g AS (SELECT i.source, i.need, i.total, count(k.slot) AS got FROM i LEFT JOIN k ON i.source IS NOT DISTINCT FROM k.source GROUP BY ALL),
+z AS (SELECT source, slot, rank FROM k WHERE rank < need UNION ALL SELECT source, total, unnest(range(got, need)) FROM g WHERE got < need),
+o AS (SELECT q.*, CASE WHEN size = 0 THEN 0 ELSE size * (quota // source_size) + greatest(0, least(start + size, quota % source_size) - start) END::BIGINT AS taken FROM q)
+SELECT o.doc_id, o.size, o.source_size, o.target, o.taken, CASE WHEN o.taken > 0 THEN z.slot END::BIGINT AS slot
+FROM o LEFT JOIN z ON o.source IS NOT DISTINCT FROM z.source AND z.rank = o.start // 1024
 """
 
 _OP9 = """

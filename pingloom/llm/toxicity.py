@@ -5,9 +5,14 @@ pair part is computed as half of (sum v)^2 - sum v^2. Pairs of terms get weights
 weights miss. Terms are runs of letters and digits (bytes from 0x80 count as letters), A-Z lower-cased, and
 their first five bytes, so that inflected forms share a weight.
 
+Which terms get weights: those whose chi-square with the label is large, and those of pairs whose chi-square is,
+beyond what both terms say alone. Both choices and the fit see ``FIT_ROWS`` labelled rows at most; scores cover all.
+
 Defined results: null and empty texts have no terms and get the score of the bias; a null doc_id counts as
-the empty id; repeated rows each keep their row; without labels of both classes every score is the share of
-label 1 (0 where there is none).
+the empty id; of several labels of an id the larger counts; repeated rows each keep their row; a very long text is
+scored whole, slice by slice of terms (about 60 bytes of memory a byte); ties of chi-square go to the smaller bucket;
+without labels of both classes every score is the share of label 1 (0 where there is none); an empty table gives an
+empty result; ``score`` keeps other columns but replaces score, held_out and predicted.
 """
 
 from __future__ import annotations
@@ -20,10 +25,11 @@ from pyspark.sql import functions as F
 from . import kernels
 
 #: Labelled rows that the machine is fitted on at most (taken by hash of the id).
-FIT_ROWS = 12_000
+FIT_ROWS = 20_000
 BUCKETS = 1 << 20
-#: Buckets with the largest chi-square on the fitted rows that get weights.
-TERMS = 2048
+#: Buckets with the largest chi-square on the fitted rows that get weights; buckets that most rows of label 1 hold,
+#: whose pairs are tested as well; and buckets added for the sake of their pairs at most.
+TERMS, PAIRED, ADDED = 2048, 2048, 1024
 FACTORS = 8
 STEM = 5
 _BETWEEN = np.ones(256, dtype=bool)
@@ -51,19 +57,47 @@ def _present(batches):
             yield offs, (both % BUCKETS).astype(np.int32)
 
 
+def _pair_terms(row: np.ndarray, buckets: np.ndarray, labels: np.ndarray, seen: np.ndarray, hit: np.ndarray, paired: int = PAIRED, added: int = ADDED) -> np.ndarray:
+    """Buckets of the pairs that tell the labels apart best, though each bucket alone may say nothing."""
+    n, pos = len(labels), labels.sum()
+    some = np.argsort(-np.where((seen >= 4) & (seen <= n / 2), hit, 0.0), kind="stable")[:paired]
+    some = np.sort(some[hit[some] >= 4])
+    where = np.full(BUCKETS, -1, dtype=np.int32)
+    where[some] = np.arange(len(some))
+    both, toxic = np.zeros((len(some), len(some)), np.float32), np.zeros((len(some), len(some)), np.float32)
+    at = where[buckets]
+    row, at = row[at >= 0], at[at >= 0]
+    begin = np.searchsorted(row, np.arange(0, n + 2048, 2048))
+    for k in range(len(begin) - 1):  # 2,048 rows at a time
+        x = np.zeros((2048, len(some)), np.float32)
+        x[row[begin[k] : begin[k + 1]] - 2048 * k, at[begin[k] : begin[k + 1]]] = 1
+        y = x[: n - 2048 * k][labels[2048 * k : 2048 * (k + 1)] > 0]
+        both += x.T @ x
+        toxic += y.T @ y
+    expect = both * (pos / n)
+    chi = np.where(both >= 8, (toxic - expect) ** 2 / np.maximum(expect * (1 - pos / n), 1e-9), 0)
+    best = np.maximum(seen[some], 1) * (pos / n)
+    alone = (hit[some] - best) ** 2 / np.maximum(best * (1 - pos / n), 1e-9)
+    chi = np.where(chi > 2 * np.maximum(alone[:, None], alone[None, :]) + 20, chi, 0)  # more than both say alone
+    np.fill_diagonal(chi, 0)
+    worth = chi.max(axis=1, initial=0)
+    order = np.argsort(-worth, kind="stable")[:added]
+    return some[order[worth[order] > 0]]
+
+
 def fit_machine(offs: np.ndarray, buckets: np.ndarray, labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS, epochs: int = 40, seed: int = 7) -> dict:
     """Weights from documents given as distinct buckets (``buckets[offs[i]:offs[i + 1]]``) and labels 0 or 1."""
     n, pos = len(labels), int(labels.sum())
     if not n or pos in (0, n):
         p = pos / n if n else 0.0
         return {"w0": float(np.log((p + 1e-9) / (1 - p + 1e-9))), "ids": np.zeros(0, np.int64), "w": np.zeros(0), "v": np.zeros((0, factors))}
-    row = np.repeat(np.arange(n), np.diff(offs))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offs))
     seen = np.bincount(buckets, minlength=BUCKETS).astype(float)
     hit = np.bincount(buckets, weights=labels[row], minlength=BUCKETS)
     expect = seen * pos / n
     chi = np.where(seen >= 4, (hit - expect) ** 2 / np.maximum(expect * (1 - pos / n) * (1 - seen / n + 1e-9), 1e-9), 0.0)
-    ids = np.sort(np.argsort(-chi, kind="stable")[:terms])
-    ids = ids[chi[ids] > 6.0]
+    ids = np.argsort(-chi, kind="stable")[:terms]
+    ids = np.union1d(ids[chi[ids] > 6.0], _pair_terms(row, buckets, labels, seen, hit))
     where = np.full(BUCKETS, -1, dtype=np.int64)
     where[ids] = np.arange(len(ids))
     at = where[buckets]
@@ -135,10 +169,12 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids))], ["doc_id", "toxic", "ids"])
                 at += n
 
-    got = some.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, ids array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    rows = some.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, ids array<int>")
+    # an id may stand in many rows of documents: the rows are limited too
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("ids")).limit(fit_rows).toArrow().combine_chunks()
     lists = got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     lens = np.asarray(lists.value_lengths()).astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
-    return fit_machine(np.concatenate([[0], np.cumsum(lens)]), np.asarray(lists.flatten()).astype(np.int64), np.asarray(got["toxic"]).astype(float))
+    return fit_machine(np.concatenate([[0], np.cumsum(lens)]), np.asarray(lists.flatten()), np.asarray(got["toxic"]).astype(float))
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
