@@ -3,6 +3,11 @@ are mixed to their target weights, and what is left is encoded.
 
 Each stage takes the documents that its predecessor kept and returns the columns of documents; the last returns
 token ids. The driver of a pipeline may write and read them between stages, as ``run`` does.
+
+Defined results of every stage: a null text counts as empty and is kept as long as the stage's rule keeps it (it has
+no toxic terms, no near copy, no passage, and size 0, so the mix takes nothing of it); null ids and repeated rows stay
+rows of their own, except that one of each group of near copies stays (ties: the smallest id, then text); very long
+texts are taken whole; empty tables go through empty; columns other than those of documents are left out.
 """
 
 from __future__ import annotations
@@ -40,13 +45,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole copies, then the first words of the part that is left."""
+    """Documents as often as the mix takes them, in the schedule's order: whole copies, then the first words of the part that is left."""
     docs, row = keyed(docs.select(*COLUMNS))
-    taken = mixing.mix(docs.select(F.col(row).alias("doc_id"), "source", "text")).filter("taken > 0").select(F.col("doc_id").alias(row), "size", "taken")
+    taken = mixing.mix(docs.select(F.col(row).alias("doc_id"), "source", "text")).filter("taken > 0").select(F.col("doc_id").alias(row), "size", "taken", "slot", "cycle")
     out = docs.join(taken, row).withColumn("copy", F.explode(F.expr("sequence(0L, (taken - 1) div size)")))
     part = F.expr("cast(least(size, taken - copy * size) as int)")
     text = F.when(part == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(F.array_remove(F.split("text", mixing.WORD_GAP, -1), ""), 1, part), " "))
-    return out.withColumn("text", text).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    out = out.withColumn("text", text).withColumn("place", F.col("slot") + F.col("copy") * F.col("cycle")).orderBy("place", "doc_id", row, "copy")
+    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
