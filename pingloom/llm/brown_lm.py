@@ -1,21 +1,23 @@
 """LM scoring: Brown class-based n-grams.
 
-P(text) is the product over its tokens of P(class | class before) * P(token | its class). Every word that occurs
-``LEAST`` times is an item of its own, rarer ones share the item of their last two bytes; exchange clustering moves
-items between classes while the likelihood of the class bigrams grows. The number of classes grows with the cube
-root of the number of items. The ``ITEMS`` most frequent words and the word ends are clustered first, one by one,
-and other words start spread over all classes; then all items are clustered, in rounds: the pairs of neighbours of all training documents meet the classes of both by join,
-each item's counts by neighbour class are summed by key, and half of the items (by hash) move at once to their best
-class. A round that lowers the likelihood is undone. Class transitions and emissions come from counts over all
-training documents, add-one smoothed within each class, so a word that was never seen has the mass of one
-occurrence in its class.
+P(text) is the product over its tokens of P(class | class before) * P(token | its class). Exchange clustering moves
+words between classes while the likelihood of the class bigrams grows; every word of the training documents is an item.
+The number of classes grows with the cube root of the number of words. The ``ITEMS`` most frequent words are clustered
+first, one by one, beside items of word ends (the last two bytes). Then all words are clustered, in rounds: words seen
+less than ``SURE`` times start in the class of their end, others spread over all classes; the pairs of neighbours of all
+training documents meet the classes of both by join, each word's counts by neighbour class are summed by key, and half
+of the words (by hash) move at once to their best class, rare ones for a clear gain only. A round that lowers the
+likelihood is undone. Class transitions and emissions come from counts over all training documents: transitions with 0.1
+added to each count, emissions add-one smoothed within each class. A word that was never seen takes the class of its end
+and has the mass of one occurrence in it.
 
 Counts of words are exact and cover every training document: tasks count their words by hash, the counts are
 summed by key, and the counts and classes of the words of a text come back by an equi-join (those of the ``COMMON``
 most frequent words are sent along instead, a table of fixed size).
 
 Defined results: null, empty and blank texts hold the end token only; a null doc_id counts as the empty id in
-the split; repeated rows each keep their row; with no training document every count is 0; an empty table gives an
+the split; ties between classes go to the smaller number; a very long text is handled slice by slice (about 60 bytes
+of memory a byte) and its unknown words by key; repeated rows each keep their row; with no training document every count is 0; an empty table gives an
 empty result; other columns are left out.
 """
 
@@ -35,7 +37,9 @@ from .common import stored
 #: Frequent words that are clustered first, items of word ends, least number of classes, and words whose counts are sent along.
 ITEMS, ENDS, CLASSES, COMMON = 512, 127, 32, 65_536
 #: Occurrences from which a word has an item of its own; sweeps over the first items, rounds over all.
-LEAST, SWEEPS, ROUNDS = 3, 12, 4
+LEAST, SWEEPS, ROUNDS = 1, 12, 4
+#: Occurrences from which any gain moves a word, and the gain (in nats) that a rarer one must have.
+SURE, MARGIN = 3, 6.0
 _END = np.uint64(0x0123456789ABCDEF)
 _FLUSH = 1 << 21
 
@@ -252,7 +256,8 @@ def best_classes(own: np.ndarray, row: np.ndarray, col: np.ndarray, alone: np.nd
     gain[every, own] = stay
     gain[:, -1] = -np.inf
     best = gain.argmax(1)
-    return np.where(gain[every, best] > stay + 1e-9, best, own)
+    # a word seen once or twice fits many a class by chance: it leaves its own for a clear gain only
+    return np.where(gain[every, best] > stay + np.where(n_out < SURE, MARGIN, 1e-9), best, own)
 
 
 def _moves(grid: np.ndarray):
@@ -419,7 +424,7 @@ def fit(train: DataFrame, counts: DataFrame) -> dict:
     ends = F.element_at(F.array(*[F.lit(int(g)) for g in of[len(own) :]]), F.col("tail").cast("int") + 1)
     item = F.when((F.col("n") >= LEAST) | (F.col("tail") == ENDS), F.col("word")).otherwise(-1 - F.col("tail").cast("long"))
     spread = F.pmod(F.xxhash64("word"), F.lit(classes - 1))  # from one class all would leave for the same one
-    every = counts.join(listed, "word", "left").select("word", "n", F.col("tail").cast("int").alias("tail"), item.alias("item"), "place", F.when((item != F.col("word")) | (F.col("tail") == ENDS), ends).otherwise(F.coalesce("first", spread)).cast("int").alias("g"))
+    every = counts.join(listed, "word", "left").select("word", "n", F.col("tail").cast("int").alias("tail"), item.alias("item"), "place", F.when((item != F.col("word")) | (F.col("tail") == ENDS), ends).otherwise(F.coalesce("first", F.when(F.col("n") < SURE, ends).otherwise(spread))).cast("int").alias("g"))
     pairs = stored(train.select("text").mapInArrow(_paired(common), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
     every, grid = cluster(pairs, stored(every), classes)
     step = np.log10((grid + 0.1) / (grid.sum(1, keepdims=True) + 0.1 * classes))
