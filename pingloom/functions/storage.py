@@ -13,8 +13,11 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new local one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a local session gets one of its own; a cluster fails:
+    its executors do not share the driver's folders."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
     if not conf:
         conf = "file://" + (made := tempfile.mkdtemp(prefix="pingloom-"))
         atexit.register(shutil.rmtree, made, True)
@@ -25,12 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pingloom-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, for what a query writes and reads back."""
+    path = f"{shared_dir(spark)}/pingloom-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def clear(spark: SparkSession) -> int:
     """Delete the tables that this process has stored, once no result reads them any more; gives their number."""
     done = 0
