@@ -41,24 +41,59 @@ def nearest_distance(queries: DataFrame, bank: DataFrame, block: int = 1024) ->
     return pairs.withColumn("d2", F.array_min(F.transform("xs", d2))).groupBy("vec_id").agg(F.sqrt(F.min("d2")).alias("distance"))
 
 
-def near_duplicates(hashes: DataFrame, bands: int = 5, most: int = 4) -> DataFrame:
-    """Pairs of different splits whose 65 hash bits (words of ``bits`` in bands) differ in ``most`` places or fewer.
+#: Bits of the difference hash in each band: one band more than differences allowed.
+BANDS = (13, 13, 13, 12, 12)
 
-    With one band more than differences allowed, some band is equal: pairs meet on (band, bits) only.
+
+def with_difference_hash(images: DataFrame, column: str = "x") -> DataFrame:
+    """``images`` (64 samples each) with ``h``: a bit for each neighbour pair that rises, 63 in all."""
+    x = F.col(column)
+    bits = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.when(F.get(x, i) < F.get(x, i + 1), F.expr("1L")).otherwise(F.expr("0L")))
+    value = F.aggregate(F.reverse(bits), F.lit(0).cast("bigint"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
+    return images.withColumn("h", value)
+
+
+def near_duplicates(images: DataFrame, most: int = 4, mean: float = 2.0, q95: float = 8.0) -> DataFrame:
+    """``a_id, b_id, distance``: images (id, split, x, h) of different splits whose hashes differ in ``most`` bits or fewer, confirmed by their samples.
+
+    With one band more than differences allowed, some band is equal: hashes meet on (band, bits) only. Equal hashes are
+    one row there, with the splits that hold them; images join in only for pairs of hashes that are near. A pair is
+    confirmed by the mean and the 95 % quantile of its sample differences.
     """
-    spread = hashes.select("*", F.posexplode("bands").alias("band", "value"))
+    at, bands = 0, []
+    for k, width in enumerate(BANDS):
+        bands.append(F.struct(F.lit(k).alias("band"), F.shiftright("h", at).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).alias("bits")))
+        at += width
+    hashes = images.groupBy("h").agg(F.collect_set("split").alias("splits"))  # a set of a few names
+    spread = hashes.select("h", "splits", F.inline(F.array(*bands)))
     a, b = spread.alias("a"), spread.alias("b")
-    met = a.join(b, F.expr("a.band = b.band and a.value = b.value and a.vec_id < b.vec_id and a.split <> b.split"))
-    distance = F.aggregate(F.zip_with("a.bands", "b.bands", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return met.withColumn("distance", distance).filter(F.col("distance") <= most).select(F.col("a.vec_id").alias("a_id"), F.col("b.vec_id").alias("b_id"), "distance").distinct()
+    met = a.join(b, F.expr("a.band = b.band and a.bits = b.bits and a.h <= b.h and (size(a.splits) > 1 or size(b.splits) > 1 or a.splits <> b.splits)"))
+    met = met.select(F.col("a.h").alias("p"), F.col("b.h").alias("q"), F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))).cast("bigint").alias("distance")).filter(F.col("distance") <= most).distinct()
+    one, two = images.select(F.col("h").alias("p"), F.col("id").alias("i"), F.col("split").alias("s"), F.col("x").alias("x")), images.select(F.col("h").alias("q"), F.col("id").alias("j"), F.col("split").alias("t"), F.col("x").alias("y"))
+    pairs = met.join(one, "p").join(two, "q").filter("s <> t and (p <> q or i < j)")
+    d = F.zip_with("x", "y", lambda u, w: F.abs(u - w))
+    pairs = pairs.withColumn("d", F.array_sort(d)).withColumn("n", F.size("d"))
+    place = (F.col("n") - 1) * 0.95
+    low = F.floor(place).cast("int")
+    quantile = F.get("d", low) + (place - low) * (F.get("d", F.least(low + 1, F.col("n") - 1)) - F.get("d", low))
+    sure = (F.aggregate("d", F.lit(0.0), lambda s, z: s + z) / F.col("n") <= mean) & (quantile <= q95)
+    return pairs.filter(sure).select(F.least("i", "j").alias("a_id"), F.greatest("i", "j").alias("b_id"), "distance")
+
+
+LEVELS = ("L0", "L1", "L2", "L3")
 
 
-def compare_surveys(baseline: DataFrame, new: DataFrame) -> DataFrame:
+def compare_surveys(baseline: DataFrame, new: DataFrame, level: str = "L2", confirmed_only: bool = False) -> DataFrame:
     """Changes from baseline (id, covered) to new (id, matched_id): each new record answers for one baseline record only.
 
     UNCHANGED where matched; else NOT_DETECTED where covered and NOT_SURVEYED where not; left-over new ones are NEW.
-    Removal is never inferred.
+    Removal is never inferred. Surveys placed below L2 are refused. ``confirmed_only``: baseline records whose
+    ``verdict`` is CONFIRMED.
     """
+    if LEVELS.index(level) < LEVELS.index("L2"):
+        raise ValueError(f"surveys of level {level} cannot be compared")
+    if confirmed_only:
+        baseline = baseline.filter("verdict = 'CONFIRMED'")
     from pyspark.sql import Window as W
 
     one = new.filter("matched_id is not null").withColumn("_n", F.row_number().over(W.partitionBy("matched_id").orderBy("new_id"))).filter("_n = 1").drop("_n")

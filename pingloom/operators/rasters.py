@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -77,11 +77,17 @@ def pool_cells(px: DataFrame, block: int = 4) -> DataFrame:
     return cell.join(norm, ["cy", "cx"]).select("image_id", "cy", "cx", (F.col("m") / F.col("len")).alias("value"))
 
 
+def _on_rows(px: DataFrame, boxes: DataFrame, begin: Column, end: Column) -> DataFrame:
+    """Samples of the rows begin..end - 1 of each box: a row for each, so that both sides meet on (image, row)."""
+    some = boxes.withColumn("_a", F.greatest(F.lit(0), begin.cast("int"))).withColumn("_z", end.cast("int")).filter("_z > _a")
+    return px.join(some.withColumn("row_idx", F.explode(F.sequence("_a", F.col("_z") - 1))).drop("_a", "_z"), ["image_id", "row_idx"])
+
+
 def hard_return(px: DataFrame, boxes: DataFrame) -> DataFrame:
     """Bright and dark shares of each box (box_id, image_id, integer x1, y1, x2, y2) against its padded surroundings."""
     pad = F.greatest(F.lit(3), F.floor(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * 0.5))
     b = boxes.withColumn("pad", pad)
-    met = px.join(b, "image_id").filter("col_idx >= x1 - pad and col_idx < x2 + pad and row_idx >= y1 - pad and row_idx < y2 + pad")
+    met = _on_rows(px, b, F.expr("y1 - pad"), F.expr("y2 + pad")).filter("col_idx >= x1 - pad and col_idx < x2 + pad")
     met = met.withColumn("inside", F.expr("col_idx >= x1 and col_idx < x2 and row_idx >= y1 and row_idx < y2"))
     level = met.groupBy("box_id").agg(F.median("sample").alias("bg"))
     met = met.join(level, "box_id")
@@ -94,35 +100,62 @@ def hard_return(px: DataFrame, boxes: DataFrame) -> DataFrame:
     return out.select("box_id", "bg", ((F.col("mean") - F.col("bg")) / F.col("scale")).alias("contrast"), "bright", "dark", hard.alias("hard"), status.alias("status"))
 
 
-def orientation(px: DataFrame, boxes: DataFrame, nadir_col: float, width: int) -> DataFrame:
-    """Highlight, shadow and geometry scores of boxes on the side away from the nadir, and their mean with the direction."""
+def orientation(px: DataFrame, boxes: DataFrame, dropped: DataFrame, width: int) -> DataFrame:
+    """Highlight, shadow, direction and geometry scores of boxes (box_id, image_id, x1, y1, x2, y2, nadir, nadir_share) and their mean.
+
+    The shadow lies on the side away from the ``nadir`` column; boxes without one have no score and the flag
+    UNKNOWN_ORIENTATION, those without a sample INVALID_BBOX. ``dropped`` (image_id, row_idx) are rows without data;
+    ``nadir_share`` is the width of the dark centre as a share of the image.
+    """
     whole = px.groupBy("image_id").agg(F.median("sample").alias("base"), F.greatest(F.lit(1.0), F.stddev_pop("sample") * 2).alias("spread"))
-    away = (F.col("x1") + F.col("x2")) / 2 > nadir_col
+    mid = (F.col("x1") + F.col("x2")) / 2
+    away = mid > F.col("nadir")
     span = F.greatest(F.lit(2), F.col("x2") - F.col("x1"))
     b = boxes.withColumn("s1", F.when(away, F.col("x2")).otherwise(F.greatest(F.lit(0), F.col("x1") - span))).withColumn("s2", F.when(away, F.least(F.lit(width), F.col("x2") + span)).otherwise(F.col("x1"))).withColumn("span", span)
-    met = px.join(b, "image_id").filter("row_idx >= y1 and row_idx < y2 and col_idx >= least(x1, s1) and col_idx < greatest(x2, s2)")
+    known = b.filter("nadir is not null")
+    met = _on_rows(px, known, F.col("y1"), F.col("y2")).filter("col_idx >= least(x1, s1) and col_idx < greatest(x2, s2)")
     inside, shade = F.expr("col_idx >= x1 and col_idx < x2"), F.expr("col_idx >= s1 and col_idx < s2")
-    m = met.groupBy("box_id", "image_id", "s1", "s2", "span").agg(F.avg(F.when(inside, F.col("sample"))).alias("inside"), F.avg(F.when(shade, F.col("sample"))).alias("shade")).join(whole, "image_id")
+    m = met.groupBy("box_id", "image_id", "s1", "s2", "span").agg(F.avg(F.when(inside, F.col("sample"))).alias("inside"), F.avg(F.when(shade, F.col("sample"))).alias("shade")).filter("inside is not null").join(whole, "image_id")
     clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    seen = F.col("shade").isNotNull()
-    out = m.withColumns({"highlight_score": clip((F.col("inside") - F.col("base")) / F.col("spread")), "shadow_score": F.when(seen, clip((F.col("base") - F.col("shade")) / F.col("spread"))), "geometry_score": F.when(seen, F.least(F.lit(1.0), (F.col("s2") - F.col("s1")) / F.col("span")))})
-    mean = F.when(seen, (F.col("highlight_score") + F.col("shadow_score") + 1 + F.col("geometry_score")) / 4).otherwise(F.col("highlight_score"))
-    return out.withColumn("physics_consistency", mean)
-
-
-def shadow(px: DataFrame, boxes: DataFrame, height: int) -> DataFrame:
-    """Contrast and continuity of the dark band behind each box (row side away from ``nadir``) against columns at its sides; or why there is none."""
-    mid = (F.col("y1") + F.col("y2")) / 2
-    length = F.least(3 * F.greatest(F.lit(1), F.col("y2") - F.col("y1")), F.lit(max(1, height / 4))).cast("int")
+    seen, cols = F.col("shade").isNotNull(), F.col("s2") - F.col("s1")
+    parts = {"highlight_score": clip((F.col("inside") - F.col("base")) / F.col("spread")), "shadow_score": F.when(seen, clip((F.col("base") - F.col("shade")) / F.col("spread"))), "direction_score": F.when(seen & (cols > 0), 1.0), "geometry_score": F.when(seen, F.least(F.lit(1.0), cols / F.col("span")))}
+    scores = m.select("box_id", *[c.alias(n) for n, c in parts.items()])
+    present = F.array_compact(F.array(*parts))
+    scores = scores.withColumn("physics_consistency", F.aggregate(present, F.lit(0.0), lambda s, x: s + x) / F.size(present))
+    lost = known.select("box_id", "image_id", F.explode(F.sequence("y1", F.col("y2") - 1)).alias("row_idx")).join(dropped, ["image_id", "row_idx"], "left_semi").select("box_id", F.lit(True).alias("dropout")).distinct()
+    out = b.join(scores, "box_id", "left").join(lost, "box_id", "left")
+    nadir = (F.col("nadir_share") > 0) & (F.abs(mid - width / 2) <= F.col("nadir_share") * width / 2)
+    flags = F.concat_ws(",", F.when(nadir, "NADIR_OVERLAP"), F.when(F.col("dropout"), "DROPOUT_OVERLAP"), F.lit("SHADOW_IS_NOT_ARTIFICIALITY"))
+    return out.withColumn("flags", F.when(F.col("nadir").isNull(), "UNKNOWN_ORIENTATION").when(F.col("highlight_score").isNull(), "INVALID_BBOX").otherwise(flags))
+
+
+def shadow(px: DataFrame, boxes: DataFrame, height: int, width: int) -> DataFrame:
+    """Score of the dark band behind each box (the row side away from ``nadir``) against columns at its sides; or why there is none.
+
+    contrast_z, continuity (share of dark lines), ordering_ok (the rows before the box are brighter than the sides) and
+    score = 0.5 tanh(max(0, z) / 2) + 0.35 continuity + 0.15 ordering.
+    """
+    mid, high = (F.col("y1") + F.col("y2")) / 2, F.col("y2") - F.col("y1")
+    length = F.least(3 * F.greatest(F.lit(1), high), F.lit(max(1, height / 4))).cast("int")
     down = mid > F.col("nadir")
     b = boxes.withColumn("len", length).withColumn("a", F.when(down, F.col("y2")).otherwise(F.col("y1") - F.col("len"))).withColumn("z", F.when(down, F.col("y2") + F.col("len")).otherwise(F.col("y1")))
-    reason = F.when(F.col("nadir").isNull(), "NADIR_NOT_RECOVERABLE").when(F.abs(mid - F.col("nadir")) < F.greatest(F.lit(2.0), (F.col("y2") - F.col("y1")) / 2), "CANDIDATE_IN_NADIR_BAND").when((F.col("a") < 0) | (F.col("z") > height), "SHADOW_TRUNCATED_AT_RANGE_EDGE")
+    b = b.withColumn("u", F.when(down, F.col("y1") - high).otherwise(F.col("y2"))).withColumn("w", F.when(down, F.col("y1")).otherwise(F.col("y2") + high))
+    reason = (
+        F.when(F.col("nadir").isNull(), "NADIR_NOT_RECOVERABLE").when((F.col("x1") >= width) | (F.col("y1") >= height) | (F.col("x2") <= F.col("x1")) | (high <= 0), "INVALID_CANDIDATE_GEOMETRY")
+        .when(F.abs(mid - F.col("nadir")) < F.greatest(F.lit(2.0), high / 2), "CANDIDATE_IN_NADIR_BAND").when((F.col("a") < 0) | (F.col("z") > height), "SHADOW_TRUNCATED_AT_RANGE_EDGE")
+    )
     b = b.withColumn("reason", reason)
     side = F.col("x2") - F.col("x1")
-    met = px.join(b.filter("reason is null"), "image_id").filter((F.col("row_idx") >= F.col("a")) & (F.col("row_idx") < F.col("z")) & (F.col("col_idx") >= F.col("x1") - side) & (F.col("col_idx") < F.col("x2") + side)).withColumn("inside", F.expr("col_idx >= x1 and col_idx < x2"))
+    met = _on_rows(px, b.filter("reason is null"), F.least("a", "u"), F.greatest("z", "w")).filter((F.col("col_idx") >= F.col("x1") - side) & (F.col("col_idx") < F.col("x2") + side))
+    met = met.withColumns({"inside": F.expr("col_idx >= x1 and col_idx < x2"), "band": F.expr("row_idx >= a and row_idx < z"), "light": F.expr("row_idx >= u and row_idx < w")})
     x = F.col("sample").cast("double")
-    g = met.groupBy("box_id").agg(F.avg(F.when(~F.col("inside"), x)).alias("mean"), F.stddev_pop(F.when(~F.col("inside"), x)).alias("std"), F.avg(F.when(F.col("inside"), x)).alias("band"))
-    rows = met.filter("inside").groupBy("box_id", "row_idx").agg(F.avg(x).alias("m")).join(g, "box_id")
-    lines = rows.groupBy("box_id").agg(F.avg((F.col("m") < F.col("mean") - 1.5 * F.col("std")).cast("double")).alias("continuity"))
+    beside = F.when(F.col("band") & ~F.col("inside"), x)
+    g = met.groupBy("box_id").agg(F.avg(beside).alias("mean"), F.stddev_pop(beside).alias("std"), F.avg(F.when(F.col("band") & F.col("inside"), x)).alias("dark"), F.avg(F.when(F.col("light") & F.col("inside"), x)).alias("bright"))
+    rows = met.filter("inside and band").groupBy("box_id", "row_idx").agg(F.avg(x).alias("m")).join(g, "box_id")
+    lines = rows.groupBy("box_id").agg(F.avg((F.col("m") < F.col("mean") - 1.5 * F.col("std")).cast("double")).alias("lines"))
     late = F.when(F.col("mean").isNull(), "RANGE_MATCHED_BACKGROUND_UNAVAILABLE").when(F.col("std") < 1e-6, "RANGE_MATCHED_BACKGROUND_LOW_VARIANCE")
-    return b.join(g, "box_id", "left").join(lines, "box_id", "left").withColumn("reason", F.coalesce("reason", late)).withColumn("contrast_z", F.expr("try_divide(mean - band, std)"))
+    out = b.join(g, "box_id", "left").join(lines, "box_id", "left").withColumn("reason", F.coalesce("reason", late))
+    given = lambda c: F.when(F.col("reason").isNull(), c)
+    out = out.withColumns({"contrast_z": given(F.expr("try_divide(mean - dark, std)")), "continuity": given(F.col("lines")), "ordering_ok": given(F.coalesce(F.col("bright") > F.col("mean"), F.lit(False)))})
+    score = 0.5 * F.tanh(F.greatest(F.lit(0.0), F.col("contrast_z")) / 2) + 0.35 * F.col("continuity") + 0.15 * F.col("ordering_ok").cast("double")
+    return out.withColumn("score", given(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))))

@@ -124,7 +124,11 @@ def opaque_order(df: DataFrame, key: str, salt: str) -> DataFrame:
     ranges = out.groupBy(F.substring("_h", 1, 3).alias("_r")).count().withColumn("_b", F.coalesce(F.sum("count").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     out = out.withColumn("_r", F.substring("_h", 1, 3)).join(F.broadcast(ranges), "_r")  # 4096 rows at most
     rank = F.row_number().over(W.partitionBy("_r").orderBy("_h", key)) - 1 + F.col("_b")
-    return out.withColumn("opaque_id", F.substring("_h", 1, 16)).withColumn("presentation_rank", rank.cast("long")).drop("_h", "_r", "_b", "count")
+    out = out.withColumn("opaque_id", F.substring("_h", 1, 16)).withColumn("presentation_rank", rank.cast("long"))
+    # neighbours in the order of the hash: two rows of one id stand side by side
+    twin = F.lag("opaque_id").over(W.partitionBy("_r").orderBy("_h", key)) == F.col("opaque_id")
+    failed = F.raise_error(F.concat(F.lit("two rows have the id "), F.col("opaque_id"))).cast("string")
+    return out.withColumn("opaque_id", F.when(F.coalesce(twin, F.lit(False)), failed).otherwise(F.col("opaque_id"))).drop("_h", "_r", "_b", "count")
 
 
 def feedback_eligibility(df: DataFrame) -> DataFrame:
@@ -214,3 +218,49 @@ def evidence_score(df: DataFrame) -> DataFrame:
     physics = F.when(F.coalesce(F.col("verification"), F.lit("")) != "INSUFFICIENT_EVIDENCE", F.col("physics"))
     values = {"detector": F.col("confidence"), "persistence": F.col("persistence"), "physics": physics, "quality": F.col("quality"), "anomaly": F.col("anomaly"), "artificiality": F.col("artificiality")}
     return df.withColumn("evidence_score", scores.weighted_mean(values, scores.EVIDENCE_WEIGHTS)).withColumn("missing_channels", scores.missing(values))
+
+
+def ground_truth_free(df: DataFrame) -> DataFrame:
+    """``df`` without the columns of the truth (``gt_``...); a later use of one fails when the plan is made."""
+    return df.drop(*[c for c in df.columns if c.startswith("gt_")])
+
+
+def _page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """A page of ``df`` with the number of all its rows as ``total``. The page is the feature."""
+    total = df.agg(F.count("*").alias("total"))
+    return df.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
+
+
+def detections_page(df: DataFrame, kind: str | None = None, category: str | None = None, min_confidence: float | None = None, change_status: str | None = None, reviewed: bool | None = None, best_first: bool = True, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of detections (detection_id, kind, raw_class, raw_confidence, change_status, latest_verdict); a filter that is None is not asked.
+
+    A null confidence counts as 0 for ``min_confidence`` only. Ties go by id.
+    """
+    asked = {"kind": kind, "raw_class": category, "change_status": change_status}
+    for column, value in asked.items():
+        if value is not None:
+            df = df.filter(F.col(column) == value)
+    if min_confidence is not None:
+        df = df.filter(F.coalesce("raw_confidence", F.lit(0.0)) >= min_confidence)
+    if reviewed is not None:
+        df = df.filter(F.col("latest_verdict").isNotNull() if reviewed else F.col("latest_verdict").isNull())
+    return _page(df, [F.col("raw_confidence").desc_nulls_last() if best_first else F.col("raw_confidence").asc_nulls_last(), F.col("detection_id")], offset, limit)
+
+
+SORTS = {"priority": lambda: [F.col("priority").desc_nulls_last(), F.col("contact_id")], "newest": lambda: [F.col("created").desc_nulls_last(), F.col("contact_id")], "id": lambda: [F.col("contact_id").desc()]}
+
+
+def contacts_page(df: DataFrame, surveys: list[str] | None = None, machine_class: str | None = None, analyst_class: str | None = None, status: str | None = None, least_priority: float | None = None, reviewed: bool | None = None, text: str | None = None, sort: str = "id", offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of contacts (contact_id, survey_id, category, analyst_class, latest_verdict, priority, created) in one of three orders (``SORTS``)."""
+    if surveys is not None:
+        df = df.filter(F.array_contains(F.array(*map(F.lit, surveys)), F.col("survey_id")))
+    for column, value in {"category": machine_class, "analyst_class": analyst_class, "latest_verdict": status}.items():
+        if value is not None:
+            df = df.filter(F.col(column) == value)
+    if least_priority is not None:
+        df = df.filter(F.col("priority") >= least_priority)
+    if reviewed is not None:
+        df = df.filter(F.col("latest_verdict").isNotNull() if reviewed else F.col("latest_verdict").isNull())
+    if text is not None:
+        df = df.filter(F.col("contact_id").contains(text))
+    return _page(df, SORTS[sort](), offset, limit)

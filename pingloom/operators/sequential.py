@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from ..functions import boxes
 
 
-def class_aware_nms(det: DataFrame, threshold: float = 0.45) -> DataFrame:
-    """Per frame and class, best confidence first: a detection stays if its overlap with all kept ones is at most ``threshold``."""
-    item = F.struct((-F.col("raw_confidence")).alias("k"), "detection_id", "x1", "y1", "x2", "y2", "raw_confidence")
+def class_aware_nms(det: DataFrame, threshold: float = 0.45, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per frame and class, best confidence first: a detection stays if its overlap with all kept ones is at most ``threshold``.
+
+    Columns of ``carry`` go along.
+    """
+    item = F.struct((-F.col("raw_confidence")).alias("k"), "detection_id", "x1", "y1", "x2", "y2", "raw_confidence", *carry)
     groups = det.groupBy("frame_id", "raw_class").agg(F.array_sort(F.collect_list(item)).alias("all"))
     over = lambda c: lambda a: boxes.iou(boxes.fields(a), boxes.fields(c)) > threshold
     kept = F.aggregate("all", F.filter("all", lambda c: F.lit(False)), lambda acc, c: F.when(F.exists(acc, over(c)), acc).otherwise(F.array_append(acc, c)))
-    return groups.select("frame_id", "raw_class", F.explode(kept).alias("d")).select("frame_id", "raw_class", "d.detection_id", "d.raw_confidence", "d.x1", "d.y1", "d.x2", "d.y2")
+    return groups.select("frame_id", "raw_class", F.explode(kept).alias("d")).select("frame_id", "raw_class", "d.detection_id", "d.raw_confidence", "d.x1", "d.y1", "d.x2", "d.y2", *[f"d.{c}" for c in carry])
 
 
 def number_detections(det: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..operators import aggregates as A
 from .catalog_boxes import IOU_SQL
+from .catalog_joins import NEAR, j09
 from .registry import register
 
 
@@ -26,11 +27,12 @@ def a08(v):
     return out.select("detection_id", "observed", "opportunities", F.when(many, F.round(scores.wilson_lower(F.col("observed"), F.col("opportunities")), 9)).alias("wilson"), F.when(many, F.col("scatter")).alias("scatter_px"))
 
 
-@register("A09_split_and_class_counts", "SELECT split, dataset, width, count(*) AS frames, count(DISTINCT group_key) AS groups FROM v_frames GROUP BY GROUPING SETS ((split), (dataset), (split, dataset), (split, width), ())")
+@register("A09_split_and_class_counts", "SELECT split, dataset, width, raw_class, count(DISTINCT f.frame_id) AS frames, count(DISTINCT group_key) AS groups, count(detection_id) AS boxes FROM v_frames AS f LEFT JOIN v_det AS d ON f.frame_id = d.frame_id GROUP BY GROUPING SETS ((split), (dataset), (raw_class), (split, dataset), (split, width), (split, raw_class), (split, dataset, raw_class), ())")
 def a09(v):
     """Counts by several sets of keys in one pass."""
-    f = v["v_frames"]
-    return f.groupingSets([["split"], ["dataset"], ["split", "dataset"], ["split", "width"], []], "split", "dataset", "width").agg(F.count("*").alias("frames"), F.countDistinct("group_key").alias("groups"))
+    f = v["v_frames"].join(v["v_det"].select("frame_id", "raw_class", "detection_id"), "frame_id", "left")
+    sets = [["split"], ["dataset"], ["raw_class"], ["split", "dataset"], ["split", "width"], ["split", "raw_class"], ["split", "dataset", "raw_class"], []]
+    return f.groupingSets(sets, "split", "dataset", "width", "raw_class").agg(F.countDistinct("frame_id").alias("frames"), F.countDistinct("group_key").alias("groups"), F.count("detection_id").alias("boxes"))
 
 
 @register("A10_snapshot_identity", "SELECT survey_id, count(*) AS frames, substr(sha256('split_v1|' || string_agg(frame_id::VARCHAR, ',' ORDER BY frame_id::VARCHAR)), 1, 16) AS snapshot_id FROM v_frames GROUP BY survey_id")
@@ -62,14 +64,14 @@ def a13(v):
     return f.join(c, "survey_id", "left").select("survey_id", "frames", "newest", F.coalesce("contacts", F.lit(0)).alias("contacts"), F.coalesce("reviewed", F.lit(0)).alias("reviewed"))
 
 
-@register("A15_class_counts", "SELECT coalesce(d.frame_id, g.frame_id) AS frame_id, coalesce(d.raw_class, g.raw_class) AS raw_class, coalesce(detections, 0) AS detections, coalesce(gt, 0) AS gt FROM (SELECT frame_id, raw_class, count(*) AS detections FROM v_det WHERE tile_id <> 1 GROUP BY ALL) AS d FULL JOIN (SELECT frame_id, gt_class AS raw_class, count(*) AS gt FROM v_gt GROUP BY ALL) AS g ON d.frame_id = g.frame_id AND d.raw_class = g.raw_class")
+@register("A15_class_counts", "SELECT coalesce(d.frame_id, g.frame_id) AS frame_id, coalesce(d.raw_class, g.raw_class) AS raw_class, coalesce(detections, 0) AS detections, coalesce(gt, 0) AS gt FROM (SELECT frame_id, raw_class, count(*) AS detections FROM v_det GROUP BY ALL) AS d FULL JOIN (SELECT frame_id, gt_class AS raw_class, count(*) AS gt FROM v_gt GROUP BY ALL) AS g ON d.frame_id = g.frame_id AND d.raw_class = g.raw_class")
 def a15(v):
-    d = v["v_det"].filter("tile_id <> 1").groupBy("frame_id", "raw_class").agg(F.count("*").alias("detections"))
+    d = v["v_det"].groupBy("frame_id", "raw_class").agg(F.count("*").alias("detections"))
     g = v["v_gt"].groupBy("frame_id", F.col("gt_class").alias("raw_class")).agg(F.count("*").alias("gt"))
     return d.join(g, ["frame_id", "raw_class"], "full").select("frame_id", "raw_class", F.coalesce("detections", F.lit(0)).alias("detections"), F.coalesce("gt", F.lit(0)).alias("gt"))
 
 
-UNITS = "u AS (SELECT raw_class || '/' || (frame_id % 40) AS grp, sum(CASE WHEN raw_confidence > 0.5 THEN 1 ELSE 0 END) AS num, count(*) AS den FROM v_det WHERE tile_id < 4 GROUP BY ALL)"
+UNITS = "u AS (SELECT raw_class || '/' || CAST(floor(frame_id / 16) AS BIGINT) AS grp, sum(CASE WHEN raw_confidence > 0.5 THEN 1 ELSE 0 END) AS num, count(*) AS den FROM v_det GROUP BY ALL)"
 
 
 @register(
@@ -80,12 +82,21 @@ UNITS = "u AS (SELECT raw_class || '/' || (frame_id % 40) AS grp, sum(CASE WHEN
     SELECT round((SELECT sum(num) * 1e0 / sum(den) FROM u), 9) AS point, (SELECT count(*) FROM u) AS n_groups, max(draws) AS draws, 0 AS undefined_draws, round(max(CASE WHEN k = floor(0.025e0 * (draws - 1)) THEN rate END), 9) AS ci_low, round(max(CASE WHEN k = ceil(0.975e0 * (draws - 1)) THEN rate END), 9) AS ci_high FROM o""",
 )
 def a17(v):
-    u = v["v_det"].filter("tile_id < 4").select(F.concat_ws("/", "raw_class", (F.col("frame_id") % 40).cast("string")).alias("grp"), (F.col("raw_confidence") > 0.5).cast("int").alias("num"), F.lit(1).alias("den"))
+    u = v["v_det"].select(F.concat_ws("/", "raw_class", F.floor(F.col("frame_id") / 16).cast("string")).alias("grp"), (F.col("raw_confidence") > 0.5).cast("int").alias("num"), F.lit(1).alias("den"))
     out = A.cluster_bootstrap(u, 300, 11)
     return out.select(F.round("point", 9).alias("point"), "n_groups", "draws", "undefined_draws", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high"))
 
 
-@register("A18_clopper_pearson")
+@register(
+    "A18_clopper_pearson",
+    """WITH c AS (SELECT survey_id, count(*) FILTER (WHERE latest_verdict = 'CONFIRMED') AS k, count(*) AS n FROM v_contacts GROUP BY survey_id),
+    b AS (SELECT survey_id, k, n, 0 AS step, 0e0 AS a_lo, 1e0 AS a_hi, 0e0 AS b_lo, 1e0 AS b_hi FROM c UNION ALL
+      SELECT survey_id, k, n, step + 1, CASE WHEN low THEN (a_lo + a_hi) / 2 ELSE a_lo END, CASE WHEN low THEN a_hi ELSE (a_lo + a_hi) / 2 END, CASE WHEN high THEN (b_lo + b_hi) / 2 ELSE b_lo END, CASE WHEN high THEN b_hi ELSE (b_lo + b_hi) / 2 END
+      FROM (SELECT *, list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((a_lo + a_hi) / 2) + (n - i) * ln(1 - (a_lo + a_hi) / 2)))) < 0.025 AS low,
+        list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((b_lo + b_hi) / 2) + (n - i) * ln(1 - (b_lo + b_hi) / 2)))) > 0.025 AS high FROM b WHERE step < 48) AS s)
+    SELECT survey_id, k, n, round(CASE WHEN k = 0 THEN 0 ELSE (a_lo + a_hi) / 2 END, 9) AS cp_low, round(CASE WHEN k = n THEN 1 ELSE (b_lo + b_hi) / 2 END, 9) AS cp_high FROM b WHERE step = 48""",
+    recursive=True,
+)
 def a18(v):
     """Exact intervals of the confirmed share of each survey's contacts."""
     c = v["v_contacts"].groupBy("survey_id").agg(F.count_if(F.col("latest_verdict") == "CONFIRMED").alias("k"), F.count("*").alias("n"))
@@ -113,13 +124,13 @@ def a21(v):
     return v["v_frames"].join(d, "frame_id", "left").groupBy("group_key", "split").agg(F.countDistinct("frame_id").alias("images"), F.count("detection_id").alias("instances"), F.round(F.median("w"), 9).alias("median_width"))
 
 
-@register("A22_class_exposure", "SELECT raw_class, m AS oversample, count(*) * m AS instances, count(DISTINCT frame_id) * m AS positive_images, round(count(*) * m * 16e0 / (SELECT count(DISTINCT frame_id) FROM v_det), 9) AS per_batch FROM v_det, (VALUES (1), (3), (5)) AS x(m) GROUP BY raw_class, m")
+@register("A22_class_exposure", "SELECT raw_class, m AS oversample, count(*) * m AS instances, count(DISTINCT frame_id) * m AS positive_images, round(count(*) * m * 16e0 / (SELECT count(DISTINCT frame_id) FROM v_det), 9) AS per_batch, (SELECT count(DISTINCT frame_id) FROM v_det) - count(DISTINCT frame_id) AS background FROM v_det, (VALUES (1), (3), (5)) AS x(m) GROUP BY raw_class, m")
 def a22(v):
     """Instances and positive images of a class under 1, 3 and 5 repeats, and what a batch of 16 holds."""
     total = v["v_det"].agg(F.countDistinct("frame_id").alias("t"))
     g = v["v_det"].groupBy("raw_class").agg(F.count("*").alias("n"), F.countDistinct("frame_id").alias("p")).crossJoin(F.broadcast(total))
     m = F.col("oversample")
-    return g.withColumn("oversample", F.explode(F.array(*map(F.lit, (1, 3, 5))))).select("raw_class", "oversample", (F.col("n") * m).alias("instances"), (F.col("p") * m).alias("positive_images"), F.round(F.col("n") * m * 16 / F.col("t"), 9).alias("per_batch"))
+    return g.withColumn("oversample", F.explode(F.array(*map(F.lit, (1, 3, 5))))).select("raw_class", "oversample", (F.col("n") * m).alias("instances"), (F.col("p") * m).alias("positive_images"), F.round(F.col("n") * m * 16 / F.col("t"), 9).alias("per_batch"), (F.col("t") - F.col("p")).alias("background"))
 
 
 @register("A32_open_set_threshold", "WITH t AS (SELECT quantile_cont(anomaly, 0.99) AS tau FROM v_contacts WHERE segment = 'BUILDING'), s AS (SELECT survey_id, quantile_cont(anomaly, 0.995) AS q FROM v_contacts GROUP BY survey_id) SELECT c.survey_id, round(greatest(tau, q), 9) AS threshold, count(*) FILTER (WHERE anomaly >= greatest(tau, q)) AS candidates FROM v_contacts AS c JOIN s ON c.survey_id = s.survey_id, t GROUP BY c.survey_id, tau, q")
@@ -147,18 +158,30 @@ def a35(v):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    names = ["evidence", "persistence", "quality", "anomaly"]
-    c = v["v_contacts"].filter("latest_verdict in ('CONFIRMED', 'REJECTED')").select((F.col("latest_verdict") == "CONFIRMED").cast("double").alias("label"), *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+    names = list(FUSION)
+    # surveys whose number is divisible by 5 are held out
+    c = _eight(v).filter("latest_verdict in ('CONFIRMED', 'REJECTED') and cast(substr(survey_id, 2) as int) % 5 <> 0").select((F.col("latest_verdict") == "CONFIRMED").cast("double").alias("label"), *names)
     model = LogisticRegression(regParam=0.01, standardization=True).fit(VectorAssembler(inputCols=names, outputCol="features").transform(c))
     rows = [(n, float(w)) for n, w in zip(names, model.coefficients, strict=True)] + [("intercept", float(model.intercept))]
     return c.sparkSession.createDataFrame(rows, "feature string, weight double")
 
 
-@register("A36_logistic_fusion_score", "SELECT contact_id, round(1 / (1 + exp(-greatest(-40e0, least(40e0, -1.5e0 + 2.0e0 * coalesce(evidence, 0e0) + 1.25e0 * coalesce(persistence, 0e0) + 0.75e0 * coalesce(quality, 0e0))))), 9) AS fused FROM v_contacts")
+#: Weights of the fitted fusion by feature (fixed values).
+FUSION = {"logit": 0.4, "wilson": 1.25, "log_opportunities": 0.3, "shadow": 0.8, "shadow_applicable": -0.2, "context_z": 0.75, "clutter": -0.5, "anomaly": 0.6}
+_EIGHT = """SELECT contact_id, latest_verdict, survey_id, coalesce(ln(p / (1 - p)), 0e0) AS logit, coalesce(persistence, 0e0) AS wilson, ln(1 + coalesce(strength * 10, 0e0)) AS log_opportunities, coalesce(physics, 0e0) AS shadow, CASE WHEN physics IS NOT NULL THEN 1e0 ELSE 0e0 END AS shadow_applicable,
+coalesce(quality, 0e0) AS context_z, coalesce(artificiality, 0e0) AS clutter, coalesce(anomaly, 0e0) AS anomaly FROM (SELECT *, least(1e0 - 1e-6, greatest(1e-6, evidence)) AS p FROM v_contacts) AS c"""
+
+
+def _eight(v):
+    return v["v_contacts"].sparkSession.sql(_EIGHT.replace("FROM v_contacts", "FROM {c}"), c=v["v_contacts"])
+
+
+@register("A36_logistic_fusion_score", f"WITH x AS ({_EIGHT}), c AS (SELECT contact_id, {', '.join(f'{w}e0 * {n} AS c_{n}' for n, w in FUSION.items())} FROM x) SELECT contact_id, {', '.join(f'round(c_{n}, 9) AS c_{n}' for n in FUSION)}, round(1 / (1 + exp(-greatest(-40e0, least(40e0, -1.5e0 + {' + '.join(f'c_{n}' for n in FUSION)})))), 9) AS fused FROM c")
 def a36(v):
-    weights = {"evidence": 2.0, "persistence": 1.25, "quality": 0.75}
-    logit = sum((F.coalesce(k, F.lit(0.0)) * w for k, w in weights.items()), F.lit(-1.5))
-    return v["v_contacts"].select("contact_id", F.round(1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), logit)))), 9).alias("fused"))
+    """The contribution of each feature, and the sigmoid of their clamped sum."""
+    parts = {n: F.col(n) * w for n, w in FUSION.items()}
+    logit = sum(parts.values(), F.lit(-1.5))
+    return _eight(v).select("contact_id", *[F.round(c, 9).alias(f"c_{n}") for n, c in parts.items()], F.round(1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), logit)))), 9).alias("fused"))
 
 
 @register(
@@ -171,36 +194,58 @@ def a37(v):
     return A.average_precision(s, "score", "label", "doc_id").withColumn("average_precision", F.round("average_precision", 9))
 
 
-@register("A39_track_extent", "SELECT survey_ref, round(min(latitude), 6) AS south, round(max(latitude), 6) AS north, min(longitude) AS west, max(longitude) AS east, round(avg(latitude), 6) AS lat, round(avg(longitude), 6) AS lon, count(*) AS fixes FROM v_nav GROUP BY survey_ref")
+#: Degrees that a coverage reaches beyond its fixes.
+PAD = 0.002
+
+
+@register("A39_track_extent", "SELECT survey_ref, round(min(latitude), 6) AS south, round(max(latitude), 6) AS north, min(longitude) AS west, max(longitude) AS east, round(avg(latitude), 6) AS lat, round(avg(longitude), 6) AS lon, count(*) AS fixes, round(min(latitude) - 0.002e0, 6) AS coverage_south, round(max(latitude) + 0.002e0, 6) AS coverage_north, round(min(longitude) - 0.002e0, 6) AS coverage_west, round(max(longitude) + 0.002e0, 6) AS coverage_east FROM v_nav GROUP BY survey_ref")
 def a39(v):
-    return v["v_nav"].groupBy("survey_ref").agg(F.round(F.min("latitude"), 6).alias("south"), F.round(F.max("latitude"), 6).alias("north"), F.min("longitude").alias("west"), F.max("longitude").alias("east"), F.round(F.avg("latitude"), 6).alias("lat"), F.round(F.avg("longitude"), 6).alias("lon"), F.count("*").alias("fixes"))
+    return v["v_nav"].groupBy("survey_ref").agg(F.round(F.min("latitude"), 6).alias("south"), F.round(F.max("latitude"), 6).alias("north"), F.min("longitude").alias("west"), F.max("longitude").alias("east"), F.round(F.avg("latitude"), 6).alias("lat"), F.round(F.avg("longitude"), 6).alias("lon"), F.count("*").alias("fixes"), *[F.round(f(c) + sign * PAD, 6).alias(f"coverage_{n}") for n, c, f, sign in (("south", "latitude", F.min, -1), ("north", "latitude", F.max, 1), ("west", "longitude", F.min, -1), ("east", "longitude", F.max, 1))])
 
 
 @register(
     "A40_duplicate_raster_groups",
-    """WITH g AS (SELECT raster_sha256, count(*) AS n, string_agg(frame_id::VARCHAR, ',' ORDER BY frame_id) AS ids FROM v_rasters WHERE raster_sha256 IS NOT NULL GROUP BY raster_sha256)
-    SELECT r.frame_id, CASE WHEN n > 1 THEN 'DUPLICATE_RASTER' WHEN n = 1 THEN 'UNIQUE' END AS status, CASE WHEN n > 1 THEN ids ELSE '' END AS group_ids FROM v_rasters AS r LEFT JOIN g ON r.raster_sha256 = g.raster_sha256""",
+    """WITH g AS (SELECT raster_sha256, count(*) AS n, min(frame_id) AS first FROM v_rasters WHERE raster_sha256 IS NOT NULL GROUP BY raster_sha256)
+    SELECT r.frame_id, CASE WHEN n > 1 THEN 'DUPLICATE_RASTER' WHEN n = 1 THEN 'UNIQUE' END AS status, CASE WHEN n > 1 THEN first END AS group_representative, n AS members FROM v_rasters AS r LEFT JOIN g ON r.raster_sha256 = g.raster_sha256""",
 )
 def a40(v):
+    """The status of each image, and its group by representative: a row for each member, whatever the size of the group."""
     r = v["v_rasters"]
-    g = r.filter("raster_sha256 is not null").groupBy("raster_sha256").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("frame_id")), lambda x: x.cast("string")), ",").alias("ids"))
+    g = r.filter("raster_sha256 is not null").groupBy("raster_sha256").agg(F.count("*").alias("n"), F.min("frame_id").alias("first"))
     n = F.col("n")
-    return r.join(g, "raster_sha256", "left").select("frame_id", F.when(n > 1, "DUPLICATE_RASTER").when(n == 1, "UNIQUE").alias("status"), F.when(n > 1, F.col("ids")).otherwise("").alias("group_ids"))
+    return r.join(g, "raster_sha256", "left").select("frame_id", F.when(n > 1, "DUPLICATE_RASTER").when(n == 1, "UNIQUE").alias("status"), F.when(n > 1, F.col("first")).alias("group_representative"), n.alias("members"))
+
+
+@register(
+    "A40_group_lists",
+    "SELECT raster_sha256, count(*) AS members, string_agg(frame_id::VARCHAR, ',' ORDER BY frame_id) AS ids FROM v_rasters WHERE raster_sha256 IS NOT NULL GROUP BY raster_sha256 HAVING count(*) > 1",
+)
+def a40_lists(v):
+    """The sorted members of each group, once a group."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("frame_id")), lambda x: x.cast("string")), ",")
+    return v["v_rasters"].filter("raster_sha256 is not null").groupBy("raster_sha256").agg(F.count("*").alias("members"), ids.alias("ids")).filter("members > 1")
 
 
 @register(
     "A41_split_integrity",
-    """SELECT 'group_overlap' AS rule, group_key::VARCHAR AS subject FROM v_frames WHERE group_key % 7 = 0 GROUP BY group_key HAVING count(DISTINCT split) > 1
+    f"""WITH {NEAR} SELECT 'group_overlap' AS rule, group_key::VARCHAR AS subject FROM v_frames GROUP BY group_key HAVING count(DISTINCT split) > 1
     UNION ALL SELECT 'duplicate_raster_across_splits', r.raster_sha256 FROM v_rasters AS r JOIN v_frames AS f ON r.frame_id = f.frame_id WHERE raster_sha256 IS NOT NULL GROUP BY 2 HAVING count(DISTINCT split) > 1
-    UNION ALL SELECT 'test_without_positives', f.survey_id FROM v_frames AS f LEFT JOIN v_gt AS g ON f.frame_id = g.frame_id WHERE split = 'test' GROUP BY f.survey_id HAVING count(g.gt_id) = 0""",
+    UNION ALL SELECT 'test_without_positives', f.survey_id FROM v_frames AS f LEFT JOIN v_gt AS g ON f.frame_id = g.frame_id WHERE split = 'test' GROUP BY f.survey_id HAVING count(g.gt_id) = 0
+    UNION ALL SELECT 'ineligible_in_evaluation', frame_id::VARCHAR FROM v_frames WHERE split IN ('val', 'test') AND dataset = '5-LOW'
+    UNION ALL SELECT 'tile_split_differs', detection_id FROM v_det AS d JOIN v_frames AS f ON d.frame_id = f.frame_id WHERE CASE WHEN tile_id = 7 THEN 'test' ELSE f.split END <> f.split
+    UNION ALL SELECT 'near_duplicate_across_splits', a_id || '-' || b_id FROM near""",
 )
 def a41(v):
     """Violations of the split rules, a row each; no rows: the split holds."""
     f = v["v_frames"]
-    one = f.filter("group_key % 7 = 0").groupBy("group_key").agg(F.countDistinct("split").alias("n")).filter("n > 1").select(F.lit("group_overlap").alias("rule"), F.col("group_key").cast("string").alias("subject"))
+    one = f.groupBy("group_key").agg(F.countDistinct("split").alias("n")).filter("n > 1").select(F.lit("group_overlap").alias("rule"), F.col("group_key").cast("string").alias("subject"))
     two = v["v_rasters"].filter("raster_sha256 is not null").join(f.select("frame_id", "split"), "frame_id").groupBy("raster_sha256").agg(F.countDistinct("split").alias("n")).filter("n > 1").select(F.lit("duplicate_raster_across_splits").alias("rule"), F.col("raster_sha256").alias("subject"))
     three = f.filter("split = 'test'").join(v["v_gt"].select("frame_id", "gt_id"), "frame_id", "left").groupBy("survey_id").agg(F.count("gt_id").alias("n")).filter("n = 0").select(F.lit("test_without_positives").alias("rule"), F.col("survey_id").alias("subject"))
-    return one.unionByName(two).unionByName(three)
+    four = f.filter("split in ('val', 'test') and dataset = '5-LOW'").select(F.lit("ineligible_in_evaluation").alias("rule"), F.col("frame_id").cast("string").alias("subject"))
+    tile = F.when(F.col("tile_id") == 7, "test").otherwise(F.col("split"))
+    five = v["v_det"].select("detection_id", "frame_id", "tile_id").join(f.select("frame_id", "split"), "frame_id").filter(tile != F.col("split")).select(F.lit("tile_split_differs").alias("rule"), F.col("detection_id").alias("subject"))
+    six = j09(v).select(F.lit("near_duplicate_across_splits").alias("rule"), F.concat_ws("-", "a_id", "b_id").alias("subject"))
+    return one.unionByName(two).unionByName(three).unionByName(four).unionByName(five).unionByName(six)
 
 
 @register("A44_sibling_distribution", "SELECT split, siblings, count(*) AS parents FROM (SELECT split, group_key, count(*) AS siblings FROM v_frames GROUP BY split, group_key) AS g GROUP BY split, siblings")
@@ -219,12 +264,12 @@ def a48(v):
     return v["v_contacts"].groupBy("survey_id").agg((F.max("evidence") - F.min("evidence") > 0.03).alias("ranges"), (F.count_if(shown == 0.9) <= 2).alias("few_at_top"), (F.countDistinct("category") == 5).alias("all_classes"))
 
 
-@register("P25_letterbox_size", "SELECT raw_class, s AS size, round(avg((x2 - x1) * s / 640), 9) AS mean_width, round(avg(CASE WHEN least(x2 - x1, y2 - y1) * s / 640 < 16 THEN 1e0 ELSE 0e0 END), 9) AS share_small FROM v_det, (VALUES (640), (768), (960)) AS z(s) GROUP BY raw_class, s")
+@register("P25_letterbox_size", "SELECT raw_class, s AS size, round(avg((x2 - x1) * s / 2500), 9) AS mean_width, round(avg(CASE WHEN least(x2 - x1, y2 - y1) * s / 2500 < 4 THEN 1e0 ELSE 0e0 END), 9) AS share_under_4, round(avg(CASE WHEN least(x2 - x1, y2 - y1) * s / 2500 < 8 THEN 1e0 ELSE 0e0 END), 9) AS share_under_8 FROM v_det, (VALUES (640), (768), (960)) AS z(s) GROUP BY raw_class, s")
 def p25(v):
     d = v["v_det"].withColumn("size", F.explode(F.array(*map(F.lit, (640, 768, 960)))))
-    scale = lambda x: x * F.col("size") / 640
+    scale = lambda x: x * F.col("size") / 2500
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return d.groupBy("raw_class", "size").agg(F.round(F.avg(scale(w)), 9).alias("mean_width"), F.round(F.avg((scale(F.least(w, h)) < 16).cast("double")), 9).alias("share_small"))
+    return d.groupBy("raw_class", "size").agg(F.round(F.avg(scale(w)), 9).alias("mean_width"), *[F.round(F.avg((scale(F.least(w, h)) < px).cast("double")), 9).alias(f"share_under_{px}") for px in (4, 8)])
 
 
 @register("P29_capability_gates", "SELECT dataset, bool_and(width >= 640) AS wide, bool_and(frame_id % 97 <> 0) AS nadir, count(*) AS frames FROM v_frames GROUP BY dataset")

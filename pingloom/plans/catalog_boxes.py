@@ -124,27 +124,40 @@ def p16(v):
     return S.demo_presentation(d).select("detection_id", "display_class", F.round("display_confidence", 9).alias("display_confidence"), "classification_source", "production_qualified")
 
 
-@register(
-    "P20_detections_query",
-    """WITH f AS (SELECT detection_id, raw_class, raw_confidence, count(*) OVER () AS total FROM v_det WHERE raw_class = 'PIPELINE' AND coalesce(raw_confidence, 0) >= 0.25)
-    SELECT * FROM f ORDER BY raw_confidence DESC, detection_id LIMIT 50 OFFSET 100""",
-)
+_LISTED = "SELECT detection_id, CASE WHEN raw_confidence < 0.25 THEN 'ANOMALY' ELSE 'DETECTION' END AS kind, raw_class, CASE WHEN tile_id <> 3 THEN raw_confidence END AS raw_confidence, CASE tile_id WHEN 1 THEN 'NEW' WHEN 2 THEN 'UNCHANGED' END AS change_status, CASE WHEN frame_id % 4 = 0 THEN 'CONFIRMED' END AS latest_verdict FROM v_det"
+
+
+@register("P20_detections_query", f"WITH f AS (SELECT *, count(*) OVER () AS total FROM ({_LISTED}) AS l WHERE raw_class = 'PIPELINE' AND coalesce(raw_confidence, 0) >= 0.25) SELECT * FROM f ORDER BY raw_confidence DESC NULLS LAST, detection_id LIMIT 50 OFFSET 100")
 def p20(v):
-    """A page of the filtered detections, best first, with the number of all that pass. The page is the feature."""
-    f = v["v_det"].filter((F.col("raw_class") == "PIPELINE") & (F.coalesce("raw_confidence", F.lit(0.0)) >= 0.25)).select("detection_id", "raw_class", "raw_confidence")
-    total = f.agg(F.count("*").alias("total"))
-    return f.orderBy(F.col("raw_confidence").desc(), "detection_id").offset(100).limit(50).crossJoin(F.broadcast(total))
+    d = v["v_det"].sparkSession.sql(_LISTED.replace("FROM v_det", "FROM {d}"), d=v["v_det"])
+    return S.detections_page(d, category="PIPELINE", min_confidence=0.25, offset=100)
 
 
-@register(
-    "P21_contacts_query",
-    """WITH f AS (SELECT contact_id, survey_id, category, latest_verdict, count(*) OVER () AS total FROM v_contacts WHERE list_contains(['s3','s5','s7'], survey_id) AND category IN ('PIPELINE','ENGINEERING_STRUCTURE') AND contains(contact_id, '1'))
-    SELECT * FROM f ORDER BY contact_id DESC LIMIT 50""",
-)
+@register("P20_detections_all_filters", f"WITH f AS (SELECT *, count(*) OVER () AS total FROM ({_LISTED}) AS l WHERE kind = 'DETECTION' AND raw_class = 'CRAB_POT' AND change_status = 'NEW' AND latest_verdict IS NOT NULL) SELECT * FROM f ORDER BY raw_confidence NULLS LAST, detection_id LIMIT 20")
+def p20_all(v):
+    d = v["v_det"].sparkSession.sql(_LISTED.replace("FROM v_det", "FROM {d}"), d=v["v_det"])
+    return S.detections_page(d, kind="DETECTION", category="CRAB_POT", change_status="NEW", reviewed=True, best_first=False, limit=20)
+
+
+_ROLL = "SELECT contact_id, survey_id, category, CASE WHEN latest_verdict = 'CONFIRMED' THEN category END AS analyst_class, latest_verdict, strength AS priority, CAST(substr(contact_id, 2) AS BIGINT) * 37 % 1009 AS created FROM v_contacts"
+
+
+@register("P21_contacts_query", f"WITH f AS (SELECT *, count(*) OVER () AS total FROM ({_ROLL}) AS l WHERE list_contains(['s3','s5','s7'], survey_id) AND contains(contact_id, '1')) SELECT * FROM f ORDER BY contact_id DESC LIMIT 50")
 def p21(v):
-    f = v["v_contacts"].filter(F.array_contains(F.array(*map(F.lit, ("s3", "s5", "s7"))), F.col("survey_id")) & F.col("category").isin("PIPELINE", "ENGINEERING_STRUCTURE") & F.col("contact_id").contains("1"))
-    f = f.select("contact_id", "survey_id", "category", "latest_verdict")
-    return f.orderBy(F.col("contact_id").desc()).limit(50).crossJoin(F.broadcast(f.agg(F.count("*").alias("total"))))
+    c = v["v_contacts"].sparkSession.sql(_ROLL.replace("FROM v_contacts", "FROM {c}"), c=v["v_contacts"])
+    return S.contacts_page(c, surveys=["s3", "s5", "s7"], text="1")
+
+
+@register("P21_contacts_all_filters", f"WITH f AS (SELECT *, count(*) OVER () AS total FROM ({_ROLL}) AS l WHERE category = 'PIPELINE' AND latest_verdict IS NULL AND priority >= 0.2) SELECT * FROM f ORDER BY priority DESC NULLS LAST, contact_id LIMIT 10 OFFSET 2")
+def p21_all(v):
+    c = v["v_contacts"].sparkSession.sql(_ROLL.replace("FROM v_contacts", "FROM {c}"), c=v["v_contacts"])
+    return S.contacts_page(c, machine_class="PIPELINE", reviewed=False, least_priority=0.2, sort="priority", offset=2, limit=10)
+
+
+@register("P21_contacts_newest", f"WITH f AS (SELECT *, count(*) OVER () AS total FROM ({_ROLL}) AS l WHERE analyst_class = 'PIPELINE' AND latest_verdict = 'CONFIRMED') SELECT * FROM f ORDER BY created DESC NULLS LAST, contact_id LIMIT 50")
+def p21_newest(v):
+    c = v["v_contacts"].sparkSession.sql(_ROLL.replace("FROM v_contacts", "FROM {c}"), c=v["v_contacts"])
+    return S.contacts_page(c, analyst_class="PIPELINE", status="CONFIRMED", sort="newest")
 
 
 @register(
@@ -228,8 +241,8 @@ def a07(v):
 @register(
     "P24_evidence_feature_vector",
     """SELECT contact_id, round(ln(p / (1 - p)), 9) AS logit, coalesce(persistence, 0e0) AS wilson, round(ln(1 + coalesce(strength * 10, 0e0)), 9) AS log_opportunities, coalesce(physics, 0e0) AS shadow,
-    CASE WHEN physics IS NOT NULL THEN 1e0 ELSE 0e0 END AS shadow_applicable, coalesce(anomaly, 0e0) AS anomaly FROM (SELECT *, least(1e0 - 1e-6, greatest(1e-6, evidence)) AS p FROM v_contacts WHERE evidence IS NOT NULL) AS c""",
+    CASE WHEN physics IS NOT NULL THEN 1e0 ELSE 0e0 END AS shadow_applicable, coalesce(anomaly, 0e0) AS anomaly, coalesce(quality, 0e0) AS context_z, coalesce(artificiality, 0e0) AS clutter FROM (SELECT *, least(1e0 - 1e-6, greatest(1e-6, evidence)) AS p FROM v_contacts WHERE evidence IS NOT NULL) AS c""",
 )
 def p24(v):
     c = v["v_contacts"].filter("evidence is not null").withColumn("opportunities", F.col("strength") * 10).withColumnsRenamed({"evidence": "confidence", "physics": "shadow_score", "anomaly": "anomaly_score"})
-    return S.evidence_features(c).select("contact_id", F.round("logit", 9).alias("logit"), "wilson", F.round("log_opportunities", 9).alias("log_opportunities"), "shadow", "shadow_applicable", "anomaly")
+    return S.evidence_features(c).select("contact_id", F.round("logit", 9).alias("logit"), "wilson", F.round("log_opportunities", 9).alias("log_opportunities"), "shadow", "shadow_applicable", "anomaly", F.coalesce("quality", F.lit(0.0)).alias("context_z"), F.coalesce("artificiality", F.lit(0.0)).alias("clutter"))

@@ -196,8 +196,7 @@ def g13(v):
 )
 def flagship(v):
     """Which contacts need action first? Suppression, rollup, evidence, priority."""
-    kept = S.class_aware_nms(v["v_det"].select("detection_id", "frame_id", "raw_class", "raw_confidence", "x1", "y1", "x2", "y2"))
-    kept = kept.join(v["v_det"].select("detection_id", "tile_id"), "detection_id")
+    kept = S.class_aware_nms(v["v_det"].select("detection_id", "frame_id", "raw_class", "raw_confidence", "x1", "y1", "x2", "y2", "tile_id"), carry=("tile_id",))
     c = kept.groupBy("frame_id", "raw_class").agg(F.count("*").alias("observations"), F.max("raw_confidence").alias("confidence"), F.when(F.count("*") > 1, F.least(F.lit(1.0), 0.35 + 0.13 * F.countDistinct("tile_id"))).otherwise(0.15).alias("persistence"))
     none = F.lit(None).cast("double")
     c = P.evidence_score(c.withColumns({k: none for k in ("physics", "quality", "anomaly", "artificiality")} | {"verification": F.lit(None).cast("string")}))

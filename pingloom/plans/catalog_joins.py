@@ -75,10 +75,12 @@ def j06(v):
     return v["v_det"].select("detection_id").join(hit, "detection_id", "left").select("detection_id", F.coalesce("p", F.lit(False)).alias("positive"))
 
 
-@register("J07_novel_patch_antijoin", f"SELECT a.gt_id FROM (SELECT gt_id, frame_id, gx1 AS x1, gy1 AS y1, gx2 AS x2, gy2 AS y2 FROM v_gt WHERE gx1 >= 100) AS a WHERE NOT EXISTS (SELECT 1 FROM v_det AS b WHERE b.frame_id = a.frame_id AND b.tile_id <> 1 AND {_IOU} > 0.3)")
+@register("J07_novel_patch_antijoin", f"SELECT a.gt_id FROM (SELECT gt_id, frame_id, gx1 AS x1, gy1 AS y1, gx2 AS x2, gy2 AS y2 FROM (SELECT *, (gx1 * 13 + gy1 * 7) % 100 / 100e0 AS score FROM v_gt) AS s WHERE score >= 0.35) AS a WHERE NOT EXISTS (SELECT 1 FROM v_det AS b WHERE b.frame_id = a.frame_id AND concat('g', b.detection_id) <> a.gt_id AND {_IOU} > 0.3)")
 def j07(v):
-    d = v["v_det"].filter("tile_id <> 1").alias("b")
-    return v["v_gt"].filter("gx1 >= 100").alias("g").join(d, (F.col("g.frame_id") == F.col("b.frame_id")) & (boxes.iou(boxes.named("g.", ("gx1", "gy1", "gx2", "gy2")), boxes.named("b.")) > 0.3), "left_anti").select("gt_id")
+    """Patches whose score reaches the threshold and that no other detection overlaps."""
+    d = v["v_det"].alias("b")
+    patches = v["v_gt"].withColumn("score", (F.col("gx1") * 13 + F.col("gy1") * 7) % 100 / 100).filter("score >= 0.35").alias("g")
+    return patches.join(d, (F.col("g.frame_id") == F.col("b.frame_id")) & (F.concat(F.lit("g"), "b.detection_id") != F.col("gt_id")) & (boxes.iou(boxes.named("g.", ("gx1", "gy1", "gx2", "gy2")), boxes.named("b.")) > 0.3), "left_anti").select("gt_id")
 
 
 @register(
@@ -90,25 +92,45 @@ def j08(v):
     return J.nearest_distance(e.filter("vec_id % 2 = 1"), e.filter("vec_id % 2 = 0")).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-_HASH = "list_transform(range(0, 5), lambda w: list_sum(list_transform(range(0, 6), lambda i: CASE WHEN embedding[w * 12 + i % 12 + 1] < embedding[w * 12 + i % 12 + 2] THEN 1 << i ELSE 0 END))::BIGINT)"
+#: Images as vectors of samples: each vector, and derived ones that are nearly or hardly alike in another split.
+_SAMPLES = "list_transform(embedding, lambda x: least(255e0, greatest(0e0, floor(128 + 300 * CAST(x AS DOUBLE)))))"
+_BITS = "list_sum(list_transform(range(1, 64), lambda i: CASE WHEN x[i] < x[i + 1] THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT"
+NEAR = f"""im0 AS (SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, {_SAMPLES} AS x FROM embeddings),
+im AS (SELECT * FROM im0 UNION ALL SELECT id + 1000000000, 'val', list_concat([least(255e0, x[1] + CASE WHEN id % 30 = 0 THEN 6 ELSE 0 END)], x[2:]) FROM im0 WHERE id % 10 = 0
+  UNION ALL SELECT id + 2000000000, 'val', list_transform(x, lambda y: least(255e0, y + 9)) FROM im0 WHERE id % 10 = 1),
+hh AS (SELECT id, split, x, {_BITS} AS h FROM im), pp AS (SELECT a.id AS a_id, b.id AS b_id, bit_count(xor(a.h, b.h))::BIGINT AS distance, list_transform(range(1, 65), lambda i: abs(a.x[i] - b.x[i])) AS d FROM hh AS a JOIN hh AS b ON a.id < b.id AND a.split <> b.split AND bit_count(xor(a.h, b.h)) <= 4),
+near AS (SELECT a_id, b_id, distance FROM pp WHERE list_avg(d) <= 2 AND list_aggregate(d, 'quantile_cont', 0.95) <= 8)"""
 
 
-@register(
-    "J09_near_duplicate_join",
-    f"""WITH h AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, {_HASH} AS bands FROM embeddings)
-    SELECT a.vec_id AS a_id, b.vec_id AS b_id, list_sum(list_transform(range(1, 6), lambda i: bit_count(xor(a.bands[i], b.bands[i]))))::BIGINT AS distance FROM h AS a JOIN h AS b ON a.vec_id < b.vec_id AND a.split <> b.split WHERE list_sum(list_transform(range(1, 6), lambda i: bit_count(xor(a.bands[i], b.bands[i])))) <= 4""",
-)
+def _images(v):
+    """The rows of NEAR's ``im``: id, split, samples x, and the 63 bits of the differences of neighbours in five bands."""
+
+    def make():
+        e = v["embeddings"]
+        clip = lambda y: F.least(F.lit(255.0), F.greatest(F.lit(0.0), y))
+        im = e.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 3 == 0, "test").otherwise("train").alias("split"), F.transform("embedding", lambda y: clip(F.floor(128 + 300 * y.cast("double")).cast("double"))).alias("x"))
+        first = F.least(F.lit(255.0), F.get("x", F.lit(0)) + F.when(F.col("id") % 30 == 0, 6).otherwise(0))
+        near = im.filter("id % 10 = 0").select((F.col("id") + 1_000_000_000).alias("id"), F.lit("val").alias("split"), F.concat(F.array(first), F.slice("x", 2, 63)).alias("x"))
+        far = im.filter("id % 10 = 1").select((F.col("id") + 2_000_000_000).alias("id"), F.lit("val").alias("split"), F.transform("x", lambda y: clip(y + 9)).alias("x"))
+        return J.with_difference_hash(im.unionByName(near).unionByName(far))
+
+    return v.once("images", make)
+
+
+@register("J09_near_duplicate_join", f"WITH {NEAR} SELECT a_id, b_id, distance FROM near")
 def j09(v):
-    bit = lambda w, i: F.when(F.col("embedding")[w * 12 + i % 12] < F.col("embedding")[w * 12 + i % 12 + 1], 1 << i).otherwise(0)
-    bands = F.array(*[sum((bit(w, i) for i in range(1, 6)), bit(w, 0)).cast("bigint") for w in range(5)])
-    h = v["embeddings"].select("vec_id", F.when(F.col("vec_id") % 3 == 0, "test").otherwise("train").alias("split"), bands.alias("bands"))
-    return J.near_duplicates(h).select("a_id", "b_id", F.col("distance").cast("bigint").alias("distance"))
+    return J.near_duplicates(_images(v))
 
 
-@register("J10_exact_conflicts", "WITH r AS (SELECT r.frame_id, raster_sha256, f.split FROM v_rasters AS r JOIN v_frames AS f ON r.frame_id = f.frame_id WHERE raster_sha256 IS NOT NULL) SELECT raster_sha256, count(*) AS frames, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM r GROUP BY raster_sha256 HAVING count(DISTINCT split) > 1")
+@register("J10_exact_and_dhash_conflicts", f"""WITH {NEAR}, r AS (SELECT r.frame_id, raster_sha256, f.split FROM v_rasters AS r JOIN v_frames AS f ON r.frame_id = f.frame_id WHERE raster_sha256 IS NOT NULL)
+SELECT 'exact' AS kind, raster_sha256 AS subject, count(*) AS members, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM r GROUP BY raster_sha256 HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'equal_hash', a_id || '-' || b_id, 2, NULL FROM near WHERE distance = 0""")
 def j10(v):
+    """Groups of equal content across splits, and pairs of equal hash that their samples confirm."""
     r = v["v_rasters"].filter("raster_sha256 is not null").join(v["v_frames"].select("frame_id", "split"), "frame_id")
-    return r.groupBy("raster_sha256").agg(F.count("*").alias("frames"), F.array_join(F.array_sort(F.collect_set("split")), ",").alias("splits"), F.countDistinct("split").alias("n")).filter("n > 1").drop("n")
+    exact = r.groupBy(F.col("raster_sha256").alias("subject")).agg(F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_set("split")), ",").alias("splits"), F.countDistinct("split").alias("n")).filter("n > 1")
+    pairs = j09(v).filter("distance = 0").select(F.lit("equal_hash").alias("kind"), F.concat_ws("-", "a_id", "b_id").alias("subject"), F.lit(2).cast("bigint").alias("members"), F.lit(None).cast("string").alias("splits"))
+    return exact.select(F.lit("exact").alias("kind"), "subject", "members", "splits").unionByName(pairs)
 
 
 PING_FRAMES = "SELECT CAST(floor(vec_id / 100) AS BIGINT) * 4 + j AS frame_id, 40 AS height, vec_id % 100 - 20 * j AS row_idx, vec_id FROM embeddings, (VALUES (0), (1), (2), (3)) AS o(j) WHERE vec_id % 100 >= 20 * j AND vec_id % 100 < 20 * j + 40"
@@ -141,11 +163,11 @@ k AS (SELECT base_id, new_id, CASE WHEN new_id IS NOT NULL THEN 'UNCHANGED' WHEN
 ch AS (SELECT base_id, new_id, status FROM k UNION ALL SELECT NULL, new_id, 'NEW' FROM nw WHERE new_id NOT IN (SELECT new_id FROM k WHERE new_id IS NOT NULL))"""
 
 
-def _change(v):
+def _change(v, confirmed_only=False):
     m = F.substring("contact_id", 2, 20).cast("bigint") % 3
-    base = v["v_contacts"].filter(F.coalesce("latest_verdict", F.lit("")) != "REJECTED").select(F.col("contact_id").alias("base_id"), F.when(m == 0, True).when(m == 1, False).alias("covered"))
+    base = v["v_contacts"].filter(F.coalesce("latest_verdict", F.lit("")) != "REJECTED").select(F.col("contact_id").alias("base_id"), F.when(m == 0, True).when(m == 1, False).alias("covered"), F.col("latest_verdict").alias("verdict"))
     new = v["supplier"].select(F.concat(F.lit("n"), "s_suppkey", F.lit("_"), "s_nationkey").alias("new_id"), F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("c"), F.col("s_suppkey") * 3 % 90)).alias("matched_id"))
-    return J.compare_surveys(base, new)
+    return J.compare_surveys(base, new, "L2", confirmed_only)
 
 
 @register("J13_compare_surveys", f"WITH {CHANGE} SELECT * FROM ch")
@@ -153,6 +175,11 @@ def j13(v):
     return _change(v)
 
 
+@register("J13_compare_confirmed", f"WITH {CHANGE.replace("coalesce(latest_verdict, '') <> 'REJECTED'", "latest_verdict = 'CONFIRMED'")} SELECT * FROM ch")
+def j13_confirmed(v):
+    return _change(v, True)
+
+
 @register("A14_change_summary", f"WITH {CHANGE} SELECT s.status, count(ch.status) AS n FROM (VALUES ('NEW'), ('MOVED'), ('UNCHANGED'), ('NOT_DETECTED'), ('NOT_SURVEYED'), ('REMOVED')) AS s(status) LEFT JOIN ch ON ch.status = s.status GROUP BY s.status")
 def a14(v):
     """Counts of all statuses, zeros among them."""
@@ -207,9 +234,11 @@ def u01(v):
     return f.filter("split = 'val'").unionByName(f.filter("split = 'test'"))
 
 
-@register("U03_set_difference_keys", "SELECT survey_id FROM v_frames EXCEPT ALL SELECT survey_id FROM v_contacts")
+@register("U03_set_difference_keys", "SELECT survey_id, 'frames' AS side FROM (SELECT survey_id FROM v_frames EXCEPT ALL SELECT survey_id FROM v_contacts) AS a UNION ALL SELECT survey_id, 'contacts' FROM (SELECT survey_id FROM v_contacts EXCEPT ALL SELECT survey_id FROM v_frames) AS b")
 def u03(v):
-    return v["v_frames"].select("survey_id").exceptAll(v["v_contacts"].select("survey_id"))
+    """Keys of either table that the other lacks, as bags."""
+    f, c = v["v_frames"].select("survey_id"), v["v_contacts"].select("survey_id")
+    return f.exceptAll(c).withColumn("side", F.lit("frames")).unionByName(c.exceptAll(f).withColumn("side", F.lit("contacts")))
 
 
 @register("U04_dedup_last_wins", "SELECT detection_id, raw_confidence, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY detection_id ORDER BY seen_at DESC, raw_confidence DESC, x1 DESC, y1 DESC, x2 DESC, y2 DESC) AS rn FROM v_det0) AS d WHERE rn = 1")

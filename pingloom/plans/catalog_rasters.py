@@ -8,6 +8,7 @@ from ..operators import joins as J
 from ..operators import rasters as R
 from .catalog_boxes import IOU_SQL
 from .catalog_joins import PING_FRAMES, j11
+from .catalog_more import DROPPED, PLACED, dropped, placed
 from .registry import register
 
 _R = lambda *names: [F.round(n, 6).alias(n) for n in names]
@@ -72,20 +73,23 @@ def a47(v):
     return R.pool_cells(v["v_imgs"]).withColumn("value", F.round("value", 9))
 
 
-BOXES = "SELECT detection_id AS box_id, frame_id % 10 AS image_id, CAST(floor(x1 / 8) AS INT) AS x1, CAST(floor(y1 / 2) AS INT) AS y1, CAST(floor(x1 / 8) AS INT) + 6 + tile_id AS x2, CAST(floor(y1 / 2) AS INT) + 4 AS y2 FROM v_det WHERE tile_id <= 2"
+BOXES = "SELECT box_id, image_id, x1, y1, x1 + 6 + tile_id AS x2, y1 + 4 AS y2, tile_id FROM (" + PLACED + ") AS q"
+
+
+def _boxes(v):
+    return placed(v).withColumn("x2", F.col("x1") + 6 + F.col("tile_id"))
 
 
 @register(
     "A28_hard_return_evidence",
-    f"""WITH b AS (SELECT *, greatest(3, floor(greatest(x2 - x1, y2 - y1) * 0.5e0)) AS pad FROM ({BOXES}) AS z), m AS (SELECT b.*, sample, col_idx >= x1 AND col_idx < x2 AND row_idx >= y1 AND row_idx < y2 AS inside FROM v_imgs AS i JOIN b ON i.image_id = b.image_id AND col_idx >= x1 - pad AND col_idx < x2 + pad AND row_idx >= y1 - pad AND row_idx < y2 + pad),
+    f"""WITH b AS (SELECT *, greatest(3, floor(greatest(x2 - x1, y2 - y1) * 0.5e0)) AS pad FROM ({BOXES}) AS z), n AS (SELECT *, unnest(range(greatest(0, y1 - pad)::BIGINT, (y2 + pad)::BIGINT)) AS row_at FROM b), m AS (SELECT n.*, sample, col_idx >= x1 AND col_idx < x2 AND row_idx >= y1 AND row_idx < y2 AS inside FROM v_imgs AS i JOIN n ON i.image_id = n.image_id AND i.row_idx = n.row_at AND col_idx >= x1 - pad AND col_idx < x2 + pad),
     l AS (SELECT box_id, median(sample::DOUBLE) AS bg FROM m GROUP BY box_id), s AS (SELECT m.box_id, greatest(1e0, median(abs(sample - bg)) * 1.4826e0) AS scale FROM m JOIN l ON m.box_id = l.box_id GROUP BY m.box_id),
     o AS (SELECT m.box_id, bg, x1, x2, y1, y2, (avg(sample) - bg) / scale AS contrast, avg(CASE WHEN sample >= bg + scale THEN 1e0 ELSE 0e0 END) AS bright, avg(CASE WHEN sample <= bg - scale THEN 1e0 ELSE 0e0 END) AS dark FROM m JOIN l ON m.box_id = l.box_id JOIN s ON m.box_id = s.box_id WHERE inside GROUP BY m.box_id, bg, scale, x1, x2, y1, y2),
     h AS (SELECT *, greatest(0e0, least(1e0, (bright - 0.08e0) / 0.45e0)) AS hard, greatest(x2 - x1, y2 - y1) * 1e0 / greatest(1, least(x2 - x1, y2 - y1)) AS long FROM o)
     SELECT box_id, bg, round(contrast, 6) AS contrast, round(bright, 6) AS bright, round(dark, 6) AS dark, round(hard, 6) AS hard, CASE WHEN hard >= 0.55 AND long >= 3 THEN 'SUPPORTED' WHEN hard > 0.10 THEN 'WEAK_SUPPORT' WHEN dark >= 0.70 AND bright <= 0.08 THEN 'ACOUSTICALLY_INCONSISTENT' ELSE 'INSUFFICIENT_EVIDENCE' END AS status FROM h""",
 )
 def a28(v):
-    b = v["v_det"].sparkSession.sql(BOXES.replace("FROM v_det", "FROM {d}"), d=v["v_det"])
-    return R.hard_return(v["v_imgs"], b).select("box_id", "bg", *_R("contrast", "bright", "dark", "hard"), "status")
+    return R.hard_return(v["v_imgs"], _boxes(v)).select("box_id", "bg", *_R("contrast", "bright", "dark", "hard"), "status")
 
 
 @register("G12_mask_to_box", "SELECT image_id, min(col_idx) FILTER (WHERE sample >= 215) AS x, min(row_idx) FILTER (WHERE sample >= 215) AS y, max(col_idx) FILTER (WHERE sample >= 215) - min(col_idx) FILTER (WHERE sample >= 215) + 1 AS w, max(row_idx) FILTER (WHERE sample >= 215) - min(row_idx) FILTER (WHERE sample >= 215) + 1 AS h FROM v_imgs GROUP BY image_id")
@@ -96,21 +100,24 @@ def g12(v):
 
 @register(
     "G11_mask_components",
-    """WITH o AS (SELECT image_id, row_idx, col_idx, col_idx - row_number() OVER (PARTITION BY image_id, row_idx ORDER BY col_idx) AS g FROM v_imgs WHERE sample >= 165), r AS (SELECT image_id, row_idx, min(col_idx) AS x1, max(col_idx) AS x2, image_id * 1000000000 + row_idx * 10000 + min(col_idx) AS node FROM o GROUP BY image_id, row_idx, g),
+    """WITH o AS (SELECT image_id, row_idx, col_idx, col_idx - row_number() OVER (PARTITION BY image_id, row_idx ORDER BY col_idx) AS g FROM v_imgs WHERE sample >= 165), r AS (SELECT image_id, row_idx, min(col_idx) AS x1, max(col_idx) AS x2, [image_id, row_idx, min(col_idx)] AS node FROM o GROUP BY image_id, row_idx, g),
     t AS (SELECT a.node AS a, b.node AS b FROM r AS a JOIN r AS b ON a.image_id = b.image_id AND abs(a.row_idx - b.row_idx) = 1 AND a.x1 <= b.x2 + 1 AND b.x1 <= a.x2 + 1), c AS (SELECT node AS a, node AS b FROM r UNION SELECT c.a, t.b FROM c JOIN t ON c.b = t.a), l AS (SELECT a AS node, min(b) AS label FROM c GROUP BY a)
-    SELECT image_id, label, min(x1) AS x, min(row_idx) AS y, max(x2) - min(x1) + 1 AS w, max(row_idx) - min(row_idx) + 1 AS h, sum(x2 - x1 + 1) AS area, round(sum(x2 - x1 + 1) * 1e0 / ((max(x2) - min(x1) + 1) * (max(row_idx) - min(row_idx) + 1)), 9) AS fill FROM r JOIN l ON r.node = l.node GROUP BY image_id, label""",
+    SELECT image_id, array_to_string(label, '/') AS label, min(x1) AS x, min(row_idx) AS y, max(x2) - min(x1) + 1 AS w, max(row_idx) - min(row_idx) + 1 AS h, sum(x2 - x1 + 1) AS area, round(sum(x2 - x1 + 1) * 1e0 / ((max(x2) - min(x1) + 1) * (max(row_idx) - min(row_idx) + 1)), 9) AS fill, sum(x2 - x1 + 1) >= 256 AS large FROM r JOIN l ON r.node = l.node GROUP BY image_id, label""",
     recursive=True,
 )
 def g11(v):
     return C.mask_components(v["v_imgs"], 165)
 
 
-@register(
-    "G02_coherent_cluster",
-    f"""WITH p AS (SELECT detection_id, frame_id, tile_id, raw_confidence, x1, y1, x2, y2 FROM v_det WHERE raw_class = 'SHIPWRECK' AND raw_confidence < 0.5), e AS (SELECT a.detection_id AS a, b.detection_id AS b FROM p AS a JOIN p AS b ON a.frame_id = b.frame_id AND {IOU_SQL.format(a='a.', b='b.')} >= 0.15),
+G02 = f"""WITH p AS (SELECT detection_id, frame_id, tile_id, raw_confidence, x1, y1, x2, y2 FROM v_det WHERE raw_class = 'SHIPWRECK' AND raw_confidence < 0.5), e AS (SELECT a.detection_id AS a, b.detection_id AS b FROM p AS a JOIN p AS b ON a.frame_id = b.frame_id AND {IOU_SQL.format(a='a.', b='b.')} >= 0.15),
     c AS (SELECT a, b FROM e WHERE a = b UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a), l AS (SELECT a AS detection_id, min(b) AS label FROM c GROUP BY a),
     g AS (SELECT frame_id, label, count(*) AS n, max(raw_confidence) AS best, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(DISTINCT tile_id) AS tiles FROM p JOIN l ON p.detection_id = l.detection_id GROUP BY frame_id, label HAVING count(*) >= 3),
-    t AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY n DESC, best DESC, label) AS k FROM g) SELECT frame_id, label, n, best, x1, y1, x2, y2, tiles FROM t WHERE k = 1""",
+    t AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY n DESC, best DESC, label) AS k FROM g) SELECT t.frame_id, t.label, n, best, t.x1, t.y1, t.x2, t.y2, tiles, round(avg((p.x2 - p.x1) * (p.y2 - p.y1) / ((t.x2 - t.x1) * (t.y2 - t.y1))), 9) AS mean_iou FROM t JOIN l ON l.label = t.label JOIN p ON p.detection_id = l.detection_id WHERE k = 1 GROUP BY ALL"""
+
+
+@register(
+    "G02_coherent_cluster",
+    G02,
     recursive=True,
 )
 def g02(v):
@@ -121,7 +128,24 @@ def g02(v):
     label = C.components(pairs).select(F.col("node").alias("detection_id"), F.col("component").alias("label"))
     g = p.join(label, "detection_id").groupBy("frame_id", "label").agg(F.count("*").alias("n"), F.max("raw_confidence").alias("best"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.countDistinct("tile_id").alias("tiles")).filter("n >= 3")
     w = W.partitionBy("frame_id").orderBy(F.col("n").desc(), F.col("best").desc(), "label")
-    return g.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+    best = g.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+    # members lie inside the envelope: their overlap with it is their share of it
+    share = F.expr("(b.x2 - b.x1) * (b.y2 - b.y1) / ((g.x2 - g.x1) * (g.y2 - g.y1))")
+    mean = best.alias("g").join(label, "label").join(p.alias("b"), "detection_id").groupBy("label").agg(F.round(F.avg(share), 9).alias("mean_iou"))
+    return best.join(mean, "label")
+
+
+@register(
+    "P16_spatial_consensus",
+    G02.replace("SELECT t.frame_id, t.label", ", z AS (SELECT t.frame_id, t.label") + ") SELECT frame_id, label, 'SHIPWRECK' AS display_class, round(least(0.85e0, greatest(0.55e0, 0.55e0 + (0.4e0 * least(1e0, n / 10e0) + 0.3e0 * least(1e0, tiles / 4e0) + 0.3e0 * greatest(0e0, least(1e0, mean_iou))) * 0.30e0)), 4) AS display_confidence FROM z",
+    recursive=True,
+)
+def p16_consensus(v):
+    """What is shown of a cluster of weak proposals that agree in space; the raw confidence stays as it is."""
+    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    agree = 0.4 * clip(F.col("n") / 10) + 0.3 * clip(F.col("tiles") / 4) + 0.3 * clip(F.col("mean_iou"))
+    shown = F.least(F.lit(0.85), F.greatest(F.lit(0.55), 0.55 + agree * 0.30))
+    return g02(v).select("frame_id", "label", F.lit("SHIPWRECK").alias("display_class"), F.round(shown, 4).alias("display_confidence"))
 
 
 SHIFTS = f"""p AS ({PING_FRAMES}), rr AS (SELECT frame_id, height, row_idx, md5(e.embedding::VARCHAR) AS digest FROM p JOIN embeddings AS e ON p.vec_id = e.vec_id),
@@ -151,9 +175,11 @@ def g08(v):
     return frames.join(o, "frame_id", "left").select("frame_id", ref.alias("survey_ref"), F.when(declared, "DECLARED").when(F.col("component").isNotNull(), "VERIFIED").otherwise("SINGLETON").alias("membership"))
 
 
-@register("J02_ping_relationships", f"WITH {SHIFTS}, fr AS (SELECT DISTINCT frame_id FROM p) SELECT f.frame_id, ping_offset AS survey_ping_start, ping_offset + 40 - 1 AS survey_ping_end, ping_offset IS NOT NULL AS sequential_supported FROM fr AS f LEFT JOIN oo ON f.frame_id = oo.node AND f.frame_id % 8 <> 3", recursive=True)
+@register("J02_ping_relationships", f"WITH {SHIFTS}, fr AS (SELECT DISTINCT frame_id FROM p) SELECT f.frame_id, ping_offset AS survey_ping_start, ping_offset + 40 - 1 AS survey_ping_end, ping_offset IS NOT NULL AS sequential_supported FROM fr AS f LEFT JOIN oo ON f.frame_id = oo.node AND f.frame_id % 8 <> 3 AND f.frame_id % 12 <> 5 AND f.frame_id % 20 <> 6", recursive=True)
 def j02(v):
-    s = g08(v).filter("membership = 'VERIFIED'").select("frame_id", F.lit(True).alias("verified"))
+    """Places on the survey's ping axis: of verified frames that come from the source and whose raster is the only one of its content."""
+    source, unique = F.col("frame_id") % 12 != 5, F.col("frame_id") % 20 != 6
+    s = g08(v).filter("membership = 'VERIFIED'").filter(source & unique).select("frame_id", F.lit(True).alias("verified"))
     o = g06(v).select(F.col("node").alias("frame_id"), "ping_offset")
     out = g08(v).select("frame_id").join(s.join(o, "frame_id"), "frame_id", "left")
     return out.select("frame_id", F.col("ping_offset").alias("survey_ping_start"), (F.col("ping_offset") + 40 - 1).alias("survey_ping_end"), F.col("verified").isNotNull().alias("sequential_supported"))
@@ -166,17 +192,19 @@ def u02(v):
     return r.alias("a").join(r.alias("b"), F.expr("a.digest = b.digest and a.frame_id < b.frame_id")).groupBy(F.col("a.frame_id").alias("a_id"), F.col("b.frame_id").alias("b_id")).agg(F.countDistinct("a.digest").alias("shared"))
 
 
-@register("P22_candidate_condition_overlap", f"WITH b AS ({BOXES}), d AS (SELECT image_id, row_idx FROM v_imgs GROUP BY image_id, row_idx HAVING avg(sample) < 127) SELECT box_id, round(count(row_idx) * 1e0 / greatest(1, max(y2 - y1)), 9) AS dropout_overlap FROM b LEFT JOIN d ON b.image_id = d.image_id AND row_idx >= y1 AND row_idx < y2 GROUP BY box_id")
+@register("P22_candidate_condition_overlap", f"WITH b AS (SELECT *, unnest(range(y1, y2)) AS row_at FROM ({BOXES}) AS z), d AS ({DROPPED}) SELECT box_id, round(count(d.row_idx) * 1e0 / greatest(1, max(y2 - y1)), 9) AS dropout_overlap, CASE WHEN max(b.image_id) % 2 = 0 AND abs(max(x1 + x2) / 2e0 - 32) <= 3.2e0 THEN 1e0 ELSE 0e0 END AS nadir_overlap FROM b LEFT JOIN d ON b.image_id = d.image_id AND d.row_idx = row_at GROUP BY box_id")
 def p22(v):
-    b = v["v_det"].sparkSession.sql(BOXES.replace("FROM v_det", "FROM {d}"), d=v["v_det"])
-    d = v["v_imgs"].groupBy("image_id", "row_idx").agg(F.avg("sample").alias("m")).filter("m < 127").select("image_id", "row_idx")
-    met = b.join(d, (b["image_id"] == d["image_id"]) & (F.col("row_idx") >= F.col("y1")) & (F.col("row_idx") < F.col("y2")), "left")
-    return met.groupBy("box_id").agg(F.round(F.count("row_idx") / F.greatest(F.lit(1), F.max(F.expr("y2 - y1"))), 9).alias("dropout_overlap"))
+    """Share of each box's rows that dropped out, and whether its centre lies in the dark centre (a tenth of even images)."""
+    b = _boxes(v).withColumn("row_idx", F.explode(F.sequence("y1", F.col("y2") - 1)))
+    met = b.join(dropped(v).withColumn("lost", F.lit(1)), ["image_id", "row_idx"], "left").groupBy("box_id", "image_id", "x1", "x2", "y1", "y2").agg(F.count("lost").alias("n"))
+    central = (F.col("image_id") % 2 == 0) & (F.abs((F.col("x1") + F.col("x2")) / 2 - 32) <= 0.1 * 64 / 2)
+    return met.select("box_id", F.round(F.col("n") / F.greatest(F.lit(1), F.expr("y2 - y1")), 9).alias("dropout_overlap"), central.cast("double").alias("nadir_overlap"))
 
 
-@register("P23_cell_valid_fraction", "WITH g AS (SELECT frame_id, width, height, cx, cy FROM v_frames, range(0, 4) AS a(cx), range(0, 4) AS b(cy)) SELECT frame_id, cx, cy, round(greatest(0e0, least(cx * 1300e0 + 1300, width) - cx * 1300e0) / 1300 * greatest(0e0, least(cy * 150e0 + 150, height) - cy * 150e0) / 150, 9) AS valid FROM g")
+@register("P23_cell_valid_fraction", "WITH f AS (SELECT width, height, count(*) AS frames FROM v_frames GROUP BY ALL) SELECT width, height, frames, cx, cy, round(greatest(0e0, least(cx * 260e0 + 260, width) - cx * 260e0) / 260 * greatest(0e0, least(cy * 30e0 + 30, height) - cy * 30e0) / 30, 9) AS valid FROM f, range(0, 20) AS a(cx), range(0, 20) AS b(cy)")
 def p23(v):
-    """Share of each cell of a 4 x 4 grid (1300 x 150 px cells) that lies inside the frame."""
-    f = v["v_frames"].withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    """Share of each cell of a 20 x 20 grid (260 x 30 px cells) that lies inside frames of a size."""
+    f = v["v_frames"].groupBy("width", "height").agg(F.count("*").alias("frames"))
+    f = f.withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(19))))
     axis = lambda c, size, limit: F.greatest(F.lit(0.0), F.least(F.col(c) * float(size) + size, F.col(limit)) - F.col(c) * float(size)) / size
-    return f.select("frame_id", "cx", "cy", F.round(axis("cx", 1300, "width") * axis("cy", 150, "height"), 9).alias("valid"))
+    return f.select("width", "height", "frames", "cx", "cy", F.round(axis("cx", 260, "width") * axis("cy", 30, "height"), 9).alias("valid"))

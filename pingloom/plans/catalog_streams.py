@@ -43,15 +43,20 @@ def t04(v):
     return r.join(first, "raster_sha256").select("frame_id", "earlier", (F.col("frame_id") != F.col("earlier")).alias("rejected"))
 
 
+#: Phases of a job in order (fixed values).
+PHASES = ("upload_decoded", "metadata_read", "detector_ready", "inference", "condition", "open_set", "contact_fusion", "evidence", "report")
+_PHASE = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHASES[:7]))
+
+
 @register(
     "T05_phase_progress",
-    """WITH e AS (SELECT event_id, reviewer AS job, CASE event_id % 7 WHEN 0 THEN 'decode' WHEN 1 THEN 'detect' WHEN 2 THEN 'associate' ELSE 'export' END AS phase, coalesce(verdict, 'NOTE') AS state, created_at FROM v_reviews WHERE event_id % 5 = 0),
-    l AS (SELECT job, phase, arg_max(state, (created_at, event_id)) AS state FROM e GROUP BY job, phase) SELECT j.job, p.phase, coalesce(state, 'QUEUED') AS state FROM (SELECT DISTINCT job FROM e) AS j CROSS JOIN (VALUES ('decode'), ('detect'), ('associate'), ('review'), ('export')) AS p(phase) LEFT JOIN l ON l.job = j.job AND l.phase = p.phase""",
+    f"""WITH e AS (SELECT event_id, reviewer AS job, CASE event_id % 7 {_PHASE} END AS phase, coalesce(verdict, 'NOTE') AS state, created_at FROM v_reviews),
+    l AS (SELECT job, phase, arg_max(state, (created_at, event_id)) AS state FROM e GROUP BY job, phase) SELECT j.job, p.phase, coalesce(state, 'QUEUED') AS state FROM (SELECT DISTINCT job FROM e) AS j CROSS JOIN (VALUES {", ".join(f"('{p}')" for p in PHASES)}) AS p(phase) LEFT JOIN l ON l.job = j.job AND l.phase = p.phase""",
 )
 def t05(v):
-    m = F.col("event_id") % 7
-    e = v["v_reviews"].filter("event_id % 5 = 0").select("event_id", F.col("reviewer").alias("job"), F.when(m == 0, "decode").when(m == 1, "detect").when(m == 2, "associate").otherwise("export").alias("phase"), F.coalesce("verdict", F.lit("NOTE")).alias("state"), F.col("created_at").alias("ts"))
-    return T.phase_progress(e, ["decode", "detect", "associate", "review", "export"])
+    phase = F.element_at(F.array(*map(F.lit, PHASES[:7])), (F.col("event_id") % 7 + 1).cast("int"))
+    e = v["v_reviews"].select("event_id", F.col("reviewer").alias("job"), phase.alias("phase"), F.coalesce("verdict", F.lit("NOTE")).alias("state"), F.col("created_at").alias("ts"))
+    return T.phase_progress(e, list(PHASES))
 
 
 @register("T06_versioned_backfill", "SELECT contact_id, CASE WHEN segment IN ('BUILDING', 'MACHINERY') THEN round(coalesce(evidence, 0e0) * 0.5e0 + 0.25e0, 9) ELSE evidence END AS evidence, 2 AS version FROM v_contacts")
@@ -71,7 +76,7 @@ def t07(v):
     return T.sessions(v["v_nav"].select("survey_ref", "ts"), "survey_ref", "2 hours").select("survey_ref", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-@register("F01_pluggable_scorer")
+@register("F01_pluggable_scorer", "SELECT contact_id, evidence, NULL::DOUBLE AS score, 'SCORER_NOT_AVAILABLE' AS score_reason FROM v_contacts")
 def f01(v):
     """The scorer hook without a scorer: a null score and the reason, never an invented value."""
     from ..functions.scorers import score
@@ -79,6 +84,14 @@ def f01(v):
     return score(v["v_contacts"].select("contact_id", "evidence"), None)
 
 
+@register("F01_scorer_given", "SELECT contact_id, evidence, round(coalesce(evidence, 0e0) * 0.5e0 + 0.25e0, 9) AS score, NULL AS score_reason FROM v_contacts")
+def f01_given(v):
+    """The hook with a scorer, which gets batches of rows."""
+    from ..functions.scorers import score
+
+    return score(v["v_contacts"].select("contact_id", "evidence"), lambda b: b["evidence"].fillna(0.0) * 0.5 + 0.25).withColumn("score", F.round("score", 9))
+
+
 @register("F02_sql_functions", "SELECT contact_id, round(0.70e0 + (0.90e0 - 0.70e0) / (1 + exp(-28e0 * (evidence - 0.3139777305538386e0))), 9) AS shown, CASE WHEN evidence >= 0.75 THEN 'HIGH' WHEN evidence >= 0.5 THEN 'MEDIUM' WHEN evidence IS NOT NULL THEN 'LOW' ELSE 'UNAVAILABLE' END AS band FROM v_contacts")
 def f02(v):
     """The library's expressions as SQL functions of the session."""

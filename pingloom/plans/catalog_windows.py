@@ -39,6 +39,22 @@ def w04(v):
     return s.agg(F.count("*").alias("frames"), F.floor((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("seconds"))
 
 
+@register(
+    "W04_offset_plan",
+    SESSIONS.replace("7200000000", "30000000") + """, o AS (SELECT survey_ref, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY survey_ref)) / 1e6 / 3600 AS off, session FROM q)
+    SELECT survey_ref, CASE WHEN off < 200 THEN 'val' WHEN off < 500 THEN 'embargo' WHEN off < 700 THEN 'train' ELSE 'unused' END AS plan, count(*) AS frames, count(DISTINCT session) AS sessions FROM o GROUP BY ALL""",
+)
+def w04_plan(v):
+    """Sessions by gaps above 30 seconds, and the part that an offset (hours here) from a survey's start belongs to."""
+    w = W.partitionBy("survey_ref").orderBy("ts", "frame_id")
+    n = v["v_nav"].withColumn("linked", F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) <= 30_000_000)
+    s = S.chains(n, "survey_ref", F.col("linked"), ["ts", "frame_id"])
+    start = v["v_nav"].groupBy("survey_ref").agg(F.min(F.unix_micros("ts")).alias("s"))
+    off = (F.unix_micros("ts") - F.col("s")) / 1e6 / 3600
+    plan = F.when(off < 200, "val").when(off < 500, "embargo").when(off < 700, "train").otherwise("unused")
+    return s.join(start, "survey_ref").groupBy("survey_ref", plan.alias("plan")).agg(F.count("*").alias("frames"), F.countDistinct("chain").alias("sessions"))
+
+
 @register("W05_anchored_blocks", "SELECT frame_id, survey_ref, CAST(floor((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY survey_ref)) / 60000000e0) AS BIGINT) AS block FROM v_nav")
 def w05(v):
     start = v["v_nav"].groupBy("survey_ref").agg(F.min(F.unix_micros("ts")).alias("s"))  # combinable, then a join: no window over a whole survey
@@ -47,8 +63,11 @@ def w05(v):
 
 @register("W06_one_per_parent", "SELECT split, group_key, min(frame_id::VARCHAR) AS representative, count(*) AS siblings, string_agg(frame_id::VARCHAR, ',' ORDER BY frame_id::VARCHAR) AS ids FROM v_frames GROUP BY split, group_key")
 def w06(v):
+    """The smallest path of each parent in a split, with its siblings; a path that stands twice fails."""
     i = F.col("frame_id").cast("string")
-    return v["v_frames"].groupBy("split", "group_key").agg(F.min(i).alias("representative"), F.count("*").alias("siblings"), F.array_join(F.array_sort(F.collect_list(i)), ",").alias("ids"))
+    twice = F.count(i) != F.countDistinct(i)
+    f = v["v_frames"].groupBy("split", "group_key").agg(F.min(i).alias("representative"), F.count("*").alias("siblings"), F.array_join(F.array_sort(F.collect_list(i)), ",").alias("ids"), twice.alias("twice"))
+    return f.withColumn("ids", F.when(F.col("twice"), F.raise_error(F.lit("a path stands twice")).cast("string")).otherwise(F.col("ids"))).drop("twice")
 
 
 @register("W07_newest_reviews", "SELECT event_id, contact_id, verdict, (SELECT count(*) FROM v_reviews WHERE verdict IS NOT NULL) AS total FROM v_reviews WHERE verdict IS NOT NULL ORDER BY created_at DESC, event_id DESC LIMIT 100")

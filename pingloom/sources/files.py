@@ -25,12 +25,12 @@ def explode_ping_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_coco(spark: SparkSession, path: str) -> DataFrame:
     """Annotations of COCO files with their image and class; boxes need four numbers and a known image, a missing class fails."""
-    schema = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>>>, categories array<struct<id:long,name:string>>"
-    c = spark.read.json(path, schema=schema, multiLine=True)
-    images = c.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name")
-    names = c.select(F.explode("categories").alias("k")).select(F.col("k.id").alias("category_id"), F.col("k.name").alias("category"))
-    a = c.select(F.explode("annotations").alias("a")).select("a.id", "a.image_id", "a.category_id", "a.bbox").filter("size(bbox) = 4")
-    out = a.join(images, "image_id").join(names, "category_id", "left")
+    schema = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,name:string>>, categories array<struct<id:long,name:string>>"
+    c = spark.read.json(path, schema=schema, multiLine=True).withColumn("path", F.col("_metadata.file_path"))
+    images = c.select("path", F.explode("images").alias("i")).select("path", F.col("i.id").alias("image_id"), "i.file_name")
+    names = c.select("path", F.explode("categories").alias("k")).select("path", F.col("k.id").alias("category_id"), F.col("k.name").alias("category"))
+    a = c.select("path", F.explode("annotations").alias("a")).select("path", "a.id", "a.image_id", "a.category_id", "a.bbox", "a.name").filter("size(bbox) = 4")
+    out = a.join(images, ["path", "image_id"]).join(names, ["path", "category_id"], "left")  # ids hold within a file
     return out.withColumn("category", F.when(F.col("category").isNotNull(), F.col("category")).otherwise(F.raise_error(F.concat(F.lit("no category "), F.col("category_id").cast("string"))).cast("string")))
 
 

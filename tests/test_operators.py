@@ -112,10 +112,80 @@ def test_unmapped_class_fails(spark):
 
 
 def test_navigation_csv_first_problem(spark, tmp_path):
-    (tmp_path / "nav.csv").write_text("frame,timestamp_utc,latitude,longitude,heading_deg,speed_mps,ping_start\nf1,2024-01-01T00:00:00Z,1,2,,,\nf2,nope,1000,2,,,\n,2024-01-01T00:00:00Z,1,2,,,\nf4,2024-01-01T00:00:00Z,90,180,x,,\n")
-    rows = navigation.scan_navigation_csv(spark, str(tmp_path / "nav.csv"))
-    assert {(r.row, r.field, r.problem) for r in navigation.first_problems(rows).collect()} == {(3, "timestamp_utc", "invalid"), (4, "frame", "missing"), (5, "heading_deg", "invalid")}
-    assert [r.frame for r in navigation.valid_fixes(rows).collect()] == ["f1"]
+    head = "frame,timestamp_utc,latitude,longitude,heading_deg,ping_end\n"
+    (tmp_path / "a.csv").write_text(head + "f1,2024-01-02T03:04:05Z,1,2,,7\nf2,soon,91,2,,\n ,2024-01-02T03:04:05Z,1,2,,\nf1,,1,2,,\nf3,,1,2,north,\nf4,later,1,2,,\nf5,,1,x,,\nf6,,1,2,,1.5\n")
+    (tmp_path / "b.csv").write_text(head + "f1,,3,4,9,\nf7,,,4,,\n")
+    rows = navigation.scan_navigation_csv(spark, str(tmp_path / "*.csv"))
+    got = {(r.file[-5:], r.row, r.field, r.problem) for r in navigation.first_problems(rows).collect()}
+    assert got == {
+        ("a.csv", 3, "latitude", "invalid"), ("a.csv", 4, "frame", "missing"), ("a.csv", 5, "frame", "duplicate"), ("a.csv", 6, "heading_deg", "invalid"), ("a.csv", 7, "timestamp_utc", "invalid"),
+        ("a.csv", 8, "longitude", "invalid"), ("a.csv", 9, "ping_end", "invalid"), ("b.csv", 3, "latitude", "missing"),
+    }
+    fixes = sorted((r.file[-5:], r.row, r.frame, r.ts is None, r.ping_end, r.speed_mps) for r in navigation.valid_fixes(rows).collect())
+    assert fixes == [("a.csv", 2, "f1", False, 7, None), ("b.csv", 2, "f1", True, None, None)]
+
+
+def test_navigation_rows_are_numbered_within_each_file(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("frame,timestamp_utc,latitude,longitude\n" + "".join(f"{name}{i},,1,2\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows = navigation.scan_navigation_csv(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 10_000 and all(r.row == int(r.frame[1:]) + 2 for r in rows)
+    (tmp_path / "c.csv").write_text("frame,latitude\nx,1\n")
+    with pytest.raises(ValueError):
+        navigation.scan_navigation_csv(spark, str(tmp_path / "c.csv"))
+
+
+def test_offsets_of_a_long_chain(spark):
+    order = list(range(1000))
+    import random
+
+    random.Random(4).shuffle(order)
+    links = [(order[i + 1], order[i], 7) for i in range(999)]
+    got = {r.node: r.ping_offset for r in components.components_with_offsets(spark.createDataFrame(links, "later long, earlier long, k long")).collect()}
+    assert got == {x: 7 * (999 - i) for i, x in enumerate(order)}
+
+
+def test_components_of_a_wide_raster(spark):
+    from pyspark.sql import functions as F
+
+    px = spark.range(12_000).select(F.lit(1).alias("image_id"), F.lit(0).alias("row_idx"), F.col("id").alias("col_idx"), F.when(F.col("id").isin(0, 10_000), 255).otherwise(0).alias("sample"))
+    px = px.unionByName(spark.createDataFrame([(1, 1, 0, 255)], "image_id int, row_idx int, col_idx long, sample int"))
+    got = sorted((r.x, r.y, r.w, r.h, r.area) for r in components.mask_components(px, 200).collect())
+    assert got == [(0, 0, 1, 2, 2), (10_000, 0, 1, 1, 1)]
+
+
+def test_columns_of_the_truth_cannot_be_read(spark):
+    from pyspark.errors import AnalysisException
+
+    free = scalar.ground_truth_free(spark.createDataFrame([(1, 2)], "a int, gt_class int"))
+    assert free.columns == ["a"]
+    with pytest.raises(AnalysisException):
+        free.select("gt_class").collect()
+
+
+def test_rules_that_fail(spark):
+    base, new = spark.createDataFrame([("a", True, None)], "base_id string, covered boolean, verdict string"), spark.createDataFrame([("n", "a")], "new_id string, matched_id string")
+    with pytest.raises(ValueError):
+        joins.compare_surveys(base, new, "L1")
+    assert [r.status for r in joins.compare_surveys(base, new, "L3", confirmed_only=True).collect()] == ["NEW"]
+    from pyspark.sql import functions as F
+
+    with pytest.raises(Exception, match="unknown category"):
+        spark.createDataFrame([("x",)], "c string").select(navigation.known_category(F.col("c"), ("y",))).collect()
+    with pytest.raises(Exception, match="two rows have the id"):
+        scalar.opaque_order(spark.createDataFrame([("x",), ("x",)], "c string"), "c", "s").collect()
+
+
+def test_near_duplicates_are_confirmed(spark):
+    x = [float((i * 37) % 200) for i in range(64)]
+    rows = [(1, "train", x), (2, "test", [x[0] + 5, *x[1:]]), (3, "test", [v + 9 for v in x]), (4, "train", x), (5, "val", x[::-1])]
+    im = joins.with_difference_hash(spark.createDataFrame(rows, "id long, split string, x array<double>"))
+    assert sorted((r.a_id, r.b_id) for r in joins.near_duplicates(im).collect()) == [(1, 2), (2, 4)]
+
 
 
 def test_immutable_target_is_refused(spark, tmp_path):
