@@ -2,14 +2,18 @@
 
 P(text) is the product over its tokens of P(class | class before) * P(token | its class). Exchange clustering moves
 words between classes while the likelihood of the class bigrams grows; every word of the training documents is an item.
-The number of classes grows with the cube root of the number of words. The ``ITEMS`` most frequent words are clustered
-first, one by one, beside items of word ends (the last two bytes). Then all words are clustered, in rounds: words seen
-less than ``SURE`` times start in the class of their end, others spread over all classes; the pairs of neighbours of all
-training documents meet the classes of both by join, each word's counts by neighbour class are summed by key, and half
-of the words (by hash) move at once to their best class, rare ones for a clear gain only. A round that lowers the
-likelihood is undone. Class transitions and emissions come from counts over all training documents: transitions with 0.1
-added to each count, emissions add-one smoothed within each class. A word that was never seen takes the class of its end
-and has the mass of one occurrence in it.
+The number of classes grows with the cube root of the number of words. It goes in three steps:
+
+1. The ``ITEMS`` most frequent words, one by one, beside items of word ends (the last two bytes).
+2. The ``COMMON`` most frequent words, in rounds over all training texts: half of them (by hash) move at once to their
+   best class. Their classes are sent along, a table of fixed size; all other words have the class of their end as yet.
+   A round that lowers the likelihood is undone.
+3. Every other word, from its own neighbours over all training texts: it moves to its best class; words seen less than
+   ``SURE`` times for a clear gain only.
+
+Class transitions and emissions come from counts over all training documents with the final classes of all words:
+transitions with 0.1 added to each count, emissions add-one smoothed within each class. A word that was never seen takes
+the class of its end and has the mass of one occurrence in it.
 
 Counts of words are exact and cover every training document: tasks count their words by hash, the counts are
 summed by key, and the counts and classes of the words of a text come back by an equi-join (those of the ``COMMON``
@@ -35,9 +39,9 @@ from . import kernels
 from .common import stored
 
 #: Frequent words that are clustered first, items of word ends, least number of classes, and words whose counts are sent along.
-ITEMS, ENDS, CLASSES, COMMON = 512, 127, 32, 65_536
-#: Occurrences from which a word has an item of its own; sweeps over the first items, rounds over all.
-LEAST, SWEEPS, ROUNDS = 1, 12, 4
+ITEMS, ENDS, CLASSES, COMMON = 512, 127, 32, 32_768
+#: Sweeps over the first items, rounds over the common words.
+SWEEPS, ROUNDS = 12, 4
 #: Occurrences from which any gain moves a word, and the gain (in nats) that a rarer one must have.
 SURE, MARGIN = 3, 6.0
 _END = np.uint64(0x0123456789ABCDEF)
@@ -177,42 +181,6 @@ def exchange(table: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
-def _paired(common: np.ndarray):
-    """Counts of neighbouring words ``a, b``: a common word by its place among ``common`` (sorted hashes), others by hash."""
-
-    def sums(parts):
-        code, a, b, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.argsort(code, kind="stable")
-        code, a, b, n = code[order], a[order], b[order], n[order]
-        at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-        return code[at], a[at], b[at], np.add.reduceat(n, at)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for _, _, h, _, _ in _tokens(batch.column("text")):
-                if not len(h):
-                    continue
-                at, hit = _found(common, h)
-                key = np.where(hit, at, h.view(np.int64))
-                h0 = np.append(_END, h[:-1])  # every document ends in the end token, which so begins the next
-                at, hit = _found(common, h0[:1])
-                before = np.append(np.where(hit, at, h0[:1].view(np.int64)), key[:-1])
-                code = kernels.mix(h0 * np.uint64(0x9E3779B97F4A7C15) + kernels.mix(h))
-                held.append(sums([(code, before, key, np.ones(len(h), np.int64))]))
-                size += len(held[-1][0])
-                if size >= _FLUSH:
-                    held = [sums(held)]
-                    size = len(held[0][0])
-                    if size >= _FLUSH // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0][1:]], names=["a", "b", "n"])
-                        held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums(held)[1:]], names=["a", "b", "n"])
-
-    return run
-
-
 def _found(table: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each word in a sorted table, and whether it is there."""
     if not len(table):
@@ -260,6 +228,77 @@ def best_classes(own: np.ndarray, row: np.ndarray, col: np.ndarray, alone: np.nd
     return np.where(gain[every, best] > stay + np.where(n_out < SURE, MARGIN, 1e-9), best, own)
 
 
+def _classed(model: dict, h: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place among the common words, whether it is one, class) of each token; other words have the class of their end."""
+    at, hit = _found(model["common"], h)
+    return at, hit, np.where(hit, model["g"][at] if len(model["g"]) else -1, model["ends"][tails])
+
+
+def _tally(rows: Iterator[np.ndarray], fields: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of int64 columns counted in chunks: the columns and ``n``."""
+    held, size = [], 0
+
+    def out():
+        x = np.concatenate(held)
+        order = np.lexsort(x.T[::-1])
+        x = x[order]
+        at = np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(axis=1)))
+        n = np.diff(np.append(at, len(x)))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x[at, k])) for k in range(x.shape[1])), pa.array(n)], names=[*fields, "n"])
+
+    for x in rows:
+        if len(x):
+            held.append(x)
+            size += len(x)
+        if size >= _FLUSH:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
+def _contexts(model: dict, rare: bool):
+    """Counts of (item, code): class behind an item, ``classes`` + class before it, or 2 * ``classes`` + its class beside itself.
+
+    Items are common words by place, or with ``rare`` the other words by hash. Without ``rare``, what is behind the
+    other words counts for the item ``len(common)`` + class.
+    """
+    classes = model["classes"]
+
+    def codes(batches):
+        for batch in batches:
+            for _, _, h, tails, _ in _tokens(batch.column("text")):
+                if not len(h):
+                    continue
+                at, hit, cls = _classed(model, h, tails)
+                item = h.view(np.int64) if rare else np.where(hit, at, len(model["common"]) + cls)
+                use = ~hit if rare else hit
+                end = classes - 1  # every document ends in the end token, which so begins the next
+                same = np.append(False, h[1:] == h[:-1])
+                before = np.append(end, cls[:-1])
+                k = np.flatnonzero(use & ~same)
+                yield np.stack([item[k], classes + before[k]], 1)
+                k = np.flatnonzero((use[:-1] if rare else np.ones(len(h) - 1, bool)) & ~same[1:])
+                yield np.stack([item[k], cls[k + 1]], 1)
+                k = np.flatnonzero(use & same)
+                yield np.stack([item[k], 2 * classes + cls[k]], 1)
+                if not rare:
+                    yield np.stack([np.full(1, len(model["common"]) + end), cls[:1]], 1)  # the first word of the first document of a slice
+
+    def fast(batches):
+        # one number for an item and its code: places and codes are small
+        width = 3 * classes
+        for b in _tally((x[:, :1] * width + x[:, 1:] for x in codes(batches)), ["key"]):
+            key = np.asarray(b.column("key"))
+            yield pa.RecordBatch.from_arrays([pa.array(key // width), pa.array((key % width).astype(np.int32)), b.column("n")], names=["item", "code", "n"])
+
+    def slow(batches):
+        for b in _tally(codes(batches), ["item", "code"]):
+            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("code").cast(pa.int32()), b.column("n")], names=["item", "code", "n"])
+
+    return slow if rare else fast
+
+
 def _moves(grid: np.ndarray):
     classes = len(grid)
 
@@ -283,40 +322,71 @@ def _likelihood(grid: np.ndarray) -> float:
     return float(_f(grid).sum() - _f(grid.sum(0)).sum() - _f(grid.sum(1)).sum())
 
 
-def cluster(pairs: DataFrame, words: DataFrame, classes: int, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
-    """``words`` (word, n, tail, item, place, g) with g after rounds of exchange over all items, and the class bigrams."""
-
-    def classed(df, side):
-        common = words.filter("place is not null").select(F.col("place").cast("long").alias(side), F.col("item").alias(f"i{side}"), F.col("g").alias(f"g{side}"))
-        rest = words.filter("place is null").select(F.col("word").alias(side), F.col("item").alias(f"i{side}"), F.col("g").alias(f"g{side}"))
-        near = F.col(side).between(0, COMMON - 1)
-        return df.filter(near).join(F.broadcast(common), side).drop(side).unionByName(df.filter(~near).join(rest, side).drop(side))
-
-    def counted(x):
-        grid = np.zeros((classes, classes))
-        for r in x.groupBy("ga", "gb").agg(F.sum("n").alias("n")).collect():
-            grid[r.ga, r.gb] = r.n
-        return grid
-
-    before = None
-    for k in range(rounds):
-        x = classed(classed(pairs, "a"), "b")
-        same = F.col("ia") == F.col("ib")
-        end = lambda item, own, code: F.struct(F.col(item).alias("item"), F.col(own).alias("g"), code.cast("int").alias("code"))
-        ends = F.when(same, F.array(end("ia", "ga", F.col("gb") + 2 * classes))).otherwise(F.array(end("ia", "ga", F.col("gb")), end("ib", "gb", F.col("ga") + classes)))
-        x = x.select(F.explode(ends).alias("e"), "n").groupBy("e.item", "e.g", "e.code").agg(F.sum("n").alias("n"))
-        seen = stored(x.groupBy("item", "g").agg(F.collect_list(F.struct("code", "n")).alias("seen")))
-        grid = counted(seen.select("g", F.explode("seen").alias("e")).filter(f"e.code < {classes} or e.code >= {2 * classes}").select(F.col("g").alias("ga"), (F.col("e.code") % classes).alias("gb"), "e.n"))
-        if before and _likelihood(grid) < _likelihood(before[1]):
-            return before
-        before = words, grid
-        half = seen.filter((F.pmod(F.xxhash64("item"), F.lit(2)) == k % 2) & (F.col("g") < classes - 1))
-        moves = stored(half.mapInArrow(_moves(grid), "item long, to int"))
-        ends_to = {r.item: r.to for r in moves.filter(F.col("item").between(-ENDS, -1)).collect()}
-        tails = F.element_at(F.array(*[F.lit(ends_to.get(-1 - t)).cast("int") for t in range(ENDS + 1)]), F.col("tail") + 1)
-        words = stored(words.join(moves.withColumnRenamed("item", "word"), "word", "left").withColumn("g", F.coalesce(F.when(F.col("item") == F.col("word"), F.col("to")).otherwise(tails), "g")).drop("to"))
-    grid = counted(classed(classed(pairs, "a"), "b"))
-    return before if before and _likelihood(grid) < _likelihood(before[1]) else (words, grid)
+def _gathered(train: DataFrame, model: dict, rare: bool) -> DataFrame:
+    """``item, seen``: the counts of an item as a list of (code, n), three numbers of classes long at most."""
+    x = train.select("text").mapInArrow(_contexts(model, rare), "item long, code int, n long")
+    return x.groupBy("item", "code").agg(F.sum("n").alias("n")).groupBy("item").agg(F.collect_list(F.struct("code", "n")).alias("seen"))
+
+
+def _cells(seen: DataFrame, model: dict) -> np.ndarray:
+    """Class bigrams from the counts of what is behind each item."""
+    classes, g = model["classes"], np.append(model["g"], np.arange(model["classes"]))
+    grid = np.zeros((classes, classes))
+    rows = seen.select("item", F.explode("seen").alias("e")).filter(f"e.code < {classes} or e.code >= {2 * classes}").select("item", (F.col("e.code") % classes).alias("c"), "e.n")
+
+    def run(batches):  # summed by class in the task: at most the square of the classes a task
+        part = np.zeros((classes, classes), np.int64)
+        for b in batches:
+            np.add.at(part, (g[np.asarray(b.column("item"))], np.asarray(b.column("c"))), np.asarray(b.column("n")))
+        i, j = np.nonzero(part)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(part[i, j])], names=["i", "j", "n"])
+
+    for r in rows.mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+        grid[r.i, r.j] = r.n
+    return grid
+
+
+def cluster_common(train: DataFrame, model: dict, rounds: int = ROUNDS) -> tuple[dict, np.ndarray]:
+    """``model`` with the classes ``g`` of the common words after rounds of exchange, and the class bigrams."""
+    best = None
+    for k in range(rounds + 1):
+        seen = stored(_gathered(train, model, False))
+        grid = _cells(seen, model)
+        if best and _likelihood(grid) < _likelihood(best[1]):
+            return best  # the last round made it worse
+        best = model, grid
+        if k == rounds:
+            return best
+        g = model["g"]
+
+        def known(batches, g=g, last=model["classes"] - 1, k=k):
+            for b in batches:
+                item = np.asarray(b.column("item"))
+                use = np.flatnonzero((item < len(g)) & (kernels.mix(item.astype(np.uint64)) % np.uint64(2) == np.uint64(k % 2)))
+                use = use[g[item[use]] != last]
+                part = b.take(pa.array(use))
+                yield pa.RecordBatch.from_arrays([part.column("item"), pa.array(g[item[use]].astype(np.int32)), part.column("seen")], names=["item", "g", "seen"])
+
+        half = seen.mapInArrow(known, "item long, g int, seen array<struct<code:int,n:long>>")
+        moves = half.mapInArrow(_moves(grid), "item long, to int").toArrow()  # a row for each common word at most
+        g = g.copy()
+        g[np.asarray(moves["item"].combine_chunks())] = np.asarray(moves["to"].combine_chunks())
+        model = model | {"g": g}
+    return best
+
+
+def _pairs(model: dict):
+    """Counts of neighbours (a, b): common words and the end by class, others by hash."""
+
+    def rows(batches):
+        for batch in batches:
+            for _, _, h, tails, _ in _tokens(batch.column("text")):
+                if len(h):
+                    _, hit, cls = _classed(model, h, tails)
+                    key = np.where(hit, cls, h.view(np.int64))
+                    yield np.stack([np.append(model["classes"] - 1, key[:-1]), key], 1)
+
+    return lambda batches: _tally(rows(batches), ["a", "b"])
 
 
 def _scored(model: dict):
@@ -402,11 +472,12 @@ def _linked(step: np.ndarray):
 
 
 def fit(train: DataFrame, counts: DataFrame) -> dict:
-    """Classes of all words and smoothed tables; the driver holds COMMON words, the first items and the class bigrams."""
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") >= LEAST).alias("items")).first()
-    classes = max(CLASSES, math.ceil(total["items"] ** (1 / 3)))
+    """Classes of all words and smoothed tables; the driver holds the common words, the first items and the class bigrams."""
+    spark = train.sparkSession
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    classes = max(CLASSES, math.ceil(total["v"] ** (1 / 3)))
     top = counts.orderBy(F.col("n").desc(), "word").limit(COMMON).toArrow()
-    words, n = np.asarray(top["word"]).view(np.uint64), np.asarray(top["n"])
+    words, n, tails = np.asarray(top["word"].combine_chunks()).astype(np.int64).view(np.uint64), np.asarray(top["n"].combine_chunks()).astype(np.int64), np.asarray(top["tail"].combine_chunks()).astype(np.int64)
     own = np.sort(words[np.argsort(-n, kind="stable")][: ITEMS + 1])
     own = own[own != _END][:ITEMS]
     kinds = len(own) + ENDS + 1
@@ -414,19 +485,33 @@ def fit(train: DataFrame, counts: DataFrame) -> dict:
     for r in train.select("text").mapInArrow(_bigrams(own), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         table[r.code] = r.n
     of = exchange(table.reshape(kinds, kinds), classes)
+    ends = of[len(own) :]
+    # first classes: those of the first items; rare words that of their end; others all over, or all would move alike
     order = np.argsort(words)
-    common, common_n = words[order], n[order]
-    # every word with its item (rare ones: that of their end), its place among the common ones and its first class
-    at, hit = _found(own, common)
-    first = of[at] if len(own) else at
-    rows = [(int(w), i, int(g) if h else None) for i, (w, g, h) in enumerate(zip(common.view(np.int64), first, hit, strict=True))]
-    listed = F.broadcast(counts.sparkSession.createDataFrame(rows, "word long, place int, first int"))
-    ends = F.element_at(F.array(*[F.lit(int(g)) for g in of[len(own) :]]), F.col("tail").cast("int") + 1)
-    item = F.when((F.col("n") >= LEAST) | (F.col("tail") == ENDS), F.col("word")).otherwise(-1 - F.col("tail").cast("long"))
-    spread = F.pmod(F.xxhash64("word"), F.lit(classes - 1))  # from one class all would leave for the same one
-    every = counts.join(listed, "word", "left").select("word", "n", F.col("tail").cast("int").alias("tail"), item.alias("item"), "place", F.when((item != F.col("word")) | (F.col("tail") == ENDS), ends).otherwise(F.coalesce("first", F.when(F.col("n") < SURE, ends).otherwise(spread))).cast("int").alias("g"))
-    pairs = stored(train.select("text").mapInArrow(_paired(common), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    every, grid = cluster(pairs, stored(every), classes)
+    common, common_n, tails = words[order], n[order], tails[order]
+    at, first = _found(own, common)
+    g = np.where(common_n < SURE, ends[tails], (kernels.mix(common) % np.uint64(classes - 1)).astype(np.int64))
+    g = np.where(first, of[at] if len(own) else 0, g)
+    g[common == _END] = classes - 1
+    model, grid = cluster_common(train, {"common": common, "g": g.astype(np.int64), "ends": ends, "classes": classes})
+    # every other word by its neighbours
+    ends_of = lambda tail: F.element_at(F.array(*[F.lit(int(x)) for x in ends]), tail.cast("int") + 1)
+    near = spark.createDataFrame(pa.table({"word": pa.array(common.view(np.int64)), "near": pa.array(model["g"].astype(np.int32))}))
+    every = counts.join(F.broadcast(near), "word", "left").withColumn("g", F.coalesce("near", ends_of(F.col("tail"))).cast("int"))
+    rest = _gathered(train, model, True).withColumnRenamed("item", "word").join(every.filter("near is null").select("word", "g"), "word")
+    moved = rest.select(F.col("word").alias("item"), "g", "seen").mapInArrow(_moves(grid), "item long, to int").withColumnRenamed("item", "word")
+    every = stored(every.join(moved, "word", "left").select("word", "n", "near", F.coalesce("to", "g").alias("g")))
+    # class bigrams of all neighbours, with the classes that the words have now
+    pairs = train.select("text").mapInArrow(_pairs(model), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    rare = every.filter("near is null")
+    for side in ("a", "b"):
+        here = F.col(side).between(0, classes - 1)
+        looked = pairs.filter(~here).join(rare.select(F.col("word").alias(side), F.col("g").alias("to")), side).withColumn(side, F.col("to").cast("long")).drop("to")
+        pairs = pairs.filter(here).unionByName(looked).groupBy("a", "b").agg(F.sum("n").alias("n"))
+        pairs = stored(pairs) if side == "a" else pairs
+    grid = np.zeros((classes, classes))
+    for r in pairs.collect():  # a row for each pair of classes at most
+        grid[r.a, r.b] = r.n
     step = np.log10((grid + 0.1) / (grid.sum(1, keepdims=True) + 0.1 * classes))
     # tokens and distinct words of each class
     mass, kinds_in = np.zeros(classes), np.zeros(classes)
@@ -434,15 +519,8 @@ def fit(train: DataFrame, counts: DataFrame) -> dict:
         mass[r.g], kinds_in[r.g] = r.n, r.v
     # log10 P(token | class) is log10(count + 1) less the class's denominator, which joins the transition into it
     step = step - np.log10(mass + kinds_in + 1.0)[None, :]
-    # classes of the common words, and of the ends for all that is rare or new
-    tails = of[len(own) :].copy()
-    for r in every.filter("item < 0").groupBy("item").agg(F.min("g").alias("g")).filter(F.col("item").between(-ENDS, -1)).collect():
-        tails[-1 - r.item] = r.g
-    near = every.filter("place is not null and item = word").select("word", "g").toArrow()
-    listed, g = np.asarray(near["word"]).view(np.uint64), np.asarray(near["g"])
-    order = np.argsort(listed)
     return {
-        "own": listed[order], "common": common, "common_n": common_n, "class_of": np.concatenate([g[order], tails]).astype(np.int64), "step": step, "n": int(total["n"]), "v": int(total["v"]),
+        "own": common, "common": common, "common_n": common_n, "class_of": np.concatenate([model["g"], ends]).astype(np.int64), "step": step, "n": int(total["n"]), "v": int(total["v"]),
         "words": every.select("word", F.col("n").alias("c"), F.col("g").alias("of")),
     }
 
