@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ from .common import stored
 ITEMS, ENDS, CLASSES, COMMON = 512, 127, 32, 32_768
 #: Sweeps over the first items, rounds over the common words.
 SWEEPS, ROUNDS = 12, 4
+#: Blocks of items in which tasks send their counts.
+BUCKETS = 256
 #: Occurrences from which any gain moves a word, and the gain (in nats) that a rarer one must have.
 SURE, MARGIN = 3, 6.0
 _END = np.uint64(0x0123456789ABCDEF)
@@ -202,22 +205,38 @@ def best_classes(own: np.ndarray, row: np.ndarray, col: np.ndarray, alone: np.nd
     every, classes = np.arange(len(own)), len(grid)
     out, into = grid.sum(1), grid.sum(0)
     gain = np.zeros((len(own), classes))
+    stay = np.zeros(len(own))
     for counts, table, across in ((row, grid, col), (col, grid.T, row)):
         i, c = np.nonzero(counts)
-        if len(i):
-            m, base = counts[i, c][:, None], table[:, c].T
-            # what stands between class j and the item's own class loses the item's part
-            base = np.where((c == own[i])[:, None], base - across[i], base)
-            cut = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-            gain[i[cut]] += np.add.reduceat(_f(base + m) - _f(base), cut, axis=0)
-    d = np.diag(grid)[None, :]
-    gain += _f(d + row + col + alone[:, None]) - _f(d + row) - _f(d + col) + _f(d)
+        if not len(i):
+            continue
+        m = counts[i, c]
+        at_home = c == own[i]
+        part = np.empty((len(i), classes))
+        once = (m == 1) & ~at_home  # most counts of rare words: looked up
+        if once.any():
+            part[once] = (_f(table + 1) - _f(table)).T[c[once]]
+        k = np.flatnonzero(~once)
+        base = table[:, c[k]].T
+        # what stands between class j and the item's own class loses the item's part
+        base = np.where(at_home[k][:, None], base - across[i[k]], base)
+        part[k] = _f(base + m[k][:, None]) - _f(base)
+        cut = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        gain[i[cut]] += np.add.reduceat(part, cut, axis=0)
+        # the same for the class it is in, from which it is taken
+        here = table[own[i], c]
+        stay += np.bincount(i, weights=np.where(at_home, 0.0, _f(here) - _f(here - m)), minlength=len(own))
+    i, c = np.nonzero((row > 0) | (col > 0))
+    d, r, q = grid[c, c], row[i, c], col[i, c]
+    gain[i, c] += _f(d + r + q) - _f(d + r) - _f(d + q) + _f(d)
+    i = np.flatnonzero(alone > 0)
+    d = np.diag(grid)[None, :] + row[i] + col[i]
+    gain[i] += _f(d + alone[i][:, None]) - _f(d)
     n_out, n_in = row.sum(1) + alone, col.sum(1) + alone
-    gain -= _f(out + n_out[:, None]) - _f(out) + _f(into + n_in[:, None]) - _f(into)
+    for n, margin in ((n_out, out), (n_in, into)):
+        kinds, of = np.unique(n, return_inverse=True)
+        gain -= (_f(margin[None, :] + kinds[:, None]) - _f(margin))[of]
     # the class it is in
-    other = np.ones((len(own), classes), bool)
-    other[every, own] = False
-    stay = ((_f(grid[own]) - _f(grid[own] - row) + _f(grid[:, own].T) - _f(grid[:, own].T - col)) * other).sum(1)
     home = grid[own, own]
     stay += _f(home) - _f(home - row[every, own] - col[every, own] - alone)
     stay -= _f(out[own]) - _f(out[own] - n_out) + _f(into[own]) - _f(into[own] - n_in)
@@ -240,7 +259,10 @@ def _tally(rows: Iterator[np.ndarray], fields: list[str]) -> Iterator[pa.RecordB
 
     def out():
         x = np.concatenate(held)
-        order = np.lexsort(x.T[::-1])
+        key = x[:, 0].astype(np.uint64)
+        for k in range(1, x.shape[1]):
+            key = kernels.mix(key + np.uint64(k)) + x[:, k].astype(np.uint64)
+        order = np.argsort(key)  # equal rows stand together; should two rows share a key, they may be counted in parts
         x = x[order]
         at = np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(axis=1)))
         n = np.diff(np.append(at, len(x)))
@@ -257,46 +279,90 @@ def _tally(rows: Iterator[np.ndarray], fields: list[str]) -> Iterator[pa.RecordB
         yield out()
 
 
-def _contexts(model: dict, rare: bool):
-    """Counts of (item, code): class behind an item, ``classes`` + class before it, or 2 * ``classes`` + its class beside itself.
+def _contexts(model: dict):
+    """Counts of what is behind and before each common word, as a table of the task cut into ``BUCKETS`` blocks of items.
 
-    Items are common words by place, or with ``rare`` the other words by hash. Without ``rare``, what is behind the
-    other words counts for the item ``len(common)`` + class.
+    A row of the table: counts by class behind, by class before, and by its class beside itself. Items are the common
+    words by place; what is behind the other words counts for the item ``len(common)`` + class.
     """
-    classes = model["classes"]
+    classes, common = model["classes"], len(model["common"])
+    width, items = 3 * classes, common + classes
 
-    def codes(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(items * width, np.int32)
         for batch in batches:
             for _, _, h, tails, _ in _tokens(batch.column("text")):
                 if not len(h):
                     continue
                 at, hit, cls = _classed(model, h, tails)
-                item = h.view(np.int64) if rare else np.where(hit, at, len(model["common"]) + cls)
-                use = ~hit if rare else hit
-                end = classes - 1  # every document ends in the end token, which so begins the next
+                item = np.where(hit, at, common + cls)
                 same = np.append(False, h[1:] == h[:-1])
-                before = np.append(end, cls[:-1])
-                k = np.flatnonzero(use & ~same)
+                # every document ends in the end token, which so begins the next
+                before, ahead = np.append(classes - 1, cls[:-1]), np.append(common + classes - 1, item[:-1])
+                k = np.flatnonzero(hit & ~same)
+                np.add.at(table, item[k] * width + classes + before[k], 1)
+                k = np.flatnonzero(~same)
+                np.add.at(table, ahead[k] * width + cls[k], 1)
+                k = np.flatnonzero(same)
+                np.add.at(table, item[k] * width + 2 * classes + cls[k], 1)
+        size = -(-items // BUCKETS) * width
+        blocks = [table[a : a + size] for a in range(0, len(table), size)]
+        rows = [(k, _packed(x)) for k, x in enumerate(blocks) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block"])
+
+    return run
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _opened(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks in order of bucket: one for each, summed."""
+    bucket, total = None, None
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_packed(total)], pa.binary())], names=["bucket", "block"])
+
+    for b in batches:
+        for k, x in zip(b.column("bucket").to_pylist(), b.column("block"), strict=True):
+            if k != bucket:
+                if total is not None:
+                    yield out()
+                bucket, total = k, 0
+            total = total + _opened(x.as_py(), np.int32).astype(np.int64)
+    if total is not None:
+        yield out()
+
+
+def _rare_contexts(model: dict):
+    """Counts of (item, code) of all but the common words, by hash; codes as the columns of ``_contexts``."""
+    classes = model["classes"]
+
+    def codes(batches):
+        for batch in batches:
+            for _, _, h, tails, _ in _tokens(batch.column("text")):
+                if not len(h):
+                    continue
+                _, hit, cls = _classed(model, h, tails)
+                item, same = h.view(np.int64), np.append(False, h[1:] == h[:-1])
+                before = np.append(classes - 1, cls[:-1])
+                k = np.flatnonzero(~hit & ~same)
                 yield np.stack([item[k], classes + before[k]], 1)
-                k = np.flatnonzero((use[:-1] if rare else np.ones(len(h) - 1, bool)) & ~same[1:])
+                k = np.flatnonzero(~hit[:-1] & ~same[1:])
                 yield np.stack([item[k], cls[k + 1]], 1)
-                k = np.flatnonzero(use & same)
+                k = np.flatnonzero(~hit & same)
                 yield np.stack([item[k], 2 * classes + cls[k]], 1)
-                if not rare:
-                    yield np.stack([np.full(1, len(model["common"]) + end), cls[:1]], 1)  # the first word of the first document of a slice
 
-    def fast(batches):
-        # one number for an item and its code: places and codes are small
-        width = 3 * classes
-        for b in _tally((x[:, :1] * width + x[:, 1:] for x in codes(batches)), ["key"]):
-            key = np.asarray(b.column("key"))
-            yield pa.RecordBatch.from_arrays([pa.array(key // width), pa.array((key % width).astype(np.int32)), b.column("n")], names=["item", "code", "n"])
-
-    def slow(batches):
+    def run(batches):
         for b in _tally(codes(batches), ["item", "code"]):
             yield pa.RecordBatch.from_arrays([b.column("item"), b.column("code").cast(pa.int32()), b.column("n")], names=["item", "code", "n"])
 
-    return slow if rare else fast
+    return run
 
 
 def _moves(grid: np.ndarray):
@@ -322,35 +388,31 @@ def _likelihood(grid: np.ndarray) -> float:
     return float(_f(grid).sum() - _f(grid.sum(0)).sum() - _f(grid.sum(1)).sum())
 
 
-def _gathered(train: DataFrame, model: dict, rare: bool) -> DataFrame:
-    """``item, seen``: the counts of an item as a list of (code, n), three numbers of classes long at most."""
-    x = train.select("text").mapInArrow(_contexts(model, rare), "item long, code int, n long")
-    return x.groupBy("item", "code").agg(F.sum("n").alias("n")).groupBy("item").agg(F.collect_list(F.struct("code", "n")).alias("seen"))
-
-
 def _cells(seen: DataFrame, model: dict) -> np.ndarray:
     """Class bigrams from the counts of what is behind each item."""
     classes, g = model["classes"], np.append(model["g"], np.arange(model["classes"]))
-    grid = np.zeros((classes, classes))
-    rows = seen.select("item", F.explode("seen").alias("e")).filter(f"e.code < {classes} or e.code >= {2 * classes}").select("item", (F.col("e.code") % classes).alias("c"), "e.n")
+    size = -(-len(g) // BUCKETS)
 
     def run(batches):  # summed by class in the task: at most the square of the classes a task
         part = np.zeros((classes, classes), np.int64)
         for b in batches:
-            np.add.at(part, (g[np.asarray(b.column("item"))], np.asarray(b.column("c"))), np.asarray(b.column("n")))
+            for k, x in zip(b.column("bucket").to_pylist(), b.column("block"), strict=True):
+                table = _opened(x.as_py(), np.int64).reshape(-1, 3 * classes)
+                np.add.at(part, g[k * size : k * size + len(table)], table[:, :classes] + table[:, 2 * classes :])
         i, j = np.nonzero(part)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(part[i, j])], names=["i", "j", "n"])
 
-    for r in rows.mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    grid = np.zeros((classes, classes))
+    for r in seen.mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         grid[r.i, r.j] = r.n
     return grid
 
 
 def cluster_common(train: DataFrame, model: dict, rounds: int = ROUNDS) -> tuple[dict, np.ndarray]:
     """``model`` with the classes ``g`` of the common words after rounds of exchange, and the class bigrams."""
-    best = None
+    best, classes, size = None, model["classes"], -(-(len(model["common"]) + model["classes"]) // BUCKETS)
     for k in range(rounds + 1):
-        seen = stored(_gathered(train, model, False))
+        seen = stored(train.select("text").mapInArrow(_contexts(model), "bucket int, block binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "bucket int, block binary"))
         grid = _cells(seen, model)
         if best and _likelihood(grid) < _likelihood(best[1]):
             return best  # the last round made it worse
@@ -359,16 +421,21 @@ def cluster_common(train: DataFrame, model: dict, rounds: int = ROUNDS) -> tuple
             return best
         g = model["g"]
 
-        def known(batches, g=g, last=model["classes"] - 1, k=k):
+        def moved(batches, g=g, grid=grid, k=k):
             for b in batches:
-                item = np.asarray(b.column("item"))
-                use = np.flatnonzero((item < len(g)) & (kernels.mix(item.astype(np.uint64)) % np.uint64(2) == np.uint64(k % 2)))
-                use = use[g[item[use]] != last]
-                part = b.take(pa.array(use))
-                yield pa.RecordBatch.from_arrays([part.column("item"), pa.array(g[item[use]].astype(np.int32)), part.column("seen")], names=["item", "g", "seen"])
-
-        half = seen.mapInArrow(known, "item long, g int, seen array<struct<code:int,n:long>>")
-        moves = half.mapInArrow(_moves(grid), "item long, to int").toArrow()  # a row for each common word at most
+                for bucket, x in zip(b.column("bucket").to_pylist(), b.column("block"), strict=True):
+                    table = _opened(x.as_py(), np.int64).reshape(-1, 3 * classes).astype(float)
+                    item = np.arange(bucket * size, bucket * size + len(table))
+                    item = item[item < len(g)]
+                    item = item[(kernels.mix(item.astype(np.uint64)) % np.uint64(2) == np.uint64(k % 2)) & (g[item] != classes - 1)]
+                    for a in range(0, len(item), 512):
+                        i = item[a : a + 512]
+                        t = table[i - bucket * size]
+                        new = best_classes(g[i], t[:, :classes], t[:, classes : 2 * classes], t[:, 2 * classes :].sum(1), grid)
+                        at = np.flatnonzero(new != g[i])
+                        yield pa.RecordBatch.from_arrays([pa.array(i[at]), pa.array(new[at].astype(np.int32))], names=["item", "to"])
+
+        moves = seen.mapInArrow(moved, "item long, to int").toArrow()  # a row for each common word at most
         g = g.copy()
         g[np.asarray(moves["item"].combine_chunks())] = np.asarray(moves["to"].combine_chunks())
         model = model | {"g": g}
@@ -498,7 +565,8 @@ def fit(train: DataFrame, counts: DataFrame) -> dict:
     ends_of = lambda tail: F.element_at(F.array(*[F.lit(int(x)) for x in ends]), tail.cast("int") + 1)
     near = spark.createDataFrame(pa.table({"word": pa.array(common.view(np.int64)), "near": pa.array(model["g"].astype(np.int32))}))
     every = counts.join(F.broadcast(near), "word", "left").withColumn("g", F.coalesce("near", ends_of(F.col("tail"))).cast("int"))
-    rest = _gathered(train, model, True).withColumnRenamed("item", "word").join(every.filter("near is null").select("word", "g"), "word")
+    rest = train.select("text").mapInArrow(_rare_contexts(model), "item long, code int, n long").groupBy("item", "code").agg(F.sum("n").alias("n"))
+    rest = rest.groupBy(F.col("item").alias("word")).agg(F.collect_list(F.struct("code", "n")).alias("seen")).join(every.filter("near is null").select("word", "g"), "word")
     moved = rest.select(F.col("word").alias("item"), "g", "seen").mapInArrow(_moves(grid), "item long, to int").withColumnRenamed("item", "word")
     every = stored(every.join(moved, "word", "left").select("word", "n", "near", F.coalesce("to", "g").alias("g")))
     # class bigrams of all neighbours, with the classes that the words have now
