@@ -8,8 +8,8 @@ The number of classes grows with the cube root of the number of words. It goes i
 2. The ``COMMON`` most frequent words, in rounds over all training texts: half of them (by hash) move at once to their
    best class. Their classes are sent along, a table of fixed size; all other words have the class of their end as yet.
    A round that lowers the likelihood is undone.
-3. Every other word, from its own neighbours over all training texts: it moves to its best class; words seen less than
-   ``SURE`` times for a clear gain only.
+3. Every other word, from its common neighbours over all training texts: it moves to its best class; words seen less
+   than ``SURE`` times for a clear gain only.
 
 Class transitions and emissions come from counts over all training documents with the final classes of all words:
 transitions with 0.1 added to each count, emissions add-one smoothed within each class. A word that was never seen takes
@@ -196,7 +196,7 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def best_classes(own: np.ndarray, row: np.ndarray, col: np.ndarray, alone: np.ndarray, grid: np.ndarray) -> np.ndarray:
+def best_classes(own: np.ndarray, row: np.ndarray, col: np.ndarray, alone: np.ndarray, grid: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
     """The class that each item would move to, all others as they are: the rule of ``exchange`` for many items.
 
     ``own``: class of each item; ``row``, ``col``: its counts by class behind and before it, without ``alone``, its pairs
@@ -240,11 +240,13 @@ def best_classes(own: np.ndarray, row: np.ndarray, col: np.ndarray, alone: np.nd
     home = grid[own, own]
     stay += _f(home) - _f(home - row[every, own] - col[every, own] - alone)
     stay -= _f(out[own]) - _f(out[own] - n_out) + _f(into[own]) - _f(into[own] - n_in)
+    if rare is not None:  # many move at once: an empty class would look best to each of them
+        gain[:, out + into == 0] = -np.inf
     gain[every, own] = stay
     gain[:, -1] = -np.inf
     best = gain.argmax(1)
     # a word seen once or twice fits many a class by chance: it leaves its own for a clear gain only
-    return np.where(gain[every, best] > stay + np.where(n_out < SURE, MARGIN, 1e-9), best, own)
+    return np.where(gain[every, best] > stay + np.where(n_out < SURE if rare is None else rare, MARGIN, 1e-9), best, own)
 
 
 def _classed(model: dict, h: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -340,7 +342,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rare_contexts(model: dict):
-    """Counts of (item, code) of all but the common words, by hash; codes as the columns of ``_contexts``."""
+    """Counts of (item, code) of all but the common words, by hash; codes as the columns of ``_contexts``.
+
+    Only neighbours of known class tell something: common words and the end.
+    """
     classes = model["classes"]
 
     def codes(batches):
@@ -349,14 +354,11 @@ def _rare_contexts(model: dict):
                 if not len(h):
                     continue
                 _, hit, cls = _classed(model, h, tails)
-                item, same = h.view(np.int64), np.append(False, h[1:] == h[:-1])
-                before = np.append(classes - 1, cls[:-1])
-                k = np.flatnonzero(~hit & ~same)
+                item, before = h.view(np.int64), np.append(classes - 1, cls[:-1])
+                k = np.flatnonzero(~hit & np.append(True, hit[:-1]))
                 yield np.stack([item[k], classes + before[k]], 1)
-                k = np.flatnonzero(~hit[:-1] & ~same[1:])
+                k = np.flatnonzero(~hit[:-1] & hit[1:])
                 yield np.stack([item[k], cls[k + 1]], 1)
-                k = np.flatnonzero(~hit & same)
-                yield np.stack([item[k], 2 * classes + cls[k]], 1)
 
     def run(batches):
         for b in _tally(codes(batches), ["item", "code"]):
@@ -372,12 +374,12 @@ def _moves(grid: np.ndarray):
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 b = batch.slice(first, 512)
-                item, own, lists = np.asarray(b.column("item")), np.asarray(b.column("g")).astype(np.int64), b.column("seen")
+                item, own, lists, rare = np.asarray(b.column("item")), np.asarray(b.column("g")).astype(np.int64), b.column("seen"), np.asarray(b.column("occurs")) < SURE
                 i = np.repeat(np.arange(len(item)), np.asarray(lists.value_lengths()))
                 seen = lists.flatten()
                 table = np.zeros((len(item), 3 * classes))
                 table[i, np.asarray(seen.field("code"))] = np.asarray(seen.field("n"))
-                new = best_classes(own, table[:, :classes], table[:, classes : 2 * classes], table[:, 2 * classes :].sum(1), grid)
+                new = best_classes(own, table[:, :classes], table[:, classes : 2 * classes], table[:, 2 * classes :].sum(1), grid, rare)
                 moved = np.flatnonzero(new != own)
                 yield pa.RecordBatch.from_arrays([pa.array(item[moved]), pa.array(new[moved].astype(np.int32))], names=["item", "to"])
 
@@ -566,8 +568,8 @@ def fit(train: DataFrame, counts: DataFrame) -> dict:
     near = spark.createDataFrame(pa.table({"word": pa.array(common.view(np.int64)), "near": pa.array(model["g"].astype(np.int32))}))
     every = counts.join(F.broadcast(near), "word", "left").withColumn("g", F.coalesce("near", ends_of(F.col("tail"))).cast("int"))
     rest = train.select("text").mapInArrow(_rare_contexts(model), "item long, code int, n long").groupBy("item", "code").agg(F.sum("n").alias("n"))
-    rest = rest.groupBy(F.col("item").alias("word")).agg(F.collect_list(F.struct("code", "n")).alias("seen")).join(every.filter("near is null").select("word", "g"), "word")
-    moved = rest.select(F.col("word").alias("item"), "g", "seen").mapInArrow(_moves(grid), "item long, to int").withColumnRenamed("item", "word")
+    rest = rest.groupBy(F.col("item").alias("word")).agg(F.collect_list(F.struct("code", "n")).alias("seen")).join(every.filter("near is null").select("word", "g", F.col("n").alias("occurs")), "word")
+    moved = rest.select(F.col("word").alias("item"), "g", "occurs", "seen").mapInArrow(_moves(grid), "item long, to int").withColumnRenamed("item", "word")
     every = stored(every.join(moved, "word", "left").select("word", "n", "near", F.coalesce("to", "g").alias("g")))
     # class bigrams of all neighbours, with the classes that the words have now
     pairs = train.select("text").mapInArrow(_pairs(model), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))

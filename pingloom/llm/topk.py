@@ -118,8 +118,9 @@ def read_tile(tile: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, kno
             bound = np.minimum(np.sqrt(np.maximum(left, 0) * np.maximum(asked, 0) + slack), rest + 1e-6 * most[i] + 1e-6)
             if n > PROBES * k:
                 best = np.argpartition(-np.where(own | probed, -np.inf, score), PROBES * k)[: PROBES * k]
+                best = best[~(own | probed)[best]]  # each vector counts once
                 probed[best] = True
-                top = np.sort(np.concatenate([top, x[best[~own[best]]] @ qi]))[-k:]
+                top = np.sort(np.concatenate([top, x[best] @ qi]))[-k:]
                 read += len(best) * dims
                 if len(top) == k:
                     least = max(least, float(top[0]))
@@ -181,7 +182,7 @@ def _visit(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("index", "asked").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tile: int = TILE, block: int = BLOCK, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tile: int = TILE, query_tile: int = BLOCK, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The k largest inner products of each query against all ``vectors`` but its own id: query_id, rank, vec_id, score."""
 
     def whole(df: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tile: int = TILE,
     index = build_index(whole(vectors), tile)
     asked = stored(whole(queries).withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda z, v: z + v.cast("double") * v))))
     tiles = index.select("tile", "norm", F.row_number().over(W.orderBy("tile")).alias("place"))  # a row for each tile
-    n, blocks = index.count(), max(1, -(-asked.count() // block))
+    n, blocks = index.count(), max(1, -(-asked.count() // query_tile))
     first = F.pmod(F.xxhash64("id"), F.lit(max(1, n))) + 1
 
     def met(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pingloom.llm import bpe, brown_lm, jaccard, kernels, mixing, quality_rules, repeats, substring, suffix_array, topk, toxicity, url_filter
@@ -165,17 +166,14 @@ def test_a_hot_passage_is_spread(spark, unit, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(60))
     texts = [f"{prose(rng, rng.randint(3, 30))} {passage} {prose(rng, rng.randint(3, 30))}" for _ in range(80)]
     seen = []
-    real = repeats.hot_heads
-    monkeypatch.setattr(repeats, "hot_heads", lambda *a: seen.append(real(*a)) or seen[-1])
-    monkeypatch.setattr(repeats, "ENTRIES", 200)
+    real = repeats.hot_grams
+    monkeypatch.setattr(repeats, "hot_grams", lambda *a: seen.append(real(*a)) or seen[-1])
     if unit == "bytes":
-        monkeypatch.setattr(suffix_array, "RANGE", 20)
-        check_bytes([(i, t.encode()) for i, t in enumerate(texts)], suffix_array.suffix_dedup(frame(spark, texts)).collect())
+        check_bytes([(i, t.encode()) for i, t in enumerate(texts)], suffix_array.suffix_dedup(frame(spark, texts), size=20, most=4, limit=8).collect())
     else:
-        monkeypatch.setattr(substring, "GROUP", 10)
         docs = [(i, t.encode().split()) for i, t in enumerate(texts)]
         want = windows_removed(docs, 20)
-        for r in substring.substring_dedup(frame(spark, texts)).collect():
+        for r in substring.substring_dedup(frame(spark, texts), size=10, limit=8).collect():
             kept = b" ".join(w for w, m in zip(docs[r.doc_id][1], want[r.doc_id], strict=True) if not m)
             assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
     assert len(seen[0]) > 0
@@ -339,9 +337,9 @@ def test_jaccard_components(spark, n, percent, monkeypatch):
     assert got == want
 
 
-def test_part_keys_lose_no_link():
+@pytest.mark.parametrize("percent", [60, 75, 80, 85, 95])
+def test_prefix_keys_lose_no_link(percent):
     rng = np.random.default_rng(3)
-    bands = jaccard.Bands(85)
     for size in (1, 2, 7, 12, 40, 130, 400):
         for _ in range(30):
             a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
@@ -350,12 +348,52 @@ def test_part_keys_lose_no_link():
                 b[rng.integers(len(b))] = rng.integers(0, 1 << 63, dtype=np.uint64)
             b = np.unique(b[: len(b) - int(rng.integers(0, max(1, size // 9)))]) if size > 2 else np.unique(b)
             inter = len(np.intersect1d(a, b))
-            if 100 * inter < 85 * (len(a) + len(b) - inter):
+            if 100 * inter < percent * (len(a) + len(b) - inter) or np.array_equal(a, b):
                 continue
-            keys = [set(jaccard.part_keys(x, np.array([0, len(x)]), bands)[1].tolist()) for x in (a, b)]
+            some = np.sort(rng.choice(np.union1d(a, b), len(a) // 2, replace=False))
+            keys = [set(jaccard.prefix_keys(x, np.array([0, len(x)]), percent, (some, rng.integers(1, 9, len(some)) * 0 + 5))[1].tolist()) for x in (a, b)]
             assert keys[0] & keys[1]
 
 
+def test_half_a_passage_in_common_makes_no_candidates(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = spark.range(4000).selectExpr("id as doc_id", f"concat('{passage} ', array_join(transform(sequence(0, 29), i -> concat('w', cast(pmod(xxhash64(id, i), 1000000) as string))), ' ')) as text").repartition(2)
+    rid, _ = jaccard.with_rid(docs)
+    frequent = jaccard.frequent_grams(rid, 4)
+    keys = rid.mapInArrow(jaccard._keys(4, 85, frequent), "key long, node long")
+    assert len(frequent[0]) == 27 and keys.groupBy("key").count().filter("count > 1").count() == 0
+
+
+def thue_morse(n, a, b):
+    s, other = a, {a: b, b: a}
+    while len(s) < n:
+        s += "".join(other[c] for c in s)
+    return s
+
+
+def test_long_words_of_equal_polynomial_hash(spark):
+    x, y = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    head = " ".join(f"w{i}" for i in range(15))
+    texts = [f"{head} {x} {head}", f"{head} {y} {head}", f"{head} {x} {head} z", f"{x} k", f"{y} k"]
+    docs = [(i, t.encode().split()) for i, t in enumerate(texts)]
+    want = windows_removed(docs, 20)
+    for r in substring.substring_dedup(frame(spark, texts)).collect():
+        assert r.n_removed == sum(want[r.doc_id])
+    of = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, texts), n=1, percent=95).collect()}
+    assert of[3] == 3 and of[4] == 4 and of[1] == 1
+    data = np.frombuffer(f"{x} {y}".encode(), np.uint8)
+    start, end, _ = kernels.words(data, np.array([0, len(data)]))
+    assert len(set(kernels.word_hashes(data, start, end).tolist())) == 2
+
+
+def test_equal_sets_have_one_id_wherever_they_stand():
+    for texts in (["zz ab cd ef", "ab cd ef"], ["ab cd ef", "zz", "ab cd ef"]):
+        (_, _, data, offs), = kernels.slices(pa.array(texts))
+        nodes = jaccard.node_ids(*jaccard.sets(data, offs, 2))
+        (_, _, one, at), = kernels.slices(pa.array(["ab cd ef"]))
+        assert nodes[-1] == jaccard.node_ids(*jaccard.sets(one, at, 2))[0]
+
+
 def test_jaccard_with_shared_ids(spark):
     rows = jaccard.jaccard_components(frame(spark, ["a b c d e f g", "a b c d e f g", "z"], [4, 4, None])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in rows) == [(-1, -1), (4, 4), (4, 4)]
@@ -520,3 +558,71 @@ def test_url_filter(spark):
         rule, verdict = max(fit)[1:] if fit else (None, "allow")
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict), u
     assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0), default="block").collect()} == {"block"}
+
+
+def test_index_reads_less_than_half_and_stops():
+    import duckdb
+
+    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' WHERE vec_id IS NOT NULL").fetchall()
+    rows = [r for r in rows if r[1] is not None and len(r[1]) == 64]
+    ids, x = np.array([r[0] for r in rows]), np.floor(np.array([r[1] for r in rows], float) * 256).astype(np.int64)
+    asked = np.flatnonzero(ids % 50 == 0)
+    q, vec, score, read = topk.read_tile(topk.build_tile(ids, x), ids[asked], x[asked], np.full(len(asked), -np.inf), 5)
+    assert read < 0.5 * len(asked) * x.size
+    for i in asked[:20]:
+        exact = x @ x[i]
+        want = [int(k) for k in np.lexsort((ids, -exact)) if ids[k] != ids[i]][:5]
+        mine = q == ids[i]
+        assert vec[mine].tolist() == ids[want].tolist() and score[mine].tolist() == exact[want].tolist()
+
+
+def test_machine_learns_a_pair_that_no_term_shows():
+    rng, rows = np.random.default_rng(0), []
+    for _ in range(2000):
+        a, b = rng.integers(0, 2, 2)
+        words = [f"f{rng.integers(0, 300)}" for _ in range(20)] + [("alpha", "gamma")[a], ("delta", "kappa")[b]]
+        rows.append((float(a != b), " ".join(words)))
+    text = pa.array([r[1] for r in rows])
+    (offs, ids), = list(toxicity._present([pa.RecordBatch.from_arrays([text], names=["text"])]))
+    model = toxicity.fit_machine(offs.astype(np.int64), ids, np.array([r[0] for r in rows]))
+    got = toxicity._scores(model, text)
+    assert ((got >= 0.5) == np.array([r[0] for r in rows], bool)).mean() > 0.97
+    # the pair part, summed pair by pair
+    place = {int(k): i for i, k in enumerate(model["ids"])}
+    for i in range(20):
+        at = [place[k] for k in ids[offs[i] : offs[i + 1]].tolist() if k in place]
+        z = model["w0"] + sum(model["w"][k] for k in at) + sum(model["v"][j] @ model["v"][k] for n, j in enumerate(at) for k in at[n + 1 :])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_mix_follows_the_points_of_the_schedule(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 300), "abc"[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(docs, block=100).collect()}
+    targets = mixing.source_targets(spark.createDataFrame([(s, sum(300 for r in rows if r[2] == s)) for s in "abc"], "source string, size long"))
+    slots = {(r.source, r.rank): r.slot for r in mixing.schedule(targets, 100).collect()}
+    cum, need = [], []
+    for s in "abc":
+        need.append(sum(1 for k in slots if k[0] == s))
+        cum.append(sum(need))
+    for (source, _), slot in slots.items():  # each slot's point lies in its source's share
+        if slot < cum[-1]:
+            u, i = slot * mixing.PHI % 1, "abc".index(source)
+            assert (cum[i] - need[i]) / cum[-1] <= u < cum[i] / cum[-1]
+    first = {s: min(got[r[0]].slot for r in rows if r[2] == s and got[r[0]].taken) for s in "abc"}
+    assert first == {s: slots[s, 0] for s in "abc"}
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    rng = random.Random(8)
+    rows = [(i // 2, prose(rng, 60) if i % 4 else "same text " * 30, "s", 1, "x", 0.5) for i in range(12)] + [(None, None, None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rid int, node string, score double")
+    assert suffix_array.suffix_dedup(docs).count() == 14 and substring.substring_dedup(docs).count() == 14 and jaccard.jaccard_components(docs).count() == 14
+    assert mixing.mix(docs).count() == 14 and brown_lm.score_corpus(docs).count() == 14
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(docs, labels).count() == 14 and quality_rules.quality_rules(docs, labels).count() == 14
+    with pytest.raises(ValueError):
+        substring.substring_dedup(docs.withColumnRenamed("node", "n_words"), carry=("n_words",))
+    with pytest.raises(ValueError):
+        quality_rules.text_stats(docs.withColumnRenamed("node", "_w"))
