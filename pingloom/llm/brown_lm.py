@@ -114,16 +114,38 @@ def _items(words: np.ndarray, own: np.ndarray, tails: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bigrams(own: np.ndarray):
-    kinds = len(own) + ENDS + 1
+def _encoded(common: np.ndarray):
+    """The tokens of each slice of texts as two packed arrays, so that the rounds need not read and hash words again.
+
+    ``code`` (16 bits a token): the place among the common words, else ``len(common)`` + the group of the word's end.
+    ``rare``: hashes of the tokens that are not common, in their order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(kinds * kinds, dtype=np.int64)
         for b in batches:
             for _, _, h, g, _ in _tokens(b.column("text")):
-                item = _items(h, own, g)
-                before = np.append(kinds - 1, item[:-1])  # every document ends in the end token, which so begins the next
-                table += np.bincount(before * kinds + item, minlength=len(table))
+                if len(h):
+                    at, hit = _found(common, h)
+                    code = np.where(hit, at, len(common) + g.astype(np.int64)).astype(np.uint16)
+                    yield pa.RecordBatch.from_arrays([pa.array([_packed(code)], pa.binary()), pa.array([_packed(h[~hit])], pa.binary())], names=["code", "rare"])
+
+    return run
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, hashes of the rare tokens) of each slice."""
+    for b in batches:
+        for code, rare in zip(b.column("code"), b.column("rare"), strict=True):
+            yield _opened(code.as_py(), np.uint16).astype(np.int64), _opened(rare.as_py(), np.int64)
+
+
+def _bigrams(item_of: np.ndarray, kinds: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(kinds * kinds, dtype=np.int64)
+        for code, _ in _codes(batches):
+            item = item_of[code]
+            before = np.append(kinds - 1, item[:-1])  # every document ends in the end token, which so begins the next
+            table += np.bincount(before * kinds + item, minlength=len(table))
         code = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(table[code])], names=["code", "n"])
 
@@ -249,10 +271,9 @@ def best_classes(own: np.ndarray, row: np.ndarray, col: np.ndarray, alone: np.nd
     return np.where(gain[every, best] > stay + np.where(n_out < SURE if rare is None else rare, MARGIN, 1e-9), best, own)
 
 
-def _classed(model: dict, h: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place among the common words, whether it is one, class) of each token; other words have the class of their end."""
-    at, hit = _found(model["common"], h)
-    return at, hit, np.where(hit, model["g"][at] if len(model["g"]) else -1, model["ends"][tails])
+def _class_of(model: dict) -> np.ndarray:
+    """Class of each code: common words have their own, others that of their end."""
+    return np.concatenate([model["g"], model["ends"]]).astype(np.int64)
 
 
 def _tally(rows: Iterator[np.ndarray], fields: list[str]) -> Iterator[pa.RecordBatch]:
@@ -288,25 +309,22 @@ def _contexts(model: dict):
     words by place; what is behind the other words counts for the item ``len(common)`` + class.
     """
     classes, common = model["classes"], len(model["common"])
-    width, items = 3 * classes, common + classes
+    width, items, of = 3 * classes, common + classes, _class_of(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(items * width, np.int32)
-        for batch in batches:
-            for _, _, h, tails, _ in _tokens(batch.column("text")):
-                if not len(h):
-                    continue
-                at, hit, cls = _classed(model, h, tails)
-                item = np.where(hit, at, common + cls)
-                same = np.append(False, h[1:] == h[:-1])
-                # every document ends in the end token, which so begins the next
-                before, ahead = np.append(classes - 1, cls[:-1]), np.append(common + classes - 1, item[:-1])
-                k = np.flatnonzero(hit & ~same)
-                np.add.at(table, item[k] * width + classes + before[k], 1)
-                k = np.flatnonzero(~same)
-                np.add.at(table, ahead[k] * width + cls[k], 1)
-                k = np.flatnonzero(same)
-                np.add.at(table, item[k] * width + 2 * classes + cls[k], 1)
+        for code, _ in _codes(batches):
+            cls = of[code]
+            hit = code < common
+            item = np.where(hit, code, common + cls)
+            # a class's own row needs no pairs of equal words apart: only common words move
+            same = np.append(False, (code[1:] == code[:-1]) & hit[1:])
+            # every document ends in the end token, which so begins the next
+            before, ahead = np.append(classes - 1, cls[:-1]), np.append(common + classes - 1, item[:-1])
+            k, j = np.flatnonzero(hit & ~same), np.flatnonzero(~same)
+            np.add.at(table, np.concatenate([item[k] * width + classes + before[k], ahead[j] * width + cls[j]]), np.int32(1))
+            k = np.flatnonzero(same)
+            np.add.at(table, item[k] * width + 2 * classes + cls[k], np.int32(1))
         size = -(-items // BUCKETS) * width
         blocks = [table[a : a + size] for a in range(0, len(table), size)]
         rows = [(k, _packed(x)) for k, x in enumerate(blocks) if x.any()]
@@ -346,19 +364,17 @@ def _rare_contexts(model: dict):
 
     Only neighbours of known class tell something: common words and the end.
     """
-    classes = model["classes"]
+    classes, common, of = model["classes"], len(model["common"]), _class_of(model)
 
     def codes(batches):
-        for batch in batches:
-            for _, _, h, tails, _ in _tokens(batch.column("text")):
-                if not len(h):
-                    continue
-                _, hit, cls = _classed(model, h, tails)
-                item, before = h.view(np.int64), np.append(classes - 1, cls[:-1])
-                k = np.flatnonzero(~hit & np.append(True, hit[:-1]))
-                yield np.stack([item[k], classes + before[k]], 1)
-                k = np.flatnonzero(~hit[:-1] & hit[1:])
-                yield np.stack([item[k], cls[k + 1]], 1)
+        for code, rare in _codes(batches):
+            hit, cls = code < common, of[code]
+            item, before = np.zeros(len(code), np.int64), np.append(classes - 1, cls[:-1])
+            item[~hit] = rare
+            k = np.flatnonzero(~hit & np.append(True, hit[:-1]))
+            yield np.stack([item[k], classes + before[k]], 1)
+            k = np.flatnonzero(~hit[:-1] & hit[1:])
+            yield np.stack([item[k], cls[k + 1]], 1)
 
     def run(batches):
         for b in _tally(codes(batches), ["item", "code"]):
@@ -410,11 +426,11 @@ def _cells(seen: DataFrame, model: dict) -> np.ndarray:
     return grid
 
 
-def cluster_common(train: DataFrame, model: dict, rounds: int = ROUNDS) -> tuple[dict, np.ndarray]:
+def cluster_common(coded: DataFrame, model: dict, rounds: int = ROUNDS) -> tuple[dict, np.ndarray]:
     """``model`` with the classes ``g`` of the common words after rounds of exchange, and the class bigrams."""
     best, classes, size = None, model["classes"], -(-(len(model["common"]) + model["classes"]) // BUCKETS)
     for k in range(rounds + 1):
-        seen = stored(train.select("text").mapInArrow(_contexts(model), "bucket int, block binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "bucket int, block binary"))
+        seen = stored(coded.mapInArrow(_contexts(model), "bucket int, block binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "bucket int, block binary"))
         grid = _cells(seen, model)
         if best and _likelihood(grid) < _likelihood(best[1]):
             return best  # the last round made it worse
@@ -447,13 +463,13 @@ def cluster_common(train: DataFrame, model: dict, rounds: int = ROUNDS) -> tuple
 def _pairs(model: dict):
     """Counts of neighbours (a, b): common words and the end by class, others by hash."""
 
+    common, of = len(model["common"]), _class_of(model)
+
     def rows(batches):
-        for batch in batches:
-            for _, _, h, tails, _ in _tokens(batch.column("text")):
-                if len(h):
-                    _, hit, cls = _classed(model, h, tails)
-                    key = np.where(hit, cls, h.view(np.int64))
-                    yield np.stack([np.append(model["classes"] - 1, key[:-1]), key], 1)
+        for code, rare in _codes(batches):
+            key = of[code]
+            key[code >= common] = rare
+            yield np.stack([np.append(model["classes"] - 1, key[:-1]), key], 1)
 
     return lambda batches: _tally(rows(batches), ["a", "b"])
 
@@ -549,30 +565,32 @@ def fit(train: DataFrame, counts: DataFrame) -> dict:
     words, n, tails = np.asarray(top["word"].combine_chunks()).astype(np.int64).view(np.uint64), np.asarray(top["n"].combine_chunks()).astype(np.int64), np.asarray(top["tail"].combine_chunks()).astype(np.int64)
     own = np.sort(words[np.argsort(-n, kind="stable")][: ITEMS + 1])
     own = own[own != _END][:ITEMS]
+    order = np.argsort(words)
+    common, common_n, tails = words[order], n[order], tails[order]
+    coded = stored(train.select("text").mapInArrow(_encoded(common), "code binary, rare binary"))
     kinds = len(own) + ENDS + 1
+    item_of = np.concatenate([_items(common, own, tails), len(own) + np.arange(ENDS + 1)])
     table = np.zeros(kinds * kinds)
-    for r in train.select("text").mapInArrow(_bigrams(own), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+    for r in coded.mapInArrow(_bigrams(item_of, kinds), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         table[r.code] = r.n
     of = exchange(table.reshape(kinds, kinds), classes)
     ends = of[len(own) :]
     # first classes: those of the first items; rare words that of their end; others all over, or all would move alike
-    order = np.argsort(words)
-    common, common_n, tails = words[order], n[order], tails[order]
     at, first = _found(own, common)
     g = np.where(common_n < SURE, ends[tails], (kernels.mix(common) % np.uint64(classes - 1)).astype(np.int64))
     g = np.where(first, of[at] if len(own) else 0, g)
     g[common == _END] = classes - 1
-    model, grid = cluster_common(train, {"common": common, "g": g.astype(np.int64), "ends": ends, "classes": classes})
+    model, grid = cluster_common(coded, {"common": common, "g": g.astype(np.int64), "ends": ends, "classes": classes})
     # every other word by its neighbours
     ends_of = lambda tail: F.element_at(F.array(*[F.lit(int(x)) for x in ends]), tail.cast("int") + 1)
     near = spark.createDataFrame(pa.table({"word": pa.array(common.view(np.int64)), "near": pa.array(model["g"].astype(np.int32))}))
     every = counts.join(F.broadcast(near), "word", "left").withColumn("g", F.coalesce("near", ends_of(F.col("tail"))).cast("int"))
-    rest = train.select("text").mapInArrow(_rare_contexts(model), "item long, code int, n long").groupBy("item", "code").agg(F.sum("n").alias("n"))
+    rest = coded.mapInArrow(_rare_contexts(model), "item long, code int, n long").groupBy("item", "code").agg(F.sum("n").alias("n"))
     rest = rest.groupBy(F.col("item").alias("word")).agg(F.collect_list(F.struct("code", "n")).alias("seen")).join(every.filter("near is null").select("word", "g", F.col("n").alias("occurs")), "word")
     moved = rest.select(F.col("word").alias("item"), "g", "occurs", "seen").mapInArrow(_moves(grid), "item long, to int").withColumnRenamed("item", "word")
     every = stored(every.join(moved, "word", "left").select("word", "n", "near", F.coalesce("to", "g").alias("g")))
     # class bigrams of all neighbours, with the classes that the words have now
-    pairs = train.select("text").mapInArrow(_pairs(model), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = coded.mapInArrow(_pairs(model), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     rare = every.filter("near is null")
     for side in ("a", "b"):
         here = F.col(side).between(0, classes - 1)
