@@ -40,10 +40,23 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete a table that ``stored`` gave, once all that is computed from it has been collected or stored."""
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        name = next((x for x in _written if path.rstrip("/").endswith(x.rsplit("/", 1)[1])), None)
+        if name:
+            _delete(df.sparkSession, name)
+            _written.remove(name)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete the tables that this process has stored, once no result reads them any more; gives their number."""
     done = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        done += _delete(spark, _written.pop())
     return done

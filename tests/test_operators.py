@@ -274,3 +274,12 @@ def test_stored_tables_are_cleared(spark, tmp_path):
     assert d.count() == 5 and storage.clear(spark) == 1
     with pytest.raises(Exception):
         spark.read.parquet(d.inputFiles()[0]).count()
+
+def test_dropped_deletes_one_stored_table(spark):
+    from pingloom.functions import storage
+
+    first, second = storage.stored(spark.range(5)), storage.stored(spark.range(7))
+    storage.dropped(first)
+    assert second.count() == 7 and not any(f.split("/")[-2] in path for f in first.inputFiles() for path in storage._written)
+    storage.dropped(spark.range(3))  # no stored table: nothing is deleted
+    assert second.count() == 7
