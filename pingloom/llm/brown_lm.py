@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import stored
+from .common import dropped, stored
 
 #: Frequent words that are clustered first, items of word ends, least number of classes, and words whose counts are sent along.
 ITEMS, ENDS, CLASSES, COMMON = 512, 127, 32, 32_768
@@ -454,6 +454,7 @@ def cluster_common(coded: DataFrame, model: dict, rounds: int = ROUNDS) -> tuple
                         yield pa.RecordBatch.from_arrays([pa.array(i[at]), pa.array(new[at].astype(np.int32))], names=["item", "to"])
 
         moves = seen.mapInArrow(moved, "item long, to int").toArrow()  # a row for each common word at most
+        dropped(seen)
         g = g.copy()
         g[np.asarray(moves["item"].combine_chunks())] = np.asarray(moves["to"].combine_chunks())
         model = model | {"g": g}
@@ -596,7 +597,9 @@ def fit(train: DataFrame, counts: DataFrame) -> dict:
         here = F.col(side).between(0, classes - 1)
         looked = pairs.filter(~here).join(rare.select(F.col("word").alias(side), F.col("g").alias("to")), side).withColumn(side, F.col("to").cast("long")).drop("to")
         pairs = pairs.filter(here).unionByName(looked).groupBy("a", "b").agg(F.sum("n").alias("n"))
-        pairs = stored(pairs) if side == "a" else pairs
+        if side == "a":
+            pairs = stored(pairs)
+            dropped(coded)  # nothing that follows is computed from it
     grid = np.zeros((classes, classes))
     for r in pairs.collect():  # a row for each pair of classes at most
         grid[r.a, r.b] = r.n

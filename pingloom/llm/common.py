@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import shared_dir, stored
+from ..functions.storage import dropped, shared_dir, stored
 
-__all__ = ["keyed", "shared_dir", "stored", "with_doc_id", "with_rid"]
+__all__ = ["dropped", "keyed", "shared_dir", "stored", "with_doc_id", "with_rid"]
 
 
 def with_rid(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
