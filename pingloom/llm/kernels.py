@@ -186,3 +186,48 @@ def anchors(tokens: np.ndarray, offs: np.ndarray, window: int, gram: int) -> dic
     span = np.diff(np.append(at, len(starts)))
     doc = np.searchsorted(offs, lo, "right") - 1
     return {"gram": grams[anchor], "doc": doc, "lo": lo - offs[doc], "span": span, "off": anchor - lo, "at": anchor}
+
+
+
+class Words:
+    """The words of some texts, and what tells them apart: a hash of all bytes, and the first eight bytes as they are."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE):
+        self.data = data
+        self.start, self.end, self.at = words(data, offs, between)
+        self.hash = word_hashes(data, self.start, self.end)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(data) + 1, "<u8", padded.data, 0, (1,)) if len(data) else np.zeros(1, "<u8")
+        self.first = eight[self.start] & _FIRST[np.minimum(self.end - self.start, 8)]
+
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+
+    def take(self, which: np.ndarray) -> pa.Array:
+        """The bytes of some of the words."""
+        size = self.end[which] - self.start[which]
+        ends = np.zeros(len(which) + 1, dtype=np.int64)
+        np.cumsum(size, out=ends[1:])
+        spot = np.arange(ends[-1]) + np.repeat(self.start[which] - ends[:-1], size)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(which), [None, pa.py_buffer(ends), pa.py_buffer(self.data[spot])])
+
+
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
+class Vocabulary:
+    """A list of distinct words that ``find`` looks up: words of up to eight bytes exactly, longer ones by 64 bits of hash and eight bytes."""
+
+    def __init__(self, listed: list[bytes]):
+        size = np.array([len(w) for w in listed], dtype=np.int64)
+        offs = np.concatenate([[0], np.cumsum(size)])
+        found = Words(np.frombuffer(b"".join(listed), np.uint8), offs, np.zeros(256, bool))
+        self.order = np.argsort(found.hash)
+        self.hash, self.first = found.hash[self.order], found.first[self.order]
+
+    def find(self, seen: Words) -> np.ndarray:
+        """The place in the list of each word seen, or -1."""
+        if not len(self.hash):
+            return np.full(len(seen.hash), -1, np.int64)
+        spot = np.minimum(np.searchsorted(self.hash, seen.hash), len(self.hash) - 1)
+        return np.where((self.hash[spot] == seen.hash) & (self.first[spot] == seen.first), self.order[spot], -1)

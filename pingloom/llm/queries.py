@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, jaccard, mixing, quality_rules, substring, suffix_array, topk, toxicity, url_filter
+from . import bpe, brown_lm, importance, jaccard, mixing, quality_rules, substring, suffix_array, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_rules, op4_mixing, op5_jaccard_join, op6_brown_lm, op7_bpe, op8_substring_dedup, op9_topk, op10_url_filter)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_rules, op4_mixing, op5_jaccard_join, op6_brown_lm, op7_bpe, op8_substring_dedup, op9_topk, op10_url_filter, op11_importance)}
 
 
 _WORDS = "len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))"
