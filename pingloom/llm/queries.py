@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, importance, jaccard, mixing, quality_rules, substring, suffix_array, topk, toxicity, url_filter
+from . import bpe, brown_lm, importance, jaccard, lexical, licenses, mixing, quality_rules, substring, suffix_array, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +67,16 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_rules, op4_mixing, op5_jaccard_join, op6_brown_lm, op7_bpe, op8_substring_dedup, op9_topk, op10_url_filter, op11_importance)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_rules, op4_mixing, op5_jaccard_join, op6_brown_lm, op7_bpe, op8_substring_dedup, op9_topk, op10_url_filter, op11_importance, op12_lexical_search, op13_license_scan)}
 
 
 _WORDS = "len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))"
@@ -119,5 +127,54 @@ SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.v, 'allow') AS verdict FROM
 """
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP12 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+n AS (SELECT doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+p AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*)::BIGINT AS df FROM p GROUP BY t) CROSS JOIN c),
+q AS (SELECT item_id, t, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM n CROSS JOIN c),
+i AS (SELECT p.doc_id, p.t, f.w * ((1000000000 * tf) // (1000 * tf + 12 * m)) AS x FROM p JOIN m ON p.doc_id = m.doc_id JOIN f ON p.t = f.t),
+s AS (SELECT item_id, doc_id, sum(times * x)::BIGINT AS score FROM q JOIN i ON q.t = i.t GROUP BY ALL HAVING sum(times * x) > 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+def _values(templates: list[tuple[str, str]]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({i}, {quoted(label)}, {'true' if i < len(licenses.PHRASES) else 'false'}, {quoted(text)})" for i, (label, text) in enumerate(templates))
+
+
+_OP13 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT template, label, phrase, {_TERMS} AS w FROM (VALUES {_values([*licenses.PHRASES, *licenses.NOTICES])}) AS v(template, label, phrase, text)),
+t AS (SELECT template, label, phrase, len(w) - 2 AS grams, i - 1 AS t_at, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM s)),
+g AS (SELECT doc_id, i - 1 AS pos, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM d)),
+h AS (SELECT doc_id, template, label, phrase, grams, pos - t_at AS diagonal, t_at FROM g JOIN t USING (a, b, c)),
+v AS (SELECT doc_id, template, label, phrase, grams, diagonal, list(t_at) AS places, min(t_at) AS lo, max(t_at) AS hi FROM h GROUP BY ALL),
+m AS (SELECT *, list(places) OVER near AS merged, min(diagonal + lo) OVER near AS first_of, max(diagonal + hi) OVER near AS last_of
+  FROM v WINDOW near AS (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN {licenses.REACH} PRECEDING AND {licenses.REACH} FOLLOWING)),
+e AS (SELECT *, round(CASE WHEN phrase THEN len(places) ELSE len(list_distinct(flatten(merged))) END::DOUBLE / grams, 6) AS share FROM m),
+k AS (SELECT *, CASE WHEN phrase THEN share = 1 ELSE share >= {licenses.LEAST}::DOUBLE END AS good FROM e),
+l AS (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM k WHERE good),
+o AS (SELECT *, sum(CASE WHEN phrase OR before IS NULL OR diagonal - before > {licenses.REACH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS island FROM l),
+b AS (SELECT doc_id, template, label, phrase, grams, share, CASE WHEN phrase THEN diagonal ELSE first_of END AS first, CASE WHEN phrase THEN diagonal + grams + 1 ELSE last_of + 2 END AS last
+  FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, template, island ORDER BY share DESC, diagonal) = 1),
+y AS (SELECT * FROM b x WHERE phrase OR NOT EXISTS (SELECT 1 FROM b y WHERE y.doc_id = x.doc_id AND y.template <> x.template AND NOT y.phrase AND y.first <= x.last AND x.first <= y.last
+  AND (y.share > x.share OR y.share = x.share AND (y.grams > x.grams OR y.grams = x.grams AND y.template < x.template)))),
+r AS (SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(first) FILTER (phrase) AS first_word, max(first) FILTER (phrase) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM y GROUP BY doc_id),
+z AS (SELECT doc_id, max(share) AS score FROM e GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN z ON d.doc_id = z.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": _OP4, "op9_topk": _OP9, "op10_url_filter": _OP10}
+    return {"op4_mixing": _OP4, "op9_topk": _OP9, "op10_url_filter": _OP10, "op12_lexical_search": _OP12, "op13_license_scan": _OP13}
