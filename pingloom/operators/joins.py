@@ -32,17 +32,10 @@ def overlapping_pairs(det: DataFrame, keys: list[str], condition: Column | None
     return a.join(b, on).filter(boxes.iou(boxes.named("a."), boxes.named("b.")) >= least)
 
 
-def nearest_distance(queries: DataFrame, bank: DataFrame, block: int = 1024) -> DataFrame:
-    """Least Euclidean distance of each query (vec_id, x) to a bank of vectors, by blocks of about ``block`` vectors that meet all queries."""
-    n = max(1, -(-bank.count() // block))
-    blocks = bank.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block")).agg(F.collect_list("x").alias("xs"))
-    pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).join(blocks, "block")
-    d2 = lambda x: F.aggregate(F.zip_with(F.col("x"), x, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, y: s + y)
-    return pairs.withColumn("d2", F.array_min(F.transform("xs", d2))).groupBy("vec_id").agg(F.sqrt(F.min("d2")).alias("distance"))
-
-
-#: Bits of the difference hash in each band: one band more than differences allowed.
-BANDS = (13, 13, 13, 12, 12)
+#: Bits of the difference hash in each band; hashes that differ in four bits or fewer agree in four of the eight bands.
+BANDS = (8, 8, 8, 8, 8, 8, 8, 7)
+#: Different hashes that are compared with each other where they share a key; more of them get a longer key.
+MOST_ALIKE = 128
 
 
 def with_difference_hash(images: DataFrame, column: str = "x") -> DataFrame:
@@ -53,22 +46,76 @@ def with_difference_hash(images: DataFrame, column: str = "x") -> DataFrame:
     return images.withColumn("h", value)
 
 
-def near_duplicates(images: DataFrame, most: int = 4, mean: float = 2.0, q95: float = 8.0) -> DataFrame:
-    """``a_id, b_id, distance``: images (id, split, x, h) of different splits whose hashes differ in ``most`` bits or fewer, confirmed by their samples.
+def _key_counts(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _flips(mask: str, n: int) -> Column:
+    """Values with up to ``n`` of the 63 bits set, none of which ``mask`` covers."""
+    free = F.filter(F.expr("transform(sequence(0, 62), i -> shiftleft(1L, i))"), lambda v: v.bitwiseAND(F.col(mask)) == 0)
+    sets = F.array(F.lit(0).cast("bigint"))
+    for _ in range(n):  # each set grows by bits above its highest
+        sets = F.array_distinct(F.concat(sets, F.flatten(F.transform(sets, lambda s: F.transform(F.filter(free, lambda v: v > s), lambda v: v.bitwiseOR(s))))))
+    return sets
 
-    With one band more than differences allowed, some band is equal: hashes meet on (band, bits) only. Equal hashes are
-    one row there, with the splits that hold them; images join in only for pairs of hashes that are near. A pair is
-    confirmed by the mean and the 95 % quantile of its sample differences.
+
+def near_hashes(hashes: DataFrame, most: int = 4, most_alike: int = MOST_ALIKE) -> DataFrame:
+    """Pairs ``p <= q`` of hashes (h: 63 bits, distinct; splits: sorted names) that differ in ``most`` (4 at most) bits or fewer and have different splits, with ``distance``.
+
+    Such hashes agree in at least four of eight bands. They meet on two of these; a key that more than ``most_alike``
+    hashes share gives way to keys with one band more, up to four bands. Where even those are shared by many, each
+    hash is joined with the values one or two bits away from it (outside of the bands that agree): two hashes at
+    distance 4 have one of these in common, and hashes that share one are near. So no key compares many hashes that
+    are not near, however the hashes are spread.
     """
-    at, bands = 0, []
-    for k, width in enumerate(BANDS):
-        bands.append(F.struct(F.lit(k).alias("band"), F.shiftright("h", at).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).alias("bits")))
+    if not 0 <= most <= 4:
+        raise ValueError("at most four bits may differ")
+    at, masks = 0, []
+    for width in BANDS:
+        masks.append(((1 << width) - 1) << at)
         at += width
-    hashes = images.groupBy("h").agg(F.collect_set("split").alias("splits"))  # a set of a few names
-    spread = hashes.select("h", "splits", F.inline(F.array(*bands)))
-    a, b = spread.alias("a"), spread.alias("b")
-    met = a.join(b, F.expr("a.band = b.band and a.bits = b.bits and a.h <= b.h and (size(a.splits) > 1 or size(b.splits) > 1 or a.splits <> b.splits)"))
-    met = met.select(F.col("a.h").alias("p"), F.col("b.h").alias("q"), F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))).cast("bigint").alias("distance")).filter(F.col("distance") <= most).distinct()
+    # the two first of four bands that agree; each further one lies behind
+    start = [F.struct(F.lit(j).alias("last"), F.lit(masks[i] | masks[j]).cast("bigint").alias("mask")) for j in range(1, 6) for i in range(j)]
+    keys = hashes.select("h", "splits", F.inline(F.array(*start))).withColumn("bits", F.col("h").bitwiseAND(F.col("mask")))
+    differ = "(size(a.splits) > 1 or size(b.splits) > 1 or a.splits <> b.splits)"
+    apart = F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h")))
+    found = []
+
+    def met(keys: DataFrame) -> DataFrame:
+        both = keys.alias("a").join(keys.alias("b"), F.expr(f"a.mask = b.mask and a.bits = b.bits and a.h <= b.h and {differ}") & (apart <= most))
+        return both.select(F.col("a.h").alias("p"), F.col("b.h").alias("q"), apart.cast("bigint").alias("distance"))
+
+    for bands in (2, 3, 4):
+        keys = stored(keys)
+        often = stored(_key_counts(keys).filter(F.col("n") > most_alike).select("mask", "bits"))
+        found.append(met(keys.join(often, ["mask", "bits"], "left_anti")))
+        keys = keys.join(often, ["mask", "bits"])
+        if often.isEmpty():
+            return _all(found)
+        if bands < 4:
+            longer = F.array(*[F.struct(F.lit(k).alias("next"), F.lit(m).cast("bigint").alias("more")) for k, m in enumerate(masks)])
+            keys = keys.select("h", "splits", "last", "mask", F.inline(longer)).filter(f"next > last and next < {len(BANDS) - 3 + bands}")
+            keys = keys.select("h", "splits", F.col("next").alias("last"), F.col("mask").bitwiseOR(F.col("more")).alias("mask")).withColumn("bits", F.col("h").bitwiseAND(F.col("mask")))
+    near = keys.select("h", "splits", "mask", F.explode(_flips("mask", 2)).alias("flip")).withColumn("bits", F.col("h").bitwiseXOR(F.col("flip")))
+    found.append(met(near))
+    return _all(found)
+
+
+def _all(found: list[DataFrame]) -> DataFrame:
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def near_duplicates(images: DataFrame, most: int = 4, mean: float = 2.0, q95: float = 8.0, most_alike: int = MOST_ALIKE) -> DataFrame:
+    """``a_id, b_id, distance``: images (id, split, x, h) of different splits whose hashes differ in ``most`` bits or fewer, confirmed by their samples.
+
+    Equal hashes are one row while hashes are compared, with the splits that hold them; images join in only for pairs
+    of hashes that are near. A pair is confirmed by the mean and the 95 % quantile of its sample differences.
+    """
+    hashes = stored(images.filter("h is not null").groupBy("h").agg(F.array_sort(F.collect_set("split")).alias("splits")))  # a set of a few names
+    met = near_hashes(hashes, most, most_alike)
     one, two = images.select(F.col("h").alias("p"), F.col("id").alias("i"), F.col("split").alias("s"), F.col("x").alias("x")), images.select(F.col("h").alias("q"), F.col("id").alias("j"), F.col("split").alias("t"), F.col("x").alias("y"))
     pairs = met.join(one, "p").join(two, "q").filter("s <> t and (p <> q or i < j)")
     d = F.zip_with("x", "y", lambda u, w: F.abs(u - w))

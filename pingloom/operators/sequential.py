@@ -1,7 +1,8 @@
 """Order-dependent operators: greedy folds, chains and components.
 
-A fold runs over the sorted members of one exact partition key (a frame, a survey), as a higher-order function
-in the JVM. Members of a key are bounded by what one frame or survey holds.
+A fold runs over the sorted members of one exact partition key (a frame, a stretch of a survey), as a higher-order
+function in the JVM. Surveys are cut where nothing before can meet anything behind, and scanned in ranges
+(``ordered``), so their size is not bounded by a task.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from ..functions.storage import stored
+from .ordered import laid_out, with_previous, with_running
 
 
 def class_aware_nms(det: DataFrame, threshold: float = 0.45, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -68,15 +71,30 @@ def _relation_of(a: Column, b: Column) -> Column:
     return F.when(a["frame_id"] == b["frame_id"], duplicate).otherwise(F.coalesce(across, F.lit(False)))
 
 
+def contact_segments(obs: DataFrame) -> DataFrame:
+    """Observations with ``key``, ``segment`` (from 1 within the key) and ``member_no`` (from 0): pieces that no contact can cross.
+
+    The key is exact: nothing relates across classes, nor across surveys or (unplaced) frames. In the order of pings, a
+    contact reaches an observation only if its last member ends at the ping before or later. Where all that came before
+    ended earlier, a segment begins. (Observations of one frame start at one ping.)
+    """
+    key = F.concat_ws("|", "raw_class", F.when(F.col("ping_start").isNotNull(), F.col("survey_ref")).otherwise(F.concat(F.lit("f"), F.col("frame_id").cast("string"))))
+    order = [F.when(F.col("ping_start").isNotNull(), 0).otherwise(1), F.coalesce("ping_start", F.lit(0)), "frame_id", "detection_id"]
+    rows = laid_out(obs.select(*OBSERVATION).withColumn("key", key), ["key"], order)
+    rows = with_running(rows, ["key"], sums={"_count": F.lit(1)}, highs={"_reach": F.greatest("ping_start", "ping_end")})
+    cut = F.when(F.col("_reach").isNull(), F.col("_count") == 1).otherwise(F.col("_reach") < F.col("ping_start") - 1)
+    rows = with_running(rows.withColumn("_cut", cut.cast("int")), ["key"], sums={"segment": F.col("_cut")})
+    return rows.withColumn("member_no", F.col("_count") - 1).drop("_part", "_at", "_count", "_reach", "_cut")
+
+
 def fuse_contacts(obs: DataFrame) -> DataFrame:
     """``detection_id, contact_no, member_no, key``: observations in ping order join the first contact whose last member relates.
 
-    The partition key is exact: nothing relates across classes, nor across surveys or (unplaced) frames.
+    Each segment of a key is folded by itself; contacts are then numbered through the key.
     """
-    key = F.concat_ws("|", "raw_class", F.when(F.col("ping_start").isNotNull(), F.col("survey_ref")).otherwise(F.concat(F.lit("f"), F.col("frame_id").cast("string"))))
-    order = F.struct(F.when(F.col("ping_start").isNotNull(), 0).otherwise(1).alias("o"), F.coalesce("ping_start", F.lit(0)).alias("p"), F.col("frame_id").alias("f"), F.col("detection_id").alias("d"), F.struct(*OBSERVATION).alias("obs"))
-    groups = obs.withColumn("key", key).groupBy("key").agg(F.array_sort(F.collect_list(order)).alias("all"))
-    groups = groups.withColumn("all", F.transform("all", lambda x: x["obs"]))
+    segments = contact_segments(obs)
+    groups = segments.groupBy("key", "segment").agg(F.array_sort(F.collect_list(F.struct("member_no", F.struct(*OBSERVATION).alias("obs")))).alias("members"))
+    groups = groups.withColumn("all", F.transform("members", lambda x: x["obs"]))
     # state: number and last member of the contacts that can still grow, how many there are, and where each observation went
     member = "struct<" + ",".join(f"{n}:{obs.schema[n].dataType.simpleString()}" for n in OBSERVATION) + ">"
     start = F.struct(F.array().cast(f"array<struct<no:int,o:{member}>>").alias("live"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("went"))
@@ -94,8 +112,11 @@ def fuse_contacts(obs: DataFrame) -> DataFrame:
         return _let(live, lambda v: _let(F.array_position(F.transform(v, lambda a: _relation_of(a["o"], x)), F.lit(True)).cast("int"), lambda at: joined(acc, x, v, at)))
 
     went = F.aggregate("all", start, step, lambda acc: acc["went"])
-    out = groups.select("key", "all", went.alias("went")).select("key", F.posexplode(F.arrays_zip("all", "went")).alias("n", "z"))
-    return out.select("key", F.col("z.went").alias("contact_no"), F.col("n").alias("member_no"), "z.all.*")
+    folded = stored(groups.select("key", "segment", "members", went.alias("went")))
+    counts = laid_out(folded.select("key", "segment", F.array_max("went").alias("n")), ["key"], ["segment"])
+    before = with_running(counts, ["key"], sums={"upto": F.col("n")}).select("key", "segment", (F.col("upto") - F.col("n")).alias("earlier"))
+    out = folded.join(before, ["key", "segment"]).select("key", "earlier", F.explode(F.arrays_zip("members", "went")).alias("z"))
+    return out.select("key", (F.col("z.went") + F.col("earlier")).cast("int").alias("contact_no"), F.col("z.members.member_no").cast("int").alias("member_no"), "z.members.obs.*")
 
 
 def _let(value: Column, body) -> Column:
@@ -150,7 +171,19 @@ def assign_groups(groups: DataFrame, seed: int = 20260831, shares: tuple[float,
     return out.select(F.explode(F.arrays_zip("all", "went")).alias("z")).select("z.all.group_key", "z.all.n", F.col("z.went").alias("split"))
 
 
-def chains(df: DataFrame, key: str, linked: Column, order: list) -> DataFrame:
-    """Number of the chain (from 1) of each row: a row that is not ``linked`` to its predecessor opens one (gaps and islands)."""
-    w = W.partitionBy(key).orderBy(*order)
-    return df.withColumn("chain", F.sum(F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+def verified_chains(frames: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``frame_id, channel, chain, start``: frames (frame_id, channel, ts, width, height, split) of a channel in the order of time.
+
+    A frame goes on with the chain of the one before if both have one geometry and their rows were verified to be
+    shifted (``pairs``: later, earlier; either order). A linked pair in different splits shares pings across them and
+    fails. ``start`` is the time of the chain's first frame.
+    """
+    rows = with_previous(laid_out(frames, ["channel"], ["ts", "frame_id"]), ["channel"], ["frame_id", "width", "height", "split"])
+    both = pairs.select(F.least("later", "earlier").alias("_a"), F.greatest("later", "earlier").alias("_b")).distinct().withColumn("_verified", F.lit(True))
+    rows = rows.withColumns({"_a": F.least("frame_id", "prev_frame_id"), "_b": F.greatest("frame_id", "prev_frame_id")}).join(both, ["_a", "_b"], "left")
+    linked = F.col("prev_frame_id").isNotNull() & F.col("_verified").isNotNull() & F.col("width").eqNullSafe(F.col("prev_width")) & F.col("height").eqNullSafe(F.col("prev_height"))
+    told = F.concat(F.lit("a verified chain crosses splits: frames "), F.col("prev_frame_id").cast("string"), F.lit(" and "), F.col("frame_id").cast("string"))
+    opens = F.when(linked & ~F.col("split").eqNullSafe(F.col("prev_split")), F.raise_error(told).cast("int")).when(linked, 0).otherwise(1)
+    rows = with_running(rows.withColumn("_new", opens), ["channel"], sums={"chain": F.col("_new")}, highs={"_s": F.when(F.col("_new") == 1, F.struct("ts", "frame_id"))})
+    start = F.when(F.col("_new") == 1, F.col("ts")).otherwise(F.col("_s.ts"))  # the latest opening so far
+    return rows.select("frame_id", "channel", "chain", start.alias("start"))

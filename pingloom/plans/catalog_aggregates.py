@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import aggregates as A
+from ..operators import ordered
 from .catalog_boxes import IOU_SQL
 from .catalog_joins import NEAR, j09
+from .fixtures import digest_sql
 from .registry import register
 
 
@@ -29,16 +31,27 @@ def a08(v):
 
 @register("A09_split_and_class_counts", "SELECT split, dataset, width, raw_class, count(DISTINCT f.frame_id) AS frames, count(DISTINCT group_key) AS groups, count(detection_id) AS boxes FROM v_frames AS f LEFT JOIN v_det AS d ON f.frame_id = d.frame_id GROUP BY GROUPING SETS ((split), (dataset), (raw_class), (split, dataset), (split, width), (split, raw_class), (split, dataset, raw_class), ())")
 def a09(v):
-    """Counts by several sets of keys in one pass."""
-    f = v["v_frames"].join(v["v_det"].select("frame_id", "raw_class", "detection_id"), "frame_id", "left")
+    """Counts by several sets of keys in one pass over frames and classes.
+
+    Boxes are counted by frame and class before they meet the frames, so each row is one (frame, class). A frame is
+    counted once where classes are kept apart, and by the first of its rows where they are not.
+    """
+    boxes = v["v_det"].groupBy("frame_id", "raw_class").agg(F.count("detection_id").alias("boxes"))
+    first = boxes.groupBy("frame_id").agg(F.min("raw_class").alias("first_class"))
+    boxes = boxes.join(first, "frame_id").withColumn("lead", (F.col("raw_class") == F.col("first_class")).cast("int"))
+    f = v["v_frames"].select("frame_id", "split", "dataset", "width", "group_key").join(boxes, "frame_id", "left").withColumn("lead", F.coalesce("lead", F.lit(1)))
     sets = [["split"], ["dataset"], ["raw_class"], ["split", "dataset"], ["split", "width"], ["split", "raw_class"], ["split", "dataset", "raw_class"], []]
-    return f.groupingSets(sets, "split", "dataset", "width", "raw_class").agg(F.countDistinct("frame_id").alias("frames"), F.countDistinct("group_key").alias("groups"), F.count("detection_id").alias("boxes"))
+    out = f.groupingSets(sets, "split", "dataset", "width", "raw_class").agg(
+        F.grouping("raw_class").alias("all_classes"), F.sum("lead").alias("leads"), F.count(F.lit(1)).alias("rows"), F.countDistinct("group_key").alias("groups"), F.coalesce(F.sum("boxes"), F.lit(0)).alias("boxes")
+    )
+    return out.select("split", "dataset", "width", "raw_class", F.when(F.col("all_classes") == 1, F.col("leads")).otherwise(F.col("rows")).alias("frames"), "groups", "boxes")
 
 
-@register("A10_snapshot_identity", "SELECT survey_id, count(*) AS frames, substr(sha256('split_v1|' || string_agg(frame_id::VARCHAR, ',' ORDER BY frame_id::VARCHAR)), 1, 16) AS snapshot_id FROM v_frames GROUP BY survey_id")
+@register("A10_snapshot_identity", f"WITH {digest_sql('(SELECT survey_id, frame_id, frame_id::VARCHAR AS item FROM v_frames)', 'survey_id', 'frame_id')} SELECT survey_id, n AS frames, substr(sha256('split_v1|' || digest), 1, 16) AS snapshot_id FROM digests")
 def a10(v):
-    ids = F.array_join(F.array_sort(F.collect_list(F.col("frame_id").cast("string"))), ",")
-    return v["v_frames"].groupBy("survey_id").agg(F.count("*").alias("frames"), F.substring(F.sha2(F.concat(F.lit("split_v1|"), ids), 256), 1, 16).alias("snapshot_id"))
+    """Identity of each survey's snapshot: the split's name and the digest tree of its frames in order."""
+    tree = ordered.digest_tree(v["v_frames"].select("survey_id", "frame_id"), ["survey_id"], ["frame_id"], F.col("frame_id").cast("string"))
+    return tree.select("survey_id", F.col("n").alias("frames"), F.substring(F.sha2(F.concat(F.lit("split_v1|"), "digest"), 256), 1, 16).alias("snapshot_id"))
 
 
 @register("A11_review_stats", "SELECT reviewer, count(*) AS events, count(verdict) AS verdicts, count(*) FILTER (WHERE verdict = 'CONFIRMED') AS confirmed, count(*) FILTER (WHERE verdict = 'REJECTED') AS rejected, count(*) FILTER (WHERE verdict = 'UNCERTAIN') AS uncertain, count(DISTINCT contact_id) AS contacts FROM v_reviews GROUP BY reviewer")
@@ -136,20 +149,30 @@ def a22(v):
 @register("A32_open_set_threshold", "WITH t AS (SELECT quantile_cont(anomaly, 0.99) AS tau FROM v_contacts WHERE segment = 'BUILDING'), s AS (SELECT survey_id, quantile_cont(anomaly, 0.995) AS q FROM v_contacts GROUP BY survey_id) SELECT c.survey_id, round(greatest(tau, q), 9) AS threshold, count(*) FILTER (WHERE anomaly >= greatest(tau, q)) AS candidates FROM v_contacts AS c JOIN s ON c.survey_id = s.survey_id, t GROUP BY c.survey_id, tau, q")
 def a32(v):
     c = v["v_contacts"]
-    tau = c.filter("segment = 'BUILDING'").agg(F.percentile("anomaly", F.lit(0.99)).alias("tau"))
-    s = c.groupBy("survey_id").agg(F.percentile("anomaly", F.lit(0.995)).alias("q")).crossJoin(F.broadcast(tau)).select("survey_id", F.greatest("tau", "q").alias("threshold"))
+    tau = A.exact_quantiles(c.filter("segment = 'BUILDING'"), [], "anomaly", {"tau": 0.99}).select("tau")
+    s = A.exact_quantiles(c, ["survey_id"], "anomaly", {"q": 0.995}).select("survey_id", "q")
+    s = c.select("survey_id").distinct().join(s, "survey_id", "left").crossJoin(F.broadcast(tau)).select("survey_id", F.greatest("tau", "q").alias("threshold"))
     return c.join(s, "survey_id").groupBy("survey_id", "threshold").agg(F.count_if(F.col("anomaly") >= F.col("threshold")).alias("candidates")).withColumn("threshold", F.round("threshold", 9))
 
 
-@register(
-    "A34_isotonic_calibration",
-    """WITH g AS (SELECT round(score, 2) AS score, sum(label)::DOUBLE AS s, count(*)::DOUBLE AS n FROM v_scored GROUP BY ALL), c AS (SELECT *, sum(s) OVER (ORDER BY score) AS cs, sum(n) OVER (ORDER BY score) AS cn FROM g),
-    m AS (SELECT a.score AS i, b.score AS j, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM c AS a JOIN c AS b ON b.score >= a.score), l AS (SELECT i, j, min(m) OVER (PARTITION BY i ORDER BY j DESC ROWS UNBOUNDED PRECEDING) AS least FROM m)
-    SELECT j AS score, round(max(least), 9) AS fitted FROM l GROUP BY j""",
-)
+_ISOTONIC = """g AS (SELECT score, sum(label)::DOUBLE AS s, count(*)::DOUBLE AS n FROM v_scored GROUP BY ALL), c AS (SELECT *, sum(s) OVER (ORDER BY score) AS cs, sum(n) OVER (ORDER BY score) AS cn FROM g),
+    m AS (SELECT a.score AS i, b.score AS j, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM c AS a JOIN c AS b ON b.score >= a.score), l AS (SELECT i, j, min(m) OVER (PARTITION BY i ORDER BY j DESC ROWS UNBOUNDED PRECEDING) AS least FROM m),
+    k AS (SELECT j AS score, round(max(least), 9) AS fitted FROM l GROUP BY j)"""
+
+
+@register("A34_isotonic_calibration", f"WITH {_ISOTONIC} SELECT score, fitted FROM k")
 def a34(v):
-    s = v["v_scored"].withColumn("score", F.round("score", 2))
-    return A.isotonic_knots(s, "score", "label").withColumn("fitted", F.round("fitted", 9))
+    """The fitted value of each score that occurs among the labelled ones."""
+    blocks = A.isotonic_blocks(v["v_scored"], "score", "label")
+    return A.isotonic_lookup(v["v_scored"].select("score").distinct(), blocks, "score").withColumn("fitted", F.round("fitted", 9))
+
+
+@register("A34_step_lookup", f"WITH {_ISOTONIC}, q AS (SELECT doc_id, (n_chars + doc_id % 7) / 20000e0 AS score FROM documents) SELECT doc_id, coalesce((SELECT arg_min(fitted, k.score) FROM k WHERE k.score >= q.score), (SELECT arg_max(fitted, k.score) FROM k)) AS fitted FROM q")
+def a34_lookup(v):
+    """Scores of all documents, most of which are no knots: the first knot at or above gives the value."""
+    blocks = A.isotonic_blocks(v["v_scored"], "score", "label")
+    q = v["documents"].select("doc_id", ((F.col("n_chars") + F.col("doc_id") % 7) / 20000).alias("score"))
+    return A.isotonic_lookup(q, blocks, "score").select("doc_id", F.round("fitted", 9).alias("fitted"))
 
 
 @register("A35_logistic_fusion_fit")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import scalar as P
 from ..operators import sequential as S
 from .catalog_boxes import IOU_SQL
+from .catalog_joins import PING_FRAMES, j11, ping_rows
 from .registry import register
 
 _IOU_K = IOU_SQL.format(a="k.", b="b.")
@@ -161,15 +162,27 @@ def g07(v):
     return S.disjoint_lattice(v["v_nav"], "survey_ref", 100_000.0)
 
 
+#: Frames of the ping blocks as frames of two channels; some have another width, and a split goes through blocks whole.
+_CHANNELS = f"""WITH p AS ({PING_FRAMES}), r AS (SELECT frame_id, height, row_idx, md5(e.embedding::VARCHAR) AS digest FROM p JOIN embeddings AS e ON p.vec_id = e.vec_id),
+    m AS (SELECT a.frame_id AS later, b.frame_id AS earlier, a.row_idx - b.row_idx AS k, a.height FROM r AS a JOIN r AS b ON a.digest = b.digest AND a.frame_id <> b.frame_id AND a.row_idx >= b.row_idx),
+    f AS (SELECT later, earlier, k FROM m GROUP BY later, earlier, k, height HAVING count(*) = height - k AND k <= height * 0.5),
+    g AS (SELECT *, count(*) OVER (PARTITION BY least(later, earlier), greatest(later, earlier)) AS n FROM f), v AS (SELECT later, earlier FROM g WHERE n = 1 AND k >= 1),
+    c AS (SELECT DISTINCT frame_id, 'ch' || (frame_id // 4 % 2) AS channel, frame_id % 4 * 20 + frame_id // 8 * 1000 AS ts, CASE WHEN frame_id % 16 = 2 THEN 63 ELSE 64 END AS width FROM p)"""
+
+
 @register(
     "G09_time_adjacent_chains",
-    """WITH f AS (SELECT frame_id, survey_id, ts, lag(width) OVER w = width AND epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 20 * 86400000000 AS linked FROM v_frames WINDOW w AS (PARTITION BY survey_id ORDER BY ts, frame_id))
-    SELECT frame_id, survey_id, sum(CASE WHEN coalesce(linked, false) THEN 0 ELSE 1 END) OVER (PARTITION BY survey_id ORDER BY ts, frame_id ROWS UNBOUNDED PRECEDING) AS chain FROM f""",
+    _CHANNELS + """, o AS (SELECT *, lag(frame_id) OVER w AS before, lag(width) OVER w AS width_before FROM c WINDOW w AS (PARTITION BY channel ORDER BY ts, frame_id)),
+    l AS (SELECT *, before IS NOT NULL AND width = width_before AND EXISTS (SELECT 1 FROM v WHERE least(later, earlier) = least(frame_id, before) AND greatest(later, earlier) = greatest(frame_id, before)) AS linked FROM o),
+    h AS (SELECT *, sum(CASE WHEN linked THEN 0 ELSE 1 END) OVER (PARTITION BY channel ORDER BY ts, frame_id ROWS UNBOUNDED PRECEDING) AS chain FROM l)
+    SELECT frame_id, channel, chain, min(ts) OVER (PARTITION BY channel, chain) AS start FROM h""",
 )
 def g09(v):
-    w = W.partitionBy("survey_id").orderBy("ts", "frame_id")
-    f = v["v_frames"].withColumn("linked", (F.lag("width").over(w) == F.col("width")) & (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) <= 20 * 86_400_000_000))
-    return S.chains(f, "survey_id", F.col("linked"), ["ts", "frame_id"]).select("frame_id", "survey_id", "chain")
+    """Chains of frames whose shift of rows is verified, by channel in the order of time."""
+    rows = ping_rows(v)
+    f = rows.select("frame_id").distinct()
+    f = f.select("frame_id", F.concat(F.lit("ch"), F.expr("cast(frame_id div 4 % 2 as string)")).alias("channel"), F.expr("frame_id % 4 * 20 + frame_id div 8 * 1000").alias("ts"), F.expr("CASE WHEN frame_id % 16 = 2 THEN 63 ELSE 64 END").alias("width"), F.lit(40).alias("height"), F.expr("element_at(array('train', 'val', 'test'), cast(frame_id div 4 % 3 + 1 as int))").alias("split"))
+    return S.verified_chains(f, j11(v))
 
 
 @register(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes
 from ..operators import joins as J
 from ..operators import scalar as S
+from ..operators.nearest import nearest_distance
 from .catalog_boxes import IOU_SQL, TILES_SQL
 from .registry import register
 
@@ -89,7 +90,7 @@ def j07(v):
 )
 def j08(v):
     e = v["embeddings"].select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return J.nearest_distance(e.filter("vec_id % 2 = 1"), e.filter("vec_id % 2 = 0")).select("vec_id", F.round("distance", 6).alias("distance"))
+    return nearest_distance(e.filter("vec_id % 2 = 1"), e.filter("vec_id % 2 = 0")).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 #: Images as vectors of samples: each vector, and derived ones that are nearly or hardly alike in another split.
@@ -144,16 +145,28 @@ PING_FRAMES = "SELECT CAST(floor(vec_id / 100) AS BIGINT) * 4 + j AS frame_id, 4
     g AS (SELECT *, count(*) OVER (PARTITION BY least(later, earlier), greatest(later, earlier)) AS n FROM f) SELECT later, earlier, k FROM g WHERE n = 1 AND k >= 1""",
 )
 def j11(v):
+    return J.row_shift_pairs(ping_rows(v))
+
+
+def ping_rows(v):
+    """The rows of PING_FRAMES with the digests of their samples."""
     e = v["embeddings"].select("vec_id", F.md5(F.to_json("embedding").cast("binary")).alias("digest"))
     p = e.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("row_idx", F.col("vec_id") % 100 - 20 * F.col("j")).filter("row_idx >= 0 and row_idx < 40")
-    return J.row_shift_pairs(p.select((F.floor(F.col("vec_id") / 100) * 4 + F.col("j")).alias("frame_id"), F.lit(40).alias("height"), "row_idx", "digest"))
+    return p.select((F.floor(F.col("vec_id") / 100) * 4 + F.col("j")).alias("frame_id"), F.lit(40).alias("height"), "row_idx", "digest")
 
 
-@register("J12_geometry_partition", "WITH g AS (SELECT f.frame_id, width, height, count(*) OVER (PARTITION BY raster_sha256) AS same FROM v_frames AS f JOIN v_rasters AS r ON f.frame_id = r.frame_id WHERE raster_sha256 IS NOT NULL) SELECT width, height, count(*) AS candidates FROM g WHERE same = 1 AND frame_id % 10 <> 0 GROUP BY width, height HAVING count(*) > 1")
+@register(
+    "J12_geometry_partition",
+    """WITH g AS (SELECT f.frame_id, width, height, count(*) OVER (PARTITION BY raster_sha256) AS same, c_mktsegment = 'MACHINERY' AS declared FROM v_rasters AS r JOIN v_frames AS f ON f.frame_id = r.frame_id LEFT JOIN customer ON group_key = c_custkey WHERE raster_sha256 IS NOT NULL),
+    k AS (SELECT frame_id, width, height FROM g WHERE same = 1 AND NOT coalesce(declared, false)) SELECT frame_id, width, height, candidates FROM k JOIN (SELECT width, height, count(*) AS candidates FROM k GROUP BY width, height) AS n USING (width, height)""",
+)
 def j12(v):
-    r = v["v_rasters"].filter("raster_sha256 is not null").join(v["v_frames"].select("frame_id", "width", "height"), "frame_id")
-    once = r.groupBy("raster_sha256").agg(F.count("*").alias("same"), F.first("frame_id").alias("frame_id"), F.first("width").alias("width"), F.first("height").alias("height")).filter("same = 1")
-    return once.filter("frame_id % 10 <> 0").groupBy("width", "height").agg(F.count("*").alias("candidates")).filter("candidates > 1")
+    """Frames that may verify with each other, by geometry: content of their own, known layout, in no declared group (here: customers of one segment)."""
+    r = v["v_rasters"].filter("raster_sha256 is not null").join(v["v_frames"].select("frame_id", "width", "height", "group_key"), "frame_id")
+    once = r.groupBy("raster_sha256").agg(F.count("*").alias("same"), F.first(F.struct("frame_id", "width", "height", "group_key")).alias("f")).filter("same = 1").select("f.*")
+    declared = v["customer"].filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("group_key"))
+    left = once.filter("width is not null and height is not null").join(declared, "group_key", "left_anti")
+    return left.join(left.groupBy("width", "height").agg(F.count("*").alias("candidates")), ["width", "height"]).select("frame_id", "width", "height", "candidates")
 
 
 CHANGE = """b AS (SELECT contact_id AS base_id, CASE WHEN hash_mod = 0 THEN true WHEN hash_mod = 1 THEN false END AS covered FROM (SELECT contact_id, CAST(substr(contact_id, 2) AS BIGINT) % 3 AS hash_mod, latest_verdict FROM v_contacts) AS x WHERE coalesce(latest_verdict, '') <> 'REJECTED'),

@@ -3,7 +3,8 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import sequential as S
+from ..operators import ordered
+from .fixtures import digest_sql
 from .registry import register
 
 
@@ -21,9 +22,7 @@ def w02(v):
 def w03(v):
     """Length of the last run of windows that follow on one another; any break starts again at 1."""
     p = v["v_obs"].filter("ping_start is not null").select("survey_ref", "raw_class", "ping_start", "ping_end").distinct()
-    w = W.partitionBy("survey_ref", "raw_class").orderBy("ping_start", "ping_end")
-    p = p.withColumn("linked", F.lag("ping_end").over(w) + 1 == F.col("ping_start")).withColumn("key", F.concat_ws("|", "survey_ref", "raw_class"))
-    p = S.chains(p, "key", F.col("linked"), ["ping_start", "ping_end"])
+    p = ordered.chains(p, ["survey_ref", "raw_class"], ["ping_start", "ping_end"], ["ping_end"], F.col("prev_ping_end") + 1 == F.col("ping_start"))
     return p.groupBy("survey_ref", "raw_class", "chain").agg(F.count("*").alias("n")).groupBy("survey_ref", "raw_class").agg(F.max_by("n", "chain").alias("trailing_run"))
 
 
@@ -31,11 +30,15 @@ SESSIONS = """WITH s AS (SELECT frame_id, survey_ref, ts, CASE WHEN epoch_us(ts)
 q AS (SELECT *, sum(opens) OVER (PARTITION BY survey_ref ORDER BY ts, frame_id ROWS UNBOUNDED PRECEDING) AS session FROM s) """
 
 
+def _sessions(v, most: int):
+    """Fixes with ``chain``: a gap of more than ``most`` microseconds opens one."""
+    n = v["v_nav"].select("frame_id", "survey_ref", "ts")
+    return ordered.chains(n, ["survey_ref"], ["ts", "frame_id"], ["ts"], F.unix_micros("ts") - F.unix_micros("prev_ts") <= most)
+
+
 @register("W04_gap_sessions", SESSIONS + "SELECT survey_ref, session, count(*) AS frames, CAST(floor(epoch(max(ts)) - epoch(min(ts))) AS BIGINT) AS seconds FROM q GROUP BY survey_ref, session")
 def w04(v):
-    w = W.partitionBy("survey_ref").orderBy("ts", "frame_id")
-    n = v["v_nav"].withColumn("linked", F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) <= 7_200_000_000)
-    s = S.chains(n, "survey_ref", F.col("linked"), ["ts", "frame_id"]).groupBy("survey_ref", F.col("chain").alias("session"))
+    s = _sessions(v, 7_200_000_000).groupBy("survey_ref", F.col("chain").alias("session"))
     return s.agg(F.count("*").alias("frames"), F.floor((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("seconds"))
 
 
@@ -46,9 +49,7 @@ def w04(v):
 )
 def w04_plan(v):
     """Sessions by gaps above 30 seconds, and the part that an offset (hours here) from a survey's start belongs to."""
-    w = W.partitionBy("survey_ref").orderBy("ts", "frame_id")
-    n = v["v_nav"].withColumn("linked", F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) <= 30_000_000)
-    s = S.chains(n, "survey_ref", F.col("linked"), ["ts", "frame_id"])
+    s = _sessions(v, 30_000_000)
     start = v["v_nav"].groupBy("survey_ref").agg(F.min(F.unix_micros("ts")).alias("s"))
     off = (F.unix_micros("ts") - F.col("s")) / 1e6 / 3600
     plan = F.when(off < 200, "val").when(off < 500, "embargo").when(off < 700, "train").otherwise("unused")
@@ -82,14 +83,14 @@ RANK = "CASE category WHEN 'DERELICT_FISHING_GEAR' THEN 0 WHEN 'WRECK_OR_STRUCTU
 
 @register("W08_review_queue_order", f"SELECT survey_id, contact_id, row_number() OVER (PARTITION BY survey_id ORDER BY latest_verdict IS NOT NULL, {RANK}, evidence DESC NULLS LAST, contact_id) AS place FROM v_contacts")
 def w08(v):
-    w = W.partitionBy("survey_id").orderBy(F.col("latest_verdict").isNotNull(), F.expr(RANK), F.col("evidence").desc_nulls_last(), "contact_id")
-    return v["v_contacts"].select("survey_id", "contact_id", F.row_number().over(w).alias("place"))
+    order = [F.col("latest_verdict").isNotNull(), F.expr(RANK), F.col("evidence").desc_nulls_last(), "contact_id"]
+    return ordered.ranked(v["v_contacts"].select("survey_id", "contact_id", "latest_verdict", "evidence"), ["survey_id"], order, "place").select("survey_id", "contact_id", "place")
 
 
 @register("W09_contact_view_order", "SELECT survey_id, contact_id, row_number() OVER (PARTITION BY survey_id ORDER BY coalesce(latest_verdict, 'UNCERTAIN') <> 'UNCERTAIN', evidence >= 0.75 DESC NULLS LAST, evidence DESC NULLS LAST, contact_id) AS place FROM v_contacts")
 def w09(v):
-    w = W.partitionBy("survey_id").orderBy(F.coalesce("latest_verdict", F.lit("UNCERTAIN")) != "UNCERTAIN", (F.col("evidence") >= 0.75).desc_nulls_last(), F.col("evidence").desc_nulls_last(), "contact_id")
-    return v["v_contacts"].select("survey_id", "contact_id", F.row_number().over(w).alias("place"))
+    order = [F.coalesce("latest_verdict", F.lit("UNCERTAIN")) != "UNCERTAIN", (F.col("evidence") >= 0.75).desc_nulls_last(), F.col("evidence").desc_nulls_last(), "contact_id"]
+    return ordered.ranked(v["v_contacts"].select("survey_id", "contact_id", "latest_verdict", "evidence"), ["survey_id"], order, "place").select("survey_id", "contact_id", "place")
 
 
 @register("W10_top_patch_per_tile", "SELECT image_id, arg_max(row_idx * 64 + col_idx, (sample, -row_idx, -col_idx)) AS patch, max(sample) AS score FROM v_imgs GROUP BY image_id")
@@ -108,10 +109,11 @@ def w12(v):
     return v["v_frames"].filter("split = 'train'").select("frame_id", F.explode(F.sequence(F.lit(0), times - 1)).alias("repeat_index"))
 
 
-@register("W13_track_order", "SELECT survey_ref, count(*) AS fixes, md5(string_agg(frame_id::VARCHAR, ',' ORDER BY ts, frame_id)) AS track FROM v_nav GROUP BY survey_ref")
+@register("W13_track_order", f"WITH {digest_sql('(SELECT survey_ref, ts, frame_id, frame_id::VARCHAR AS item FROM v_nav)', 'survey_ref', 'ts, frame_id')} SELECT survey_ref, n AS fixes, digest AS track FROM digests")
 def w13(v):
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("ts", "frame_id"))), lambda x: x["frame_id"].cast("string"))
-    return v["v_nav"].groupBy("survey_ref").agg(F.count("*").alias("fixes"), F.md5(F.array_join(ids, ",").cast("binary")).alias("track"))
+    """The order of each survey's fixes as a digest of digests."""
+    fixes = v["v_nav"].select("survey_ref", "ts", "frame_id")
+    return ordered.digest_tree(fixes, ["survey_ref"], ["ts", "frame_id"], F.col("frame_id").cast("string")).select("survey_ref", F.col("n").alias("fixes"), F.col("digest").alias("track"))
 
 
 @register("W14_history_sequence", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS sequence FROM conversations")

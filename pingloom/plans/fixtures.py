@@ -50,6 +50,13 @@ VIEWS: dict[str, str | tuple[str, str]] = {
 VIEWS["v_rasters"] = (VIEWS["v_rasters"].replace("sha2HEX", "sha2(text, 256)"), VIEWS["v_rasters"].replace("sha2HEX", "sha256(text)"))
 
 
+def digest_sql(source: str, key: str, order: str, fan: int = 4096, levels: int = 3) -> str:
+    """Common table expressions up to ``digests`` (key, n, digest): ``ordered.digest_tree`` over the items of a source."""
+    out = [f"d0 AS (SELECT {key}, item, 1 AS size, row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS n FROM {source} AS x)"]
+    out += [f"d{k} AS (SELECT {key}, n // {fan} AS n, sha256(string_agg(item, ',' ORDER BY n)) AS item, sum(size)::BIGINT AS size FROM d{k - 1} AS x GROUP BY {key}, n // {fan})" for k in range(1, levels + 1)]
+    return ", ".join([*out, f"digests AS (SELECT {key}, size AS n, item AS digest FROM d{levels})"])
+
+
 def _needs(text: str) -> list[str]:
     return [v for v in VIEWS if re.search(rf"\b{v}\b", text)]
 

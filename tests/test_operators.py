@@ -283,3 +283,211 @@ def test_dropped_deletes_one_stored_table(spark):
     assert second.count() == 7 and not any(f.split("/")[-2] in path for f in first.inputFiles() for path in storage._written)
     storage.dropped(spark.range(3))  # no stored table: nothing is deleted
     assert second.count() == 7
+
+
+# ---- ordered scans, nearest vectors, near hashes, quantiles, intervals, isotonic fits
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables stay in as many ranges as the session has shuffle partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_an_ordered_scan_carries_one_key_through_all_ranges(spark, many_ranges):
+    from pingloom.operators import ordered
+
+    rng = random.Random(3)
+    rows = [("one" if rng.random() < 0.9 else None, i, rng.randint(0, 9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t int, v int").repartition(7)
+    laid = ordered.laid_out(df, ["k"], ["t"])
+    per = [r["count"] for r in laid.filter("k = 'one'").groupBy("_part").count().collect()]
+    assert len(per) >= 3 and max(per) < 2000  # one key is spread over the tasks
+    out = ordered.with_running(ordered.with_previous(laid, ["k"], ["v"]), ["k"], sums={"total": F.col("v")}, highs={"high": F.col("v")})
+    got = {(r.k, r.t): (r.prev_v, r.total, r.high) for r in out.collect()}
+    want, state = {}, {}
+    for k, t, v in sorted(rows, key=lambda r: r[1]):
+        prev, total, high = state.get(k, (None, 0, None))
+        want[k, t] = (prev, total + v, high)
+        state[k] = (v, total + v, v if high is None else max(high, v))
+    assert got == want
+    chained = ordered.chains(df, ["k"], ["t"], ["v"], F.col("v") >= F.col("prev_v"))
+    number, last, want = {}, {}, {}
+    for k, t, v in sorted(rows, key=lambda r: r[1]):
+        number[k] = number.get(k, 0) + (0 if k in last and v >= last[k] else 1)
+        last[k] = v
+        want[k, t] = number[k]
+    assert {(r.k, r.t): r.chain for r in chained.collect()} == want
+    assert [r.number for r in ordered.numbered(df, ["t"]).orderBy("t").collect()] == list(range(1, 3001))
+    empty = ordered.chains(df.limit(0), ["k"], ["t"], ["v"], F.col("v") >= F.col("prev_v"))
+    assert empty.collect() == []
+
+
+def test_a_digest_tree_groups_no_more_than_its_fan(spark, many_ranges):
+    import hashlib
+
+    from pingloom.operators import ordered
+
+    df = spark.range(25).select(F.lit("k").alias("k"), "id")
+    (r,) = ordered.digest_tree(df, ["k"], ["id"], F.col("id").cast("string"), fan=4).collect()
+    level = [str(i) for i in range(25)]
+    for _ in range(ordered.LEVELS):
+        level = [hashlib.sha256(",".join(level[a : a + 4]).encode()).hexdigest() for a in range(0, len(level), 4)]
+    assert r.n == 25 and r.digest == level[0]
+
+
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_nearest_distances_are_exact_and_mostly_not_computed(spark, many_ranges, tile):
+    import numpy as np
+
+    from pingloom.operators.nearest import nearest_distance
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 8)) * 20
+    bank = np.concatenate([c + rng.normal(size=(120, 8)) for c in centres] + [np.repeat(centres[:1], 300, 0)])  # one cell holds copies
+    asked = np.concatenate([centres[rng.integers(0, 12, 60)] + rng.normal(size=(60, 8)), rng.normal(size=(5, 8)) * 40, centres[:1]])
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, x array<double>").repartition(3)
+    got = nearest_distance(frame(asked), frame(bank), tile=tile).collect()
+    want = np.sqrt(((asked[:, None] - bank[None]) ** 2).sum(2)).min(1)
+    assert len(got) == len(asked) and all(r.distance == pytest.approx(want[r.vec_id], abs=1e-12) for r in got)
+    if tile == 8:
+        assert sum(r.compared for r in got) < 0.5 * len(asked) * len(bank)
+    short = spark.createDataFrame([(1, [1.0])], "vec_id long, x array<double>")
+    with pytest.raises(Exception, match="components"):
+        nearest_distance(short, frame(bank)).collect()
+    with pytest.raises(ValueError, match="empty"):
+        nearest_distance(short, short.limit(0))
+    assert nearest_distance(short.limit(0), short).collect() == []
+
+
+@pytest.mark.parametrize("most_alike", [1, 4, 1000])
+def test_near_hashes_are_found_however_many_share_their_keys(spark, most_alike):
+    from pingloom.operators import joins
+
+    rng = random.Random(5)
+    values = {rng.getrandbits(63) for _ in range(60)}
+    hot = rng.getrandbits(63)  # most hashes agree in all but the last bits
+    for _ in range(80):
+        values.add(hot ^ rng.getrandbits(14))
+        v = rng.choice(sorted(values))
+        values.add(v ^ sum({1 << rng.randrange(63) for _ in range(rng.randint(0, 5))}))
+    values = sorted(values)
+    splits = {v: sorted(rng.sample(["a", "b", "c"], rng.choice([1, 1, 2]))) for v in values}
+    hashes = spark.createDataFrame([(v, splits[v]) for v in values], "h long, splits array<string>")
+    got = {(r.p, r.q): r.distance for r in joins.near_hashes(hashes, 4, most_alike).collect()}
+    want = {(p, q): (p ^ q).bit_count() for i, p in enumerate(values) for q in values[i:] if (p ^ q).bit_count() <= 4 and (splits[p] != splits[q] or len(splits[p]) > 1)}
+    assert got == want
+    assert joins.near_hashes(hashes.limit(0)).collect() == []
+
+
+def test_quantiles_narrow_down_to_the_wanted_ranks(spark):
+    import numpy as np
+
+    from pingloom.operators import aggregates
+
+    rng = np.random.default_rng(1)
+    data = {"heavy": np.exp(rng.normal(size=700) * 6), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([2.5]), None: rng.normal(size=40)}
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("empty", None), ("one", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    points = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.995, "e": 1.0}
+    got = {r.k: r for r in aggregates.exact_quantiles(df, ["k"], "v", points, most=5, bins=4).collect()}
+    assert set(got) == set(data)
+    for k, vs in data.items():
+        assert got[k].n == len(vs)
+        for name, p in points.items():
+            assert got[k][name] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-12)
+    (whole,) = aggregates.exact_quantiles(df, [], "v", {"c": 0.5}, most=3, bins=3).collect()
+    assert whole.c == pytest.approx(np.median([v for _, v in rows if v is not None]))
+    summary = {r.k: r for r in aggregates.quantile_summary(df, "k", "v").collect()}
+    assert summary["empty"].median is None and summary["one"].max == 2.5
+
+
+def test_exact_intervals_of_large_counts(spark):
+    from pingloom.operators import aggregates
+
+    cases = [(0, 10), (10, 10), (3, 10), (50, 100), (1, 1), (0, 0), (300_000, 1_000_000), (7, 1_000_000)]
+    got = {(r.k, r.n): r for r in aggregates.clopper_pearson(spark.createDataFrame(cases, "k long, n long"), "k", "n").collect()}
+    assert got[0, 10].cp_low == 0 and got[0, 10].cp_high == pytest.approx(1 - 0.025 ** (1 / 10), abs=1e-9)
+    assert got[10, 10].cp_high == 1 and got[10, 10].cp_low == pytest.approx(0.025 ** (1 / 10), abs=1e-9)
+    assert (round(got[3, 10].cp_low, 6), round(got[3, 10].cp_high, 6)) == (0.066740, 0.652453)
+    assert (round(got[50, 100].cp_low, 6), round(got[50, 100].cp_high, 6)) == (0.398321, 0.601679)
+    assert got[0, 0].cp_low is None and got[0, 0].cp_high is None
+
+    def tail(k, n, p):
+        """P(X >= k) by a sum around the mode, in logarithms."""
+        import math
+
+        term = lambda i: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+        return math.fsum(term(i) for i in range(k, min(n, k + 20_000)))
+
+    for k, n in ((300_000, 1_000_000), (7, 1_000_000)):
+        assert tail(k, n, got[k, n].cp_low) == pytest.approx(0.025, rel=1e-5)
+        assert 1 - tail(k + 1, n, got[k, n].cp_high) == pytest.approx(0.025, rel=1e-4)
+
+
+@pytest.mark.parametrize("chunk", [2, 7, 1000])
+def test_isotonic_blocks_pool_across_chunks(spark, many_ranges, chunk):
+    from pingloom.operators import aggregates
+
+    rng = random.Random(chunk)
+    data = [(x, int(rng.random() < (0.9 - x if rng.random() < 0.3 else x))) for x in (rng.randint(0, 80) / 80 for _ in range(150))]
+    df = spark.createDataFrame(data, "x double, y int").repartition(4)
+    blocks = sorted((r.lo, r.hi, r.fitted) for r in aggregates.isotonic_blocks(df, "x", "y", chunk).collect())
+    stack = []
+    for x in sorted({x for x, _ in data}):
+        own = [y for v, y in data if v == x]
+        stack.append([x, x, sum(own), len(own)])
+        while len(stack) > 1 and stack[-2][2] * stack[-1][3] >= stack[-1][2] * stack[-2][3]:
+            last = stack.pop()
+            stack[-1] = [stack[-1][0], last[1], stack[-1][2] + last[2], stack[-1][3] + last[3]]
+    assert blocks == [(lo, hi, s / n) for lo, hi, s, n in stack]
+    asked = spark.createDataFrame([(i, v) for i, v in enumerate([-1.0, 0.0, 0.333, 0.5, 1.0, 9.0, None])], "i int, x double")
+    table = spark.createDataFrame(blocks, "lo double, hi double, fitted double")
+    got = {r.i: r.fitted for r in aggregates.isotonic_lookup(asked, table, "x").collect()}
+    want = {i: None if v is None else next((f for _, hi, f in blocks if hi >= v), blocks[-1][2]) for i, v in enumerate([-1.0, 0.0, 0.333, 0.5, 1.0, 9.0, None])}
+    assert got == want
+
+
+def test_a_survey_is_cut_where_no_contact_can_cross(spark, many_ranges):
+    from pingloom.operators import sequential
+
+    schema = "detection_id string, frame_id long, tile_id int, raw_class string, inference_mode string, raw_confidence double, x1 double, y1 double, x2 double, y2 double, nx1 double, ny1 double, nx2 double, ny2 double, survey_ref string, ping_start long, ping_end long"
+    rng = random.Random(4)
+    rows = []
+    for f in range(120):  # frames of one survey, with a gap after every tenth
+        start = f * 20 + f // 10 * 100
+        for d in range(3):
+            x, y = rng.randint(0, 30), rng.randint(0, 10)
+            rows.append((f"d{f:03}_{d}", f, d, "PIPELINE", "TILED", 0.5, float(x), float(y), x + 25.0, y + 12.0, x / 64, y / 40, (x + 25) / 64, (y + 12) / 40, "s1", start, start + 19 + 20 * (f % 2)))
+    df = spark.createDataFrame(rows, schema).repartition(6)
+    segments = sequential.contact_segments(df)
+    sizes = [r["count"] for r in segments.groupBy("key", "segment").count().collect()]
+    assert len(sizes) == 12 and max(sizes) == 30
+    got = {r.detection_id: (r.contact_no, r.member_no) for r in sequential.fuse_contacts(df).collect()}
+    # the rule itself, over the whole survey in one list
+    pair = spark.createDataFrame(rows, schema)
+    a, b = (pair.select(*[F.col(c).alias(f"{p}{c}") for c in pair.columns]) for p in ("a_", "b_"))
+    related = {(r.a_detection_id, r.b_detection_id) for r in a.join(b, F.expr("abs(a_frame_id - b_frame_id) <= 12")).filter(sequential.relation("a_", "b_").isNotNull()).select("a_detection_id", "b_detection_id").collect()}
+    groups, want = [], {}
+    for n, r in enumerate(sorted(rows, key=lambda r: (r[15], r[1], r[0]))):
+        at = next((i for i, g in enumerate(groups) if (g, r[0]) in related), None)
+        if at is None:
+            groups.append(r[0])
+            at = len(groups) - 1
+        groups[at] = r[0]
+        want[r[0]] = (at + 1, n)
+    assert got == want
+
+
+def test_a_verified_chain_may_not_cross_splits(spark, many_ranges):
+    from pingloom.operators import sequential
+
+    frames = [(1, "c", 1, 64, 40, "train"), (2, "c", 2, 64, 40, "train"), (3, "c", 3, 64, 40, "val"), (4, "c", 4, 63, 40, "val"), (9, None, 1, 64, 40, "val")]
+    schema = "frame_id long, channel string, ts long, width int, height int, split string"
+    pairs = lambda rows: spark.createDataFrame(rows, "later long, earlier long")
+    got = sorted((r.frame_id, r.chain, r.start) for r in sequential.verified_chains(spark.createDataFrame(frames, schema), pairs([(2, 1), (3, 4)])).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 2, 3), (4, 3, 4), (9, 1, 1)]  # 3 and 4 differ in width
+    with pytest.raises(Exception, match="crosses splits"):
+        sequential.verified_chains(spark.createDataFrame(frames, schema), pairs([(3, 2)])).collect()
