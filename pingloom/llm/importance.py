@@ -28,9 +28,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
 from . import kernels
 from .common import dropped, stored
 
@@ -267,14 +267,6 @@ def weigh(rows: DataFrame, gains: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
 
-def numbered(df: DataFrame, *order) -> DataFrame:
-    """``df`` with ``number`` from 1 in an order: ranges are sorted by themselves, and counts of ranges are added up."""
-    rows = stored(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftrightunsigned("at", 33)))
-    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
-    parts = parts.withColumn("before", F.sum("rows").over(W.orderBy("part")) - F.col("rows")).drop("rows")  # a row for each range
-    return rows.join(parts, "part").withColumn("number", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("part", "at", "before")
-
-
 def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words: int = 20, seed: str = "42") -> DataFrame:
     """One row for each document: doc_id, n_features, weight, score, rank.
 
@@ -292,7 +284,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     dropped(rows)
     able = out.filter(F.col("n_words") >= least_words)
     drawn = percent * able.count() // 100
-    ranked = numbered(able, F.col("score").desc(), F.col("doc_id").asc_nulls_first(), "weight", "n_features")
+    ranked = numbered(able, [F.col("score").desc(), F.col("doc_id").asc_nulls_first(), "weight", "n_features"])
     ranked = ranked.withColumn("rank", F.when(F.col("number") <= drawn, F.col("number")))
     rest = out.filter(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long"))
     columns = ("doc_id", "n_features", "weight", "score", "rank")
