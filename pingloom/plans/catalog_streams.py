@@ -6,14 +6,32 @@ from ..streaming import jobs as T
 from .registry import register
 
 
+_REVIEWED = "l AS (SELECT contact_id, arg_max(verdict, (created_at, event_id)) AS latest_verdict, count(*) AS review_count FROM v_reviews WHERE verdict IS NOT NULL GROUP BY contact_id)"
+
+
 @register(
     "T01_review_event_stream",
-    "SELECT contact_id, arg_max(verdict, (created_at, event_id)) AS latest_verdict, count(*) AS review_count, CASE WHEN arg_max(verdict, (created_at, event_id)) IN ('CONFIRMED', 'REJECTED') THEN arg_max(verdict, (created_at, event_id)) ELSE 'UNRESOLVED' END AS disposition FROM v_reviews WHERE verdict IS NOT NULL GROUP BY contact_id",
+    f"WITH {_REVIEWED} SELECT contact_id, latest_verdict, review_count, CASE WHEN latest_verdict IN ('CONFIRMED', 'REJECTED') THEN latest_verdict ELSE 'UNRESOLVED' END AS disposition FROM l",
 )
 def t01(v):
     """Two batches of events merged as the stream merges them."""
+    return _merged(v).drop("last")
+
+
+def _merged(v):
     r = v["v_reviews"]
-    return T.merged_state(T.review_state(r.filter("event_id % 2 = 0")), r.filter("event_id % 2 = 1")).drop("last")
+    return T.merged_state(T.review_state(r.filter("event_id % 2 = 0")), r.filter("event_id % 2 = 1"))
+
+
+@register(
+    "T01_review_priority",
+    f"""WITH {_REVIEWED}, s AS (SELECT c.* EXCLUDE (latest_verdict), l.latest_verdict, coalesce(review_count, 0) AS review_count, CASE WHEN coalesce(evidence, persistence, quality) IS NOT NULL THEN (coalesce(evidence, 0e0) + coalesce(persistence, 0e0) + coalesce(quality, 0e0)) / ((evidence IS NOT NULL)::INT + (persistence IS NOT NULL)::INT + (quality IS NOT NULL)::INT) END AS p FROM v_contacts AS c LEFT JOIN l ON c.contact_id = l.contact_id)
+    SELECT contact_id, review_count, CASE WHEN review_count = 0 THEN 'UNREVIEWED' WHEN latest_verdict IN ('CONFIRMED', 'REJECTED') THEN latest_verdict ELSE 'UNRESOLVED' END AS disposition, round(p, 9) AS priority_score, CASE WHEN p >= 0.75 THEN 'HIGH' WHEN p >= 0.5 THEN 'MEDIUM' WHEN p IS NOT NULL THEN 'LOW' ELSE 'UNAVAILABLE' END AS priority_band,
+    CASE WHEN p IS NULL THEN 'REVIEW' WHEN coalesce(quality, 0e0) < 0.45 THEN CASE WHEN has_navigation THEN 'REACQUIRE' ELSE 'REVIEW' END WHEN latest_verdict = 'CONFIRMED' AND p >= 0.75 THEN 'RECOVERY_CANDIDATE' WHEN p >= 0.6 THEN 'INSPECT' ELSE 'REVIEW' END AS recommended_action FROM s""",
+)
+def t01_priority(v):
+    """The priority of all contacts after two batches of verdicts."""
+    return T.with_priority(v["v_contacts"], _merged(v)).select("contact_id", "review_count", "disposition", F.round("priority_score", 9).alias("priority_score"), "priority_band", "recommended_action")
 
 
 @register(
@@ -36,11 +54,15 @@ def t03(v):
     return T.first_writes(r.filter("event_id < 300").dropDuplicates(["contact_id"]), r.filter("event_id >= 300"), ["contact_id"], ["created_at", "event_id"]).select("contact_id", "event_id")
 
 
-@register("T04_duplicate_upload_filter", "WITH r AS (SELECT frame_id, raster_sha256, min(frame_id) OVER (PARTITION BY raster_sha256) AS earlier FROM v_rasters WHERE raster_sha256 IS NOT NULL) SELECT frame_id, earlier, frame_id <> earlier AS rejected FROM r")
+@register("T04_duplicate_upload_filter", "WITH u AS (SELECT frame_id AS upload_id, source AS mission, raster_sha256 AS sha FROM v_rasters JOIN documents ON frame_id = doc_id), r AS (SELECT *, CASE WHEN sha IS NULL THEN upload_id ELSE min(upload_id) OVER (PARTITION BY mission, sha) END AS earlier FROM u) SELECT upload_id, mission, earlier, upload_id <> earlier AS rejected FROM r")
 def t04(v):
-    r = v["v_rasters"].filter("raster_sha256 is not null")
-    first = r.groupBy("raster_sha256").agg(F.min("frame_id").alias("earlier"))
-    return r.join(first, "raster_sha256").select("frame_id", "earlier", (F.col("frame_id") != F.col("earlier")).alias("rejected"))
+    """Uploads of all missions, in two batches as the stream takes them: those below the middle id come first."""
+    u = v["v_rasters"].join(v["documents"].select(F.col("doc_id").alias("frame_id"), F.col("source").alias("mission")), "frame_id").select(F.col("frame_id").alias("upload_id"), "mission", F.col("raster_sha256").alias("sha"))
+    u = u.crossJoin(F.broadcast(u.agg(F.avg("upload_id").alias("middle"))))
+    none = u.select("mission", "sha", F.col("upload_id").alias("earlier")).limit(0)
+    one = T.split_uploads(none, u.filter("upload_id < middle").drop("middle"))
+    two = T.split_uploads(one.filter("not rejected and sha is not null").select("mission", "sha", "earlier"), u.filter("upload_id >= middle").drop("middle"))
+    return one.unionByName(two).select("upload_id", "mission", "earlier", "rejected")
 
 
 #: Phases of a job in order (fixed values).
@@ -76,6 +98,25 @@ def t07(v):
     return T.sessions(v["v_nav"].select("survey_ref", "ts"), "survey_ref", "2 hours").select("survey_ref", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
+#: Fixes arrive out of order: some come many events later than they were taken.
+_ARRIVAL = "frame_id + frame_id % 11 * 1500"
+
+
+@register(
+    "T07_late_sessions",
+    f"""WITH a AS (SELECT survey_ref, ts, max(ts) OVER (PARTITION BY survey_ref ORDER BY {_ARRIVAL}, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM v_nav),
+    l AS (SELECT *, coalesce(epoch_us(ts) < epoch_us(high) - 43200000000, false) AS late FROM a),
+    s AS (SELECT survey_ref, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY survey_ref ORDER BY ts) <= 7200000000 THEN 0 ELSE 1 END AS o FROM l WHERE NOT late), q AS (SELECT *, sum(o) OVER (PARTITION BY survey_ref ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+    SELECT survey_ref, 'SESSION' AS kind, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 7200000000 AS end_us, count(*) AS n FROM q GROUP BY survey_ref, k
+    UNION ALL SELECT survey_ref, 'LATE', NULL, NULL, count(*) FROM l WHERE late GROUP BY survey_ref""",
+)
+def t07_late(v):
+    """Sessions of the fixes that arrive in time, and the number of late ones."""
+    e = v["v_nav"].select("survey_ref", "ts", "frame_id", F.expr(_ARRIVAL).alias("arrival"))
+    out = T.sessions_with_late(e, "survey_ref", ["arrival", "frame_id"], 7200, 43_200)
+    return out.select("survey_ref", "kind", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 @register("F01_pluggable_scorer", "SELECT contact_id, evidence, NULL::DOUBLE AS score, 'SCORER_NOT_AVAILABLE' AS score_reason FROM v_contacts")
 def f01(v):
     """The scorer hook without a scorer: a null score and the reason, never an invented value."""

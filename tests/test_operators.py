@@ -201,18 +201,76 @@ def test_scorer_hook(spark):
     assert sorted(r.score for r in scorers.score(d, lambda b: b["x"] * 2).collect()) == [2.0, 4.0]
 
 
+def _same_rows(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_review_stream_equals_batch(spark, tmp_path):
     from pingloom.plans.fixtures import Views
 
-    events = Views(spark, "/root/testdata/sf0.001")["v_reviews"]
+    views = Views(spark, "/root/testdata/sf0.001")
+    events, contacts = views["v_reviews"], views["v_contacts"]
     for k in range(3):
         events.filter(f"event_id % 3 = {k}").write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = jobs.run_reviews(stream, str(tmp_path / "table"), str(tmp_path / "check"))
-    q.awaitTermination(120)
-    got = jobs.review_state(spark.read.parquet(str(tmp_path / "table")).select(events.columns)).drop("last")
-    want = jobs.review_state(events).drop("last")
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    table = str(tmp_path / "table")
+    jobs.run_reviews(stream, table, str(tmp_path / "check"), contacts).awaitTermination(120)
+    assert _same_rows(jobs.review_state(spark.read.parquet(f"{table}/events").select(events.columns)).drop("last"), jobs.review_state(events).drop("last"))
+    state = jobs.latest_reviews(spark, table)
+    assert _same_rows(state.drop("last"), jobs.review_state(events).drop("last").select(state.drop("last").columns))
+    # the newest row of each contact that had a verdict carries the priority that all verdicts give
+    columns = ["latest_verdict", "review_count", "disposition", "priority_score", "priority_band", "recommended_action"]
+    last = spark.read.parquet(f"{table}/contacts").groupBy("contact_id").agg(F.max_by(F.struct(*columns), "batch").alias("c")).select("contact_id", "c.*")
+    assert last.count() > 0 and _same_rows(last, jobs.with_priority(contacts, jobs.review_state(events)).filter("review_count > 0").select("contact_id", *columns))
+    # all batches once more under their numbers, as after a lost checkpoint: nothing is counted twice
+    before = state.collect()
+    jobs.run_reviews(stream, table, str(tmp_path / "check2"), contacts).awaitTermination(120)
+    assert sorted(before) == sorted(jobs.latest_reviews(spark, table).collect())
+
+
+def test_uploads_are_taken_once_for_each_mission_also_when_a_batch_runs_again(spark, tmp_path):
+    schema = "upload_id long, mission string, sha string"
+    batches = [[(1, "a", "x"), (2, "a", "x"), (3, "b", "x"), (4, "a", None)], [(5, "a", "x"), (6, None, "y"), (7, "b", "z"), (8, "a", None)], [(9, None, "y"), (10, "b", "z"), (11, "c", "z")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / f"in{k}"))
+    table, check = str(tmp_path / "table"), str(tmp_path / "check")
+
+    def run(upto, where):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json([str(tmp_path / f"in{k}") for k in range(upto)][0] if upto == 1 else str(tmp_path / "in[0-9]"))
+        jobs.run_uploads(stream, table, where).awaitTermination(120)
+        return sorted((r.upload_id, r.mission, r.earlier, r.rejected) for r in spark.read.parquet(f"{table}/uploads").collect())
+
+    first = run(3, check)
+    whole = spark.createDataFrame([r for rows in batches for r in rows], schema)
+    none = whole.select("mission", "sha", F.col("upload_id").alias("earlier")).limit(0)
+    taken = {(r.upload_id, r.mission) for r in jobs.split_uploads(none, whole).filter("not rejected").collect()}
+    assert {(i, m) for i, m, _, rejected in first if not rejected} == taken == {(1, "a"), (3, "b"), (4, "a"), (6, None), (7, "b"), (8, "a"), (11, "c")}
+    assert (5, "a", 1, True) in first and (9, None, 6, True) in first and (2, "a", 1, True) in first
+    # all batches once more under their numbers, as after a lost checkpoint: the table stays as it was
+    assert run(3, str(tmp_path / "check2")) == first
+
+
+def test_sessions_with_late_events_equal_the_batch(spark, tmp_path):
+    import datetime
+
+    rng = random.Random(6)
+    start = datetime.datetime(2024, 1, 1)
+    rows = []
+    for seq in range(240):
+        lag = 0 if rng.random() < 0.8 else rng.randint(0, 900)
+        rows.append((rng.choice(["a", "b", None]), start + datetime.timedelta(seconds=seq * 20 + rng.randint(0, 40) - lag), seq))
+    end = [(k, start + datetime.timedelta(days=3), 1000 + i) for i, k in enumerate(["a", "b", None])]  # closes what is open
+    schema = "k string, ts timestamp, seq long"
+    for a in range(0, 240, 80):
+        spark.createDataFrame(rows[a : a + 80], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{a:03}"))
+    spark.createDataFrame(end, schema).coalesce(1).write.parquet(str(tmp_path / "in/900"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    out = jobs.run_sessions_with_late(stream, "k", "seq", gap=30, delay=300)
+    out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(180)
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("k", "kind", "start", "end").agg(F.sum("n").alias("n"))
+    want = jobs.sessions_with_late(spark.createDataFrame([*rows, *end], schema), "k", ["seq"], gap=30, delay=300).filter(F.coalesce(F.col("start") < "2024-01-03", F.lit(True)))
+    assert want.filter("kind = 'LATE'").count() >= 2 and want.filter("kind = 'SESSION'").count() > 6
+    assert _same_rows(got, want.select(got.columns))
 
 
 def test_session_stream_equals_batch(spark, tmp_path):
