@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def raster_condition(px: DataFrame) -> DataFrame:
-    """Dynamic range, near-black share, dropout rows, entropy, central dark band, score and grade."""
+    """Dynamic range, near-black share, dropout rows, entropy, central dark band, score, grade and flags (joined by pipes)."""
     x = F.col("sample").cast("double")
     base = px.groupBy("image_id").agg(F.percentile(x, 0.02).alias("p02"), F.percentile(x, 0.98).alias("p98"), F.percentile(x, 0.01).alias("p01"), F.min(x).alias("low"), F.max(x).alias("high"), (F.max("col_idx") + 1).alias("width"), (F.max("row_idx") + 1).alias("height"), F.count("*").alias("n"))
     base = base.withColumn("dynamic_range", (F.col("p98") - F.col("p02")) / F.greatest(F.lit(1.0), F.col("high") - F.col("low"))).withColumn("dark", F.greatest(F.lit(1.0), F.col("p01")))
@@ -23,6 +23,11 @@ def raster_condition(px: DataFrame) -> DataFrame:
     entropy = share.groupBy("image_id").agg((-F.sum(F.col("q") * F.log2("q")) / 6).alias("entropy"))
     out = base.join(rows, "image_id").join(cols, "image_id").join(entropy, "image_id", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))  # one value only: no entropy
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.45 * F.col("dynamic_range") + 0.25 * F.col("entropy") + 0.30 * (1 - F.col("dropout_fraction") - F.col("near_black_fraction"))))
+    flags = {
+        "LOW_DYNAMIC_RANGE": F.col("dynamic_range") < 0.12, "HORIZONTAL_DARK_BAND": F.col("dropout_fraction") > 0.02,
+        "HIGH_INVALID_PIXEL_FRACTION": F.col("near_black_fraction") > 0.2, "CENTRAL_DARK_BAND_ESTIMATED": F.col("nadir_fraction") > 0,
+    }
+    out = out.withColumn("quality_flags", F.concat_ws("|", *[F.when(c, F.lit(n)) for n, c in flags.items()]))
     return out.withColumn("quality_score", score).withColumn("quality_grade", F.when(F.col("quality_score") >= 0.7, "GOOD").when(F.col("quality_score") >= 0.45, "FAIR").otherwise("POOR"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scalar as P
 from ..operators import sequential as S
+from ..operators.contacts import look_persistence
 from .catalog_boxes import IOU_SQL
 from .catalog_joins import PING_FRAMES, j11, ping_rows
 from .registry import register
@@ -84,15 +85,16 @@ LOOKS = LOOKS.replace("m AS (SELECT f.key", "m AS (SELECT lag(f.detection_id) OV
 
 @register(
     "A02_look_persistence",
-    f"""WITH {LOOKS}, c AS (SELECT key, contact_no, count(*) AS n, 1 + count(*) FILTER (WHERE rel = 'INDEPENDENT_LOOKS_ALONG_TRACK') AS looks, count(*) FILTER (WHERE rel IS NOT NULL AND rel <> 'TILE_OVERLAP_DUPLICATE') AS other FROM l GROUP BY key, contact_no)
-    SELECT key, contact_no, looks, n - looks AS window_duplicates, CASE WHEN n = 1 THEN 'SINGLE' WHEN looks > 1 THEN 'INDEPENDENT_LOOKS_ALONG_TRACK' WHEN other = 0 THEN 'TILE_OVERLAP_DUPLICATE' ELSE 'SAME_LOOK_OVERLAPPING_WINDOWS' END AS basis FROM c""",
+    f"""WITH {LOOKS}, w AS (SELECT *, CASE WHEN lag(ping_end) OVER q + 1 = ping_start THEN 0 ELSE 1 END AS cut FROM (SELECT l.*, m.detection_id FROM l JOIN m USING (key, contact_no, rn)) AS y WINDOW q AS (PARTITION BY key, contact_no ORDER BY ping_start, detection_id)),
+    i AS (SELECT *, sum(cut) OVER (PARTITION BY key, contact_no ORDER BY ping_start, detection_id ROWS UNBOUNDED PRECEDING) AS island FROM w), j AS (SELECT *, max(island) OVER (PARTITION BY key, contact_no) AS last_island FROM i),
+    c AS (SELECT key, contact_no, count(*) AS n, 1 + count(*) FILTER (WHERE rel = 'INDEPENDENT_LOOKS_ALONG_TRACK') AS looks, count(*) FILTER (WHERE rel IS NOT NULL AND rel <> 'TILE_OVERLAP_DUPLICATE') AS other, bool_and(ping_start IS NOT NULL) AS placed, CASE WHEN bool_and(ping_start IS NOT NULL) THEN count(*) FILTER (WHERE island = last_island) ELSE 1 END AS consecutive FROM j GROUP BY key, contact_no)
+    SELECT key, contact_no, looks, n - looks AS window_duplicates, CASE WHEN n = 1 THEN 'SINGLE' WHEN looks > 1 THEN 'INDEPENDENT_LOOKS_ALONG_TRACK' WHEN other = 0 THEN 'TILE_OVERLAP_DUPLICATE' ELSE 'SAME_LOOK_OVERLAPPING_WINDOWS' END AS basis,
+    CASE WHEN looks > 1 AND placed THEN 'SEQUENTIAL_PING' WHEN n > looks THEN 'WINDOW_OVERLAP_ONLY' WHEN looks > 1 THEN 'UNKNOWN' ELSE 'SINGLE_OBSERVATION' END AS evidence_type, consecutive,
+    round(CASE WHEN looks > 1 AND placed THEN least(1e0, 0.35e0 + 0.13e0 * looks + 0.25e0 * consecutive / looks) ELSE 0.15e0 END, 9) AS score FROM c""",
     recursive=True,
 )
 def a02(v):
-    return _with_relations(v).groupBy("key", "contact_no").agg(F.count("*").alias("n"), (1 + F.count_if(F.col("rel") == "INDEPENDENT_LOOKS_ALONG_TRACK")).alias("looks"), F.count_if(F.col("rel") != "TILE_OVERLAP_DUPLICATE").alias("other")).select(
-        "key", "contact_no", "looks", (F.col("n") - F.col("looks")).alias("window_duplicates"),
-        F.when(F.col("n") == 1, "SINGLE").when(F.col("looks") > 1, "INDEPENDENT_LOOKS_ALONG_TRACK").when(F.col("other") == 0, "TILE_OVERLAP_DUPLICATE").otherwise("SAME_LOOK_OVERLAPPING_WINDOWS").alias("basis"),
-    )
+    return look_persistence(_with_relations(v)).withColumn("score", F.round("score", 9))
 
 
 def _with_relations(v):

@@ -231,16 +231,6 @@ def j23(v):
     return a.join(b, F.expr("a.frame_id = b.frame_id and a.detection_id <> b.detection_id")).groupBy(F.col("a.detection_id").alias("detection_id")).agg(F.round(F.min(F.hypot(F.greatest(F.lit(0.0), -w), F.greatest(F.lit(0.0), -h))), 9).alias("gap"))
 
 
-@register("J26_contact_views", "WITH r AS (SELECT frame_id, raw_class, arg_min(detection_id, (-raw_confidence, detection_id)) AS representative, count(*) AS n FROM v_det GROUP BY frame_id, raw_class) SELECT frame_id, raw_class, representative, n FROM r")
-def j26(v):
-    return v["v_det"].groupBy("frame_id", "raw_class").agg(F.min_by("detection_id", F.struct((-F.col("raw_confidence")).alias("c"), "detection_id")).alias("representative"), F.count("*").alias("n"))
-
-
-@register("J27_platform_context", "SELECT survey_ref, count(*) AS fixes, count(DISTINCT provenance) AS provenances, min(frame_id) AS first_frame FROM v_nav WHERE provenance IN ('MEASURED', 'SYNTHETIC_DEMO') AND latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY survey_ref")
-def j27(v):
-    return v["v_nav"].filter("provenance in ('MEASURED', 'SYNTHETIC_DEMO') and latitude is not null and longitude is not null").groupBy("survey_ref").agg(F.count("*").alias("fixes"), F.countDistinct("provenance").alias("provenances"), F.min("frame_id").alias("first_frame"))
-
-
 @register("U01_union_splits", "SELECT frame_id, split FROM v_frames WHERE split = 'val' UNION ALL SELECT frame_id, split FROM v_frames WHERE split = 'test'")
 def u01(v):
     f = v["v_frames"].select("frame_id", "split")

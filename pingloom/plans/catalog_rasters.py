@@ -23,10 +23,11 @@ _R = lambda *names: [F.round(n, 6).alias(n) for n in names]
     h AS (SELECT image_id, n, least(63, floor((sample - low) * 64 / (high + 1e-6 - low))) AS bin, count(*) AS c FROM p WHERE high > low GROUP BY ALL), e AS (SELECT image_id, -sum(c * 1e0 / n * log2(c * 1e0 / n)) / 6 AS entropy FROM h GROUP BY image_id),
     o AS (SELECT b.image_id, (p98 - p02) / greatest(1e0, high - low) AS dynamic_range, coalesce(entropy, 0e0) AS entropy, dropout_fraction, near_black_fraction, CASE WHEN run >= greatest(3, floor(b.width / 100)) THEN run * 1e0 / b.width ELSE 0e0 END AS nadir_fraction FROM b JOIN r ON b.image_id = r.image_id JOIN c ON b.image_id = c.image_id LEFT JOIN e ON b.image_id = e.image_id),
     q AS (SELECT *, greatest(0e0, least(1e0, 0.45e0 * dynamic_range + 0.25e0 * entropy + 0.30e0 * (1 - dropout_fraction - near_black_fraction))) AS s FROM o)
-    SELECT image_id, round(dynamic_range, 6) AS dynamic_range, round(entropy, 6) AS entropy, round(dropout_fraction, 6) AS dropout_fraction, round(near_black_fraction, 6) AS near_black_fraction, round(nadir_fraction, 6) AS nadir_fraction, round(s, 6) AS quality_score, CASE WHEN s >= 0.7 THEN 'GOOD' WHEN s >= 0.45 THEN 'FAIR' ELSE 'POOR' END AS quality_grade FROM q""",
+    SELECT image_id, round(dynamic_range, 6) AS dynamic_range, round(entropy, 6) AS entropy, round(dropout_fraction, 6) AS dropout_fraction, round(near_black_fraction, 6) AS near_black_fraction, round(nadir_fraction, 6) AS nadir_fraction, round(s, 6) AS quality_score, CASE WHEN s >= 0.7 THEN 'GOOD' WHEN s >= 0.45 THEN 'FAIR' ELSE 'POOR' END AS quality_grade,
+    concat_ws('|', CASE WHEN dynamic_range < 0.12 THEN 'LOW_DYNAMIC_RANGE' END, CASE WHEN dropout_fraction > 0.02 THEN 'HORIZONTAL_DARK_BAND' END, CASE WHEN near_black_fraction > 0.2 THEN 'HIGH_INVALID_PIXEL_FRACTION' END, CASE WHEN nadir_fraction > 0 THEN 'CENTRAL_DARK_BAND_ESTIMATED' END) AS quality_flags FROM q""",
 )
 def a23(v):
-    return R.raster_condition(v["v_imgs"]).select("image_id", *_R("dynamic_range", "entropy", "dropout_fraction", "near_black_fraction", "nadir_fraction", "quality_score"), "quality_grade")
+    return R.raster_condition(v["v_imgs"]).select("image_id", *_R("dynamic_range", "entropy", "dropout_fraction", "near_black_fraction", "nadir_fraction", "quality_score"), "quality_grade", "quality_flags")
 
 
 @register(

@@ -111,11 +111,6 @@ def s11(v):
     return N.estimated_state(one, ["event_id"]).unionByName(N.estimated_state(two, ["event_id"]))
 
 
-@register("S14_report_csv", "SELECT f.survey_id, string_agg(DISTINCT raw_class, '|' ORDER BY raw_class) AS classes, count(*) AS observations, round(max(raw_confidence), 6) AS best FROM v_det AS d JOIN v_frames AS f ON d.frame_id = f.frame_id GROUP BY f.survey_id")
-def s14(v):
-    return v["v_det"].join(v["v_frames"].select("frame_id", "survey_id"), "frame_id").groupBy("survey_id").agg(F.array_join(F.array_sort(F.collect_set("raw_class")), "|").alias("classes"), F.count("*").alias("observations"), F.round(F.max("raw_confidence"), 6).alias("best"))
-
-
 @register("J15_survey_columns_join", "SELECT detection_id, CASE WHEN count(DISTINCT n.survey_ref) > 0 THEN string_agg(DISTINCT n.survey_ref, '|' ORDER BY n.survey_ref) END AS surveys FROM v_det AS d LEFT JOIN v_nav AS n ON n.frame_id IN (d.frame_id, d.frame_id + 1) GROUP BY detection_id")
 def j15(v):
     d = v["v_det"].select("detection_id", F.explode(F.array("frame_id", F.col("frame_id") + 1)).alias("frame_id"))
@@ -145,16 +140,6 @@ def s16(v):
     )
 
 
-@register("S17_map_geojson", "SELECT survey_ref, count(*) AS features, count(DISTINCT provenance) AS kinds, round(min(longitude), 6) AS west FROM v_nav WHERE provenance IS NOT NULL AND heading_deg IS NOT NULL GROUP BY survey_ref")
-def s17(v):
-    """Point features of usable fixes as GeoJSON text, one collection for each survey, and what it holds."""
-    f = v["v_nav"].filter("provenance in ('MEASURED', 'SYNTHETIC_DEMO') and heading_deg is not null and latitude is not null")
-    point = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")).alias("geometry"), F.struct("frame_id", "provenance").alias("properties"))
-    g = f.groupBy("survey_ref").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(point).alias("features"))).alias("geojson"))
-    back = g.select("survey_ref", F.from_json("geojson", "features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<provenance:string>>>").alias("j"))
-    return back.select("survey_ref", F.size("j.features").cast("bigint").alias("features"), F.size(F.array_distinct(F.transform("j.features", lambda x: x["properties"]["provenance"]))).cast("bigint").alias("kinds"), F.round(F.array_min(F.transform("j.features", lambda x: x["geometry"]["coordinates"][0])), 6).alias("west"))
-
-
 @register("S18_export_training_manifests", "WITH l AS (SELECT contact_id, arg_max(verdict, (created_at, event_id)) AS verdict FROM v_reviews WHERE verdict IS NOT NULL GROUP BY contact_id) SELECT CASE verdict WHEN 'REJECTED' THEN 'hard_negative' WHEN 'CONFIRMED' THEN 'positive' ELSE 'uncertain' END AS bucket, l.contact_id, c.category FROM l LEFT JOIN v_contacts AS c ON l.contact_id = c.contact_id")
 def s18(v):
     last = v["v_reviews"].filter("verdict is not null").groupBy("contact_id").agg(F.max_by("verdict", F.struct("created_at", "event_id")).alias("verdict"))
@@ -327,20 +312,6 @@ def a31_boxes(v):
     return v["v_det"].groupBy("frame_id").agg(F.count("*").alias("objects"), F.round(F.median(w * h / (640.0 * 120.0)), 9).alias("area_median"), F.round(F.median(w / h), 9).alias("aspect_median"))
 
 
-@register("A03_contact_enrich", "WITH d AS (SELECT d.*, n.heading_deg FROM v_det AS d LEFT JOIN v_nav AS n ON d.frame_id = n.frame_id) SELECT frame_id, raw_class, round(avg(y2 - y1), 6) AS mean_height, string_agg(DISTINCT inference_mode, ',' ORDER BY inference_mode) AS modes, max(heading_deg) AS heading, arg_max(detection_id, (raw_confidence, detection_id)) AS strongest FROM d GROUP BY frame_id, raw_class")
-def a03(v):
-    d = v["v_det"].join(v["v_nav"].select("frame_id", "heading_deg"), "frame_id", "left")
-    return d.groupBy("frame_id", "raw_class").agg(F.round(F.avg(F.expr("y2 - y1")), 6).alias("mean_height"), F.array_join(F.array_sort(F.collect_set("inference_mode")), ",").alias("modes"), F.max("heading_deg").alias("heading"), F.max_by("detection_id", F.struct("raw_confidence", "detection_id")).alias("strongest"))
-
-
-@register("J21_place_contacts", "WITH f AS (SELECT d.frame_id, d.raw_class, n.latitude, n.longitude FROM (SELECT DISTINCT frame_id, raw_class FROM v_det) AS d LEFT JOIN v_nav AS n ON d.frame_id = n.frame_id) SELECT frame_id, raw_class, latitude, longitude, CASE WHEN latitude IS NOT NULL THEN row_number() OVER (PARTITION BY latitude, longitude ORDER BY frame_id, raw_class) - 1 END AS fan FROM f")
-def j21(v):
-    from pyspark.sql import Window as W
-
-    f = v["v_det"].select("frame_id", "raw_class").distinct().join(v["v_nav"].select("frame_id", "latitude", "longitude"), "frame_id", "left")
-    return f.withColumn("fan", F.when(F.col("latitude").isNotNull(), F.row_number().over(W.partitionBy("latitude", "longitude").orderBy("frame_id", "raw_class")) - 1))
-
-
 @register("J22_contact_audit_diff", "WITH b AS (SELECT frame_id, raw_class, string_agg(detection_id, ',' ORDER BY detection_id) AS m FROM v_det GROUP BY ALL), a AS (SELECT frame_id, raw_class, string_agg(detection_id, ',' ORDER BY detection_id) AS m FROM v_det WHERE tile_id <> 6 GROUP BY ALL) SELECT 'removed' AS change, m FROM b WHERE m NOT IN (SELECT m FROM a) UNION ALL SELECT 'added', m FROM a WHERE m NOT IN (SELECT m FROM b) UNION ALL SELECT 'full_frame_merge', string_agg(detection_id, ',' ORDER BY detection_id) FROM v_det WHERE tile_id <> 6 GROUP BY frame_id, raw_class HAVING count(*) FILTER (WHERE inference_mode = 'FULL_FRAME') > 1")
 def j22(v):
     sets = lambda d: d.groupBy("frame_id", "raw_class").agg(F.array_join(F.array_sort(F.collect_list("detection_id")), ",").alias("m")).select("m")
