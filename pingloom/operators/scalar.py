@@ -196,7 +196,7 @@ AGREEMENT_WEIGHT = 0.18
 
 
 def confidence_fusion(df: DataFrame, threshold: float = 0.4617) -> DataFrame:
-    """Bounded system confidence from the available supports, and its presentation."""
+    """Bounded system confidence from the eight supports that are available, and its presentation."""
     c = scores.clamp
     insufficient = F.coalesce(F.col("verification"), F.lit("")) == "INSUFFICIENT_EVIDENCE"
     supports = {
@@ -207,7 +207,7 @@ def confidence_fusion(df: DataFrame, threshold: float = 0.4617) -> DataFrame:
         "sonar_condition": c(F.col("quality")),
         "open_set_anomaly": F.when(F.col("anomaly").isNotNull(), F.greatest(F.lit(0.0), (c(F.col("anomaly")) - threshold) / max(1e-12, 1 - threshold))),
         "artificiality": c(F.col("artificiality")),
-        "navigation_consistency": F.lit(None).cast("double"),
+        "navigation_consistency": c(F.col("navigation")),
     }
     raw = scores.noisy_or([(v, SUPPORT_WEIGHTS[k]) for k, v in supports.items()], AGREEMENT_WEIGHT)
     return df.withColumn("raw_fused_confidence", raw).withColumn("fused_confidence", scores.display_confidence(F.col("raw_fused_confidence")))

@@ -216,8 +216,8 @@ def a04(v):
 @register(
     "A05_confidence_fusion",
     """WITH i AS (SELECT contact_id, unnest([{'w': 0.65e0, 's': evidence}, {'w': 0.70e0, 's': greatest(0e0, (persistence - 0.15e0) / 0.85e0)}, {'w': 0.60e0, 's': CASE WHEN verification IN ('SUPPORTED', 'WEAK_SUPPORT') THEN strength END},
-      {'w': 0.35e0, 's': CASE WHEN coalesce(verification, '') <> 'INSUFFICIENT_EVIDENCE' THEN physics END}, {'w': 0.20e0, 's': quality}, {'w': 0.30e0, 's': CASE WHEN anomaly IS NOT NULL THEN greatest(0e0, (anomaly - 0.4617e0) / (1 - 0.4617e0)) END}, {'w': 0.15e0, 's': artificiality}]) AS c FROM
-      (SELECT contact_id, evidence, CASE WHEN persistence IS NOT NULL THEN persistence END AS persistence, verification, strength, physics, quality, anomaly, artificiality FROM v_contacts)),
+      {'w': 0.35e0, 's': CASE WHEN coalesce(verification, '') <> 'INSUFFICIENT_EVIDENCE' THEN physics END}, {'w': 0.20e0, 's': quality}, {'w': 0.30e0, 's': CASE WHEN anomaly IS NOT NULL THEN greatest(0e0, (anomaly - 0.4617e0) / (1 - 0.4617e0)) END}, {'w': 0.15e0, 's': artificiality}, {'w': 0.15e0, 's': navigation}]) AS c FROM
+      (SELECT contact_id, evidence, CASE WHEN persistence IS NOT NULL THEN persistence END AS persistence, verification, strength, physics, quality, anomaly, artificiality, navigation FROM v_contacts)),
     a AS (SELECT contact_id, product(1 - c.w * c.s) FILTER (WHERE c.s > 0) AS miss, count(*) FILTER (WHERE c.s > 0) AS n, sum(c.s) FILTER (WHERE c.s > 0) AS t, sum(c.s * c.s) FILTER (WHERE c.s > 0) AS q FROM i GROUP BY contact_id),
     f AS (SELECT contact_id, 1 - coalesce(miss, 1e0) AS base, CASE WHEN n > 1 THEN (t * t - q) / (n * (n - 1)) ELSE 0e0 END AS sig FROM a),
     r AS (SELECT contact_id, greatest(0e0, least(1e0, base + (1 - base) * 0.18e0 * sig)) AS raw FROM f)

@@ -8,6 +8,7 @@ from ..functions.storage import scratch, shared_dir
 from ..operators import joins as J
 from ..operators import rasters as R
 from ..operators import scalar as S
+from ..operators.rules import make_splits
 from ..sources import files
 from ..sources import navigation as N
 from .catalog_boxes import TILES_SQL
@@ -49,19 +50,12 @@ def j18(v):
 @register(
     "G14_make_splits",
     """WITH g AS (SELECT group_key, CASE WHEN group_key % 17 = 0 THEN 'val' WHEN group_key % 23 = 0 THEN 'test' END AS fixed FROM (SELECT DISTINCT group_key FROM v_frames) AS x), r AS (SELECT *, row_number() OVER (ORDER BY sha256('20260830:' || group_key), group_key) - 1 AS i, count(*) OVER () AS n FROM g WHERE fixed IS NULL)
-    SELECT group_key, fixed AS split FROM g WHERE fixed IS NOT NULL UNION ALL SELECT group_key, CASE WHEN i < CASE WHEN n > 2 THEN greatest(1, floor(n * 0.2e0 + 0.5e0)) ELSE 0 END THEN 'val' ELSE 'train' END FROM r""",
+    SELECT group_key, fixed AS split FROM g WHERE fixed IS NOT NULL UNION ALL SELECT group_key, CASE WHEN i < CASE WHEN n > 2 THEN greatest(1, round_even(n * 0.2e0, 0)) ELSE 0 END THEN 'val' ELSE 'train' END FROM r""",
 )
 def g14(v):
     """Whole groups only: hints first, then official test groups, then the rest in seeded hash order."""
     k = F.col("group_key")
-    g = v["v_frames"].select("group_key").distinct().withColumn("fixed", F.when(k % 17 == 0, "val").when(k % 23 == 0, "test"))
-    loose = g.filter("fixed is null")
-    h = loose.withColumn("h", F.sha2(F.concat(F.lit("20260830:"), k.cast("string")), 256)).withColumn("r", F.substring("h", 1, 2))
-    per = h.groupBy("r").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # 256 rows
-    ranked = h.join(F.broadcast(per), "r").withColumn("i", F.row_number().over(W.partitionBy("r").orderBy("h", "group_key")) - 1 + F.col("before"))
-    n = loose.agg(F.count("*").alias("n"))
-    cut = F.when(F.col("n") > 2, F.greatest(F.lit(1), F.floor(F.col("n") * 0.2 + 0.5))).otherwise(0)
-    return g.filter("fixed is not null").select("group_key", F.col("fixed").alias("split")).unionByName(ranked.crossJoin(F.broadcast(n)).select("group_key", F.when(F.col("i") < cut, "val").otherwise("train").alias("split")))
+    return make_splits(v["v_frames"].select("group_key", F.when(k % 17 == 0, "val").alias("hint"), F.when(k % 23 == 0, "test").alias("official")))
 
 
 @register(

@@ -186,13 +186,6 @@ def j02(v):
     return out.select("frame_id", F.col("ping_offset").alias("survey_ping_start"), (F.col("ping_offset") + 40 - 1).alias("survey_ping_end"), F.col("verified").isNotNull().alias("sequential_supported"))
 
 
-@register("U02_shared_ping_rows", f"WITH p AS ({PING_FRAMES}), r AS (SELECT frame_id, md5(e.embedding::VARCHAR) AS digest FROM p JOIN embeddings AS e ON p.vec_id = e.vec_id) SELECT a.frame_id AS a_id, b.frame_id AS b_id, count(DISTINCT a.digest) AS shared FROM r AS a JOIN r AS b ON a.digest = b.digest AND a.frame_id < b.frame_id GROUP BY a.frame_id, b.frame_id")
-def u02(v):
-    e = v["embeddings"].select("vec_id", F.md5(F.to_json("embedding").cast("binary")).alias("digest"))
-    r = e.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter("vec_id % 100 - 20 * j >= 0 and vec_id % 100 - 20 * j < 40").select((F.floor(F.col("vec_id") / 100) * 4 + F.col("j")).alias("frame_id"), "digest")
-    return r.alias("a").join(r.alias("b"), F.expr("a.digest = b.digest and a.frame_id < b.frame_id")).groupBy(F.col("a.frame_id").alias("a_id"), F.col("b.frame_id").alias("b_id")).agg(F.countDistinct("a.digest").alias("shared"))
-
-
 @register("P22_candidate_condition_overlap", f"WITH b AS (SELECT *, unnest(range(y1, y2)) AS row_at FROM ({BOXES}) AS z), d AS ({DROPPED}) SELECT box_id, round(count(d.row_idx) * 1e0 / greatest(1, max(y2 - y1)), 9) AS dropout_overlap, CASE WHEN max(b.image_id) % 2 = 0 AND abs(max(x1 + x2) / 2e0 - 32) <= 3.2e0 THEN 1e0 ELSE 0e0 END AS nadir_overlap FROM b LEFT JOIN d ON b.image_id = d.image_id AND d.row_idx = row_at GROUP BY box_id")
 def p22(v):
     """Share of each box's rows that dropped out, and whether its centre lies in the dark centre (a tenth of even images)."""

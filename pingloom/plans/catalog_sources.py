@@ -171,27 +171,6 @@ def s21(v):
     return c.groupBy("survey_id").agg(refused.alias("refused"), F.count("*").alias("contacts"), strong.alias("s")).select("survey_id", "refused", "contacts", F.when(F.size("s") > 0, F.array_join("s", ",")).alias("strong"))
 
 
-@register(
-    "P17_contract_rules",
-    """SELECT 'unavailable_physics_has_strength' AS rule, contact_id FROM v_contacts WHERE verification = 'INSUFFICIENT_EVIDENCE' AND strength > 0.9 UNION ALL SELECT 'coordinates_need_navigation', contact_id FROM v_contacts WHERE NOT has_navigation AND area_m2 > 480
-    UNION ALL SELECT 'removed_needs_coverage', contact_id FROM v_contacts WHERE change_status IS NULL AND latest_verdict = 'REJECTED' UNION ALL SELECT 'score_out_of_range', contact_id FROM v_contacts WHERE area_m2 < 0""",
-)
-def p17(v):
-    """Each rule is a predicate of its violations; the table holds a row for each."""
-    rules = {"unavailable_physics_has_strength": "verification = 'INSUFFICIENT_EVIDENCE' and strength > 0.9", "coordinates_need_navigation": "not has_navigation and area_m2 > 480", "removed_needs_coverage": "change_status is null and latest_verdict = 'REJECTED'", "score_out_of_range": "area_m2 < 0"}
-    hit = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(r)) for r, c in rules.items()]))
-    return v["v_contacts"].select(F.explode(hit).alias("rule"), "contact_id")  # one scan for all rules
-
-
-@register("P30_comparison_gates", """WITH g AS (SELECT survey_id, list_filter([CASE WHEN count(*) FILTER (WHERE has_navigation) = 0 THEN 'NO_NAVIGATION' END, CASE WHEN count(*) FILTER (WHERE area_m2 IS NULL) > 2 THEN 'SCALE_MISSING' END, CASE WHEN count(*) < 6 THEN 'COVERAGE_TOO_SMALL' END], lambda x: x IS NOT NULL) AS b FROM v_contacts GROUP BY survey_id)
-SELECT survey_id, unnest(b) AS blocker, false AS supported FROM g WHERE len(b) > 0 UNION ALL SELECT survey_id, NULL, true FROM g WHERE len(b) = 0""")
-def p30(v):
-    """A row for each blocker of a survey's comparison; a survey without one is supported."""
-    blockers = F.array_compact(F.array(F.when(F.count_if("has_navigation") == 0, "NO_NAVIGATION"), F.when(F.count_if(F.col("area_m2").isNull()) > 2, "SCALE_MISSING"), F.when(F.count("*") < 6, "COVERAGE_TOO_SMALL")))
-    g = v["v_contacts"].groupBy("survey_id").agg(blockers.alias("b"))
-    return g.select("survey_id", F.explode_outer("b").alias("blocker"), (F.size("b") == 0).alias("supported"))
-
-
 @register(
     "P33_ablation_rows",
     """WITH g AS (SELECT segment, CASE WHEN count(*) FILTER (WHERE latest_verdict IN ('CONFIRMED', 'REJECTED')) > 0 THEN round(count(*) FILTER (WHERE latest_verdict = 'CONFIRMED') * 1e0 / count(*) FILTER (WHERE latest_verdict IN ('CONFIRMED', 'REJECTED')), 9) END AS "precision",
@@ -258,14 +237,6 @@ def a43(v):
     return g.unionByName(c).unionByName(j.filter("o >= 8").select("dataset", "split", F.concat(F.lit("error_frame_"), F.col("frame_id").cast("string")).alias("measure"), F.col("o").cast("double").alias("value")))
 
 
-@register("J20_evaluation_populations", "WITH p AS (SELECT frame_id, group_key, unnest(['all', CASE WHEN width = 5000 THEN 'high_frequency' END, CASE WHEN width = 2500 THEN 'low_frequency' END, CASE WHEN frame_id = min(frame_id) OVER (PARTITION BY group_key) THEN 'one_per_parent' END]) AS population FROM v_frames WHERE split = 'test') SELECT population, count(*) AS images, count(DISTINCT group_key) AS groups FROM p WHERE population IS NOT NULL GROUP BY population")
-def j20(v):
-    t = v["v_frames"].filter("split = 'test'")
-    first = t.groupBy("group_key").agg(F.min("frame_id").alias("first"))
-    names = F.array_compact(F.array(F.lit("all"), F.when(F.col("width") == 5000, "high_frequency"), F.when(F.col("width") == 2500, "low_frequency"), F.when(F.col("frame_id") == F.col("first"), "one_per_parent")))
-    return t.join(first, "group_key").select(F.explode(names).alias("population"), "group_key").groupBy("population").agg(F.count("*").alias("images"), F.countDistinct("group_key").alias("groups"))
-
-
 @register("J19_sweep_vs_runtime", "WITH a AS (SELECT frame_id, raw_class, round(raw_confidence, 6) AS c FROM v_det WHERE raw_confidence >= 0.25), b AS (SELECT frame_id, raw_class, round(raw_confidence, 6) AS c FROM v_det WHERE raw_confidence >= 0.25 AND tile_id <> 5) SELECT frame_id, count(*) AS differing FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS x GROUP BY frame_id")
 def j19(v):
     """Bags of both paths compared; frames whose bags differ."""

@@ -39,7 +39,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     "v_contacts": """SELECT concat('c', c_custkey) AS contact_id, concat('s', c_nationkey) AS survey_id, c_mktsegment AS segment,
       CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (c_custkey * 7919 % 1000) / 1000e0 END AS evidence, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey * 104729 % 1000) / 1000e0 END AS persistence,
       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey * 1299709 % 1000) / 1000e0 END AS quality, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE (c_custkey * 15485863 % 1000) / 1000e0 END AS physics,
-      CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE (c_custkey * 31 % 1000) / 1000e0 END AS anomaly, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE (c_custkey * 37 % 1000) / 1000e0 END AS artificiality,
+      CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE (c_custkey * 31 % 1000) / 1000e0 END AS anomaly, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE (c_custkey * 37 % 1000) / 1000e0 END AS artificiality, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey * 41 % 1000) / 1000e0 END AS navigation,
       CASE c_custkey % 4 WHEN 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN 1 THEN 'SUPPORTED' WHEN 2 THEN 'WEAK_SUPPORT' END AS verification, (c_custkey * 53 % 1000) / 1000e0 AS strength,
       CASE c_custkey % 6 WHEN 0 THEN 'NEW' WHEN 1 THEN 'MOVED' WHEN 2 THEN 'UNCHANGED' WHEN 3 THEN 'NOT_DETECTED' WHEN 4 THEN 'NOT_REOBSERVED' END AS change_status,
       CASE c_custkey % 5 WHEN 0 THEN 'DERELICT_FISHING_GEAR' WHEN 1 THEN 'WRECK_OR_STRUCTURAL_DEBRIS' WHEN 2 THEN 'PIPELINE' WHEN 3 THEN 'ENGINEERING_STRUCTURE' ELSE 'SOMETHING_ELSE' END AS category,

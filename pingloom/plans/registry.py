@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None, recursive: bool = False):
 
 
 def _load() -> None:
-    from . import catalog_aggregates, catalog_boxes, catalog_contacts, catalog_graphs, catalog_joins, catalog_more, catalog_rasters, catalog_sources, catalog_streams, catalog_windows  # noqa: F401
+    from . import catalog_aggregates, catalog_boxes, catalog_contacts, catalog_graphs, catalog_joins, catalog_more, catalog_rasters, catalog_rules, catalog_sources, catalog_streams, catalog_windows  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _png(width: int, height: int, channels: int, samples: bytes) -> bytes:
+    """A PNG file of 8-bit samples, row by row."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    size = width * channels
+    body = b"".join(b"\0" + samples[r * size : (r + 1) * size] for r in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2 if channels == 3 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def write_rasters(images: DataFrame, path: str) -> int:
+    """Write images (name, width, height, channels 1 or 3, samples, damaged) as PNG files under ``path``; gives their number.
+
+    Tasks write their own files, and the same ones if they run again. A ``damaged`` file ends in the middle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, folder = fs.FileSystem.from_uri(path)
+        target.create_dir(folder, recursive=True)
+        for b in batches:
+            for r in b.to_pylist():
+                data = _png(r["width"], r["height"], r["channels"], bytes(r["samples"]))
+                with target.open_output_stream(f"{folder}/{r['name']}") as out:
+                    out.write(data[: len(data) // 2] if r["damaged"] else data)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return images.select("name", "width", "height", "channels", "samples", "damaged").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def scan_rasters(spark: SparkSession, path: str) -> DataFrame:
-    """``path, raster_sha256, width, height, channels`` of image files; those that cannot be read have null sizes."""
+    """``path, raster_sha256, width, height, channels, identity`` of image files; those that cannot be read stay, with null sizes and identity."""
     raw = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("raster_sha256"))
     seen = spark.read.format("image").option("dropInvalid", True).load(path).select(F.regexp_replace("image.origin", "^file:/+", "/").alias("o"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"))
-    return raw.join(seen, F.regexp_replace("path", "^file:/+", "/") == F.col("o"), "left").drop("o")
+    out = raw.join(seen, F.regexp_replace("path", "^file:/+", "/") == F.col("o"), "left").drop("o")
+    return out.withColumn("identity", F.when(F.col("width").isNotNull(), F.col("raster_sha256")))
 
 
 def explode_ping_rows(spark: SparkSession, path: str) -> DataFrame:
