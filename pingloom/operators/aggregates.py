@@ -78,15 +78,11 @@ def quantile_summary(df: DataFrame, key: str | None, value: str) -> DataFrame:
 def average_precision(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
     """Area under precision-recall by score (ties by id): the sum over positives of precision, over their number; null without positives.
 
-    Ranks come from counts per distinct score range and a rank within it, so no task sorts all rows.
+    Ranks and hits are running sums of an ordered scan, so any number of equal scores is spread over the tasks.
     """
-    d = df.withColumn("_r", F.floor(F.col(score) * 1024))
-    per = d.groupBy("_r").agg(F.count("*").alias("n"), F.sum(label).alias("p"))
-    up = W.orderBy(F.col("_r").desc()).rowsBetween(W.unboundedPreceding, -1)  # at most 1025 rows for scores in [0, 1]
-    per = per.select("_r", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("n0"), F.coalesce(F.sum("p").over(up), F.lit(0)).alias("p0"))
-    w = W.partitionBy("_r").orderBy(F.col(score).desc(), key)
-    d = d.join(F.broadcast(per), "_r").withColumns({"rank": F.col("n0") + F.row_number().over(w), "hits": F.col("p0") + F.sum(label).over(w.rowsBetween(W.unboundedPreceding, 0))})
-    return d.agg((F.sum(F.when(F.col(label) == 1, F.col("hits") / F.col("rank"))) / F.sum(label)).alias("average_precision"), F.count("*").alias("n"), F.sum(label).alias("positives"))
+    rows = laid_out(df.select(score, label, key), [], [F.col(score).desc(), key])
+    rows = with_running(rows, [], sums={"rank": F.lit(1), "hits": F.col(label)})
+    return rows.agg((F.sum(F.when(F.col(label) == 1, F.col("hits") / F.col("rank"))) / F.sum(label)).alias("average_precision"), F.count("*").alias("n"), F.sum(label).alias("positives"))
 
 
 def cluster_bootstrap(units: DataFrame, b: int, seed: int, alpha: float = 0.05) -> DataFrame:

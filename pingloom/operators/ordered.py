@@ -47,7 +47,7 @@ def with_running(rows: DataFrame, keys: list[str], sums: dict[str, Column] | Non
     per = rows.groupBy("_part", *keys).agg(*[f(c).alias(n) for n, (f, c, _) in named.items()])
     per = per.withColumns({f"_c_{n}": f(n).over(carried) for n, (f, _, _) in named.items()}).drop(*named)
     own = rows.withColumns({n: f(c).over(inside.rowsBetween(W.unboundedPreceding, upto)) for n, (f, c, upto) in named.items()})
-    out = own.alias("a").join(per.alias("b"), F.expr("a._part = b._part") & _same("a", "b", keys))
+    out = own.alias("a").join(per.alias("b"), F.expr("a._part = b._part") & _same("a", "b", keys))  # a key may be null
     both = {n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) if f is F.sum else F.greatest(n, f"_c_{n}") for n, (f, _, _) in named.items()}
     return out.select(*[F.col(f"a.{c}") for c in rows.columns], *[x.alias(n) for n, x in both.items()])
 

@@ -115,6 +115,15 @@ def extract_groups(df: DataFrame, name: str = "name") -> DataFrame:
     return df.withColumn("group_key", key.otherwise(F.concat(F.lit("ping_"), F.lower(F.when(site != "", site).otherwise(parent)))))
 
 
+def channel_time(df: DataFrame, name: str = "name") -> DataFrame:
+    """``df`` with ``channel`` and ``stamp`` (exact decimal seconds) from source paths such as ``.../SSS_HF_images/x/1693.780.pbm``; a path without them fails."""
+    pattern = r"/SSS_(HF|LF)_images/.*/([0-9]+(?:\.[0-9]+)?)\.\w+$"
+    path = F.concat(F.lit("/"), F.col(name))
+    found = F.regexp_extract(path, pattern, 1)
+    told = F.raise_error(F.concat(F.lit("no channel and time in "), F.col(name))).cast("string")
+    return df.withColumn("channel", F.when(found != "", found).otherwise(told)).withColumn("stamp", F.regexp_extract(path, pattern, 2).cast("decimal(20,6)"))
+
+
 def opaque_order(df: DataFrame, key: str, salt: str) -> DataFrame:
     """Salted 16-hex id and rank by the salted hash; names nothing of the row."""
     from pyspark.sql import Window as W

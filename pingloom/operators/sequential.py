@@ -7,13 +7,16 @@ function in the JVM. Surveys are cut where nothing before can meet anything behi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..functions.storage import stored
-from .ordered import laid_out, with_previous, with_running
+from .ordered import chains, laid_out, numbered, with_previous, with_running
 
 
 def class_aware_nms(det: DataFrame, threshold: float = 0.45, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -147,28 +150,59 @@ def match_detections(det: DataFrame, gt: DataFrame, tau: float) -> DataFrame:
 
 
 def disjoint_lattice(frames: DataFrame, key: str, seconds: float = 25.0) -> DataFrame:
-    """Per key: the first frame, then always the earliest at least ``seconds`` after the last chosen."""
-    g = frames.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "frame_id"))).alias("all"))
+    """Per key: the first frame, then always the earliest at least ``seconds`` after the last chosen.
+
+    A frame that follows the one before by ``seconds`` or more is chosen whatever came earlier, so keys are cut there
+    and each stretch is folded by itself.
+    """
+    step_us = int(seconds * 1e6)
+    rows = frames.select(key, "frame_id", F.unix_micros("ts").alias("t"))
+    rows = chains(rows, [key], ["t", "frame_id"], ["t"], F.col("t") - F.col("prev_t") < step_us)
+    g = rows.groupBy(key, "chain").agg(F.array_sort(F.collect_list(F.struct("t", "frame_id"))).alias("all"))
     start = F.struct(F.lit(None).cast("bigint").alias("last"), F.filter("all", lambda x: F.lit(False)).alias("out"))
-    step = lambda acc, x: F.when(acc["last"].isNull() | (x["t"] - acc["last"] >= int(seconds * 1e6)), F.struct(x["t"].alias("last"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc)
+    step = lambda acc, x: F.when(acc["last"].isNull() | (x["t"] - acc["last"] >= step_us), F.struct(x["t"].alias("last"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc)
     return g.select(key, F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("x")).select(key, "x.frame_id")
 
 
-def assign_groups(groups: DataFrame, seed: int = 20260831, shares: tuple[float, float, float] = (0.70, 0.15, 0.15)) -> DataFrame:
-    """Groups (group_key, n) in seeded hash order; each goes to the split filled least for its share, then smallest, then first by name.
+SPLITS = ("test", "train", "val")
 
-    The fold needs all groups in order: one row for each group, not for each image.
-    """
-    one = groups.groupBy(F.lit(1).alias("_")).agg(F.array_sort(F.collect_list(F.struct(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group_key").cast("string")), 256).alias("h"), "group_key", F.col("n").cast("double").alias("n")))).alias("all"), F.sum("n").cast("double").alias("total"))
-    target = {k: F.greatest(F.col("total") * s, F.lit(1.0)) for k, s in zip(("train", "val", "test"), shares, strict=True)}
-    start = F.struct(F.lit(0.0).alias("train"), F.lit(0.0).alias("val"), F.lit(0.0).alias("test"), F.array().cast("array<string>").alias("went"))
 
-    def step(acc: Column, x: Column) -> Column:
-        best = F.array_min(F.array(*[F.struct((acc[k] / target[k]).alias("r"), acc[k].alias("c"), F.lit(k).alias("k")) for k in ("test", "train", "val")]))["k"]
-        return F.struct(*[(acc[k] + F.when(best == k, x["n"]).otherwise(0.0)).alias(k) for k in ("train", "val", "test")], F.array_append(acc["went"], best).alias("went"))
+def _filled(filled: dict[str, float], target: dict[str, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = dict(filled)
+        for b in batches:
+            went = []
+            for n in b.column("n").to_pylist():
+                best = min(SPLITS, key=lambda k: (have[k] / target[k], have[k], k))
+                have[best] += n
+                went.append(best)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("group_key", "n", "place")), pa.array(went, pa.string()), *(pa.array([have[k]] * len(went), pa.float64()) for k in SPLITS)], names=["group_key", "n", "place", "split", *SPLITS])
 
-    out = one.select("all", F.aggregate("all", start, step, lambda acc: acc["went"]).alias("went"))
-    return out.select(F.explode(F.arrays_zip("all", "went")).alias("z")).select("z.all.group_key", "z.all.n", F.col("z.went").alias("split"))
+    return run
+
+
+def assign_groups(groups: DataFrame, seed: int = 20260831, shares: tuple[float, float, float] = (0.70, 0.15, 0.15), chunk: int = 100_000) -> DataFrame:
+    """Groups (group_key, n) in seeded hash order; each goes to the split filled least for its share, then smallest, then first by name.
+
+    Each choice depends on all before it, so chunks of ``chunk`` groups are filled one after another: a job for each,
+    which hands three sums to the next. No task and no group holds more than a chunk.
+    """
+    spark = groups.sparkSession
+    rows = groups.select("group_key", F.col("n").cast("double").alias("n"), F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group_key").cast("string")), 256).alias("h"))
+    rows = stored(numbered(rows, ["h", "group_key"], "place").drop("h"))
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("total")).first()
+    target = {k: max(size.total * s, 1.0) for k, s in zip(("train", "val", "test"), shares, strict=True)}
+    filled, done = dict.fromkeys(SPLITS, 0.0), None
+    for first in range(0, size.rows, chunk):
+        part = rows.filter(F.col("place").between(first + 1, first + chunk)).repartition(1).sortWithinPartitions("place")
+        kind = rows.schema["group_key"].dataType.simpleString()
+        part = stored(part.mapInArrow(_filled(filled, target), f"group_key {kind}, n double, place long, split string, {', '.join(f'{k} double' for k in SPLITS)}"))
+        last = part.orderBy(F.col("place").desc()).select(*SPLITS).first()
+        filled = last.asDict()
+        done = part if done is None else done.unionByName(part)
+    if done is None:
+        return rows.select("group_key", "n", F.lit("").alias("split")).limit(0)
+    return done.select("group_key", "n", "split")
 
 
 def verified_chains(frames: DataFrame, pairs: DataFrame) -> DataFrame:

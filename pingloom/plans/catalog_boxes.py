@@ -107,6 +107,15 @@ def p13(v):
     return S.extract_groups(d.sparkSession.sql(NAMES_IN.replace("FROM documents", "FROM {d}"), d=d))
 
 
+_PATHS = "SELECT event_id, concat(CASE WHEN event_id % 2 = 0 THEN 'SSS_HF_images' ELSE 'a/SSS_LF_images' END, '/Image/', 1693569378 + event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('.', 100 + event_id % 900) END, '.pbm') AS name FROM events"
+
+
+@register("P13_channel_time", f"WITH n AS ({_PATHS}) SELECT event_id, regexp_extract('/' || name, '/SSS_(HF|LF)_images/', 1) AS channel, CAST(regexp_extract(name, '/([0-9]+([.][0-9]+)?)[.][a-z]+$', 1) AS DECIMAL(20, 6)) AS stamp FROM n")
+def p13_channel(v):
+    """Channel and exact time of frames from their source paths."""
+    return S.channel_time(v["events"].sparkSession.sql(_PATHS.replace("FROM events", "FROM {e}"), e=v["events"])).select("event_id", "channel", "stamp")
+
+
 @register("P15_display_confidence", "SELECT detection_id, round(0.70e0 + (0.90e0 - 0.70e0) / (1 + exp(-28e0 * (raw_confidence - 0.3139777305538386e0))), 9) AS shown FROM v_det")
 def p15(v):
     return v["v_det"].select("detection_id", F.round(scores.display_confidence(F.col("raw_confidence")), 9).alias("shown"))

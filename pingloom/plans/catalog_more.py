@@ -164,13 +164,14 @@ def s07(v):
     return back.groupBy("split").agg(F.count("*").alias("frames"), F.sum("width").alias("columns"))
 
 
-@register("S15_report_json", "SELECT survey_id, count(*) AS contacts, count(DISTINCT category) AS categories FROM v_contacts GROUP BY survey_id")
+@register("S15_report_json", "SELECT survey_id, contact_id, category, evidence, 'pingloom' AS made_by FROM v_contacts")
 def s15(v):
-    """One JSON record for each survey with its contacts and provenance, and what a reader finds in it."""
-    item = F.struct("contact_id", "category", "evidence")
-    r = v["v_contacts"].groupBy("survey_id").agg(F.to_json(F.struct(F.collect_list(item).alias("contacts"), F.struct(F.lit("pingloom").alias("made_by")).alias("provenance"))).alias("report"))
-    back = r.select("survey_id", F.from_json("report", "contacts array<struct<contact_id:string,category:string>>").alias("j"))
-    return back.select("survey_id", F.size("j.contacts").cast("bigint").alias("contacts"), F.size(F.array_distinct("j.contacts.category")).cast("bigint").alias("categories"))
+    """The full record of each contact with its provenance as a JSON line, in a folder for each survey, read back as a consumer would."""
+    record = F.to_json(F.struct("contact_id", "category", "evidence", F.struct(F.lit("pingloom").alias("made_by")).alias("provenance")))
+    path = scratch(v.spark)
+    v["v_contacts"].select("survey_id", record.alias("value")).write.partitionBy("survey_id").text(path)
+    back = v.spark.read.schema("contact_id string, category string, evidence double, provenance struct<made_by:string>, survey_id string").json(path, mode="FAILFAST")
+    return back.select("survey_id", "contact_id", "category", "evidence", "provenance.made_by")
 
 
 @register("S19_checksum_manifest")

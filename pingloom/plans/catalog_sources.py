@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions.storage import scratch
+from ..operators import ordered
 from ..sources import navigation as N
+from .fixtures import digest_sql
 from .registry import register
 
 NAV_TEXT = """SELECT event_id + 2 AS row, CASE WHEN event_id % 101 = 0 THEN ' ' WHEN event_id % 103 = 5 THEN concat('f', event_id - 1) ELSE concat('f', event_id) END AS frame,
@@ -86,6 +88,15 @@ def s09(v):
     return N.yolo_boxes(lines, 640, 120).select("name", "cls", *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")], F.round("confidence", 6).alias("confidence"))
 
 
+@register("S09_scan_predictions", "SELECT detection_id AS name, 0 AS cls, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2, round(raw_confidence, 6) AS confidence FROM v_det")
+def s09_predictions(v):
+    """Lines of a detector's output: six tokens each, or the scan fails."""
+    n = lambda e: F.format_string("%.10f", e)
+    line = F.concat_ws(" ", F.lit("0"), n((F.col("x1") + F.col("x2")) / 2 / 640), n((F.col("y1") + F.col("y2")) / 2 / 120), n((F.col("x2") - F.col("x1")) / 640), n((F.col("y2") - F.col("y1")) / 120), n(F.col("raw_confidence")))
+    lines = v["v_det"].select(F.col("detection_id").alias("name"), line.alias("line"))
+    return N.yolo_boxes(lines, 640, 120, predictions=True).select("name", "cls", *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")], F.round("confidence", 6).alias("confidence"))
+
+
 @register("S10_scan_parallel_array_objects", "SELECT frame_id, raw_class AS category, x1, x2 FROM v_det")
 def s10(v):
     """Boxes and classes kept as two arrays of a frame, zipped back; arrays of different length and unknown categories fail."""
@@ -142,8 +153,8 @@ def s16(v):
 
 @register("S18_export_training_manifests", "WITH l AS (SELECT contact_id, arg_max(verdict, (created_at, event_id)) AS verdict FROM v_reviews WHERE verdict IS NOT NULL GROUP BY contact_id) SELECT CASE verdict WHEN 'REJECTED' THEN 'hard_negative' WHEN 'CONFIRMED' THEN 'positive' ELSE 'uncertain' END AS bucket, l.contact_id, c.category FROM l LEFT JOIN v_contacts AS c ON l.contact_id = c.contact_id")
 def s18(v):
-    last = v["v_reviews"].filter("verdict is not null").groupBy("contact_id").agg(F.max_by("verdict", F.struct("created_at", "event_id")).alias("verdict"))
     """Reviewed contacts in three buckets, written as a folder of JSON lines for each and read back."""
+    last = v["v_reviews"].filter("verdict is not null").groupBy("contact_id").agg(F.max_by("verdict", F.struct("created_at", "event_id")).alias("verdict"))
     bucket = F.when(F.col("verdict") == "REJECTED", "hard_negative").when(F.col("verdict") == "CONFIRMED", "positive").otherwise("uncertain")
     out = last.join(v["v_contacts"].select("contact_id", "category"), "contact_id", "left").select(bucket.alias("bucket"), "contact_id", "category")
     path = scratch(out.sparkSession)
@@ -163,12 +174,16 @@ def s20(v):
 _MISSION = "SELECT *, CASE WHEN CAST(substr(contact_id, 2) AS BIGINT) % 211 = 0 THEN 'PROCESSING' ELSE 'READY' END AS upload, CAST(substr(survey_id, 2) AS BIGINT) % 2 = 0 AS demo, (CAST(substr(survey_id, 2) AS BIGINT) % 2 = 0) <> (CAST(substr(contact_id, 2) AS BIGINT) % 97 = 0) AS contact_demo FROM v_contacts"
 
 
-@register("S21_mission_report_snapshot", f"SELECT survey_id, CASE WHEN bool_or(upload <> 'READY') THEN 'REPORT_NOT_READY' WHEN bool_or(contact_demo <> demo) THEN 'DEMO_ISOLATION' END AS refused, count(*) AS contacts, string_agg(contact_id, ',' ORDER BY contact_id) FILTER (WHERE evidence >= 0.9) AS strong FROM ({_MISSION}) AS m GROUP BY survey_id")
+@register(
+    "S21_mission_report_snapshot",
+    f"WITH {digest_sql(f'(SELECT survey_id, contact_id, contact_id AS item FROM ({_MISSION}) AS y WHERE evidence >= 0.9)', 'survey_id', 'contact_id')}, m AS ({_MISSION}), s AS (SELECT survey_id, CASE WHEN bool_or(upload <> 'READY') THEN 'REPORT_NOT_READY' WHEN bool_or(contact_demo <> demo) THEN 'DEMO_ISOLATION' END AS refused, count(*) AS contacts FROM m GROUP BY survey_id) SELECT s.survey_id, refused, contacts, coalesce(d.n, 0) AS strong, d.digest AS strong_digest FROM s LEFT JOIN digests AS d ON s.survey_id = d.survey_id",
+)
 def s21(v):
-    strong = F.array_sort(F.collect_list(F.when(F.col("evidence") >= 0.9, F.col("contact_id"))))
+    """One consistent report of each survey: refused while an upload is not ready or demo flags mix; its strong contacts by number and ordered digest."""
     c = v["v_contacts"].sparkSession.sql(_MISSION.replace("FROM v_contacts", "FROM {c}"), c=v["v_contacts"])
     refused = F.when(F.bool_or(F.col("upload") != "READY"), "REPORT_NOT_READY").when(F.bool_or(F.col("contact_demo") != F.col("demo")), "DEMO_ISOLATION")
-    return c.groupBy("survey_id").agg(refused.alias("refused"), F.count("*").alias("contacts"), strong.alias("s")).select("survey_id", "refused", "contacts", F.when(F.size("s") > 0, F.array_join("s", ",")).alias("strong"))
+    strong = ordered.digest_tree(c.filter("evidence >= 0.9").select("survey_id", "contact_id"), ["survey_id"], ["contact_id"], F.col("contact_id")).select("survey_id", F.col("n").alias("strong"), F.col("digest").alias("strong_digest"))
+    return c.groupBy("survey_id").agg(refused.alias("refused"), F.count("*").alias("contacts")).join(strong, "survey_id", "left").withColumn("strong", F.coalesce("strong", F.lit(0)))
 
 
 @register(

@@ -93,9 +93,12 @@ def w09(v):
     return ordered.ranked(v["v_contacts"].select("survey_id", "contact_id", "latest_verdict", "evidence"), ["survey_id"], order, "place").select("survey_id", "contact_id", "place")
 
 
-@register("W10_top_patch_per_tile", "SELECT image_id, arg_max(row_idx * 64 + col_idx, (sample, -row_idx, -col_idx)) AS patch, max(sample) AS score FROM v_imgs GROUP BY image_id")
+@register("W10_top_patch_per_tile", "WITH t AS (SELECT image_id, arg_max(row_idx * 64 + col_idx, (sample, -row_idx, -col_idx)) AS patch, max(sample) AS score FROM v_imgs GROUP BY image_id) SELECT image_id, patch, score, patch % 64 * 8e0 AS box_x, patch // 64 * 8e0 AS box_y, 8e0 AS box_size FROM t")
 def w10(v):
-    return v["v_imgs"].groupBy("image_id").agg(F.max_by(F.expr("row_idx * 64 + col_idx"), F.expr("struct(sample, -row_idx, -col_idx)")).alias("patch"), F.max("sample").alias("score"))
+    """The strongest patch of each tile, the first of equals, and its box on the tile: 64 patches to a side of 512 pixels."""
+    t = v["v_imgs"].groupBy("image_id").agg(F.max_by(F.expr("row_idx * 64 + col_idx"), F.expr("struct(sample, -row_idx, -col_idx)")).alias("patch"), F.max("sample").alias("score"))
+    side = 512.0 / 64
+    return t.select("image_id", "patch", "score", (F.col("patch") % 64 * side).alias("box_x"), (F.expr("patch div 64") * side).alias("box_y"), F.lit(side).alias("box_size"))
 
 
 @register("W11_top_n_components", "SELECT frame_id, n FROM (SELECT frame_id, count(*) AS n FROM v_det GROUP BY frame_id) AS g ORDER BY n DESC, frame_id LIMIT 30")

@@ -78,12 +78,14 @@ def parse_missions(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def yolo_boxes(lines: DataFrame, width: int, height: int) -> DataFrame:
-    """``name, cls, x1, y1, x2, y2, confidence`` of ``cls cx cy w h`` lines; a sixth token is a prediction's confidence (labels: null).
+def yolo_boxes(lines: DataFrame, width: int, height: int, predictions: bool = False) -> DataFrame:
+    """``name, cls, x1, y1, x2, y2, confidence`` of ``cls cx cy w h`` lines; a sixth token is a confidence (else null).
 
-    Lines of fewer than five tokens are skipped.
+    Lines of labels of fewer than five tokens are skipped. A line of ``predictions`` must have six, and fails otherwise.
     """
-    t = lines.withColumn("t", F.split(F.trim("line"), "\\s+")).filter(F.size("t") >= 5)
+    t = lines.withColumn("t", F.split(F.trim("line"), "\\s+"))
+    told = F.concat(F.lit("unsupported prediction line: "), F.col("name").cast("string"), F.lit(": "), F.col("line"))
+    t = t.withColumn("t", F.when(F.size("t") == 6, F.col("t")).otherwise(F.raise_error(told).cast("array<string>"))) if predictions else t.filter(F.size("t") >= 5)
     n = lambda i: F.col("t")[i].cast("double")
     return t.select("name", n(0).cast("int").alias("cls"), ((n(1) - n(3) / 2) * width).alias("x1"), ((n(2) - n(4) / 2) * height).alias("y1"), ((n(1) + n(3) / 2) * width).alias("x2"), ((n(2) + n(4) / 2) * height).alias("y2"), F.when(F.size("t") > 5, F.get("t", F.lit(5)).try_cast("double")).alias("confidence"))
 
