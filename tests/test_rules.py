@@ -144,3 +144,73 @@ def test_written_rasters_are_read_back(spark, tmp_path):
     assert got["a.png"] == (2, 2, 1, True) and got["b.png"] == (1, 2, 3, True) and got["c.png"][:3] == (None, None, None)
     lines = {(r.frame, r.row_idx): r.samples for r in files.explode_ping_rows(spark, path).collect()}
     assert lines == {("a.png", 0): [0, 255], ("a.png", 1): [7, 8], ("b.png", 0): [3], ("b.png", 1): [6]}
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_groups_are_assigned_alike_in_any_chunks(spark, chunk):
+    import hashlib
+    import random
+
+    from pingloom.operators import sequential
+
+    rng = random.Random(9)
+    sizes = {k: rng.randint(1, 40) for k in range(23)}
+    got = {r.group_key: r.split for r in sequential.assign_groups(spark.createDataFrame(list(sizes.items()), "group_key int, n int"), seed=5, chunk=chunk).collect()}
+    total = sum(sizes.values())
+    target, have, want = {"train": total * 0.70, "val": total * 0.15, "test": total * 0.15}, {"train": 0.0, "val": 0.0, "test": 0.0}, {}
+    for k in sorted(sizes, key=lambda k: (hashlib.sha256(f"5:{k}".encode()).hexdigest(), k)):
+        best = min(have, key=lambda s: (have[s] / max(target[s], 1), have[s], s))
+        have[best] += sizes[k]
+        want[k] = best
+    assert got == want
+    assert sequential.assign_groups(spark.createDataFrame([], "group_key int, n int")).collect() == []
+
+
+def test_the_lattice_is_cut_at_gaps(spark):
+    import datetime
+    import random
+
+    from pingloom.operators import sequential
+
+    rng, start = random.Random(2), datetime.datetime(2024, 1, 1)
+    rows, t = [], 0.0
+    for i in range(300):
+        t += rng.choice([1, 3, 7, 30, 0])
+        rows.append((rng.choice(["a", "b"]), i, start + datetime.timedelta(seconds=t)))
+    want = set()
+    for key in "ab":
+        last = None
+        for _, i, ts in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            if last is None or (ts - last).total_seconds() >= 25:
+                want.add((key, i))
+                last = ts
+    got = sequential.disjoint_lattice(spark.createDataFrame(rows, "key string, frame_id long, ts timestamp"), "key")
+    assert {(r.key, r.frame_id) for r in got.collect()} == want
+
+
+def test_average_precision_of_many_equal_scores(spark):
+    from pingloom.operators import aggregates
+
+    rows = [(i, 0.5, i % 3 == 0) for i in range(60)] + [(100, 0.9, True), (101, 0.1, True)]
+    df = spark.createDataFrame([(i, s, int(y)) for i, s, y in rows], "id int, s double, y int").repartition(4)
+    hits, total = 0, 0.0
+    for rank, (_, _, y) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+        hits += y
+        total += hits / rank if y else 0
+    assert aggregates.average_precision(df, "s", "y", "id").first().average_precision == pytest.approx(total / hits)
+    assert aggregates.average_precision(df.filter("y = 0"), "s", "y", "id").first().average_precision is None
+
+
+def test_prediction_lines_and_channel_paths_fail_loudly(spark):
+    from pingloom.operators import scalar
+    from pingloom.sources import navigation
+
+    lines = spark.createDataFrame([("a", "0 0.5 0.5 0.2 0.2"), ("b", "1 0.5 0.5 0.2 0.2 0.9")], "name string, line string")
+    assert {r.name: r.confidence for r in navigation.yolo_boxes(lines, 10, 10).collect()} == {"a": None, "b": 0.9}
+    with pytest.raises(Exception, match="unsupported prediction line: a"):
+        navigation.yolo_boxes(lines, 10, 10, predictions=True).collect()
+    names = spark.createDataFrame([("d/SSS_HF_images/Image/1693569378.780.pbm",)], "name string")
+    (r,) = scalar.channel_time(names).collect()
+    assert (r.channel, str(r.stamp)) == ("HF", "1693569378.780000")
+    with pytest.raises(Exception, match="no channel and time"):
+        scalar.channel_time(spark.createDataFrame([("x/y.png",)], "name string")).collect()
