@@ -7,6 +7,7 @@ their first five bytes, so that inflected forms share a weight.
 
 Which terms get weights: those whose chi-square with the label is large, and those of pairs whose chi-square is,
 beyond what both terms say alone. Both choices and the fit see ``FIT_ROWS`` labelled rows at most; scores cover all.
+Counts of terms on these rows are made by Spark; of the rows themselves only the chosen terms come to the driver.
 
 Defined results: null and empty texts have no terms and get the score of the bias; a null doc_id counts as
 the empty id; of several labels of an id the larger counts; repeated rows each keep their row; a very long text is
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .common import stored
 
 #: Labelled rows that the machine is fitted on at most (taken by hash of the id).
 FIT_ROWS = 20_000
@@ -57,11 +59,24 @@ def _present(batches):
             yield offs, (both % BUCKETS).astype(np.int32)
 
 
-def _pair_terms(row: np.ndarray, buckets: np.ndarray, labels: np.ndarray, seen: np.ndarray, hit: np.ndarray, paired: int = PAIRED, added: int = ADDED) -> np.ndarray:
+def _paired(seen: np.ndarray, hit: np.ndarray, n: int, paired: int = PAIRED) -> np.ndarray:
+    """Buckets whose pairs are tested: those that most rows of label 1 hold, but not most rows."""
+    some = np.argsort(-np.where((seen >= 4) & (seen <= n / 2), hit, 0.0), kind="stable")[:paired]
+    return np.sort(some[hit[some] >= 4])
+
+
+def _single(seen: np.ndarray, hit: np.ndarray, n: int, pos: int, terms: int = TERMS) -> np.ndarray:
+    """Buckets of large chi-square."""
+    expect = seen * pos / n
+    chi = np.where(seen >= 4, (hit - expect) ** 2 / np.maximum(expect * (1 - pos / n) * (1 - seen / n + 1e-9), 1e-9), 0.0)
+    ids = np.argsort(-chi, kind="stable")[:terms]
+    return ids[chi[ids] > 6.0]
+
+
+def _pair_terms(row: np.ndarray, buckets: np.ndarray, labels: np.ndarray, seen: np.ndarray, hit: np.ndarray, added: int = ADDED) -> np.ndarray:
     """Buckets of the pairs that tell the labels apart best, though each bucket alone may say nothing."""
     n, pos = len(labels), labels.sum()
-    some = np.argsort(-np.where((seen >= 4) & (seen <= n / 2), hit, 0.0), kind="stable")[:paired]
-    some = np.sort(some[hit[some] >= 4])
+    some = _paired(seen, hit, n)
     where = np.full(BUCKETS, -1, dtype=np.int32)
     where[some] = np.arange(len(some))
     both, toxic = np.zeros((len(some), len(some)), np.float32), np.zeros((len(some), len(some)), np.float32)
@@ -85,19 +100,19 @@ def _pair_terms(row: np.ndarray, buckets: np.ndarray, labels: np.ndarray, seen:
     return some[order[worth[order] > 0]]
 
 
-def fit_machine(offs: np.ndarray, buckets: np.ndarray, labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS, epochs: int = 40, seed: int = 7) -> dict:
-    """Weights from documents given as distinct buckets (``buckets[offs[i]:offs[i + 1]]``) and labels 0 or 1."""
+def fit_machine(offs: np.ndarray, buckets: np.ndarray, labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS, epochs: int = 40, seed: int = 7, counts: tuple[np.ndarray, np.ndarray] | None = None) -> dict:
+    """Weights from documents given as distinct buckets (``buckets[offs[i]:offs[i + 1]]``) and labels 0 or 1.
+
+    ``counts``: rows and rows of label 1 that hold each bucket. With them the documents need list only the buckets of
+    ``_single`` and ``_paired``.
+    """
     n, pos = len(labels), int(labels.sum())
     if not n or pos in (0, n):
         p = pos / n if n else 0.0
         return {"w0": float(np.log((p + 1e-9) / (1 - p + 1e-9))), "ids": np.zeros(0, np.int64), "w": np.zeros(0), "v": np.zeros((0, factors))}
     row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offs))
-    seen = np.bincount(buckets, minlength=BUCKETS).astype(float)
-    hit = np.bincount(buckets, weights=labels[row], minlength=BUCKETS)
-    expect = seen * pos / n
-    chi = np.where(seen >= 4, (hit - expect) ** 2 / np.maximum(expect * (1 - pos / n) * (1 - seen / n + 1e-9), 1e-9), 0.0)
-    ids = np.argsort(-chi, kind="stable")[:terms]
-    ids = np.union1d(ids[chi[ids] > 6.0], _pair_terms(row, buckets, labels, seen, hit))
+    seen, hit = counts or (np.bincount(buckets, minlength=BUCKETS).astype(float), np.bincount(buckets, weights=labels[row], minlength=BUCKETS))
+    ids = np.union1d(_single(seen, hit, n, pos, terms), _pair_terms(row, buckets, labels, seen, hit))
     where = np.full(BUCKETS, -1, dtype=np.int64)
     where[ids] = np.arange(len(ids))
     at = where[buckets]
@@ -169,12 +184,36 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids))], ["doc_id", "toxic", "ids"])
                 at += n
 
-    rows = some.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, ids array<int>")
-    # an id may stand in many rows of documents: the rows are limited too
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("ids")).limit(fit_rows).toArrow().combine_chunks()
+    rows = stored(some.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, ids array<int>").withColumn("k", F.struct(F.xxhash64("doc_id").alias("a"), F.col("doc_id").alias("b"), F.xxhash64("ids").alias("c"))))
+    # an id may stand in many rows of documents: the rows are limited too, by their keys
+    if rows.count() > fit_rows:
+        last = rows.select("k").orderBy("k").limit(fit_rows).agg(F.max("k").alias("k"))
+        rows = stored(rows.join(F.broadcast(last.withColumnRenamed("k", "most")), F.col("k") <= F.col("most")).drop("most"))
+    # counts of buckets are summed in tasks; the driver sees them, and of the rows the buckets that may get weights only
+    each = rows.select("toxic", F.explode("ids").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("seen"), F.sum("toxic").alias("hit")).filter("seen >= 4").toArrow()
+    seen, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    if each.num_rows:
+        bucket = np.asarray(each["bucket"].combine_chunks())
+        seen[bucket], hit[bucket] = np.asarray(each["seen"].combine_chunks()), np.asarray(each["hit"].combine_chunks())
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
+    wanted = np.union1d(_single(seen, hit, total.n, total.pos), _paired(seen, hit, total.n)) if 0 < total.pos < total.n else np.zeros(0, np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def chosen(batches):
+        keep = np.zeros(BUCKETS, bool)
+        keep[sent.value] = True
+        for b in batches:
+            lists = b.column("ids")
+            ids, size = np.asarray(lists.flatten()), np.asarray(lists.value_lengths()).astype(np.int64)
+            hold = keep[ids]
+            upto = np.concatenate([[0], np.cumsum(hold)])[np.concatenate([[0], np.cumsum(size)])]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("toxic"), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids[hold], pa.int32()))], ["k", "toxic", "ids"])
+
+    got = rows.select("k", "toxic", "ids").mapInArrow(chosen, f"k {rows.schema['k'].dataType.simpleString()}, toxic int, ids array<int>").orderBy("k").select("toxic", "ids").toArrow().combine_chunks()
+    sent.unpersist()
     lists = got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     lens = np.asarray(lists.value_lengths()).astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
-    return fit_machine(np.concatenate([[0], np.cumsum(lens)]), np.asarray(lists.flatten()), np.asarray(got["toxic"]).astype(float))
+    return fit_machine(np.concatenate([[0], np.cumsum(lens)]), np.asarray(lists.flatten()), np.asarray(got["toxic"]).astype(float), counts=(seen, hit))
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
