@@ -146,8 +146,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> l
     labels = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     some = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")  # at most fit_rows rows
-    some = some.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(fit_rows)  # an id may stand in many rows
-    rows = text_stats(some, text="text").select("quality", *FEATURES, "doc_id").collect()
+    # an id may stand in many rows: their statistics are computed where they are, and the numbers of ``fit_rows`` rows ordered and taken
+    stats = text_stats(some.withColumn("key", F.xxhash64("doc_id", "text"))).select("quality", *FEATURES, "doc_id", "key")
+    rows = stats.orderBy("key", "doc_id", *FEATURES, "quality").limit(fit_rows).drop("key").collect()
     return learn_decision_list([tuple(r)[:-1] for r in sorted(rows, key=lambda r: (r.doc_id, tuple(r)))])
 
 

@@ -120,11 +120,29 @@ def test_suffix_dedup(spark, seed):
     check_bytes([(i, (t or "").encode()) for i, t in enumerate(texts)], rows)
 
 
-def test_suffix_dedup_with_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(suffix_array, "RANGE", 40)
-    monkeypatch.setattr(repeats, "ENTRIES", 300)
+def test_suffix_dedup_with_many_ranges(spark):
     texts = corpus(3, 60, 3)
-    check_bytes([(i, (t or "").encode()) for i, t in enumerate(texts)], suffix_array.suffix_dedup(frame(spark, texts)).collect())
+    check_bytes([(i, (t or "").encode()) for i, t in enumerate(texts)], suffix_array.suffix_dedup(frame(spark, texts), size=40).collect())
+
+
+@pytest.mark.parametrize("plan", [suffix_array.PLAN, substring.PLAN])
+def test_pieces_of_a_long_document_hold_all_its_windows(plan, monkeypatch):
+    tokens = kernels.mix(np.random.default_rng(3).integers(0, 9, 2500).astype(np.uint64))
+    at = np.array([0, 2000, 2010, 2500])
+
+    def windows():
+        out = {}
+        for runs in repeats._anchored(plan, tokens, at):
+            for gram, doc, lo, span, off in zip(*(runs[k].tolist() for k in ("gram", "doc", "lo", "span", "off")), strict=True):
+                for w in range(lo, lo + span):
+                    assert (doc, w) not in out
+                    out[doc, w] = gram, lo + off
+        return out
+
+    whole = windows()
+    assert len(whole) == sum(max(0, n - plan.window + 1) for n in np.diff(at))
+    monkeypatch.setattr(repeats, "PIECE", 300)
+    assert windows() == whole
 
 
 def test_merge_of_front_coded_runs_is_a_sort():
@@ -144,13 +162,11 @@ def test_merge_of_front_coded_runs_is_a_sort():
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_substring_dedup(spark, seed, monkeypatch):
-    if seed == 2:
-        monkeypatch.setattr(substring, "GROUP", 50)
+def test_substring_dedup(spark, seed):
     texts = corpus(seed, 60)
     docs = [(i, (t or "").encode().split()) for i, t in enumerate(texts)]
     want = windows_removed(docs, 20)
-    rows = substring.substring_dedup(frame(spark, texts), with_text=True, carry=("source",)).collect()
+    rows = substring.substring_dedup(frame(spark, texts), with_text=True, carry=("source",), size=50 if seed == 2 else substring.GROUP).collect()
     assert len(rows) == len(texts)
     for r in rows:
         words, mask = docs[r.doc_id][1], want[r.doc_id]
@@ -259,6 +275,46 @@ def test_quality_rules_keep_what_passes(spark):
     assert rows[0].kept and not rows[1].kept and rows[1].base_failed and not rows[2].kept
 
 
+def test_quality_verdicts_follow_the_learned_rules(spark):
+    rng = random.Random(13)
+    texts, labels = [], []
+    for i in range(240):
+        bad = i % 3 == 0
+        words = prose(rng, rng.randint(60, 120)).split()
+        if bad:
+            words = [w + rng.choice(["#", "$$", "|"]) if rng.random() < 0.6 else w for w in words]
+        texts.append(" ".join(words))
+        labels.append((i, 0 if bad and rng.random() < 0.95 else 1))
+    docs, marked = frame(spark, texts + [None, ""]), spark.createDataFrame(labels, "doc_id long, quality int")
+    rules = quality_rules.fit_rules(docs, marked)
+    assert rules and all(name in quality_rules.FEATURES for rule in rules for name, _, _ in rule)
+    stats = {r.doc_id: r for r in quality_rules.text_stats(docs.select("doc_id", "text")).collect()}
+    hold = lambda r, rule: all(r[name] <= cut if op == "<=" else r[name] > cut for name, op, cut in rule)
+    got = quality_rules.quality_rules(docs, marked).collect()
+    assert len(got) == 242
+    for r in got:
+        want = 0 if any(hold(stats[r.doc_id], rule) for rule in rules) else 1
+        assert r.verdict == want and r.kept == (not r.base_failed and want == 1), r.doc_id
+    caught = sum(r.verdict == 0 for r in got if r.doc_id < 240 and labels[r.doc_id][1] == 0)
+    assert caught >= 0.8 * sum(q == 0 for _, q in labels)
+    # a bound on the rows changes the sample, not the form; copies of an id count as rows
+    assert quality_rules.fit_rules(docs.unionByName(docs), marked, fit_rows=50) is not None
+
+
+def test_other_empty_tables_and_clashing_names(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality_rules.quality_rules(spark.createDataFrame([], DOCS), none).count() == 0
+    vectors = spark.createDataFrame([(0, [1.0, 2.0], "x", "y"), (1, [0.5, 1.0], "x", "y"), (2, [3.0, 0.0], "x", "y")], "vec_id long, embedding array<float>, score string, rank string")
+    assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+    assert topk.top_k(vectors, vectors.limit(0)).count() == 0
+    assert [(r.rank, r.vec_id) for r in topk.top_k(vectors, vectors.filter("vec_id = 0"), k=2).orderBy("rank").collect()] == [(1, 2), (2, 1)]
+    pages = spark.createDataFrame([(1, "http://A.net/x", "h", "p")], "page_id long, url string, host string, verdict string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    assert [tuple(r) for r in url_filter.filter_urls(pages, rules).collect()] == [(1, "a.net", "/x", "net/", "block")]
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+    assert [r.verdict for r in url_filter.filter_urls(pages, rules.limit(0)).collect()] == ["allow"]
+
+
 # ---- 4: mixing
 
 
