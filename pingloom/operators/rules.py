@@ -134,3 +134,36 @@ def shared_rows(frames: DataFrame, rows: DataFrame) -> DataFrame:
     one = frames.join(kept.withColumnRenamed("frame_id", "a_id"), "a_id").select("a_id", "b_id", "digest")
     met = one.join(kept.withColumnRenamed("frame_id", "b_id"), ["b_id", "digest"]).groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("shared"))
     return frames.join(met, ["a_id", "b_id"], "left").select("a_id", "b_id", F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
+def snapshot_errors(tiles: DataFrame, boxes: DataFrame, frames: DataFrame, size: int = 512) -> DataFrame:
+    """``subject, error``: what is wrong with a snapshot of tiles.
+
+    ``tiles``: tile_key, frame_id, tile_w, tile_h, split, has_label; ``boxes``: tile_key, box_id, x, y, w, h on the tile;
+    ``frames``: frame_id, split. A tile has the fixed size, a label file (empty or not) and the split of its frame; a
+    box has an area and lies on its tile.
+    """
+    kinds = {
+        "TILE_DIMENSIONS_INVALID": (F.col("tile_w") != size) | (F.col("tile_h") != size) | F.col("tile_w").isNull() | F.col("tile_h").isNull(),
+        "MISSING_LABEL_FILE": ~F.coalesce("has_label", F.lit(False)),
+        "SPLIT_INHERITANCE_VIOLATION": ~F.col("split").eqNullSafe(F.col("frame_split")),
+    }
+    held = tiles.join(frames.select("frame_id", F.col("split").alias("frame_split")), "frame_id", "left")
+    found = held.select(F.col("tile_key").alias("subject"), F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in kinds.items()]))).alias("error"))
+    wrong = "w <= 0 OR h <= 0 OR x < 0 OR y < 0 OR x + w > {0} OR y + h > {0}".format(size)
+    return found.unionByName(boxes.filter(wrong).select(F.concat_ws(":", "tile_key", "box_id").alias("subject"), F.lit("INVALID_CLIPPED_BOX").alias("error")))
+
+
+def form_surveys(frames: DataFrame, declared: DataFrame, verified: DataFrame) -> DataFrame:
+    """``frame_id, survey_ref, membership, navigation_provenance``: declared groups first, then verified ones, else a survey of its own.
+
+    ``frames``: frame_id, provenance (declared for the frame, or null); ``declared``: frame_id, group_ref;
+    ``verified``: frame_id, component. A survey has a provenance only if all its members declare the same one.
+    """
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    rows = frames.join(declared.select("frame_id", "group_ref"), "frame_id", "left").join(verified.select("frame_id", "component"), "frame_id", "left")
+    ref = F.when(F.col("group_ref").isNotNull(), text("declared.", "group_ref")).when(F.col("component").isNotNull(), text("verified.", "component")).otherwise(text("singleton.", "frame_id"))
+    kind = F.when(F.col("group_ref").isNotNull(), "DECLARED").when(F.col("component").isNotNull(), "VERIFIED").otherwise("SINGLETON")
+    rows = rows.select("frame_id", ref.alias("survey_ref"), kind.alias("membership"), "provenance")
+    agreed = F.when(F.every(F.col("provenance").isNotNull()) & (F.min("provenance") == F.max("provenance")), F.min("provenance"))
+    return rows.join(rows.groupBy("survey_ref").agg(agreed.alias("navigation_provenance")), "survey_ref").select("frame_id", "survey_ref", "membership", "navigation_provenance")

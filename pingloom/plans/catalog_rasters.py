@@ -7,7 +7,8 @@ from ..operators import components as C
 from ..operators import joins as J
 from ..operators import rasters as R
 from .catalog_boxes import IOU_SQL
-from .catalog_joins import PING_FRAMES, j11
+from ..operators.rules import form_surveys
+from .catalog_joins import PING_FRAMES, j11, ping_rows
 from .catalog_more import DROPPED, PLACED, dropped, placed
 from .registry import register
 
@@ -161,19 +162,20 @@ def g06(v):
     return v.once("offsets", lambda: stored(C.components_with_offsets(stored(j11(v)))))
 
 
+_FORMED = """fr AS (SELECT DISTINCT frame_id, CASE WHEN frame_id % 5 = 4 THEN NULL WHEN frame_id % 7 = 1 THEN 'SYNTHETIC_DEMO' ELSE 'MEASURED' END AS provenance FROM p),
+    fs AS (SELECT f.frame_id, provenance, CASE WHEN f.frame_id % 8 = 3 THEN 'declared.' || (f.frame_id - 3) WHEN component IS NOT NULL THEN 'verified.' || component ELSE 'singleton.' || f.frame_id END AS survey_ref, CASE WHEN f.frame_id % 8 = 3 THEN 'DECLARED' WHEN component IS NOT NULL THEN 'VERIFIED' ELSE 'SINGLETON' END AS membership FROM fr AS f LEFT JOIN oo ON f.frame_id = oo.node)"""
+
+
 @register(
     "G08_form_surveys",
-    f"WITH {SHIFTS}, fr AS (SELECT DISTINCT frame_id FROM p) SELECT f.frame_id, CASE WHEN f.frame_id % 4 = 3 AND f.frame_id % 8 = 3 THEN 'declared.' || (f.frame_id - 3) WHEN component IS NOT NULL THEN 'verified.' || component ELSE 'singleton.' || f.frame_id END AS survey_ref, CASE WHEN f.frame_id % 8 = 3 THEN 'DECLARED' WHEN component IS NOT NULL THEN 'VERIFIED' ELSE 'SINGLETON' END AS membership FROM fr AS f LEFT JOIN oo ON f.frame_id = oo.node",
+    f"WITH {SHIFTS}, {_FORMED} SELECT frame_id, fs.survey_ref, membership, n.navigation_provenance FROM fs JOIN (SELECT survey_ref, CASE WHEN count(provenance) = count(*) AND min(provenance) = max(provenance) THEN min(provenance) END AS navigation_provenance FROM fs GROUP BY survey_ref) AS n ON fs.survey_ref = n.survey_ref",
     recursive=True,
 )
 def g08(v):
-    """Declared groups first, then verified ones, else a survey of its own."""
-    frames = v["embeddings"].select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"), "vec_id").filter("vec_id % 100 - 20 * j >= 0 and vec_id % 100 - 20 * j < 40").select((F.floor(F.col("vec_id") / 100) * 4 + F.col("j")).alias("frame_id")).distinct()
-    o = g06(v).select(F.col("node").alias("frame_id"), "component")
-    declared = F.col("frame_id") % 8 == 3
-    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    ref = F.when(declared, text("declared.", F.col("frame_id") - 3)).when(F.col("component").isNotNull(), text("verified.", F.col("component"))).otherwise(text("singleton.", F.col("frame_id")))
-    return frames.join(o, "frame_id", "left").select("frame_id", ref.alias("survey_ref"), F.when(declared, "DECLARED").when(F.col("component").isNotNull(), "VERIFIED").otherwise("SINGLETON").alias("membership"))
+    """Declared groups first, then verified ones, else a survey of its own; with the provenance that all members declare."""
+    i = F.col("frame_id")
+    frames = ping_rows(v).select("frame_id").distinct().withColumn("provenance", F.when(i % 5 == 4, None).when(i % 7 == 1, "SYNTHETIC_DEMO").otherwise("MEASURED"))
+    return form_surveys(frames, frames.filter(i % 8 == 3).select("frame_id", (i - 3).alias("group_ref")), g06(v).select(F.col("node").alias("frame_id"), "component"))
 
 
 @register("J02_ping_relationships", f"WITH {SHIFTS}, fr AS (SELECT DISTINCT frame_id FROM p) SELECT f.frame_id, ping_offset AS survey_ping_start, ping_offset + 40 - 1 AS survey_ping_end, ping_offset IS NOT NULL AS sequential_supported FROM fr AS f LEFT JOIN oo ON f.frame_id = oo.node AND f.frame_id % 8 <> 3 AND f.frame_id % 12 <> 5 AND f.frame_id % 20 <> 6", recursive=True)

@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from ..functions.storage import scratch
 from ..operators import ordered
 from ..operators import rules as R
+from ..operators import scalar as P
 from ..operators import sequential as S
 from ..sources import files
 from .catalog_graphs import MATCH
 from .catalog_boxes import IOU_SQL
-from .catalog_joins import PING_FRAMES, ping_rows
+from .catalog_joins import CLIP_SQL, PING_FRAMES, p09, ping_rows
 from .registry import register
 
 #: Contacts as records of the contract; some break a rule.
@@ -30,6 +31,26 @@ def p17(v):
     return R.contract_violations(v["v_contacts"].sparkSession.sql(_RECORDS.replace("FROM v_contacts", "FROM {c}"), c=v["v_contacts"]), "contact_id")
 
 
+_QA_TILES = "SELECT tile_key, frame_id, CASE WHEN x0 = 0 THEN 512 - CAST(padded_right AS INT) % 256 ELSE 512 END AS tile_w, 512 AS tile_h, CASE WHEN y0 = 512 THEN 'val' ELSE split END AS split, x0 <> 4864 AS has_label FROM tiled"
+
+
+@register(
+    "A43_tile_errors",
+    CLIP_SQL + f""", tiled AS (SELECT t.frame_id, x0, y0, greatest(0, x0 + 512 - t.width) AS padded_right, t.frame_id || '_x' || lpad(x0::VARCHAR, 5, '0') || '_y' || lpad(y0::VARCHAR, 5, '0') AS tile_key, split FROM t JOIN v_frames AS f ON t.frame_id = f.frame_id), q AS ({_QA_TILES}),
+    bx AS (SELECT c.frame_id || '_x' || lpad(x0::VARCHAR, 5, '0') || '_y' || lpad(y0::VARCHAR, 5, '0') AS tile_key, gt_id AS box_id, cx AS x, cy AS y, cw + CASE WHEN cw > 200 THEN 300 ELSE 0 END AS w, ch AS h FROM c WHERE cw > 0 AND ch > 0 AND cw * ch / (bw * bh) >= 0.25)
+    SELECT tile_key AS subject, 'TILE_DIMENSIONS_INVALID' AS error FROM q WHERE tile_w <> 512 UNION ALL SELECT tile_key, 'MISSING_LABEL_FILE' FROM q WHERE NOT has_label UNION ALL SELECT tile_key, 'SPLIT_INHERITANCE_VIOLATION' FROM q JOIN v_frames AS f ON q.frame_id = f.frame_id WHERE q.split <> f.split
+    UNION ALL SELECT tile_key || ':' || box_id, 'INVALID_CLIPPED_BOX' FROM bx WHERE x + w > 512 OR y + h > 512""",
+)
+def a43_tiles(v):
+    """Errors of tiles and of the boxes clipped to them; some tiles are cut short, unlabelled or of another split, some boxes too wide."""
+    f = v["v_frames"]
+    t = P.tile_grid(f).join(f.select("frame_id", "split"), "frame_id")
+    t = t.sparkSession.sql(_QA_TILES.replace("FROM tiled", "FROM {t}"), t=t)
+    key = F.format_string("%s_x%05d_y%05d", F.col("frame_id").cast("string"), "x0", "y0")
+    b = p09(v).select(key.alias("tile_key"), F.col("gt_id").alias("box_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), (F.col("cw") + F.when(F.col("cw") > 200, 300).otherwise(0)).alias("w"), F.col("ch").alias("h"))
+    return R.snapshot_errors(t, b, f)
+
+
 #: Test frames as images of three datasets: tracks with channels, fragments, and augmented variants of parents.
 _TESTED = """SELECT frame_id AS image_id, CASE WHEN dataset LIKE '1%' OR dataset LIKE '2%' THEN 'TRACKS' WHEN dataset LIKE '3%' THEN 'FRAGMENTS' ELSE 'VARIANTS' END AS dataset,
     CASE width WHEN 5000 THEN 'HF' WHEN 2500 THEN 'LF' END AS channel, split, group_key FROM v_frames WHERE split = 'test'"""

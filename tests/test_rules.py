@@ -214,3 +214,22 @@ def test_prediction_lines_and_channel_paths_fail_loudly(spark):
     assert (r.channel, str(r.stamp)) == ("HF", "1693569378.780000")
     with pytest.raises(Exception, match="no channel and time"):
         scalar.channel_time(spark.createDataFrame([("x/y.png",)], "name string")).collect()
+
+
+def test_snapshot_errors_name_tiles_and_boxes(spark):
+    tiles = spark.createDataFrame([("ok", 1, 512, 512, "train", True), ("small", 1, 500, 512, "train", True), ("bare", 1, 512, 512, "train", False), ("moved", 1, 512, 512, "val", True), ("lost", 9, None, 512, "val", None)], "tile_key string, frame_id long, tile_w int, tile_h int, split string, has_label boolean")
+    boxes = spark.createDataFrame([("ok", "a", 0.0, 0.0, 512.0, 5.0), ("ok", "b", 1.0, 0.0, 512.0, 5.0), ("ok", "c", 1.0, 0.0, 0.0, 5.0), ("ok", "d", -1.0, 0.0, 5.0, 5.0)], "tile_key string, box_id string, x double, y double, w double, h double")
+    frames = spark.createDataFrame([(1, "train")], "frame_id long, split string")
+    got = sorted((r.subject, r.error) for r in rules.snapshot_errors(tiles, boxes, frames).collect())
+    assert got == sorted([("small", "TILE_DIMENSIONS_INVALID"), ("bare", "MISSING_LABEL_FILE"), ("moved", "SPLIT_INHERITANCE_VIOLATION"), ("lost", "TILE_DIMENSIONS_INVALID"), ("lost", "MISSING_LABEL_FILE"), ("lost", "SPLIT_INHERITANCE_VIOLATION"), *[(f"ok:{b}", "INVALID_CLIPPED_BOX") for b in "bcd"]])
+
+
+def test_surveys_carry_a_provenance_only_if_all_members_agree(spark):
+    frames = spark.createDataFrame([(1, "MEASURED"), (2, "MEASURED"), (3, None), (4, "MEASURED"), (5, "MEASURED"), (6, "SYNTHETIC_DEMO"), (7, None), (8, "MEASURED")], "frame_id long, provenance string")
+    declared = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "frame_id long, group_ref long")
+    verified = spark.createDataFrame([(4, 4), (5, 5), (6, 5)], "frame_id long, component long")
+    got = {r.frame_id: (r.survey_ref, r.membership, r.navigation_provenance) for r in rules.form_surveys(frames, declared, verified).collect()}
+    assert got == {
+        1: ("declared.1", "DECLARED", "MEASURED"), 2: ("declared.1", "DECLARED", "MEASURED"), 3: ("declared.3", "DECLARED", None), 4: ("declared.3", "DECLARED", None),
+        5: ("verified.5", "VERIFIED", None), 6: ("verified.5", "VERIFIED", None), 7: ("singleton.7", "SINGLETON", None), 8: ("singleton.8", "SINGLETON", "MEASURED"),
+    }
