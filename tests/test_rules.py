@@ -1,7 +1,6 @@
 """Rules over tables: contracts, populations, splits, gates, orders, contacts on the map and in reports."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from pingloom.operators import contacts, rules
 
