@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, brown_lm, importance, jaccard, lexical, licenses, mixing, quality_rules, substring, suffix_array, topk, toxicity, url_filter
 

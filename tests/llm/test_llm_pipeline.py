@@ -55,3 +55,17 @@ def test_stages_take_an_empty_table(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_run_takes_nulls_repeated_rows_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline as P
+
+    prose = [" ".join(f"w{(i * 7 + k * k) % 97}x{i}" for k in range(60)) for i in range(6)]
+    rows = [(1, prose[0]), (1, prose[0]), (2, None), (None, prose[1]), (None, prose[2]), (3, ""), (4, prose[3]), (5, prose[3]), (6, prose[4] + " " + prose[5]), (7, prose[5] + " tail"), (8, "one")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, rid string, ids string, slot string"
+    spark.createDataFrame([(i, t, "en", None if i == 8 else "s", 1, *["x"] * 5) for i, t in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = P.run(spark, str(tmp_path)).collect()
+    # copies and near copies stay once, whatever their ids; texts without words take no place in the mix
+    assert {r.doc_id for r in out} <= {1, 4, 5, 6, 7, 8, None} and sum(r.doc_id in (4, 5) for r in out) >= 1 and not {4, 5} <= {r.doc_id for r in out}
+    assert sum(r.doc_id is None for r in out) >= 2 and all(r.n_tokens > 0 for r in out)
