@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from ..functions.storage import scratch
 from ..operators import joins as J
 from ..operators import scalar as S
 from ..operators.nearest import nearest_distance
+from ..sources import files
 from .catalog_boxes import IOU_SQL, TILES_SQL
 from .registry import register
 
@@ -56,12 +58,15 @@ def p09(v):
     "SELECT frame_id || '_x' || lpad(x0::VARCHAR, 5, '0') || '_y' || lpad(y0::VARCHAR, 5, '0') AS tile_key, string_agg(printf('%d %.8f %.8f %.8f %.8f', CASE gt_class WHEN 'PIPELINE' THEN 0 ELSE 1 END, (cx + cw / 2) / 512, (cy + ch / 2) / 512, cw / 512, ch / 512), chr(10) ORDER BY gt_id) AS label_text FROM k GROUP BY ALL",
 )
 def s13(v):
-    """Label lines of each tile; a class without an index is skipped."""
+    """Label lines of each tile, written to a file of its own and read back; a class without an index is skipped."""
     c = p09(v).join(v["v_gt"].select("gt_id", "gt_class"), "gt_id").withColumn("i", F.when(F.col("gt_class") == "PIPELINE", 0).when(F.col("gt_class") == "SHIPWRECK", 1)).filter("i is not null")
     line = F.format_string("%d %.8f %.8f %.8f %.8f", "i", (F.col("cx") + F.col("cw") / 2) / 512, (F.col("cy") + F.col("ch") / 2) / 512, F.col("cw") / 512, F.col("ch") / 512)
     key = F.format_string("%s_x%05d_y%05d", F.col("frame_id").cast("string"), "x0", "y0")
     rows = c.groupBy(key.alias("tile_key")).agg(F.array_sort(F.collect_list(F.struct("gt_id", line.alias("line")))).alias("lines"))
-    return rows.select("tile_key", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("label_text"))
+    labels = rows.select(F.concat("tile_key", F.lit(".txt")).alias("name"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+    path = scratch(v.spark)
+    files.write_texts(labels, path)
+    return files.read_texts(v.spark, path).select(F.regexp_replace("name", "[.]txt$", "").alias("tile_key"), F.col("text").alias("label_text"))
 
 
 @register("J04_detection_cluster_join", f"SELECT a.detection_id, count(*) AS cluster_size, count(DISTINCT b.tile_id) AS tiles, round(max(b.raw_confidence), 9) AS best FROM v_det AS a JOIN v_det AS b ON a.frame_id = b.frame_id AND a.raw_class = b.raw_class AND {_IOU} >= 0.30 GROUP BY a.detection_id")

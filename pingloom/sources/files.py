@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -20,23 +20,39 @@ def _png(width: int, height: int, channels: int, samples: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2 if channels == 3 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
 
 
-def write_rasters(images: DataFrame, path: str) -> int:
-    """Write images (name, width, height, channels 1 or 3, samples, damaged) as PNG files under ``path``; gives their number.
-
-    Tasks write their own files, and the same ones if they run again. A ``damaged`` file ends in the middle.
-    """
+def _write_each(rows: DataFrame, path: str, content: Callable[[dict], bytes]) -> int:
+    """A file named ``name`` under ``path`` for each row; tasks write their own files, and the same ones if they run again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, folder = fs.FileSystem.from_uri(path)
         target.create_dir(folder, recursive=True)
         for b in batches:
             for r in b.to_pylist():
-                data = _png(r["width"], r["height"], r["channels"], bytes(r["samples"]))
                 with target.open_output_stream(f"{folder}/{r['name']}") as out:
-                    out.write(data[: len(data) // 2] if r["damaged"] else data)
+                    out.write(content(r))
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
-    return images.select("name", "width", "height", "channels", "samples", "damaged").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_rasters(images: DataFrame, path: str) -> int:
+    """Write images (name, width, height, channels 1 or 3, samples, damaged) as PNG files; gives their number. A ``damaged`` file ends in the middle."""
+
+    def content(r: dict) -> bytes:
+        data = _png(r["width"], r["height"], r["channels"], bytes(r["samples"]))
+        return data[: len(data) // 2] if r["damaged"] else data
+
+    return _write_each(images.select("name", "width", "height", "channels", "samples", "damaged"), path, content)
+
+
+def write_texts(rows: DataFrame, path: str) -> int:
+    """Write rows (name, text) as UTF-8 files that end in a line feed, empty ones for empty or null texts; gives their number."""
+    return _write_each(rows.select("name", "text"), path, lambda r: f"{r['text']}\n".encode() if r["text"] else b"")
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``name, text`` of the files that ``write_texts`` wrote."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.regexp_replace("value", "\n$", "").alias("text"))
 
 
 def scan_rasters(spark: SparkSession, path: str) -> DataFrame:

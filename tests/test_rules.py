@@ -232,3 +232,13 @@ def test_surveys_carry_a_provenance_only_if_all_members_agree(spark):
         1: ("declared.1", "DECLARED", "MEASURED"), 2: ("declared.1", "DECLARED", "MEASURED"), 3: ("declared.3", "DECLARED", None), 4: ("declared.3", "DECLARED", None),
         5: ("verified.5", "VERIFIED", None), 6: ("verified.5", "VERIFIED", None), 7: ("singleton.7", "SINGLETON", None), 8: ("singleton.8", "SINGLETON", "MEASURED"),
     }
+
+
+def test_written_texts_are_read_back(spark, tmp_path):
+    from pingloom.sources import files
+
+    rows = [("a.txt", "0 0.5 0.5 1 1\n1 0.25 0.25 0.5 0.5"), ("b.txt", None), ("c.txt", "é")]
+    path = f"file://{tmp_path}/labels"
+    assert files.write_texts(spark.createDataFrame(rows, "name string, text string"), path) == 3
+    assert {(r.name, r.text) for r in files.read_texts(spark, path).collect()} >= {rows[0], rows[2]}
+    assert (tmp_path / "labels" / "b.txt").read_bytes() == b"" and (tmp_path / "labels" / "a.txt").read_bytes() == (rows[0][1] + "\n").encode()
