@@ -69,13 +69,13 @@ def a12(v):
 @register(
     "A13_survey_index",
     """WITH f AS (SELECT survey_id, count(*) AS frames, CAST(max(epoch(ts)) AS BIGINT) AS newest FROM v_frames GROUP BY survey_id), c AS (SELECT survey_id, count(*) AS contacts, count(latest_verdict) AS reviewed FROM v_contacts GROUP BY survey_id)
-    SELECT f.survey_id, frames, newest, coalesce(contacts, 0) AS contacts, coalesce(reviewed, 0) AS reviewed FROM f LEFT JOIN c ON f.survey_id = c.survey_id ORDER BY newest DESC, f.survey_id LIMIT 50""",
+    SELECT f.survey_id, frames, newest, coalesce(contacts, 0) AS contacts, coalesce(reviewed, 0) AS reviewed FROM f LEFT JOIN c ON f.survey_id = c.survey_id ORDER BY newest DESC, f.survey_id""",
 )
 def a13(v):
-    """The newest 50 surveys first. The limit is the feature."""
+    """All surveys, the newest first; how many of them are shown is up to the caller."""
     f = v["v_frames"].groupBy("survey_id").agg(F.count("*").alias("frames"), F.unix_timestamp(F.max("ts")).alias("newest"))
     c = v["v_contacts"].groupBy("survey_id").agg(F.count("*").alias("contacts"), F.count("latest_verdict").alias("reviewed"))
-    return f.join(c, "survey_id", "left").select("survey_id", "frames", "newest", F.coalesce("contacts", F.lit(0)).alias("contacts"), F.coalesce("reviewed", F.lit(0)).alias("reviewed")).orderBy(F.col("newest").desc(), "survey_id").limit(50)
+    return f.join(c, "survey_id", "left").select("survey_id", "frames", "newest", F.coalesce("contacts", F.lit(0)).alias("contacts"), F.coalesce("reviewed", F.lit(0)).alias("reviewed")).orderBy(F.col("newest").desc(), "survey_id")
 
 
 @register("A15_class_counts", "SELECT coalesce(d.frame_id, g.frame_id) AS frame_id, coalesce(d.raw_class, g.raw_class) AS raw_class, coalesce(detections, 0) AS detections, coalesce(gt, 0) AS gt FROM (SELECT frame_id, raw_class, count(*) AS detections FROM v_det GROUP BY ALL) AS d FULL JOIN (SELECT frame_id, gt_class AS raw_class, count(*) AS gt FROM v_gt GROUP BY ALL) AS g ON d.frame_id = g.frame_id AND d.raw_class = g.raw_class")
