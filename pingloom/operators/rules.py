@@ -136,6 +136,25 @@ def shared_rows(frames: DataFrame, rows: DataFrame) -> DataFrame:
     return frames.join(met, ["a_id", "b_id"], "left").select("a_id", "b_id", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
+#: Frames of one digest that meet in one block.
+BLOCK = 256
+
+
+def sharing_frames(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``a_id, b_id, shared``: all pairs of frames a_id < b_id with digests in common, and their number; ``rows``: frame_id, digest.
+
+    The frames of a digest meet in pairs of blocks, each a key of its own, so no key has more than ``block`` frames on
+    either side, however many frames hold a digest.
+    """
+    kept = rows.select("frame_id", "digest").filter("digest is not null").distinct()
+    kept = kept.join(kept.groupBy("digest").agg(F.count(F.lit(1)).alias("frames")).filter("frames > 1"), "digest")
+    kept = ranked(kept, ["digest"], ["frame_id"], "n").select("frame_id", "digest", F.expr(f"(n - 1) div {block}").alias("own"), F.expr(f"(frames - 1) div {block}").alias("last"))
+    kept = stored(kept)  # both sides read it
+    one = kept.select(F.col("frame_id").alias("a_id"), "digest", F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j"))
+    two = kept.select(F.col("frame_id").alias("b_id"), "digest", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"))
+    return one.join(two, ["digest", "i", "j"]).filter("a_id < b_id").groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def snapshot_errors(tiles: DataFrame, boxes: DataFrame, frames: DataFrame, size: int = 512) -> DataFrame:
     """``subject, error``: what is wrong with a snapshot of tiles.
 

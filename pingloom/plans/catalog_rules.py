@@ -163,15 +163,17 @@ def a12_histogram(v):
 @register(
     "U02_shared_ping_rows",
     f"""WITH p AS ({PING_FRAMES}), r AS (SELECT DISTINCT frame_id, md5(e.embedding::VARCHAR) AS digest FROM p JOIN embeddings AS e ON p.vec_id = e.vec_id),
-    n AS (SELECT lag(frame_id) OVER (PARTITION BY frame_id // 4 % 2 ORDER BY frame_id) AS a_id, frame_id AS b_id FROM (SELECT DISTINCT frame_id FROM p) AS x)
-    SELECT n.a_id, n.b_id, count(b.digest) AS shared FROM n LEFT JOIN r AS a ON a.frame_id = n.a_id LEFT JOIN r AS b ON b.frame_id = n.b_id AND b.digest = a.digest WHERE n.a_id IS NOT NULL GROUP BY n.a_id, n.b_id""",
+    n AS (SELECT lag(frame_id) OVER (PARTITION BY frame_id // 4 % 2 ORDER BY frame_id) AS a_id, frame_id AS b_id FROM (SELECT DISTINCT frame_id FROM p) AS x),
+    m AS (SELECT a.frame_id AS a_id, b.frame_id AS b_id, count(*) AS shared FROM r AS a JOIN r AS b ON a.digest = b.digest AND a.frame_id < b.frame_id GROUP BY a.frame_id, b.frame_id)
+    SELECT coalesce(n.a_id, m.a_id) AS a_id, coalesce(n.b_id, m.b_id) AS b_id, coalesce(shared, 0) AS shared FROM (SELECT * FROM n WHERE a_id IS NOT NULL) AS n FULL JOIN m ON n.a_id = m.a_id AND n.b_id = m.b_id""",
 )
 def u02(v):
-    """Rows that neighbouring frames of a channel share."""
+    """Rows that two frames share: all pairs that share any, and neighbouring frames of a channel that share none."""
     rows = ping_rows(v)
     f = rows.select("frame_id").distinct().withColumn("channel", F.expr("frame_id div 4 % 2"))
     pairs = ordered.with_previous(ordered.laid_out(f, ["channel"], ["frame_id"]), ["channel"], ["frame_id"]).filter("prev_frame_id is not null")
-    return R.shared_rows(pairs.select(F.col("prev_frame_id").alias("a_id"), F.col("frame_id").alias("b_id")), rows)
+    near = pairs.select(F.col("prev_frame_id").alias("a_id"), F.col("frame_id").alias("b_id"))
+    return near.join(R.sharing_frames(rows), ["a_id", "b_id"], "full").select("a_id", "b_id", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
 def _written(v):

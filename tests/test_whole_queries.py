@@ -2,6 +2,7 @@
 
 import datetime
 
+from pingloom.operators import rules
 from pingloom.plans import registry
 
 
@@ -21,3 +22,21 @@ def test_index_lists_all_surveys(spark, tmp_path):
     got = registry.queries()["A13_survey_index"](spark, sf).collect()
     assert [r.survey_id for r in got] == [f"s{k}" for k in reversed(range(64))]
     assert {r.survey_id: r.contacts for r in got if r.contacts} == {"s3": 2}
+
+
+def test_all_frames_that_share_rows_are_paired(spark, tmp_path):
+    vector = lambda k: [1.0, 2.0] if k % 100 == 7 else [float(k), 0.5]
+    sf = _tables(spark, tmp_path, embeddings=([(k, vector(k)) for k in range(300)], "vec_id long, embedding array<float>"))
+    got = {(r.a_id, r.b_id): r.shared for r in registry.queries()["U02_shared_ping_rows"](spark, sf).collect()}
+    assert (got[0, 4], got[4, 8], got[0, 8]) == (1, 1, 1)  # one row in all blocks of a hundred, frames that are not neighbours too
+    assert (got[0, 1], got[1, 2], got[4, 5]) == (20, 20, 20)
+    assert got[3, 8] == 0 and (0, 2) not in got  # neighbours of a channel that share nothing stay
+
+
+def test_blocks_of_frames_lose_no_pair(spark):
+    held = [(f, "blank") for f in range(50)] + [(f, f"p{f % 7}") for f in range(50)] + [(3, "blank"), (9, None), (10, None)]
+    rows = spark.createDataFrame(held, "frame_id long, digest string")
+    expected = sorted((a, b, 1 + (a % 7 == b % 7)) for a in range(50) for b in range(a + 1, 50))
+    for block in (4, 50, 256):
+        assert sorted(tuple(r) for r in rules.sharing_frames(rows, block).collect()) == expected
+    assert rules.sharing_frames(rows.limit(0)).collect() == []
