@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.storage import scratch
+from ..functions.storage import scratch, stored
 from ..operators import ordered
 from ..sources import navigation as N
 from .fixtures import digest_sql
@@ -174,16 +174,26 @@ def s20(v):
 _MISSION = "SELECT *, CASE WHEN CAST(substr(contact_id, 2) AS BIGINT) % 211 = 0 THEN 'PROCESSING' ELSE 'READY' END AS upload, CAST(substr(survey_id, 2) AS BIGINT) % 2 = 0 AS demo, (CAST(substr(survey_id, 2) AS BIGINT) % 2 = 0) <> (CAST(substr(contact_id, 2) AS BIGINT) % 97 = 0) AS contact_demo FROM v_contacts"
 
 
+_STRONG = f"(SELECT survey_id, contact_id, contact_id AS item FROM ({_MISSION}) AS y WHERE evidence >= 0.9)"
+
+
 @register(
     "S21_mission_report_snapshot",
-    f"WITH {digest_sql(f'(SELECT survey_id, contact_id, contact_id AS item FROM ({_MISSION}) AS y WHERE evidence >= 0.9)', 'survey_id', 'contact_id')}, m AS ({_MISSION}), s AS (SELECT survey_id, CASE WHEN bool_or(upload <> 'READY') THEN 'REPORT_NOT_READY' WHEN bool_or(contact_demo <> demo) THEN 'DEMO_ISOLATION' END AS refused, count(*) AS contacts FROM m GROUP BY survey_id) SELECT s.survey_id, refused, contacts, coalesce(d.n, 0) AS strong, d.digest AS strong_digest FROM s LEFT JOIN digests AS d ON s.survey_id = d.survey_id",
+    f"""WITH {digest_sql(_STRONG, 'survey_id', 'contact_id')}, m AS ({_MISSION}), s AS (SELECT survey_id, CASE WHEN bool_or(upload <> 'READY') THEN 'REPORT_NOT_READY' WHEN bool_or(contact_demo <> demo) THEN 'DEMO_ISOLATION' END AS refused, count(*) AS contacts FROM m GROUP BY survey_id)
+    SELECT s.survey_id, refused, contacts, coalesce(d.n, 0) AS strong, d.digest AS strong_digest, d0.n + 1 AS place, d0.item AS contact_id FROM s LEFT JOIN digests AS d ON s.survey_id IS NOT DISTINCT FROM d.survey_id LEFT JOIN d0 ON s.survey_id IS NOT DISTINCT FROM d0.survey_id""",
 )
 def s21(v):
-    """One consistent report of each survey: refused while an upload is not ready or demo flags mix; its strong contacts by number and ordered digest."""
+    """One consistent report of each survey: refused while an upload is not ready or demo flags mix; its strong contacts by number and ordered digest, and each by its place in a row of its own (a survey without any: one row)."""
     c = v["v_contacts"].sparkSession.sql(_MISSION.replace("FROM v_contacts", "FROM {c}"), c=v["v_contacts"])
     refused = F.when(F.bool_or(F.col("upload") != "READY"), "REPORT_NOT_READY").when(F.bool_or(F.col("contact_demo") != F.col("demo")), "DEMO_ISOLATION")
-    strong = ordered.digest_tree(c.filter("evidence >= 0.9").select("survey_id", "contact_id"), ["survey_id"], ["contact_id"], F.col("contact_id")).select("survey_id", F.col("n").alias("strong"), F.col("digest").alias("strong_digest"))
-    return c.groupBy("survey_id").agg(refused.alias("refused"), F.count("*").alias("contacts")).join(strong, "survey_id", "left").withColumn("strong", F.coalesce("strong", F.lit(0)))
+    strong = c.filter("evidence >= 0.9").select("survey_id", "contact_id")
+    digests = ordered.digest_tree(strong, ["survey_id"], ["contact_id"], F.col("contact_id")).select(F.col("survey_id").alias("of"), F.col("n").alias("strong"), F.col("digest").alias("strong_digest"))
+    s = c.groupBy("survey_id").agg(refused.alias("refused"), F.count("*").alias("contacts")).join(digests, F.expr("survey_id <=> of"), "left").drop("of").withColumn("strong", F.coalesce("strong", F.lit(0)))
+    s = stored(s)  # a row for each survey, read twice
+    # surveys without strong contacts come in apart: an inner join lets the rows of a large survey be split
+    none = s.filter("strong = 0").withColumns({"place": F.lit(None).cast("long"), "contact_id": F.lit(None).cast("string")})
+    places = ordered.ranked(strong.withColumnRenamed("survey_id", "of"), ["of"], ["contact_id"], "place")
+    return s.join(places, F.expr("survey_id <=> of")).drop("of").unionByName(none)
 
 
 @register(

@@ -40,3 +40,16 @@ def test_blocks_of_frames_lose_no_pair(spark):
     for block in (4, 50, 256):
         assert sorted(tuple(r) for r in rules.sharing_frames(rows, block).collect()) == expected
     assert rules.sharing_frames(rows.limit(0)).collect() == []
+
+
+def test_report_lists_its_strong_contacts(spark, tmp_path):
+    # evidence is c_custkey * 7919 % 1000 / 1000, null for multiples of 11
+    strong = [k for k in range(1, 2000) if k * 7919 % 1000 >= 900 and k % 11]
+    customers = [(k, 1) for k in strong] + [(k, 2) for k in range(2001, 2100) if k * 7919 % 1000 < 900]
+    sf = _tables(spark, tmp_path, customer=_customers([*customers, (2902, None)]))
+    got = registry.queries()["S21_mission_report_snapshot"](spark, sf).collect()
+    listed = sorted((r.place, r.contact_id) for r in got if r.survey_id == "s1")
+    assert listed == list(enumerate(sorted(f"c{k}" for k in strong), 1))
+    assert {r.strong for r in got if r.survey_id == "s1"} == {len(strong)}
+    assert [(r.strong, r.place, r.contact_id) for r in got if r.survey_id is None] == [(1, 1, "c2902")]
+    assert [(r.strong, r.place, r.contact_id, r.contacts) for r in got if r.survey_id == "s2"] == [(0, None, None, len(customers) - len(strong))]
