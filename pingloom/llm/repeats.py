@@ -216,10 +216,11 @@ def entries(plan: Plan, batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> I
                 held.append({"suffix": suffix.astype(np.uint8), "depth": depth[e].astype(np.uint8), "before": before.astype(np.uint8), "rid": rid[first:end][d[e]], "pos": pos[e].astype(np.int32), "low": low[e].astype(np.uint8), "high": high[e].astype(np.uint8), "hot": is_hot})
                 n += len(idx)
                 if n >= ENTRIES:
-                    yield joined(held)
-                    held, n = [], 0
+                    held, n = [joined(held)], 0
+                    yield held.pop()  # not held on while it is worked on
     if held:
-        yield joined(held)
+        held = [joined(held)]
+        yield held.pop()
 
 
 def heads(plan: Plan, e: dict) -> np.ndarray:
@@ -231,14 +232,18 @@ def heads(plan: Plan, e: dict) -> np.ndarray:
 
 
 def hashed(fixed: np.ndarray) -> np.ndarray:
-    """Hashes of fixed-width byte strings."""
-    n = fixed.dtype.itemsize
-    at = np.arange(len(fixed)) * n
-    return kernels.Sums(kernels.byte_tokens(np.ascontiguousarray(fixed).view(np.uint8).ravel())).ranges(at, at + n)
+    """Hashes of fixed-width byte strings, ``PIECE`` bytes or less at a time: the sums take some 40 bytes a byte."""
+    n, out = fixed.dtype.itemsize, np.zeros(len(fixed), np.uint64)
+    rows = max(1, PIECE // n)
+    for a in range(0, len(fixed), rows):
+        some = np.ascontiguousarray(fixed[a : a + rows])
+        at = np.arange(len(some)) * n
+        out[a : a + rows] = kernels.Sums(kernels.byte_tokens(some.view(np.uint8).ravel())).ranges(at, at + n)
+    return out
 
 
-def split_hot(plan: Plan, e: dict) -> Iterator[dict]:
-    """Entries with those of hot grams cut into single windows, ``ENTRIES`` or a few more at a time; ``single`` tells which.
+def split_hot(plan: Plan, e: dict, most: int = 2 * ENTRIES) -> Iterator[dict]:
+    """Entries with those of hot grams cut into single windows, ``most`` at a time; ``single`` tells which.
 
     Very many suffixes share a gram where one passage stands in very many documents. Windows that start before it
     begin with what stands there, and those that end behind it differ in their end; those inside it are equal and
@@ -251,14 +256,15 @@ def split_hot(plan: Plan, e: dict) -> Iterator[dict]:
     if not is_hot.any():
         return
     e = taken(e, is_hot)
-    for a in range(0, len(e["depth"]), max(1, 2 * ENTRIES // q)):
-        part, out = taken(e, slice(a, a + max(1, 2 * ENTRIES // q))), []
+    for a in range(0, len(e["depth"]), max(1, most // q)):
+        part, out = taken(e, slice(a, a + max(1, most // q))), []
         for o in range(q):
             x = taken(part, (part["low"] <= o) & (o <= part["high"]))
             n = len(x["depth"])
             before = x["before"].reshape(n, q - 1, u)[:, :o][:, ::-1].reshape(n, o * u)
             out.append({"suffix": np.concatenate([before, x["suffix"][:, : (w - o) * u]], axis=1), "depth": np.full(n, w, np.uint8), "before": np.zeros_like(x["before"]), "rid": x["rid"], "pos": x["pos"] - np.int32(o), "low": np.zeros(n, np.uint8), "high": np.zeros(n, np.uint8)})
-        yield joined(out) | {"single": True}
+        out = [joined(out) | {"single": True}]
+        yield out.pop()
 
 
 def sample_entries(docs: DataFrame, runs: DataFrame, plan: Plan, share: float, hot: np.ndarray) -> list[tuple[bytes, int]]:

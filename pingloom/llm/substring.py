@@ -31,6 +31,8 @@ from .common import stored, with_doc_id, with_rid
 PLAN = repeats.Plan("words", 20, 6)
 #: Entries in a group (about), and heavy first words that are sent to all tasks at most.
 GROUP = 100_000
+#: Single windows of hot grams that a task sorts at once.
+SINGLES = 75_000
 MOST_HEAVY = 1_000_000
 
 
@@ -57,7 +59,9 @@ def _dealt(heavy: np.ndarray, groups: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in repeats.entries(PLAN, batches, hot):
-            for e in repeats.split_hot(PLAN, whole):
+            if whole["hot"].any():  # runs of one gram come together, so that their equal windows collapse
+                whole = repeats.taken(whole, np.argsort(_first_codes(whole), kind="stable"))
+            for e in repeats.split_hot(PLAN, whole, SINGLES):
                 e, gone = repeats.collapse(repeats.taken(e, repeats.in_order(e)))
                 part = (key(e) % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
