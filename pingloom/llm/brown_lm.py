@@ -16,12 +16,13 @@ transitions with 0.1 added to each count, emissions add-one smoothed within each
 the class of its end and has the mass of one occurrence in it.
 
 Counts of words are exact and cover every training document: tasks count their words by hash, the counts are
-summed by key, and the counts and classes of the words of a text come back by an equi-join (those of the ``COMMON``
-most frequent words are sent along instead, a table of fixed size).
+summed by key. The counts and classes of the ``COMMON`` most frequent words are sent along, a table of fixed size. Those
+of all other words come back by an equi-join with the distinct words of each chunk of encoded texts; chunks then meet
+their answers, and the class of each token is stored once, for the counts of transitions and for the scores.
 
 Defined results: null, empty and blank texts hold the end token only; a null doc_id counts as the empty id in
 the split; ties between classes go to the smaller number; a very long text is handled slice by slice (about 60 bytes
-of memory a byte) and its unknown words by key; repeated rows each keep their row; with no training document every count is 0; an empty table gives an
+of memory a byte) and is a chunk with its distinct words; repeated rows each keep their row; with no training document every count is 0; an empty table gives an
 empty result; other columns are left out.
 """
 
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,9 @@ BUCKETS = 256
 SURE, MARGIN = 3, 6.0
 _END = np.uint64(0x0123456789ABCDEF)
 _FLUSH = 1 << 21
+#: Tokens of a chunk of encoded texts, about, and what it gets back for a word.
+CHUNK = 1 << 21
+_ANSWER = np.dtype([("word", np.int64), ("n", np.int64), ("g", np.int16)])
 
 
 def train_row(modulus: int = 7, held_out: int = 2):
@@ -115,28 +120,46 @@ def _items(words: np.ndarray, own: np.ndarray, tails: np.ndarray) -> np.ndarray:
 
 
 def _encoded(common: np.ndarray):
-    """The tokens of each slice of texts as two packed arrays, so that the rounds need not read and hash words again.
+    """The tokens of each slice of texts as packed arrays, so that nothing later need read and hash words again.
 
     ``code`` (16 bits a token): the place among the common words, else ``len(common)`` + the group of the word's end.
-    ``rare``: hashes of the tokens that are not common, in their order.
+    ``rare``: hashes of the tokens that are not common, in their order. ``rids`` and ``at``: the documents and where each
+    begins. ``train`` tells slices of training documents from others; ``part`` numbers the chunks of a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, h, g, _ in _tokens(b.column("text")):
-                if len(h):
-                    at, hit = _found(common, h)
-                    code = np.where(hit, at, len(common) + g.astype(np.int64)).astype(np.uint16)
-                    yield pa.RecordBatch.from_arrays([pa.array([_packed(code)], pa.binary()), pa.array([_packed(h[~hit])], pa.binary())], names=["code", "rare"])
+        part, size = 0, 0
+        for whole in batches:
+            for train in (True, False):
+                b = whole.filter(whole.column("train") if train else pc.invert(whole.column("train")))
+                rid = np.asarray(b.column("rid"))
+                for first, end, h, g, at in _tokens(b.column("text")):
+                    spot, hit = _found(common, h)
+                    code = np.where(hit, spot, len(common) + g.astype(np.int64)).astype(np.uint16)
+                    row = {"part": part, "train": train, "rids": _packed(rid[first:end]), "at": _packed(at), "code": _packed(code), "rare": _packed(h[~hit])}
+                    yield pa.RecordBatch.from_pylist([row], _ENCODED)
+                    size += len(h)
+                    if size >= CHUNK:
+                        part, size = part + 1, 0
 
     return run
 
 
-def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(codes, hashes of the rare tokens) of each slice."""
+_ENCODED = pa.schema([("part", pa.int64()), ("train", pa.bool_()), *((c, pa.binary()) for c in ("rids", "at", "code", "rare"))])
+
+
+def encoded(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """Encoded slices of documents (rid, text, train) with the number of their ``chunk``, stored."""
+    out = docs.select("rid", "text", "train").mapInArrow(_encoded(common), "part long, train boolean, rids binary, at binary, code binary, rare binary")
+    return stored(out.withColumn("chunk", F.shiftleft(F.spark_partition_id().cast("long"), 24) + F.col("part")).drop("part"))
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """(codes, hashes of the rare tokens, where they are read) of each slice."""
     for b in batches:
-        for code, rare in zip(b.column("code"), b.column("rare"), strict=True):
-            yield _opened(code.as_py(), np.uint16).astype(np.int64), _opened(rare.as_py(), np.int64)
+        rare = b.column("rare") if "rare" in b.schema.names else [None] * b.num_rows
+        for code, r in zip(b.column("code"), rare, strict=True):
+            yield _opened(code.as_py(), np.uint16).astype(np.int64), None if r is None else _opened(r.as_py(), np.int64)
 
 
 def _bigrams(item_of: np.ndarray, kinds: int):
@@ -430,7 +453,7 @@ def cluster_common(coded: DataFrame, model: dict, rounds: int = ROUNDS) -> tuple
     """``model`` with the classes ``g`` of the common words after rounds of exchange, and the class bigrams."""
     best, classes, size = None, model["classes"], -(-(len(model["common"]) + model["classes"]) // BUCKETS)
     for k in range(rounds + 1):
-        seen = stored(coded.mapInArrow(_contexts(model), "bucket int, block binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "bucket int, block binary"))
+        seen = stored(coded.select("code").mapInArrow(_contexts(model), "bucket int, block binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "bucket int, block binary"))
         grid = _cells(seen, model)
         if best and _likelihood(grid) < _likelihood(best[1]):
             return best  # the last round made it worse
@@ -461,105 +484,137 @@ def cluster_common(coded: DataFrame, model: dict, rounds: int = ROUNDS) -> tuple
     return best
 
 
-def _pairs(model: dict):
-    """Counts of neighbours (a, b): common words and the end by class, others by hash."""
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each chunk that are not common."""
+    chunk, held = None, []
 
-    common, of = len(model["common"]), _class_of(model)
+    def out():
+        word = np.unique(np.concatenate(held))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), chunk)), pa.array(word)], names=["chunk", "word"])
 
-    def rows(batches):
-        for code, rare in _codes(batches):
-            key = of[code]
-            key[code >= common] = rare
-            yield np.stack([np.append(model["classes"] - 1, key[:-1]), key], 1)
+    for b in batches:
+        for k, rare in zip(b.column("chunk").to_pylist(), b.column("rare"), strict=True):
+            if k != chunk and held:
+                yield out()
+                held = []
+            chunk = k
+            held.append(np.unique(_opened(rare.as_py(), np.int64)))
+    if held:
+        yield out()
 
-    return lambda batches: _tally(rows(batches), ["a", "b"])
 
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, word, n, g) packed by chunk."""
+    held, size = [], 0
 
-def _scored(model: dict):
-    """A row for each document with what is known in the task, and rows (rid, word, pos) of the words to look up.
+    def out():
+        chunk, word, n, g = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(chunk, kind="stable")
+        rows = np.empty(len(order), _ANSWER)
+        rows["word"], rows["n"], rows["g"] = word[order], n[order], g[order]
+        chunk = chunk[order]
+        at = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+        blobs = [_packed(rows[a:z]) for a, z in zip(at.tolist(), np.append(at[1:], len(rows)).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[at]), pa.array(blobs, pa.binary())], names=["chunk", "answer"])
 
-    ``before``, ``behind``: classes of the words next to it; -1 where they are to be looked up too, -2 for none.
+    for b in batches:
+        if b.num_rows:
+            held.append(tuple(np.asarray(b.column(c)) for c in ("chunk", "word", "n", "g")))
+            size += b.num_rows
+        if size >= _FLUSH:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def _classed(model: dict):
+    """Slices in order of chunk, behind the chunk's answers: the class of each token, and sums of each document.
+
+    ``logs``: the sum of log10(count + 1); ``known``: tokens that are known.
     """
-    own, common, common_n = model["own"], model["common"], model["common_n"]
-    of, step = model["class_of"], model["step"]
+    common, common_n, of = len(model["common"]), model["common_n"], _class_of(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, known = None, [], None
         for b in batches:
-            rid = np.asarray(b.column("rid"))
-            for first, end, h, g, at in _tokens(b.column("text")):
-                docs = end - first
-                if not docs:
+            for k, row in zip(b.column("chunk").to_pylist(), range(b.num_rows), strict=True):
+                if k != chunk:
+                    chunk, held, known = k, [], None
+                get = lambda c, kind, b=b, row=row: _opened(b.column(c)[row].as_py(), kind)
+                if b.column("answer")[row].is_valid:
+                    held.append(get("answer", _ANSWER))
                     continue
-                spot, hit = _found(common, h)
-                tail = of[_items(h, own, g)]
-                cls = np.where(hit, tail, -1)
-                before = np.append(-1, cls[:-1])
-                before[at[:-1]] = len(step) - 1
-                behind = np.append(cls[1:], -2)
-                behind[at[1:] - 1] = -2
-                doc = np.repeat(np.arange(docs), np.diff(at))
-                path = np.add.reduceat(np.where((before >= 0) & hit, step[before, cls], 0.0), at[:-1])
-                n = common_n[spot[hit]] if len(common) else np.zeros(0)
-                logs = np.bincount(doc[hit], weights=np.log10(n + 1.0), minlength=docs)
-                known = np.bincount(doc[hit], weights=n > 0, minlength=docs)
-                ask = np.flatnonzero(~hit)
-                own_rid = rid[first:end]
-                z = lambda k, t: np.zeros(k, t)
-                none = np.full(docs, -2)
-                both = lambda x, y, t: pa.array(np.concatenate([x, y]).astype(t))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        both(own_rid, own_rid[doc[ask]], np.int64),
-                        # a document's own row finds no count: it is spread by its id
-                        both(kernels.mix(own_rid.astype(np.uint64)).view(np.int64), h[ask].view(np.int64), np.int64),
-                        both(none, ask - at[doc[ask]], np.int32),
-                        both(none, before[ask], np.int16),
-                        both(none, behind[ask], np.int16),
-                        both(none, tail[ask], np.int16),
-                        both(np.diff(at), z(len(ask), np.int64), np.int64),
-                        both(known, z(len(ask), float), np.int64),
-                        both(logs, z(len(ask), float), float),
-                        both(path, z(len(ask), float), float),
-                    ],
-                    names=["rid", "word", "pos", "before", "behind", "g", "n_tokens", "n_known", "logs", "path"],
-                )
+                if known is None:
+                    known = np.concatenate(held) if held else np.zeros(0, _ANSWER)
+                    known = known[np.argsort(known["word"], kind="stable")]
+                    word, n, g = (np.ascontiguousarray(known[c]) for c in ("word", "n", "g"))
+                    held = []
+                code, rare, at = get("code", np.uint16).astype(np.int64), get("rare", np.int64), get("at", np.int64)
+                cls, hit, count = of[code], code < common, np.zeros(len(code), np.int64)
+                count[hit] = common_n[code[hit]]
+                spot, met = _found(word, rare)
+                ask = np.flatnonzero(~hit)[met]
+                cls[ask], count[ask] = g[spot[met]], n[spot[met]]
+                packed = [get("rids", np.int64), at, cls.astype(np.uint16), np.add.reduceat(np.log10(count + 1.0), at[:-1]), np.add.reduceat((count > 0).astype(np.int64), at[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("train")[row].as_py()]), *(pa.array([_packed(x)], pa.binary()) for x in packed)], names=["train", "rids", "at", "cls", "logs", "known"])
 
     return run
 
 
-def _looked_up(step: np.ndarray):
-    """Transitions of a word that was looked up to neighbours of known class."""
+def classed(coded: DataFrame, words: DataFrame, model: dict) -> DataFrame:
+    """Slices with the class of each token, stored; ``words``: word, n, g of all but the common words."""
+    answers = coded.select("chunk", "rare").mapInArrow(_asked, "chunk long, word long").join(words, "word").select("chunk", "word", "n", F.col("g").cast("short").alias("g"))
+    answers = answers.mapInArrow(_answered, "chunk long, answer binary")
+    both = coded.withColumn("answer", F.lit(None).cast("binary")).unionByName(answers, allowMissingColumns=True)
+    both = both.repartition("chunk").sortWithinPartitions("chunk", F.col("answer").isNull())
+    return stored(both.mapInArrow(_classed(model), "train boolean, rids binary, at binary, cls binary, logs binary, known binary"))
 
+
+def _steps(b: pa.RecordBatch, row: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class before, class, where each document begins) of a slice; before a document stands the end."""
+    at, cls = _opened(b.column("at")[row].as_py(), np.int64), _opened(b.column("cls")[row].as_py(), np.uint16).astype(np.int64)
+    before = np.append(classes - 1, cls[:-1])
+    before[at[:-1]] = classes - 1
+    return before, cls, at
+
+
+def _transitions(classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(classes * classes, np.int64)
         for b in batches:
-            before, behind, g = (np.asarray(b.column(c)).astype(np.int64) for c in ("before", "behind", "g"))
-            path = np.asarray(b.column("path")) + np.where(before >= 0, step[before, g], 0.0) + np.where(behind >= 0, step[g, behind], 0.0)
-            ask = (before == -1) | (behind == -1)
-            names = ["rid", "pos", "g", "n_tokens", "n_known", "logs"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(path), pa.array(ask)], names=[*names, "path", "ask"])
+            for row in range(b.num_rows):
+                before, cls, _ = _steps(b, row, classes)
+                table += np.bincount(before * classes + cls, minlength=len(table))
+        code = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(table[code])], names=["code", "n"])
 
     return run
 
 
-def _linked(step: np.ndarray):
-    """Transitions between words that were both looked up."""
-
+def _scored(step: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, path = b.column("asked"), np.asarray(b.column("path")).copy()
-            seen, doc = lists.flatten(), np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths()))
-            pos, g = np.asarray(seen.field("pos")), np.asarray(seen.field("g"))
-            next_to = np.flatnonzero((doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1] + 1))
-            np.add.at(path, doc[next_to], step[g[next_to], g[next_to + 1]])
-            names = ["rid", "n_tokens", "n_known", "logs"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(path)], names=[*names, "path"])
+            for row in range(b.num_rows):
+                before, cls, at = _steps(b, row, len(step))
+                rid, logs, known = (_opened(b.column(c)[row].as_py(), t) for c, t in (("rids", np.int64), ("logs", float), ("known", np.int64)))
+                path = np.add.reduceat(step[before, cls], at[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid, np.diff(at), known, logs, path)], names=["rid", "n_tokens", "n_known", "logs", "path"])
 
     return run
 
 
 def fit(train: DataFrame, counts: DataFrame) -> dict:
-    """Classes of all words and smoothed tables; the driver holds the common words, the first items and the class bigrams."""
-    spark = train.sparkSession
+    """Classes of all words and smoothed tables of training documents."""
+    return _fitted(train.select(F.lit(0).cast("long").alias("rid"), "text", F.lit(True).alias("train")), counts)[0]
+
+
+def _fitted(docs: DataFrame, counts: DataFrame) -> tuple[dict, DataFrame]:
+    """The model of the documents marked ``train``, and all documents in slices with the class of each token.
+
+    The driver holds the common words, the first items and the class bigrams.
+    """
+    spark = docs.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     classes = max(CLASSES, math.ceil(total["v"] ** (1 / 3)))
     top = counts.orderBy(F.col("n").desc(), "word").limit(COMMON).toArrow()
@@ -568,11 +623,12 @@ def fit(train: DataFrame, counts: DataFrame) -> dict:
     own = own[own != _END][:ITEMS]
     order = np.argsort(words)
     common, common_n, tails = words[order], n[order], tails[order]
-    coded = stored(train.select("text").mapInArrow(_encoded(common), "code binary, rare binary"))
+    coded = encoded(docs, common)
+    train = coded.filter("train")
     kinds = len(own) + ENDS + 1
     item_of = np.concatenate([_items(common, own, tails), len(own) + np.arange(ENDS + 1)])
     table = np.zeros(kinds * kinds)
-    for r in coded.mapInArrow(_bigrams(item_of, kinds), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+    for r in train.select("code").mapInArrow(_bigrams(item_of, kinds), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         table[r.code] = r.n
     of = exchange(table.reshape(kinds, kinds), classes)
     ends = of[len(own) :]
@@ -581,28 +637,22 @@ def fit(train: DataFrame, counts: DataFrame) -> dict:
     g = np.where(common_n < SURE, ends[tails], (kernels.mix(common) % np.uint64(classes - 1)).astype(np.int64))
     g = np.where(first, of[at] if len(own) else 0, g)
     g[common == _END] = classes - 1
-    model, grid = cluster_common(coded, {"common": common, "g": g.astype(np.int64), "ends": ends, "classes": classes})
+    model, grid = cluster_common(train, {"common": common, "g": g.astype(np.int64), "ends": ends, "classes": classes})
     # every other word by its neighbours
     ends_of = lambda tail: F.element_at(F.array(*[F.lit(int(x)) for x in ends]), tail.cast("int") + 1)
     near = spark.createDataFrame(pa.table({"word": pa.array(common.view(np.int64)), "near": pa.array(model["g"].astype(np.int32))}))
     every = counts.join(F.broadcast(near), "word", "left").withColumn("g", F.coalesce("near", ends_of(F.col("tail"))).cast("int"))
-    rest = coded.mapInArrow(_rare_contexts(model), "item long, code int, n long").groupBy("item", "code").agg(F.sum("n").alias("n"))
+    rest = train.select("code", "rare").mapInArrow(_rare_contexts(model), "item long, code int, n long").groupBy("item", "code").agg(F.sum("n").alias("n"))
     rest = rest.groupBy(F.col("item").alias("word")).agg(F.collect_list(F.struct("code", "n")).alias("seen")).join(every.filter("near is null").select("word", "g", F.col("n").alias("occurs")), "word")
     moved = rest.select(F.col("word").alias("item"), "g", "occurs", "seen").mapInArrow(_moves(grid), "item long, to int").withColumnRenamed("item", "word")
     every = stored(every.join(moved, "word", "left").select("word", "n", "near", F.coalesce("to", "g").alias("g")))
     # class bigrams of all neighbours, with the classes that the words have now
-    pairs = coded.mapInArrow(_pairs(model), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    rare = every.filter("near is null")
-    for side in ("a", "b"):
-        here = F.col(side).between(0, classes - 1)
-        looked = pairs.filter(~here).join(rare.select(F.col("word").alias(side), F.col("g").alias("to")), side).withColumn(side, F.col("to").cast("long")).drop("to")
-        pairs = pairs.filter(here).unionByName(looked).groupBy("a", "b").agg(F.sum("n").alias("n"))
-        if side == "a":
-            pairs = stored(pairs)
-            dropped(coded)  # nothing that follows is computed from it
-    grid = np.zeros((classes, classes))
-    for r in pairs.collect():  # a row for each pair of classes at most
-        grid[r.a, r.b] = r.n
+    slices = classed(coded, every.filter("near is null").select("word", "n", "g"), model | {"common_n": common_n})
+    dropped(coded)  # nothing that follows is computed from it
+    grid = np.zeros(classes * classes)
+    for r in slices.filter("train").select("at", "cls").mapInArrow(_transitions(classes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        grid[r.code] = r.n  # a row for each pair of classes at most
+    grid = grid.reshape(classes, classes)
     step = np.log10((grid + 0.1) / (grid.sum(1, keepdims=True) + 0.1 * classes))
     # tokens and distinct words of each class
     mass, kinds_in = np.zeros(classes), np.zeros(classes)
@@ -610,10 +660,11 @@ def fit(train: DataFrame, counts: DataFrame) -> dict:
         mass[r.g], kinds_in[r.g] = r.n, r.v
     # log10 P(token | class) is log10(count + 1) less the class's denominator, which joins the transition into it
     step = step - np.log10(mass + kinds_in + 1.0)[None, :]
-    return {
+    fitted = {
         "own": common, "common": common, "common_n": common_n, "class_of": np.concatenate([model["g"], ends]).astype(np.int64), "step": step, "n": int(total["n"]), "v": int(total["v"]),
         "words": every.select("word", F.col("n").alias("c"), F.col("g").alias("of")),
     }
+    return fitted, slices
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:
@@ -621,18 +672,9 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null or doc_id < 0").limit(1).count()
     docs = stored(docs.withColumn("rid", F.monotonically_increasing_id())) if odd else docs.withColumn("rid", F.coalesce("doc_id", F.lit(-1)))
-    train = docs.filter(train_row())
-    counts = stored(word_counts(train))
-    model = fit(train, counts)
-    rows = docs.select("rid", "text").mapInArrow(_scored(model), "rid long, word long, pos int, before short, behind short, g short, n_tokens long, n_known long, logs double, path double")
-    c = F.coalesce("c", F.lit(0))
-    rows = rows.join(model["words"], "word", "left").select(
-        "rid", "pos", "before", "behind", F.coalesce("of", "g").cast("int").alias("g"), "n_tokens", (F.col("n_known") + F.when(c > 0, 1).otherwise(0)).alias("n_known"), (F.col("logs") + F.log10(c + 1.0)).alias("logs"), "path",
-    )
-    rows = rows.mapInArrow(_looked_up(model["step"]), "rid long, pos int, g int, n_tokens long, n_known long, logs double, path double, ask boolean")
-    asked = F.sort_array(F.collect_list(F.when(F.col("ask"), F.struct("pos", "g")))).alias("asked")
-    out = rows.groupBy("rid").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("logs").alias("logs"), F.sum("path").alias("path"), asked)
-    out = out.mapInArrow(_linked(model["step"]), "rid long, n_tokens long, n_known long, logs double, path double")
+    counts = stored(word_counts(docs.filter(train_row())))
+    model, slices = _fitted(docs.select("rid", "text", train_row().alias("train")), counts)
+    out = slices.drop("train").mapInArrow(_scored(model["step"]), "rid long, n_tokens long, n_known long, logs double, path double")
     out = out.select(
         "rid", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(model["n"] + model["v"] + 1)))).alias("base_score"), (F.col("logs") + F.col("path")).alias("score"),
