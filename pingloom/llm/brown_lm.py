@@ -609,10 +609,10 @@ def fit(train: DataFrame, counts: DataFrame) -> dict:
     return _fitted(train.select(F.lit(0).cast("long").alias("rid"), "text", F.lit(True).alias("train")), counts)[0]
 
 
-def _fitted(docs: DataFrame, counts: DataFrame) -> tuple[dict, DataFrame]:
+def _fitted(docs: DataFrame, counts: DataFrame, last: bool = False) -> tuple[dict, DataFrame]:
     """The model of the documents marked ``train``, and all documents in slices with the class of each token.
 
-    The driver holds the common words, the first items and the class bigrams.
+    The driver holds the common words, the first items and the class bigrams. ``last``: nobody needs the counts any more.
     """
     spark = docs.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -642,10 +642,12 @@ def _fitted(docs: DataFrame, counts: DataFrame) -> tuple[dict, DataFrame]:
     ends_of = lambda tail: F.element_at(F.array(*[F.lit(int(x)) for x in ends]), tail.cast("int") + 1)
     near = spark.createDataFrame(pa.table({"word": pa.array(common.view(np.int64)), "near": pa.array(model["g"].astype(np.int32))}))
     every = counts.join(F.broadcast(near), "word", "left").withColumn("g", F.coalesce("near", ends_of(F.col("tail"))).cast("int"))
-    rest = train.select("code", "rare").mapInArrow(_rare_contexts(model), "item long, code int, n long").groupBy("item", "code").agg(F.sum("n").alias("n"))
+    rest = train.select("code", "rare").mapInArrow(_rare_contexts(model), "item long, code int, n long").repartition("item").groupBy("item", "code").agg(F.sum("n").alias("n"))
     rest = rest.groupBy(F.col("item").alias("word")).agg(F.collect_list(F.struct("code", "n")).alias("seen")).join(every.filter("near is null").select("word", "g", F.col("n").alias("occurs")), "word")
     moved = rest.select(F.col("word").alias("item"), "g", "occurs", "seen").mapInArrow(_moves(grid), "item long, to int").withColumnRenamed("item", "word")
     every = stored(every.join(moved, "word", "left").select("word", "n", "near", F.coalesce("to", "g").alias("g")))
+    if last:
+        dropped(counts)
     # class bigrams of all neighbours, with the classes that the words have now
     slices = classed(coded, every.filter("near is null").select("word", "n", "g"), model | {"common_n": common_n})
     dropped(coded)  # nothing that follows is computed from it
@@ -673,7 +675,7 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null or doc_id < 0").limit(1).count()
     docs = stored(docs.withColumn("rid", F.monotonically_increasing_id())) if odd else docs.withColumn("rid", F.coalesce("doc_id", F.lit(-1)))
     counts = stored(word_counts(docs.filter(train_row())))
-    model, slices = _fitted(docs.select("rid", "text", train_row().alias("train")), counts)
+    model, slices = _fitted(docs.select("rid", "text", train_row().alias("train")), counts, last=True)
     out = slices.drop("train").mapInArrow(_scored(model["step"]), "rid long, n_tokens long, n_known long, logs double, path double")
     out = out.select(
         "rid", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"),
