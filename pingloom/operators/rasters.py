@@ -1,7 +1,15 @@
-"""Measures of rasters, from tables of samples (image_id, row_idx, col_idx, sample): two-level aggregates, no pixel loops."""
+"""Measures of rasters, from tables of samples (image_id, row_idx, col_idx, sample): two-level aggregates, no pixel loops.
+
+Boxes are measured where their image is (``_measured``): each box is shuffled once, and no sample is copied to it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,6 +90,161 @@ def pool_cells(px: DataFrame, block: int = 4) -> DataFrame:
     return cell.join(norm, ["cy", "cx"]).select("image_id", "cy", "cx", (F.col("m") / F.col("len")).alias("value"))
 
 
+#: Samples of windows that are held at a time.
+HELD = 1 << 21
+
+
+class _Raster:
+    """One image: its samples by row and column, a layer more where a place has several; ``lost`` rows and values for the whole."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, samples: np.ndarray, lost: np.ndarray, whole: dict):
+        self.lost, self.whole = np.sort(lost), whole
+        ok = ~np.isnan(samples) & (rows >= 0)
+        rows, cols, samples = rows[ok], cols[ok], samples[ok]
+        self.rows, r = np.unique(rows, return_inverse=True)
+        self.cols, c = np.unique(cols, return_inverse=True)
+        cell = r * len(self.cols) + c
+        order = np.argsort(cell, kind="stable")
+        first = np.flatnonzero(np.diff(cell[order], prepend=-1))
+        layer = np.empty(len(cell), np.int64)
+        layer[order] = np.arange(len(cell)) - np.repeat(first, np.diff(np.append(first, len(cell))))
+        whole_numbers = bool((np.abs(samples) < 1 << 20).all() and (samples == np.floor(samples)).all())  # these and their halves are exact in 32 bits
+        self.grid = np.full((layer.max(initial=0) + 1, len(self.rows) + 1, len(self.cols) + 1), np.nan, np.float32 if whole_numbers else np.float64)
+        self.grid[layer, r, c] = samples
+
+    def windows(self, top: np.ndarray, bottom: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows (bottom and right are outside) of like size together: which they are, rows and columns, and samples (window, layer, row, column), NaN where there is none."""
+        if not len(self.rows):
+            return
+        wide = np.maximum(bottom - top, 0) * np.maximum(right - left, 0) * len(self.grid) > HELD
+        top, bottom = (np.where(wide, np.clip(x, self.rows[0], self.rows[-1] + 1), x) for x in (top, bottom))
+        left, right = (np.where(wide, np.clip(x, self.cols[0], self.cols[-1] + 1), x) for x in (left, right))
+        high, broad = bottom - top, right - left
+        sizes, which = np.unique(np.stack([high, broad], 1), axis=0, return_inverse=True)
+        for k, (h, w) in enumerate(sizes.tolist()):
+            if h <= 0 or w <= 0:
+                continue
+            same, step = np.flatnonzero(which.reshape(-1) == k), max(1, HELD // (h * w * len(self.grid)))
+            for at in (same[i : i + step] for i in range(0, len(same), step)):
+                r, c = top[at, None] + np.arange(h), left[at, None] + np.arange(w)
+                yield at, r, c, self.grid[:, self._place(self.rows, r)[:, :, None], self._place(self.cols, c)[:, None, :]].swapaxes(0, 1)
+
+    @staticmethod
+    def _place(present: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(present, wanted)
+        return np.where(present[np.minimum(at, len(present) - 1)] == wanted, at, len(present))
+
+
+def _measured(px: DataFrame, boxes: DataFrame, key: list[str], measure: Callable[[_Raster, dict], dict], names: list[str], whole: DataFrame | None = None, lost: DataFrame | None = None) -> DataFrame:
+    """``boxes`` with the columns ``names`` (doubles) of ``measure``, which gets an image and different values of ``key``; null where it gives NaN.
+
+    Images and their boxes are sorted into one stream, first the rows of an image, then its boxes by ``key``. A task
+    holds one image and a batch of boxes; boxes of equal keys are measured once a batch. ``whole``: values of images;
+    ``lost`` (image_id, row_idx): rows marked as such.
+    """
+    rows = px.groupBy("image_id", F.col("row_idx").cast("bigint").alias("row_idx")).agg(F.collect_list(F.struct(F.col("col_idx").cast("bigint").alias("c"), F.col("sample").cast("double").alias("s"))).alias("s"))
+    rows = rows.select("image_id", "row_idx", F.col("s.c").alias("_cols"), F.col("s.s").alias("_samples"))
+    if lost is not None:
+        rows = rows.join(lost.select("image_id", F.col("row_idx").cast("bigint").alias("row_idx"), F.lit(True).alias("_lost")).distinct(), ["image_id", "row_idx"], "full")
+    else:
+        rows = rows.withColumn("_lost", F.lit(False))
+    of_whole = [c for c in whole.columns if c != "image_id"] if whole is not None else []
+    if whole is not None:
+        rows = rows.join(whole.select("image_id", *[F.col(c).cast("double").alias(f"_w_{c}") for c in of_whole]), "image_id", "left")
+    rows = rows.filter("image_id is not null").withColumn("_kind", F.lit(0)).withColumnRenamed("row_idx", "_row")
+    kept = boxes.columns
+    both = rows.unionByName(boxes.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    kind = both.schema["image_id"].dataType
+    if boxes.schema["image_id"].dataType != kind:
+        both = both.withColumn("image_id", F.col("image_id").cast(kind))
+    both = both.repartition("image_id").sortWithinPartitions("image_id", "_kind", *key)
+
+    def numbers(column: pa.Array) -> np.ndarray:
+        return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the image that comes next
+        image, raster = None, None
+        for b in batches:
+            ids, kinds = b.column("image_id"), b.column("_kind").to_numpy(zero_copy_only=False)
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            differ = pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False) if len(ids) > 1 else np.zeros(0, bool)
+            cuts = np.flatnonzero(differ | (np.diff(null.astype(np.int8)) != 0) | (np.diff(kinds) != 0)) + 1
+            found = np.full((len(names), b.num_rows), np.nan)
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                now = ids[start].as_py()
+                if image is None or now != image:
+                    image, raster, held = now, None, []
+                if not kinds[start]:
+                    held.append(b.slice(start, end - start))
+                    continue
+                if now is None:
+                    continue
+                if raster is None:
+                    raster, held = _raster(held, of_whole), []
+                values = {k: numbers(b.column(k).slice(start, end - start)) for k in key}
+                table = np.stack(list(values.values()))
+                new = np.ones(end - start, bool)
+                new[1:] = ((table[:, 1:] != table[:, :-1]) & ~(np.isnan(table[:, 1:]) & np.isnan(table[:, :-1]))).any(0)
+                got = measure(raster, {k: x[new] for k, x in values.items()})
+                for i, n in enumerate(names):
+                    found[i, start:end] = got[n][np.cumsum(new) - 1]
+            asked = np.flatnonzero(kinds)
+            if len(asked):
+                out = b.select(kept).take(pa.array(asked))
+                yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array(f[asked], pa.float64(), from_pandas=True) for f in found)], names=[*kept, *names])
+
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*kept).schema] + [f"`{n}` double" for n in names])
+    return both.mapInArrow(run, fields)
+
+
+def _raster(held: list[pa.RecordBatch], of_whole: list[str]) -> _Raster:
+    if not held:
+        none = np.zeros(0)
+        return _Raster(none.astype(np.int64), none.astype(np.int64), none, none, dict.fromkeys(of_whole, np.nan))
+    t = pa.Table.from_batches(held).combine_chunks()
+    rows = t.column("_row").to_numpy()
+    size = pc.fill_null(pc.list_value_length(t.column("_cols")), 0).to_numpy()
+    flat = lambda c, kind: np.asarray(pc.list_flatten(t.column(c)).cast(kind).to_numpy())
+    lost = rows[pc.fill_null(t.column("_lost"), False).to_numpy()]
+    whole = {c: x if (x := t.column(f"_w_{c}")[0].as_py()) is not None else np.nan for c in of_whole}
+    return _Raster(np.repeat(rows, size), flat("_cols", pa.int64()), flat("_samples", pa.float64()), lost, whole)
+
+
+def _middle(ordered: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Medians of rows in order, of which the first ``n`` count."""
+    at = np.arange(len(n))
+    return 0.5 * ordered[at, np.maximum(n - 1, 0) // 2].astype(float) + 0.5 * ordered[at, np.minimum(n // 2, ordered.shape[1] - 1)].astype(float)
+
+
+def _mean(x: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Mean over rows, columns and layers where a sample stands and ``where`` (window, 1, row, column) holds; NaN without any."""
+    ok = where & ~np.isnan(x)
+    n = ok.sum((1, 2, 3))
+    with np.errstate(invalid="ignore"):
+        return np.where(ok, x, 0).sum((1, 2, 3), dtype=float) / np.where(n, n, np.nan)
+
+
+def _contrasts(raster: _Raster, box: dict) -> dict:
+    x1, y1, x2, y2 = (box[c].astype(np.int64) for c in ("x1", "y1", "x2", "y2"))
+    pad = np.maximum(3, np.floor(np.maximum(x2 - x1, y2 - y1) * 0.5)).astype(np.int64)
+    out = {n: np.full(len(pad), np.nan) for n in ("bg", "scale", "bright", "dark", "mean")}
+    for at, r, c, x in raster.windows(y1 - pad, y2 + pad, x1 - pad, x2 + pad):
+        flat = x.reshape(len(at), -1)
+        n = (~np.isnan(flat)).sum(1)
+        bg = _middle(np.sort(flat, 1), n)
+        scale = np.maximum(1.0, _middle(np.sort(np.abs(flat - bg[:, None].astype(flat.dtype)), 1), n) * 1.4826)
+        where = (((r >= y1[at, None]) & (r < y2[at, None]))[:, :, None] & ((c >= x1[at, None]) & (c < x2[at, None]))[:, None, :])[:, None]
+        ok = where & ~np.isnan(x)
+        inside = ok.sum((1, 2, 3))
+        some = np.where(inside, inside, np.nan)
+        share = lambda hit: (hit & ok).sum((1, 2, 3)) / some  # noqa: E731, B023
+        on = lambda v: v[:, None, None, None]
+        for name, value in (("bg", bg), ("scale", scale), ("bright", share(x >= on(bg + scale))), ("dark", share(x <= on(bg - scale))), ("mean", np.where(ok, x, 0).sum((1, 2, 3), dtype=float) / some)):
+            out[name][at] = np.where(inside, value, np.nan)
+    return out
+
+
 def _on_rows(px: DataFrame, boxes: DataFrame, begin: Column, end: Column) -> DataFrame:
     """Samples of the rows begin..end - 1 of each box: a row for each, so that both sides meet on (image, row)."""
     some = boxes.withColumn("_a", F.greatest(F.lit(0), begin.cast("int"))).withColumn("_z", end.cast("int")).filter("_z > _a")
@@ -90,15 +253,7 @@ def _on_rows(px: DataFrame, boxes: DataFrame, begin: Column, end: Column) -> Dat
 
 def hard_return(px: DataFrame, boxes: DataFrame) -> DataFrame:
     """Bright and dark shares of each box (box_id, image_id, integer x1, y1, x2, y2) against its padded surroundings."""
-    pad = F.greatest(F.lit(3), F.floor(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * 0.5))
-    b = boxes.withColumn("pad", pad)
-    met = _on_rows(px, b, F.expr("y1 - pad"), F.expr("y2 + pad")).filter("col_idx >= x1 - pad and col_idx < x2 + pad")
-    met = met.withColumn("inside", F.expr("col_idx >= x1 and col_idx < x2 and row_idx >= y1 and row_idx < y2"))
-    level = met.groupBy("box_id").agg(F.median("sample").alias("bg"))
-    met = met.join(level, "box_id")
-    spread = met.groupBy("box_id").agg(F.greatest(F.lit(1.0), F.median(F.abs(F.col("sample") - F.col("bg"))) * 1.4826).alias("scale"))
-    crop = met.filter("inside").join(spread, "box_id")
-    out = crop.groupBy("box_id", "bg", "scale", "x1", "x2", "y1", "y2").agg(F.avg((F.col("sample") >= F.col("bg") + F.col("scale")).cast("double")).alias("bright"), F.avg((F.col("sample") <= F.col("bg") - F.col("scale")).cast("double")).alias("dark"), F.avg("sample").alias("mean"))
+    out = _measured(px, boxes.select("box_id", "image_id", "x1", "y1", "x2", "y2"), ["x1", "x2", "y1", "y2"], _contrasts, ["bg", "scale", "bright", "dark", "mean"]).filter("bg is not null")
     hard = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("bright") - 0.08) / 0.45))
     long = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / F.greatest(F.lit(1), F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
     status = F.when((hard >= 0.55) & (long >= 3), "SUPPORTED").when(hard > 0.10, "WEAK_SUPPORT").when((F.col("dark") >= 0.70) & (F.col("bright") <= 0.08), "ACOUSTICALLY_INCONSISTENT").otherwise("INSUFFICIENT_EVIDENCE")
