@@ -245,6 +245,36 @@ def _contrasts(raster: _Raster, box: dict) -> dict:
     return out
 
 
+def _whole(x: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Whole numbers; 0 where it is not ``ok``."""
+    return np.where(ok, x, 0).astype(np.int64)
+
+
+def _shades(raster: _Raster, box: dict) -> dict:
+    """Mean and deviation beside a box's band of rows a..z, means of the band and of rows u..w behind and before the box, share of dark lines."""
+    ok = box["_none"] == 0
+    x1, x2, a, z, u, w = (box[c] for c in ("x1", "x2", "a", "z", "u", "w"))
+    side = x2 - x1
+    out = {n: np.full(len(ok), np.nan) for n in ("mean", "std", "dark", "bright", "lines")}
+    top, bottom = (_whole(np.trunc(f(p, q)), ok) for f, p, q in ((np.minimum, a, u), (np.maximum, z, w)))
+    for at, r, c, x in raster.windows(top, bottom, _whole(np.ceil(x1 - side), ok), _whole(np.ceil(x2 + side), ok)):
+        part = lambda v, lo, hi: (v >= lo[at, None]) & (v < hi[at, None])  # noqa: E731, B023
+        inside, band, light = part(c, x1, x2)[:, None, None, :], part(r, a, z)[:, None, :, None], part(r, u, w)[:, None, :, None]
+        there = ~np.isnan(x)
+        beside = band & ~inside
+        mean = _mean(x, beside)
+        std = np.sqrt(_mean((x - mean[:, None, None, None]) ** 2, beside))
+        lit = there & band & inside
+        held = lit.sum((1, 3))
+        with np.errstate(invalid="ignore"):
+            line = np.where(lit, x, 0).sum((1, 3), dtype=float) / np.where(held, held, np.nan)
+            lines = (held > 0).sum(1)
+            share = (line < (mean - 1.5 * std)[:, None]).sum(1) / np.where(lines, lines, np.nan)
+        for name, value in (("mean", mean), ("std", std), ("dark", _mean(x, band & inside)), ("bright", _mean(x, light & inside)), ("lines", np.where(np.isnan(mean), np.nan, share))):
+            out[name][at] = value
+    return out
+
+
 def _on_rows(px: DataFrame, boxes: DataFrame, begin: Column, end: Column) -> DataFrame:
     """Samples of the rows begin..end - 1 of each box: a row for each, so that both sides meet on (image, row)."""
     some = boxes.withColumn("_a", F.greatest(F.lit(0), begin.cast("int"))).withColumn("_z", end.cast("int")).filter("_z > _a")
@@ -305,16 +335,11 @@ def shadow(px: DataFrame, boxes: DataFrame, height: int, width: int) -> DataFram
         .when(F.abs(mid - F.col("nadir")) < F.greatest(F.lit(2.0), high / 2), "CANDIDATE_IN_NADIR_BAND").when((F.col("a") < 0) | (F.col("z") > height), "SHADOW_TRUNCATED_AT_RANGE_EDGE")
     )
     b = b.withColumn("reason", reason)
-    side = F.col("x2") - F.col("x1")
-    met = _on_rows(px, b.filter("reason is null"), F.least("a", "u"), F.greatest("z", "w")).filter((F.col("col_idx") >= F.col("x1") - side) & (F.col("col_idx") < F.col("x2") + side))
-    met = met.withColumns({"inside": F.expr("col_idx >= x1 and col_idx < x2"), "band": F.expr("row_idx >= a and row_idx < z"), "light": F.expr("row_idx >= u and row_idx < w")})
-    x = F.col("sample").cast("double")
-    beside = F.when(F.col("band") & ~F.col("inside"), x)
-    g = met.groupBy("box_id").agg(F.avg(beside).alias("mean"), F.stddev_pop(beside).alias("std"), F.avg(F.when(F.col("band") & F.col("inside"), x)).alias("dark"), F.avg(F.when(F.col("light") & F.col("inside"), x)).alias("bright"))
-    rows = met.filter("inside and band").groupBy("box_id", "row_idx").agg(F.avg(x).alias("m")).join(g, "box_id")
-    lines = rows.groupBy("box_id").agg(F.avg((F.col("m") < F.col("mean") - 1.5 * F.col("std")).cast("double")).alias("lines"))
+    measured = ["mean", "std", "dark", "bright", "lines"]
+    b = b.select("box_id", "image_id", "x1", "x2", "a", "z", "u", "w", "reason", F.col("reason").isNotNull().cast("int").alias("_none"))  # what goes along is shuffled
+    out = _measured(px, b, ["x1", "x2", "a", "z", "u", "w", "_none"], _shades, measured).drop("_none")
     late = F.when(F.col("mean").isNull(), "RANGE_MATCHED_BACKGROUND_UNAVAILABLE").when(F.col("std") < 1e-6, "RANGE_MATCHED_BACKGROUND_LOW_VARIANCE")
-    out = b.join(g, "box_id", "left").join(lines, "box_id", "left").withColumn("reason", F.coalesce("reason", late))
+    out = out.withColumn("reason", F.coalesce("reason", late))
     given = lambda c: F.when(F.col("reason").isNull(), c)
     out = out.withColumns({"contrast_z": given(F.expr("try_divide(mean - dark, std)")), "continuity": given(F.col("lines")), "ordering_ok": given(F.coalesce(F.col("bright") > F.col("mean"), F.lit(False)))})
     score = 0.5 * F.tanh(F.greatest(F.lit(0.0), F.col("contrast_z")) / 2) + 0.35 * F.col("continuity") + 0.15 * F.col("ordering_ok").cast("double")

@@ -34,3 +34,19 @@ def test_hard_return_joins_no_samples(spark):
         assert abs(got[name].contrast - (statistics.mean(inside) - bg) / scale) < 1e-9
         assert abs(got[name].bright - sum(s >= bg + scale for s in inside) / len(inside)) < 1e-12
         assert abs(got[name].dark - sum(s <= bg - scale for s in inside) / len(inside)) < 1e-12
+
+
+def test_shadow_joins_no_samples(spark):
+    boxes = [("down", 1, 2, 4, 5, 6, 1.0), ("up", 1, 2, 5, 5, 7, 11.0), ("no nadir", 1, 2, 4, 5, 6, None), ("cut", 1, 2, 10, 5, 12, 1.0), ("no image", 3, 2, 4, 5, 6, 1.0)]
+    px, boxes = _tables(spark, "box_id string, image_id long, x1 int, y1 int, x2 int, y2 int, nadir double", boxes)
+    out = R.shadow(px, boxes, 12, 9)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got, rows = {r.box_id: r for r in out.collect()}, px.collect()
+    assert {n: r.reason for n, r in got.items()} == {"down": None, "up": None, "no nadir": "NADIR_NOT_RECOVERABLE", "cut": "SHADOW_TRUNCATED_AT_RANGE_EDGE", "no image": "RANGE_MATCHED_BACKGROUND_UNAVAILABLE"}
+    for name, a, z, u, w in (("down", 6, 9, 2, 4), ("up", 2, 5, 7, 9)):  # length 3: a quarter of the height
+        beside = _samples(rows, 1, a, z, -1, 2) + _samples(rows, 1, a, z, 5, 8)
+        mean, std = statistics.mean(beside), statistics.pstdev(beside)
+        lines = [statistics.mean(x) < mean - 1.5 * std for r in range(a, z) if (x := _samples(rows, 1, r, r + 1, 2, 5))]
+        assert abs(got[name].contrast_z - (mean - statistics.mean(_samples(rows, 1, a, z, 2, 5))) / std) < 1e-9
+        assert got[name].continuity == sum(lines) / len(lines)
+        assert got[name].ordering_ok == (statistics.mean(_samples(rows, 1, u, w, 2, 5)) > mean)
