@@ -250,6 +250,18 @@ def _whole(x: np.ndarray, ok: np.ndarray) -> np.ndarray:
     return np.where(ok, x, 0).astype(np.int64)
 
 
+def _sides(raster: _Raster, box: dict) -> dict:
+    """Means within columns x1..x2 and s1..s2 of rows y1..y2, whether a lost row is among these, and values of the image; nothing without a nadir."""
+    ok = ~np.isnan(box["nadir"])
+    x1, x2, s1, s2, y1, y2 = (_whole(box[c], ok) for c in ("x1", "x2", "s1", "s2", "y1", "y2"))
+    out = {n: np.full(len(ok), np.nan) for n in ("inside", "shade")}
+    for at, _, c, x in raster.windows(y1, y2, np.minimum(x1, s1), np.maximum(x2, s2)):
+        for name, lo, hi in (("inside", x1, x2), ("shade", s1, s2)):
+            out[name][at] = _mean(x, ((c >= lo[at, None]) & (c < hi[at, None]))[:, None, None, :])
+    out["lost"] = np.where(ok, np.maximum(np.searchsorted(raster.lost, y2) - np.searchsorted(raster.lost, y1), 0), np.nan)
+    return out | {n: np.full(len(ok), v) for n, v in raster.whole.items()}
+
+
 def _shades(raster: _Raster, box: dict) -> dict:
     """Mean and deviation beside a box's band of rows a..z, means of the band and of rows u..w behind and before the box, share of dark lines."""
     ok = box["_none"] == 0
@@ -275,12 +287,6 @@ def _shades(raster: _Raster, box: dict) -> dict:
     return out
 
 
-def _on_rows(px: DataFrame, boxes: DataFrame, begin: Column, end: Column) -> DataFrame:
-    """Samples of the rows begin..end - 1 of each box: a row for each, so that both sides meet on (image, row)."""
-    some = boxes.withColumn("_a", F.greatest(F.lit(0), begin.cast("int"))).withColumn("_z", end.cast("int")).filter("_z > _a")
-    return px.join(some.withColumn("row_idx", F.explode(F.sequence("_a", F.col("_z") - 1))).drop("_a", "_z"), ["image_id", "row_idx"])
-
-
 def hard_return(px: DataFrame, boxes: DataFrame) -> DataFrame:
     """Bright and dark shares of each box (box_id, image_id, integer x1, y1, x2, y2) against its padded surroundings."""
     out = _measured(px, boxes.select("box_id", "image_id", "x1", "y1", "x2", "y2"), ["x1", "x2", "y1", "y2"], _contrasts, ["bg", "scale", "bright", "dark", "mean"]).filter("bg is not null")
@@ -302,20 +308,17 @@ def orientation(px: DataFrame, boxes: DataFrame, dropped: DataFrame, width: int)
     away = mid > F.col("nadir")
     span = F.greatest(F.lit(2), F.col("x2") - F.col("x1"))
     b = boxes.withColumn("s1", F.when(away, F.col("x2")).otherwise(F.greatest(F.lit(0), F.col("x1") - span))).withColumn("s2", F.when(away, F.least(F.lit(width), F.col("x2") + span)).otherwise(F.col("x1"))).withColumn("span", span)
-    known = b.filter("nadir is not null")
-    met = _on_rows(px, known, F.col("y1"), F.col("y2")).filter("col_idx >= least(x1, s1) and col_idx < greatest(x2, s2)")
-    inside, shade = F.expr("col_idx >= x1 and col_idx < x2"), F.expr("col_idx >= s1 and col_idx < s2")
-    m = met.groupBy("box_id", "image_id", "s1", "s2", "span").agg(F.avg(F.when(inside, F.col("sample"))).alias("inside"), F.avg(F.when(shade, F.col("sample"))).alias("shade")).filter("inside is not null").join(whole, "image_id")
+    b = b.select("box_id", "image_id", "x1", "y1", "x2", "y2", "nadir", "nadir_share", "s1", "s2", "span")  # what goes along is shuffled
+    b = _measured(px, b, ["x1", "x2", "s1", "s2", "y1", "y2", "nadir"], _sides, ["inside", "shade", "lost", "base", "spread"], whole, dropped)
     clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     seen, cols = F.col("shade").isNotNull(), F.col("s2") - F.col("s1")
     parts = {"highlight_score": clip((F.col("inside") - F.col("base")) / F.col("spread")), "shadow_score": F.when(seen, clip((F.col("base") - F.col("shade")) / F.col("spread"))), "direction_score": F.when(seen & (cols > 0), 1.0), "geometry_score": F.when(seen, F.least(F.lit(1.0), cols / F.col("span")))}
-    scores = m.select("box_id", *[c.alias(n) for n, c in parts.items()])
+    met = F.col("inside").isNotNull()
+    out = b.withColumns({n: F.when(met, c) for n, c in parts.items()})
     present = F.array_compact(F.array(*parts))
-    scores = scores.withColumn("physics_consistency", F.aggregate(present, F.lit(0.0), lambda s, x: s + x) / F.size(present))
-    lost = known.select("box_id", "image_id", F.explode(F.sequence("y1", F.col("y2") - 1)).alias("row_idx")).join(dropped, ["image_id", "row_idx"], "left_semi").select("box_id", F.lit(True).alias("dropout")).distinct()
-    out = b.join(scores, "box_id", "left").join(lost, "box_id", "left")
+    out = out.withColumn("physics_consistency", F.when(met, F.aggregate(present, F.lit(0.0), lambda s, x: s + x) / F.size(present)))
     nadir = (F.col("nadir_share") > 0) & (F.abs(mid - width / 2) <= F.col("nadir_share") * width / 2)
-    flags = F.concat_ws(",", F.when(nadir, "NADIR_OVERLAP"), F.when(F.col("dropout"), "DROPOUT_OVERLAP"), F.lit("SHADOW_IS_NOT_ARTIFICIALITY"))
+    flags = F.concat_ws(",", F.when(nadir, "NADIR_OVERLAP"), F.when(F.col("lost") > 0, "DROPOUT_OVERLAP"), F.lit("SHADOW_IS_NOT_ARTIFICIALITY"))
     return out.withColumn("flags", F.when(F.col("nadir").isNull(), "UNKNOWN_ORIENTATION").when(F.col("highlight_score").isNull(), "INVALID_BBOX").otherwise(flags))
 
 

@@ -50,3 +50,20 @@ def test_shadow_joins_no_samples(spark):
         assert abs(got[name].contrast_z - (mean - statistics.mean(_samples(rows, 1, a, z, 2, 5))) / std) < 1e-9
         assert got[name].continuity == sum(lines) / len(lines)
         assert got[name].ordering_ok == (statistics.mean(_samples(rows, 1, u, w, 2, 5)) > mean)
+
+
+def test_orientation_copies_no_box_to_rows(spark):
+    boxes = [("right", 1, 5, 2, 7, 5, 3.0, 0.1), ("left", 1, 2, 6, 4, 9, 6.0, 0.0), ("unknown", 1, 2, 2, 4, 4, None, 0.0), ("outside", 1, 40, 2, 44, 5, 3.0, 0.0)]
+    px, boxes = _tables(spark, "box_id string, image_id long, x1 int, y1 int, x2 int, y2 int, nadir double, nadir_share double", boxes)
+    out = R.orientation(px, boxes, spark.createDataFrame([(1, 4), (1, 4), (9, 1)], "image_id long, row_idx long"), 9)
+    assert "Explode" not in out._jdf.queryExecution().optimizedPlan().toString() and "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got, rows = {r.box_id: r for r in out.collect()}, px.collect()
+    assert {n: r.flags for n, r in got.items()} == {"right": "DROPOUT_OVERLAP,SHADOW_IS_NOT_ARTIFICIALITY", "left": "SHADOW_IS_NOT_ARTIFICIALITY", "unknown": "UNKNOWN_ORIENTATION", "outside": "INVALID_BBOX"}
+    image = [r.sample for r in rows if r.image_id == 1]
+    base, spread = statistics.median(image), max(1, 2 * statistics.pstdev(image))
+    for name, y1, y2, x1, x2, s1, s2 in (("right", 2, 5, 5, 7, 7, 9), ("left", 6, 9, 2, 4, 0, 2)):
+        inside, shade = (statistics.mean(_samples(rows, 1, y1, y2, *x)) for x in ((x1, x2), (s1, s2)))
+        clip = lambda v: max(0.0, min(1.0, v))
+        assert abs(got[name].highlight_score - clip((inside - base) / spread)) < 1e-9
+        assert abs(got[name].shadow_score - clip((base - shade) / spread)) < 1e-9
+        assert got[name].geometry_score == 1.0
