@@ -25,6 +25,23 @@ def tile_annotations(tiles: DataFrame, ann: DataFrame, size: int = 512, stride:
     return spread.join(t, ["frame_id", "_i", "_j"]).filter((F.col("bx") < F.col("x0") + size) & (F.col("bx") + F.col("bw") > F.col("x0")) & (F.col("by") < F.col("y0") + size) & (F.col("by") + F.col("bh") > F.col("y0"))).drop("_i", "_j")
 
 
+def annotated_tiles(frames: DataFrame, ann: DataFrame, size: int = 512, stride: int = 256) -> DataFrame:
+    """``tile_annotations`` on the grid of each frame (frame_id, width, height): only tiles that a box meets are ever made.
+
+    Frames grow with the boxes, so they are not sent to all tasks.
+    """
+    both = ann.join(frames.select("frame_id", "width", "height").hint("merge"), "frame_id")
+
+    def places(lo: str, n: str, length: str) -> Column:
+        tiles = F.when(F.col(length) <= size, 1).otherwise(F.ceil(F.col(length) / stride))
+        first = F.greatest(F.lit(0), F.floor((F.col(lo) - size) / stride) + 1)
+        last = F.least(F.greatest(first, F.ceil((F.col(lo) + F.col(n)) / stride) - 1), tiles - 1)
+        return F.when(tiles.isNotNull() & (first <= last), F.transform(F.sequence(first.cast("int"), last.cast("int")), lambda i: i * stride))
+
+    out = both.withColumn("x0", F.explode(places("bx", "bw", "width"))).withColumn("y0", F.explode(places("by", "bh", "height"))).drop("width", "height")
+    return out.filter((F.col("bx") < F.col("x0") + size) & (F.col("bx") + F.col("bw") > F.col("x0")) & (F.col("by") < F.col("y0") + size) & (F.col("by") + F.col("bh") > F.col("y0")))
+
+
 def overlapping_pairs(det: DataFrame, keys: list[str], condition: Column | None = None, least: float = 0.30) -> DataFrame:
     """Ordered pairs (a, b) of detections with equal ``keys`` whose IoU is at least ``least``; each with itself too."""
     a, b = det.alias("a"), det.alias("b")

@@ -167,7 +167,7 @@ def snapshot_errors(tiles: DataFrame, boxes: DataFrame, frames: DataFrame, size:
         "MISSING_LABEL_FILE": ~F.coalesce("has_label", F.lit(False)),
         "SPLIT_INHERITANCE_VIOLATION": ~F.col("split").eqNullSafe(F.col("frame_split")),
     }
-    held = tiles.join(frames.select("frame_id", F.col("split").alias("frame_split")), "frame_id", "left")
+    held = tiles.join(frames.select("frame_id", F.col("split").alias("frame_split")).hint("shuffle_hash"), "frame_id", "left")  # frames grow with tiles: not sent to all tasks
     found = held.select(F.col("tile_key").alias("subject"), F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in kinds.items()]))).alias("error"))
     wrong = "w <= 0 OR h <= 0 OR x < 0 OR y < 0 OR x + w > {0} OR y + h > {0}".format(size)
     return found.unionByName(boxes.filter(wrong).select(F.concat_ws(":", "tile_key", "box_id").alias("subject"), F.lit("INVALID_CLIPPED_BOX").alias("error")))

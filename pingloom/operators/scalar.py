@@ -42,12 +42,12 @@ def stable_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\0", *parts).cast("binary"), 256), 1, 16)
 
 
-def tile_grid(frames: DataFrame, size: int = 512, stride: int = 256) -> DataFrame:
-    """One row for each tile of frame_id, width, height: origin and the zero padding on the right and bottom."""
-    out = frames.select("frame_id", "width", "height", F.explode(boxes.tile_origins(F.col("height"), size, stride)).alias("y0"))
-    out = out.select("frame_id", "width", "height", F.explode(boxes.tile_origins(F.col("width"), size, stride)).alias("x0"), "y0")
+def tile_grid(frames: DataFrame, size: int = 512, stride: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each tile of frame_id, width, height: origin and the zero padding on the right and bottom. Columns of ``carry`` go along."""
+    out = frames.select("frame_id", "width", "height", *carry, F.explode(boxes.tile_origins(F.col("height"), size, stride)).alias("y0"))
+    out = out.select("frame_id", "width", "height", *carry, F.explode(boxes.tile_origins(F.col("width"), size, stride)).alias("x0"), "y0")
     pad = lambda at, length: F.greatest(F.lit(0), F.col(at) + size - F.col(length))
-    return out.select("frame_id", "x0", "y0", pad("x0", "width").alias("padded_right"), pad("y0", "height").alias("padded_bottom"), F.format_string("%s_x%05d_y%05d", F.col("frame_id").cast("string"), "x0", "y0").alias("tile_key"))
+    return out.select("frame_id", "x0", "y0", pad("x0", "width").alias("padded_right"), pad("y0", "height").alias("padded_bottom"), F.format_string("%s_x%05d_y%05d", F.col("frame_id").cast("string"), "x0", "y0").alias("tile_key"), *carry)
 
 
 def needs_tiling(width: Column, height: Column) -> Column:

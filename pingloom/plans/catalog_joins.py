@@ -39,8 +39,8 @@ def j03(v):
     return J.tile_annotations(S.tile_grid(v["v_frames"]).select("frame_id", "x0", "y0"), _annotations(v)).select("gt_id", "frame_id", "x0", "y0")
 
 
-def _annotations(v):
-    return v["v_gt"].select("gt_id", "frame_id", (F.col("gx1") * 8).alias("bx"), (F.col("gy1") * 8).alias("by"), (F.col("gx2") * 8 - F.col("gx1") * 8).alias("bw"), (F.col("gy2") * 8 - F.col("gy1") * 8).alias("bh"))
+def _annotations(v, *more):
+    return v["v_gt"].select("gt_id", "frame_id", *more, (F.col("gx1") * 8).alias("bx"), (F.col("gy1") * 8).alias("by"), (F.col("gx2") * 8 - F.col("gx1") * 8).alias("bw"), (F.col("gy2") * 8 - F.col("gy1") * 8).alias("bh"))
 
 
 CLIP_SQL = TILES_SQL + """, b AS (SELECT gt_id, frame_id, gx1 * 8 AS bx, gy1 * 8 AS by_, gx2 * 8 - gx1 * 8 AS bw, gy2 * 8 - gy1 * 8 AS bh FROM v_gt),
@@ -49,7 +49,12 @@ c AS (SELECT gt_id, b.frame_id, x0, y0, bw, bh, greatest(bx, x0) - x0 AS cx, gre
 
 @register("P09_clip_box", CLIP_SQL + "SELECT gt_id, frame_id, x0, y0, cx, cy, cw, ch FROM c WHERE cw > 0 AND ch > 0 AND cw * ch / (bw * bh) >= 0.25")
 def p09(v):
-    return S.clip_box(J.tile_annotations(S.tile_grid(v["v_frames"]).select("frame_id", "x0", "y0"), _annotations(v))).select("gt_id", "frame_id", "x0", "y0", "cx", "cy", "cw", "ch")
+    return clipped(v)
+
+
+def clipped(v, *more):
+    """Boxes cut to the tiles that hold a quarter of them or more, with columns ``more`` of the boxes."""
+    return S.clip_box(J.annotated_tiles(v["v_frames"], _annotations(v, *more))).select("gt_id", "frame_id", "x0", "y0", "cx", "cy", "cw", "ch", *more)
 
 
 @register(

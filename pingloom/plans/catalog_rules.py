@@ -44,7 +44,7 @@ _QA_TILES = "SELECT tile_key, frame_id, CASE WHEN x0 = 0 THEN 512 - CAST(padded_
 def a43_tiles(v):
     """Errors of tiles and of the boxes clipped to them; some tiles are cut short, unlabelled or of another split, some boxes too wide."""
     f = v["v_frames"]
-    t = P.tile_grid(f).join(f.select("frame_id", "split"), "frame_id")
+    t = P.tile_grid(f.repartition("frame_id"), carry=("split",))  # frames are dealt out before they become tiles: tiles meet them where they are
     t = t.sparkSession.sql(_QA_TILES.replace("FROM tiled", "FROM {t}"), t=t)
     key = F.format_string("%s_x%05d_y%05d", F.col("frame_id").cast("string"), "x0", "y0")
     b = p09(v).select(key.alias("tile_key"), F.col("gt_id").alias("box_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), (F.col("cw") + F.when(F.col("cw") > 200, 300).otherwise(0)).alias("w"), F.col("ch").alias("h"))
