@@ -36,7 +36,7 @@ def p14(v):
     TILES_SQL + ", b AS (SELECT gt_id, frame_id, gx1 * 8 AS bx, gy1 * 8 AS by_, gx2 * 8 - gx1 * 8 AS bw, gy2 * 8 - gy1 * 8 AS bh FROM v_gt) SELECT gt_id, b.frame_id, x0, y0 FROM b JOIN t ON b.frame_id = t.frame_id AND bx < x0 + 512 AND bx + bw > x0 AND by_ < y0 + 512 AND by_ + bh > y0",
 )
 def j03(v):
-    return J.tile_annotations(S.tile_grid(v["v_frames"]).select("frame_id", "x0", "y0"), _annotations(v)).select("gt_id", "frame_id", "x0", "y0")
+    return J.annotated_tiles(v["v_frames"], _annotations(v)).select("gt_id", "frame_id", "x0", "y0")
 
 
 def _annotations(v, *more):
