@@ -18,7 +18,7 @@ from .registry import register
 
 @register("J05_window_coverage_join", TILES_SQL + ", b AS (SELECT gt_id, frame_id, gx1 * 8 AS bx, gy1 * 8 AS by_, gx2 * 8 - gx1 * 8 AS bw, gy2 * 8 - gy1 * 8 AS bh FROM v_gt) SELECT gt_id, count(*) AS windows, min(x0) AS first_x, max(y0) AS last_y FROM b JOIN t ON b.frame_id = t.frame_id AND bx < x0 + 512 AND bx + bw > x0 AND by_ < y0 + 512 AND by_ + bh > y0 GROUP BY gt_id")
 def j05(v):
-    t = J.tile_annotations(S.tile_grid(v["v_frames"]).select("frame_id", "x0", "y0"), _annotations(v))
+    t = J.annotated_tiles(v["v_frames"], _annotations(v))
     return t.groupBy("gt_id").agg(F.count("*").alias("windows"), F.min("x0").alias("first_x"), F.max("y0").alias("last_y"))
 
 

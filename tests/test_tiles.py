@@ -29,7 +29,7 @@ def sf(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["A43_tile_errors", "J03_tile_annotation_join", "P09_clip_box"])
+@pytest.mark.parametrize("name", ["A43_tile_errors", "J03_tile_annotation_join", "J05_window_coverage_join", "P09_clip_box"])
 def test_tiles_are_not_sent_to_the_driver(spark, sf, name):
     df = registry.queries()[name](spark, sf)
     assert df.count() > 0
