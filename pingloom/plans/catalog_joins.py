@@ -57,6 +57,10 @@ def clipped(v, *more):
     return S.clip_box(J.annotated_tiles(v["v_frames"], _annotations(v, *more))).select("gt_id", "frame_id", "x0", "y0", "cx", "cy", "cw", "ch", *more)
 
 
+#: Folders that label files are dealt to.
+_FOLDERS = 1024
+
+
 @register(
     "S13_write_yolo_labels",
     CLIP_SQL + ", k AS (SELECT c.*, gt_class FROM c JOIN v_gt AS g ON c.gt_id = g.gt_id WHERE cw > 0 AND ch > 0 AND cw * ch / (bw * bh) >= 0.25 AND gt_class <> 'CRAB_POT') "
@@ -64,14 +68,14 @@ def clipped(v, *more):
 )
 def s13(v):
     """Label lines of each tile, written to a file of its own and read back; a class without an index is skipped."""
-    c = p09(v).join(v["v_gt"].select("gt_id", "gt_class"), "gt_id").withColumn("i", F.when(F.col("gt_class") == "PIPELINE", 0).when(F.col("gt_class") == "SHIPWRECK", 1)).filter("i is not null")
+    c = clipped(v, "gt_class").withColumn("i", F.when(F.col("gt_class") == "PIPELINE", 0).when(F.col("gt_class") == "SHIPWRECK", 1)).filter("i is not null")
     line = F.format_string("%d %.8f %.8f %.8f %.8f", "i", (F.col("cx") + F.col("cw") / 2) / 512, (F.col("cy") + F.col("ch") / 2) / 512, F.col("cw") / 512, F.col("ch") / 512)
     key = F.format_string("%s_x%05d_y%05d", F.col("frame_id").cast("string"), "x0", "y0")
     rows = c.groupBy(key.alias("tile_key")).agg(F.array_sort(F.collect_list(F.struct("gt_id", line.alias("line")))).alias("lines"))
     labels = rows.select(F.concat("tile_key", F.lit(".txt")).alias("name"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
     path = scratch(v.spark)
-    files.write_texts(labels, path)
-    return files.read_texts(v.spark, path).select(F.regexp_replace("name", "[.]txt$", "").alias("tile_key"), F.col("text").alias("label_text"))
+    files.write_texts(labels, path, _FOLDERS)
+    return files.read_texts(v.spark, path, _FOLDERS).select(F.regexp_replace("name", "[.]txt$", "").alias("tile_key"), F.col("text").alias("label_text"))
 
 
 @register("J04_detection_cluster_join", f"SELECT a.detection_id, count(*) AS cluster_size, count(DISTINCT b.tile_id) AS tiles, round(max(b.raw_confidence), 9) AS best FROM v_det AS a JOIN v_det AS b ON a.frame_id = b.frame_id AND a.raw_class = b.raw_class AND {_IOU} >= 0.30 GROUP BY a.detection_id")

@@ -6,6 +6,7 @@ import pytest
 
 from pingloom.operators import joins, scalar
 from pingloom.plans import registry
+from pingloom.sources import files
 
 FRAMES = [(k, w, h) for k, (w, h) in enumerate([(5000, 500), (2500, 500), (640, 640), (512, 512), (513, 100), (256, 1025), (0, 700), (None, 640)])]
 
@@ -34,3 +35,16 @@ def test_tiles_are_not_sent_to_the_driver(spark, sf, name):
     df = registry.queries()[name](spark, sf)
     assert df.count() > 0
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_label_files_are_not_listed_by_the_driver(spark, sf):
+    df = registry.queries()["S13_write_yolo_labels"](spark, sf)
+    assert df.inputFiles() == [] and df.count() > 10
+
+
+def test_texts_in_folders_come_back(spark, tmp_path):
+    rows = [(f"{k}.txt", "" if k % 5 == 0 else f"a{k}\nb") for k in range(200)]
+    path = f"file://{tmp_path}/texts"
+    assert files.write_texts(spark.createDataFrame(rows, "name string, text string"), path, 16) == 200
+    assert sorted(tuple(r) for r in files.read_texts(spark, path, 16).collect()) == sorted(rows)
+    assert len([p for p in (tmp_path / "texts").iterdir() if p.is_dir()]) == 16
