@@ -8,8 +8,11 @@ function in the JVM. Surveys are cut where nothing before can meet anything behi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,6 +61,87 @@ def relation(a: str, b: str, min_iou: float = 0.30) -> Column:
     return F.when(c(a, "raw_class") == c(b, "raw_class"), F.when(c(a, "frame_id") == c(b, "frame_id"), F.when(duplicate, "TILE_OVERLAP_DUPLICATE")).when(placed, across))
 
 
+_RELATIONS = ("TILE_OVERLAP_DUPLICATE", "SAME_LOOK_OVERLAPPING_WINDOWS", "INDEPENDENT_LOOKS_ALONG_TRACK")
+_NUMBERS = ("tile_id", "x1", "y1", "x2", "y2", "nx1", "ny1", "nx2", "ny2", "ping_start", "ping_end")
+#: Pairs of observations that are compared at a time.
+PAIRS = 1 << 20
+
+
+def _related(frame: np.ndarray, x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``relation`` of rows a with rows b of one survey and class, as a place in ``_RELATIONS``, or -1. NaN is null."""
+    va, vb = ({n: v[at] for n, v in x.items()} for at in (a, b))
+    lower, upper = np.fmin, np.fmax  # of a null and a value, the value
+    same = frame[a] == frame[b]
+    w, h = lower(va["nx2"], vb["nx2"]) - upper(va["nx1"], vb["nx1"]), lower(va["ny2"], vb["ny2"]) - upper(va["ny1"], vb["ny1"])
+    area = [(v["nx2"] - v["nx1"]) * (v["ny2"] - v["ny1"]) for v in (va, vb)]
+    iou = np.where((w <= 0) | (h <= 0), 0.0, w * h / (area[0] + area[1] - w * h))
+    holds = lambda p, q: ((q["nx1"] + q["nx2"]) / 2 >= p["nx1"]) & ((q["nx1"] + q["nx2"]) / 2 <= p["nx2"]) & ((q["ny1"] + q["ny2"]) / 2 >= p["ny1"]) & ((q["ny1"] + q["ny2"]) / 2 <= p["ny2"])
+    duplicate = same & va["tiled"] & vb["tiled"] & ((va["tile_id"] < vb["tile_id"]) | (va["tile_id"] > vb["tile_id"])) & ((iou >= 0.30) | holds(va, vb) | holds(vb, va))
+    placed = ~same & ~np.isnan(va["ping_start"]) & ~np.isnan(vb["ping_start"])
+    gap = upper(va["ping_start"], vb["ping_start"]) - lower(va["ping_end"], vb["ping_end"])
+    columns = lower(va["x2"], vb["x2"]) - upper(va["x1"], vb["x1"])
+    pings = lower(va["ping_start"] + va["y2"], vb["ping_start"] + vb["y2"]) - upper(va["ping_start"] + va["y1"], vb["ping_start"] + vb["y1"])
+    offset = np.abs((va["x1"] + va["x2"]) / 2 - (vb["x1"] + vb["x2"]) / 2)
+    near = offset <= upper(lower(va["x2"] - va["x1"], vb["x2"] - vb["x1"]) * 0.25, 20.0)
+    return np.select([duplicate, placed & (gap <= 0) & (columns > 0) & (pings > 0), placed & (gap == 1) & va["pipeline"] & near], [0, 1, 2], -1)
+
+
+def _pairs_of(reach: int):
+    """Related pairs in rows that are sorted by survey, class, frame and id. Only frames that later rows can reach are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            rows = [x for x in (held, batch) if x is not None and x.num_rows]
+            if not rows:
+                continue
+            t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            n, frame = t.num_rows, t.column("frame_id").to_numpy()
+            new = np.ones(n, bool)
+            if n > 1:
+                new[1:] = np.logical_or(*(pc.not_equal(t.column(c)[1:], t.column(c)[:-1]).to_numpy(zero_copy_only=False) for c in ("survey_ref", "raw_class")))
+            starts = [*np.flatnonzero(new).tolist(), n]
+            end = np.concatenate([lo + np.searchsorted(frame[lo:hi], frame[lo:hi] + reach, "right") for lo, hi in zip(starts, starts[1:], strict=False)])
+            done = n if batch is None else int(np.flatnonzero(end == n)[0])  # what comes next may belong to those that reach the last row
+            held = None if batch is None else t.slice(done)
+            if not done:
+                continue
+            x = {c: t.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in _NUMBERS} | {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("tiled", "pipeline")}
+            upto = np.cumsum(end[:done] - np.arange(done) - 1)
+            at = 0
+            while at < done:
+                first = upto[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(upto, first + PAIRS, "right")))
+                counts = end[at:to] - np.arange(at, to) - 1
+                a = np.repeat(np.arange(at, to), counts)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts)
+                kind = _related(frame, x, a, b)
+                hit = np.flatnonzero(kind >= 0)
+                ids = t.column("detection_id")
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[hit])), ids.take(pa.array(b[hit])), pa.array(_RELATIONS, pa.string()).take(pa.array(kind[hit]))], names=["a", "b", "relation"])
+                at = to
+
+    return run
+
+
+def related_pairs(obs: DataFrame, reach: int, block: str | None = None) -> DataFrame:
+    """``a_id, b_id, relation``: pairs (a_id < b_id) of one survey whose frames lie at most ``reach`` apart and that ``relation`` names.
+
+    Observations are sorted by survey, class and frame, and each meets those that follow it up to ``reach``: no pair of
+    frames further apart is made. ``block``: a column that obs is dealt out by and that holds whole surveys; without it
+    obs is dealt out by survey and class.
+    """
+    rows = obs.filter("survey_ref is not null and raw_class is not null and frame_id is not null and detection_id is not null")
+    if block is None:
+        rows = rows.repartition("survey_ref", "raw_class")
+    numbers = [F.col(c).cast("double").alias(c) for c in _NUMBERS]
+    flags = [F.coalesce(F.col("inference_mode") == "TILED", F.lit(False)).alias("tiled"), (F.col("raw_class") == "PIPELINE").alias("pipeline")]
+    rows = rows.select("survey_ref", "raw_class", F.col("frame_id").cast("long").alias("frame_id"), "detection_id", *numbers, *flags)
+    kind = obs.schema["detection_id"].dataType.simpleString()
+    found = rows.sortWithinPartitions("survey_ref", "raw_class", "frame_id", "detection_id").mapInArrow(_pairs_of(reach), f"a {kind}, b {kind}, relation string")
+    return found.filter("a <> b").select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id"), "relation")
+
+
 OBSERVATION = ("detection_id", "frame_id", "tile_id", "raw_class", "inference_mode", "raw_confidence", "x1", "y1", "x2", "y2", "nx1", "ny1", "nx2", "ny2", "survey_ref", "ping_start", "ping_end")
 
 

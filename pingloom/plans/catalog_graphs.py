@@ -40,10 +40,7 @@ def relation_sql(a: str, b: str) -> str:
 
 @register("G03_association_relation", f"SELECT * FROM (SELECT a.detection_id AS a_id, b.detection_id AS b_id, {relation_sql('a.', 'b.')} AS relation FROM v_obs AS a JOIN v_obs AS b ON a.survey_ref = b.survey_ref AND a.raw_class = b.raw_class AND abs(a.frame_id - b.frame_id) <= 2 AND a.detection_id < b.detection_id) AS p WHERE relation IS NOT NULL")
 def g03(v):
-    a, b = v["v_obs"].alias("a"), v["v_obs"].alias("b")
-    # related windows lie at most two frames apart here: a range join on top of the survey key
-    both = a.join(b, F.expr("a.survey_ref = b.survey_ref and a.raw_class = b.raw_class and abs(a.frame_id - b.frame_id) <= 2 and a.detection_id < b.detection_id"))
-    return both.select(F.col("a.detection_id").alias("a_id"), F.col("b.detection_id").alias("b_id"), S.relation("a.", "b.").alias("relation")).filter("relation is not null")
+    return S.related_pairs(v["v_blocks"], 2, "block")  # related windows lie at most two frames apart here
 
 
 FUSE = f"""k AS (SELECT *, concat_ws('|', raw_class, CASE WHEN ping_start IS NOT NULL THEN survey_ref ELSE 'f' || frame_id END) AS key FROM v_obs),
