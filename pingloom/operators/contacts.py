@@ -10,6 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CONTACT = ["key", "contact_no"]
+
+
+def contact_ids(members: DataFrame) -> list[str]:
+    """What tells contacts apart: also the block of members that are dealt out by it, so that they stay where they are."""
+    return [*(["block"] if "block" in members.columns else []), *CONTACT]
+
+
 USABLE = ("MEASURED", "SYNTHETIC_DEMO")
 
 
@@ -20,11 +27,12 @@ def look_persistence(members: DataFrame) -> DataFrame:
     a verified place on the ping axis do looks count as sequential: ``consecutive`` is then the length of the last run
     of windows that follow on one another, and the score grows with looks and run.
     """
-    order = W.partitionBy(*CONTACT).orderBy("q_ping_start", "q_detection_id")
+    ids = contact_ids(members)
+    order = W.partitionBy(*ids).orderBy("q_ping_start", "q_detection_id")
     breaks = F.when(F.lag("q_ping_end").over(order) + 1 == F.col("q_ping_start"), 0).otherwise(1)
     rows = members.withColumn("_break", breaks).withColumn("_run", F.sum("_break").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("_last", F.max("_run").over(W.partitionBy(*CONTACT)))
-    g = rows.groupBy(*CONTACT).agg(
+    rows = rows.withColumn("_last", F.max("_run").over(W.partitionBy(*ids)))
+    g = rows.groupBy(*ids).agg(
         F.count("*").alias("n"), (1 + F.count_if(F.col("rel") == "INDEPENDENT_LOOKS_ALONG_TRACK")).alias("looks"), F.count_if(F.col("rel") != "TILE_OVERLAP_DUPLICATE").alias("other"),
         F.every(F.col("q_ping_start").isNotNull()).alias("placed"), F.count_if(F.col("_run") == F.col("_last")).alias("run"),
     )
@@ -48,7 +56,7 @@ def contact_enrich(members: DataFrame) -> DataFrame:
     """
     available = F.col("open_set_status") == "AVAILABLE"
     strongest = F.min_by(F.struct("detection_id", "anomaly_score", "anomaly_threshold"), F.when(available, F.struct((-F.coalesce("anomaly_score", F.lit(0.0))).alias("a"), "member_no")))
-    g = members.groupBy(*CONTACT).agg(
+    g = members.groupBy(*contact_ids(members)).agg(
         F.avg("quality_score").alias("quality_score"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("quality_flags")))).alias("quality_flags"), F.max("nadir_overlap").alias("nadir_overlap"),
         F.min_by("pipeline_verification", F.when(F.col("pipeline_verification").isNotNull(), F.col("member_no"))).alias("pipeline_verification"), strongest.alias("open_set"),
     )
@@ -56,11 +64,12 @@ def contact_enrich(members: DataFrame) -> DataFrame:
     return g.select(*CONTACT, "quality_score", "quality_flags", "nadir_overlap", "pipeline_verification", F.col("open_set.detection_id").alias("open_set_detection"), found.alias("anomaly_score"), F.coalesce(found >= F.col("open_set.anomaly_threshold"), F.lit(False)).alias("is_open_set_candidate"))
 
 
-def contact_views(members: DataFrame, designated: DataFrame) -> DataFrame:
-    """``key, contact_no, representative, n``: the designated observation if it is a member, else the member of highest finite confidence, else the first."""
+def contact_views(members: DataFrame, designated: DataFrame | None = None) -> DataFrame:
+    """``key, contact_no, representative, n``: the designated (a column of members, or a table by contact) observation if it is a member, else the member of highest finite confidence, else the first."""
     finite = F.col("raw_confidence").isNotNull() & ~F.isnan("raw_confidence") & (F.abs("raw_confidence") < float("inf"))
     rank = F.struct(F.when(F.col("detection_id") == F.col("designated"), 0).when(finite, 1).otherwise(2).alias("kind"), F.when(finite, -F.col("raw_confidence")).otherwise(0.0).alias("c"), "member_no")
-    return members.join(designated, CONTACT, "left").groupBy(*CONTACT).agg(F.min_by("detection_id", rank).alias("representative"), F.count("*").alias("n"))
+    rows = members if designated is None else members.join(designated, CONTACT, "left")
+    return rows.groupBy(*contact_ids(rows)).agg(F.min_by("detection_id", rank).alias("representative"), F.count("*").alias("n")).select(*CONTACT, "representative", "n")
 
 
 def platform_fixes(nav: DataFrame) -> DataFrame:
@@ -89,7 +98,7 @@ def place_contacts(members: DataFrame, own: DataFrame, fixes: DataFrame) -> Data
     Contacts without either are left out. ``fan`` counts the contacts that share a fix, in the order of their names;
     own positions have 0.
     """
-    placed = members.join(fixes.select("frame_id", F.col("longitude").alias("_lon"), F.col("latitude").alias("_lat")), "frame_id")
+    placed = members.select(*CONTACT, "member_no", "frame_id").join(fixes.select("frame_id", F.col("longitude").alias("_lon"), F.col("latitude").alias("_lat")), "frame_id")
     first = placed.groupBy(*CONTACT).agg(F.min_by(F.struct("frame_id", "_lon", "_lat"), "member_no").alias("f"))
     by_fix = first.join(own, CONTACT, "left_anti").select(*CONTACT, F.col("f._lon").alias("longitude"), F.col("f._lat").alias("latitude"), F.lit("frame").alias("basis"), F.col("f.frame_id").alias("frame_id"))
     by_fix = by_fix.withColumn("fan", F.row_number().over(W.partitionBy("frame_id").orderBy(*CONTACT)) - 1)  # the contacts of a frame

@@ -158,15 +158,24 @@ def _relation_of(a: Column, b: Column) -> Column:
     return F.when(a["frame_id"] == b["frame_id"], duplicate).otherwise(F.coalesce(across, F.lit(False)))
 
 
-def contact_segments(obs: DataFrame) -> DataFrame:
+def contact_segments(obs: DataFrame, block: str | None = None) -> DataFrame:
     """Observations with ``key``, ``segment`` (from 1 within the key) and ``member_no`` (from 0): pieces that no contact can cross.
 
     The key is exact: nothing relates across classes, nor across surveys or (unplaced) frames. In the order of pings, a
     contact reaches an observation only if its last member ends at the ping before or later. Where all that came before
     ended earlier, a segment begins. (Observations of one frame start at one ping.)
+
+    ``block``: a column that obs is dealt out by, whose groups are bounded and hold whole keys. They are scanned where they
+    are; without it keys are of any size and go through an ordered scan.
     """
     key = F.concat_ws("|", "raw_class", F.when(F.col("ping_start").isNotNull(), F.col("survey_ref")).otherwise(F.concat(F.lit("f"), F.col("frame_id").cast("string"))))
     order = [F.when(F.col("ping_start").isNotNull(), 0).otherwise(1), F.coalesce("ping_start", F.lit(0)), "frame_id", "detection_id"]
+    if block:
+        before = W.partitionBy(block, "key").orderBy(*order)
+        rows = obs.select(block, *OBSERVATION).withColumn("key", key).withColumns({"_count": F.row_number().over(before), "_reach": F.max(F.greatest("ping_start", "ping_end")).over(before.rowsBetween(W.unboundedPreceding, -1))})
+        cut = F.when(F.col("_reach").isNull(), F.col("_count") == 1).otherwise(F.col("_reach") < F.col("ping_start") - 1)
+        rows = rows.withColumn("segment", F.sum(cut.cast("long")).over(before.rowsBetween(W.unboundedPreceding, 0)))
+        return rows.withColumn("member_no", F.col("_count") - 1).drop("_count", "_reach")
     rows = laid_out(obs.select(*OBSERVATION).withColumn("key", key), ["key"], order)
     rows = with_running(rows, ["key"], sums={"_count": F.lit(1)}, highs={"_reach": F.greatest("ping_start", "ping_end")})
     cut = F.when(F.col("_reach").isNull(), F.col("_count") == 1).otherwise(F.col("_reach") < F.col("ping_start") - 1)
@@ -174,13 +183,14 @@ def contact_segments(obs: DataFrame) -> DataFrame:
     return rows.withColumn("member_no", F.col("_count") - 1).drop("_part", "_at", "_count", "_reach", "_cut")
 
 
-def fuse_contacts(obs: DataFrame) -> DataFrame:
+def fuse_contacts(obs: DataFrame, block: str | None = None) -> DataFrame:
     """``detection_id, contact_no, member_no, key``: observations in ping order join the first contact whose last member relates.
 
-    Each segment of a key is folded by itself; contacts are then numbered through the key.
+    Each segment of a key is folded by itself; contacts are then numbered through the key. With ``block`` (as in
+    ``contact_segments``) nothing is shuffled and the members keep that column.
     """
-    segments = contact_segments(obs)
-    groups = segments.groupBy("key", "segment").agg(F.array_sort(F.collect_list(F.struct("member_no", F.struct(*OBSERVATION).alias("obs")))).alias("members"))
+    segments, where = contact_segments(obs, block), [block] if block else []
+    groups = segments.groupBy(*where, "key", "segment").agg(F.array_sort(F.collect_list(F.struct("member_no", F.struct(*OBSERVATION).alias("obs")))).alias("members"))
     groups = groups.withColumn("all", F.transform("members", lambda x: x["obs"]))
     # state: number and last member of the contacts that can still grow, how many there are, and where each observation went
     member = "struct<" + ",".join(f"{n}:{obs.schema[n].dataType.simpleString()}" for n in OBSERVATION) + ">"
@@ -199,11 +209,19 @@ def fuse_contacts(obs: DataFrame) -> DataFrame:
         return _let(live, lambda v: _let(F.array_position(F.transform(v, lambda a: _relation_of(a["o"], x)), F.lit(True)).cast("int"), lambda at: joined(acc, x, v, at)))
 
     went = F.aggregate("all", start, step, lambda acc: acc["went"])
+    if block:
+        counted = groups.select(block, "key", "segment", "members", went.alias("went"))
+        counted = counted.withColumn("n", F.array_max("went").cast("long")).withColumn("earlier", F.sum("n").over(W.partitionBy(block, "key").orderBy("segment").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
+        return _members(counted, block)
     folded = stored(groups.select("key", "segment", "members", went.alias("went")))
     counts = laid_out(folded.select("key", "segment", F.array_max("went").alias("n")), ["key"], ["segment"])
     before = with_running(counts, ["key"], sums={"upto": F.col("n")}).select("key", "segment", (F.col("upto") - F.col("n")).alias("earlier"))
-    out = folded.join(before, ["key", "segment"]).select("key", "earlier", F.explode(F.arrays_zip("members", "went")).alias("z"))
-    return out.select("key", (F.col("z.went") + F.col("earlier")).cast("int").alias("contact_no"), F.col("z.members.member_no").cast("int").alias("member_no"), "z.members.obs.*")
+    return _members(folded.join(before, ["key", "segment"]))
+
+
+def _members(folded: DataFrame, *more: str) -> DataFrame:
+    out = folded.select(*more, "key", "earlier", F.explode(F.arrays_zip("members", "went")).alias("z"))
+    return out.select(*more, "key", (F.col("z.went") + F.col("earlier")).cast("int").alias("contact_no"), F.col("z.members.member_no").cast("int").alias("member_no"), "z.members.obs.*")
 
 
 def _let(value: Column, body) -> Column:

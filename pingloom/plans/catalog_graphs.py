@@ -52,7 +52,7 @@ f AS (SELECT key, rn, [o] AS last, 1::BIGINT AS contact_no, detection_id FROM o
 
 @register("G04_fuse_contacts", f"WITH {FUSE} SELECT detection_id, key, contact_no, rn - 1 AS member_no FROM f", recursive=True)
 def g04(v):
-    return S.fuse_contacts(v["v_obs"]).select("detection_id", "key", "contact_no", "member_no")
+    return S.fuse_contacts(v["v_blocks"], "block").select("detection_id", "key", "contact_no", "member_no")
 
 
 @register(
@@ -65,14 +65,14 @@ def g04(v):
     recursive=True,
 )
 def a01(v):
-    m = S.fuse_contacts(v["v_obs"])
+    m = S.fuse_contacts(v["v_blocks"], "block")
     spread = (F.stddev_pop((F.col("nx1") + F.col("nx2")) / 2) + F.stddev_pop((F.col("ny1") + F.col("ny2")) / 2)) / 2
-    return m.groupBy("key", "contact_no").agg(
+    return m.groupBy("block", "key", "contact_no").agg(
         F.count("*").alias("observation_count"), F.countDistinct("frame_id").alias("frames"), F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"), F.min("ping_start").alias("first_ping"), F.max("ping_end").alias("last_ping"),
         F.min_by("detection_id", F.struct((-F.col("raw_confidence")).alias("c"), "member_no")).alias("best_observation_id"), F.max("raw_confidence").alias("max_confidence"), F.round(F.avg("raw_confidence"), 9).alias("mean_confidence"),
         F.when(F.count("*") > 1, F.round(F.greatest(F.lit(0.0), 1 - spread / 0.12), 9)).alias("position_stability"), (F.max("frame_id") - F.min("frame_id") + 1).alias("span"),
         F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("member_no", "detection_id"))), lambda x: x["detection_id"]), "|"), 256), 1, 12).alias("contact_hash"),
-    )
+    ).drop("block")
 
 
 LOOKS = f"""{FUSE}, m AS (SELECT f.key, f.contact_no, f.rn, o.* EXCLUDE (key, rn) FROM f JOIN o ON f.detection_id = o.detection_id),
@@ -96,9 +96,9 @@ def a02(v):
 
 def _with_relations(v):
     """Members of contacts with their relation to the member before."""
-    m = S.fuse_contacts(v["v_obs"])
-    w = W.partitionBy("key", "contact_no").orderBy("member_no")
-    m = m.select("key", "contact_no", "member_no", *[F.lag(c).over(w).alias(f"p_{c}") for c in S.OBSERVATION], *[F.col(c).alias(f"q_{c}") for c in S.OBSERVATION])
+    m = S.fuse_contacts(v["v_blocks"], "block")
+    w = W.partitionBy("block", "key", "contact_no").orderBy("member_no")
+    m = m.select("block", "key", "contact_no", "member_no", *[F.lag(c).over(w).alias(f"p_{c}") for c in S.OBSERVATION], *[F.col(c).alias(f"q_{c}") for c in S.OBSERVATION])
     return m.withColumn("rel", S.relation("p_", "q_"))
 
 
@@ -108,7 +108,7 @@ def _with_relations(v):
     recursive=True,
 )
 def g10(v):
-    w = W.partitionBy("key", "contact_no").orderBy("member_no").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy("block", "key", "contact_no").orderBy("member_no").rowsBetween(W.unboundedPreceding, 0)
     return _with_relations(v).select("key", "contact_no", "member_no", (1 + F.sum((F.coalesce("rel", F.lit("")) == "INDEPENDENT_LOOKS_ALONG_TRACK").cast("int")).over(w)).alias("look_no"))
 
 
